@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markloom.llm import exact, quality
+from markloom.llm import exact, hyperminhash, mixing, quality, sharding, substring, token_files
 from markloom.llm._io import table
 
 
@@ -22,7 +22,42 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.classes(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = substring.parse(table(spark, sf_dir, "documents"))
+    return parsed.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.link(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file; operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.roundtrip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"), 40)
+    none = F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", none)
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op5_token_files": op5_token_files,
+    "op7_sharding": op7_sharding,
+    "op8_mix_sources": op8_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
 }
