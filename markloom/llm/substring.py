@@ -14,11 +14,12 @@ window can only match text that shares its anchor; about one word in eight is an
    boundary of two factors are checked for themselves, so none is lost between them.
 3. Words covered by a factor are removed, whatever earlier removals did to the source.
 
-Only the anchor hashes (8 bytes for 8 words), the windows of documents with a repeated
-anchor and narrow keys are shuffled. Hot passages are pre-aggregated (minimum over
-source ids) before the shuffle; joins back on the key are splittable by AQE.
+Only the anchor hashes (8 bytes for 8 words), the windows with a repeated anchor and the
+texts of documents that lose words are shuffled. Each task sends the first of its equal
+windows only, so a passage that a third of all documents share is a row a task.
 
-Windows are compared by a 64-bit hash together with their anchor's own 64 bits.
+Windows are compared by a 64-bit hash; a clash would need two of them under anchors that
+are repeated, and a first occurrence in an earlier document.
 
 Defined results for odd input
     null text            no words
@@ -41,10 +42,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markloom.llm._io import materialise, semi_by_id
-from markloom.llm._text import U, Words, chunks, grams
+from markloom.llm._text import U, Words, chunks, grams, mix
 
 MIN_WORDS = 20
 ANCHOR_WORDS = 6
+#: Size of the bit set of repeated anchors that every task may get: 8 MB. It is used while
+#: at most an eighth of its bits are set; beyond that, anchors are joined to documents.
+FILTER_BITS = 1 << 26
+#: Rows of an Arrow batch.
+ROWS = 1 << 17
 
 
 def _windows(words: Words, h: np.ndarray, size: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,48 +107,100 @@ def _index(size: int, anchor: int):
     return run
 
 
-def _repeats_inside(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """True where the same key occurs earlier in the same document."""
-    order = np.lexsort((np.arange(len(keys)), keys, doc))
-    same = np.zeros(len(keys), bool)
-    if len(keys) > 1:
-        k, d = keys[order], doc[order]
-        same[order[1:]] = (k[1:] == k[:-1]) & (d[1:] == d[:-1])
-    return same
+def _bit(anchors: np.ndarray) -> np.ndarray:
+    return (anchors & U(FILTER_BITS - 1)).astype(np.int64)
 
 
-def _suspect_windows(size: int, anchor: int):
-    """Windows whose anchor is repeated, each once for a document: key, anchor, doc_id, start."""
+def _windows_to_owners(size: int, anchor: int, filter_words=None):
+    """Windows whose anchor is repeated: key, doc_id, start, starts.
+
+    Of equal windows in this task only the first goes to the owner of its key, so no key
+    has more rows than there are tasks. The later ones are known to be repeats and travel
+    as ``starts``, one row a document, under a key of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, starts = [], [], []
+        bits = None if filter_words is None else np.unpackbits(filter_words.value.view(np.uint8), bitorder="little").view(bool)
         for batch in batches:
-            hot = batch.column(2)
+            hot = batch.column(2) if bits is None else None
             for a, b, words in chunks(batch.column(1)):
                 h = words.hashes()
                 fits, least, _ = _windows(words, h, size, anchor)
-                key = grams(h, size)
-                take = []
-                for i in range(a, b):
-                    x, y = words.first[i - a], words.first[i - a + 1]
-                    known = np.asarray(hot[i].values).astype(np.uint64) if hot[i].is_valid else np.zeros(0, np.uint64)
-                    take.append(x + np.flatnonzero(fits[x:y] & np.isin(least[x:y], known)))
-                at = np.concatenate(take) if take else np.zeros(0, np.int64)
+                if bits is not None:
+                    at = np.flatnonzero(fits)
+                    at = at[bits[_bit(least[at])]]
+                else:
+                    take = []
+                    for i in range(a, b):
+                        x, y = words.first[i - a], words.first[i - a + 1]
+                        take.append(x + np.flatnonzero(fits[x:y] & np.isin(least[x:y], np.asarray(hot[i].values).astype(np.uint64))))
+                    at = np.concatenate(take)
                 doc = np.searchsorted(words.first, at, side="right") - 1
-                first = ~_repeats_inside(key[at], doc)
-                at, doc = at[first], doc[first]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(key[at].astype(np.int64)),
-                        pa.array(least[at].astype(np.int64)),
-                        batch.column(0).slice(a, b - a).take(pa.array(doc)),
-                        pa.array((at - words.first[doc]).astype(np.int32)),
-                    ],
-                    ["key", "anchor", "doc_id", "start"],
-                )
+                keys.append(grams(h, size)[at])
+                ids.append(batch.column(0).to_numpy()[a:b][doc])
+                starts.append((at - words.first[doc]).astype(np.int32))
+        if not keys:
+            return
+        key, doc, start = np.concatenate(keys), np.concatenate(ids), np.concatenate(starts)
+        del keys, ids, starts
+        order = np.lexsort((start, doc, key))
+        key, doc, start = key[order], doc[order], start[order]
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        yield from _rows(key[first], doc[first], start[first])
+        yield from _lists(doc[~first], start[~first])
 
     return run
 
 
+def _rows(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(key), ROWS):
+        n = min(ROWS, len(key) - a)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key[a : a + n].astype(np.int64)), pa.array(doc[a : a + n]), pa.array(start[a : a + n]), pa.nulls(n, pa.list_(pa.int32()))],
+            ["key", "doc_id", "start", "starts"],
+        )
+
+
+def _lists(doc: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row for each document, with all its starts."""
+    if not len(doc):
+        return
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(doc)), pa.int32()), pa.array(start))
+    names = doc[cuts]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(mix(names.astype(np.uint64)).astype(np.int64)), pa.array(names), pa.nulls(len(cuts), pa.int32()), lists], ["key", "doc_id", "start", "starts"]
+    )
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of this task's keys: those that an earlier document has, a row a document."""
+    keys, docs, starts = [], [], []
+    for batch in batches:
+        lists = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+        if lists.any():
+            told = batch.filter(pa.array(lists))
+            yield pa.RecordBatch.from_arrays([told.column(1), told.column(3)], ["doc_id", "starts"])
+            batch = batch.filter(pa.array(~lists))
+        keys.append(batch.column(0).to_numpy())
+        docs.append(batch.column(1).to_numpy())
+        starts.append(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int32))
+    if not keys:
+        return
+    key, doc, start = np.concatenate(keys), np.concatenate(docs), np.concatenate(starts)
+    order = np.lexsort((doc, key))
+    key, doc, start = key[order], doc[order], start[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    source = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else doc
+    late = doc > source
+    for batch in _lists(doc[late], start[late]):
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(3)], ["doc_id", "starts"])
+
+
 def _cover(flags: np.ndarray, size: int) -> np.ndarray:
     """Words under windows of this size that start at the flagged words."""
     edges = np.zeros(len(flags) + 1, np.int64)
@@ -159,18 +217,13 @@ def _factors(size: int):
         for batch in batches:
             given = batch.column(2)
             for a, b, words in chunks(batch.column(1)):
-                key = grams(words.hashes(), size)
-                fits = words.room() >= size
-                at = np.flatnonzero(fits)
-                flags = np.zeros(len(key), bool)
-                flags[at] = _repeats_inside(key[at], np.searchsorted(words.first, at, side="right") - 1)
                 text = words.data.tobytes()
                 removed, shas, spans = [], [], []
                 for i in range(a, b):
                     x, y = int(words.first[i - a]), int(words.first[i - a + 1])
-                    own = flags[x:y]
-                    if given[i].is_valid:
-                        own[np.asarray(given[i].values)] = True
+                    own = np.zeros(y - x, bool)
+                    at = np.asarray(given[i].values.flatten())
+                    own[at[at < y - x]] = True
                     gone = _cover(own, size)
                     removed.append(int(gone.sum()))
                     left = x + np.flatnonzero(~gone)
@@ -192,6 +245,16 @@ def _factors(size: int):
     return run
 
 
+def _filter(repeated: DataFrame) -> np.ndarray:
+    """A bit set of FILTER_BITS bits, put together on the executors; its size never changes."""
+    at = F.col("anchor").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = repeated.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
+    found = words.toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[found["w"].to_numpy()] = found["b"].to_numpy()
+    return out
+
+
 def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, spans (factor bounds in words): a row for each input row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -200,20 +263,20 @@ def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     )
     anchors = index.filter("doc_id is not null").select("doc_id", F.explode("anchors").alias("anchor"))
     repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    hot = materialise(anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("hot")), "rlz-hot")
-    suspects = hot.select("doc_id")
-    texts = semi_by_id(rows.filter("doc_id is not null"), suspects, "doc_id")
-    windows = materialise(
-        texts.join(hot, "doc_id").select("doc_id", "text", "hot").mapInArrow(
-            _suspect_windows(min_words, anchor_words), "key long, anchor long, doc_id long, start int"
-        ),
-        "rlz-windows",
-    )
-    sources = windows.groupBy("key", "anchor").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("last > source")
-    later = windows.join(sources.drop("last"), ["key", "anchor"]).filter("doc_id > source")
-    given = later.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    repeated = materialise(repeated, "rlz-repeated")
+    known = rows.filter("doc_id is not null")
+    schema = "key long, doc_id long, start int, starts array<int>"
+    if repeated.count() <= FILTER_BITS // 8:
+        bits = docs.sparkSession.sparkContext.broadcast(_filter(repeated))
+        windows = known.select("doc_id", "text").mapInArrow(_windows_to_owners(min_words, anchor_words, bits), schema)
+    else:
+        hot = anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("hot"))
+        windows = known.join(hot, "doc_id").select("doc_id", "text", "hot").mapInArrow(_windows_to_owners(min_words, anchor_words), schema)
+    later = windows.repartition("key").mapInArrow(_later, "doc_id long, starts array<int>")
+    given = materialise(later.groupBy("doc_id").agg(F.collect_list("starts").alias("starts")), "rlz-given")
     factored = (
-        texts.join(given, "doc_id", "left")
+        semi_by_id(known, given.select("doc_id"), "doc_id")
+        .join(given, "doc_id")
         .select("doc_id", "text", "starts")
         .mapInArrow(_factors(min_words), "doc_id long, whole_sha256 string, n_removed long, kept_sha256 string, spans array<array<int>>")
         .dropDuplicates(["doc_id", "whole_sha256"])
