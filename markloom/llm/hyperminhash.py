@@ -9,10 +9,14 @@
 3. Each bucket of a band is first linked as a star: its smallest member against all others.
    Pairs pass if the collision-corrected Jaccard estimate of their registers is not more
    than SIGMAS standard errors under the threshold, and are then confirmed on full sets.
-4. Components of these links are formed. In a bucket that still holds several components,
-   members outside its largest one meet all members of other components; such pairs, and
-   only those, could still join components. They are estimated and confirmed in turn. No
-   pair inside a component is ever made, so a large group of near copies stays linear.
+4. Components of these links are formed. Members of band buckets that still hold several
+   components are searched for links between components only: a document's rarest shingles,
+   so many that two similar ones must share one, are its keys; members outside a key's
+   largest component meet all its other members, and of these pairs those stay whose places
+   of the shared key leave room for enough common shingles. They are estimated and confirmed
+   in turn. Any fixed order of shingles is right for this; rarity, from counts in TALLY
+   slots, makes it short: heavily edited copies begin with shingles that nobody else has. No
+   pair inside a component is made, so a large group of near copies stays linear.
 
 Defined results for odd input
     null, empty, blank text  empty set; linked with nothing; its own component
@@ -42,6 +46,8 @@ BAND_ROWS = 4
 BANDS = BUCKETS // BAND_ROWS
 MANTISSA = 10
 SIGMAS = 5.0
+#: Slots of the rarity count of shingles; one array of this length goes to every task.
+TALLY = 1 << 16
 #: Expected share of equal registers of disjoint sets, times 2**MANTISSA (Yu and Weber, HyperMinHash).
 COLLISION = 0.169919487159739
 
@@ -125,14 +131,59 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
-        quads = np.ascontiguousarray(_matrix(batch.column(2))).view(np.uint64)
+        quads = np.ascontiguousarray(_matrix(batch.column(1))).view(np.uint64)
         keys = mix(quads + np.arange(1, BANDS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
         at, _ = np.nonzero(quads)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[quads > 0].astype(np.int64)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], ["key", "rep", "n"]
+            [pa.array(keys[quads > 0].astype(np.int64)), batch.column(0).take(pa.array(at))], ["key", "rep"]
         )
 
 
+def _tally(k: int):
+    """How often shingles fall into each of TALLY slots, in blocks of 256 slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(TALLY, np.int64)
+        for batch in batches:
+            for _, _, words in chunks(batch.column(1), lower=True):
+                total += np.bincount((_shingles(words, k)[1] & U(TALLY - 1)).astype(np.int64), minlength=TALLY)
+        parts = total.reshape(-1, 256)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([r.tobytes() for r in parts], pa.binary())], ["block", "counts"]
+        )
+
+    return run
+
+
+def _add(pdf):
+    import pandas as pd
+
+    total = np.sum([np.frombuffer(r, np.int64) for r in pdf["counts"]], axis=0)
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [total.tobytes()]})
+
+
+def _prefixes(k: int, percent: int, tally):
+    """The rarest shingles of each document, enough that similar documents share one: key, rep, n, at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = tally.value
+        for batch in batches:
+            for a, b, words in chunks(batch.column(1), lower=True):
+                docs, values = _shingles(words, k)
+                order = np.lexsort((values, rarity[(values & U(TALLY - 1)).astype(np.int64)], docs))
+                docs, values = docs[order], values[order]
+                sizes = np.bincount(docs, minlength=b - a)
+                at = np.arange(len(docs)) - (np.cumsum(sizes) - sizes)[docs]
+                n = sizes[docs]
+                use = at < n + (-percent * n // 100) + 1
+                ids = batch.column(0).slice(a, b - a).take(pa.array(docs[use]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values[use].astype(np.int64)), ids, pa.array(n[use]), pa.array(at[use])], ["key", "rep", "n", "at"]
+                )
+
+    return run
+
+
 def _likely(percent: int):
     """Keep the pairs whose estimate can still reach the threshold."""
 
@@ -192,6 +243,26 @@ def _links(pairs: DataFrame, reps: DataFrame, rows: DataFrame, k: int, percent:
     return materialise(full.mapInArrow(_confirm(percent), "a long, b long"), "near-links")
 
 
+def _across(tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a prefix shingle and can still be similar.
+
+    With ``at`` the place of the first shingle that both prefixes hold, two sets have at
+    most 1 + min(what follows it in either) shingles in common.
+    """
+    mixed = tokens.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    held = materialise(tokens.join(mixed, "key"), "near-held")
+    sizes = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    most = sizes.groupBy("key").agg(F.max_by("component", "size").alias("largest"))
+    held = held.join(most, "key")
+    outside = held.filter("component <> largest").select("key", *[F.col(c).alias(f"{c}1") for c in ("rep", "component", "n", "at")])
+    inside = held.select("key", "largest", *[F.col(c).alias(f"{c}2") for c in ("rep", "component", "n", "at")])
+    room = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
+    fits = room * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent
+    met = outside.join(inside, "key").filter((F.col("component1") != F.col("component2")) & fits)
+    met = met.filter("component2 = largest or rep1 < rep2")
+    return met.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
+
+
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each input row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -202,29 +273,26 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     reps = materialise(
         full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("regs").alias("regs")), "near-reps"
     )
-    bands = reps.select("rep", "n", "regs").mapInArrow(_bands, "key long, rep long, n long")
+    bands = reps.select("rep", "regs").mapInArrow(_bands, "key long, rep long")
     buckets = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("last > leader")
     members = materialise(bands.join(buckets.drop("last"), "key"), "near-members")
     stars = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = _links(stars, reps, rows, shingle, percent)
 
     labels = materialise(components(links), "near-labels")
-    placed = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     placed = materialise(placed, "near-placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    sizes = placed.join(mixed, "key").groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top")).select("key", F.col("top.component").alias("largest"))
-    open_members = materialise(placed.join(largest, "key"), "near-open")
-    outside = open_members.filter("component <> largest").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    inside = open_members.select("key", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), "leader", "largest")
-    across = (
-        outside.join(inside, "key")
-        .filter("cx <> cy and (cy = largest or x < y) and x <> leader and y <> leader")
-        .filter(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-    )
-    more = _links(across, reps, rows, shingle, percent)
+    unsettled = materialise(placed.join(mixed, "key").select(F.col("rep").alias("doc_id")).distinct(), "near-open")
+    texts = semi_by_id(rows.filter("doc_id is not null"), unsettled, "doc_id")
+    blocks = texts.mapInArrow(_tally(shingle), "block int, counts binary").groupBy("block").applyInPandas(_add, "block int, counts binary")
+    tally = np.zeros((TALLY // 256, 256), np.int64)
+    for r in blocks.collect():  # always TALLY numbers in all
+        tally[r["block"]] = np.frombuffer(r["counts"], np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast(tally.ravel())
+    tokens = texts.mapInArrow(_prefixes(shingle, percent, sent), "key long, rep long, n long, at long")
+    named = tokens.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    more = _links(_across(materialise(named, "near-tokens"), percent), reps, rows, shingle, percent)
     final = components(links.unionAll(more))
 
     classes = reps.select("f1", "f2", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left")
