@@ -22,11 +22,14 @@ def flatten(lists: list) -> tuple[np.ndarray, np.ndarray]:
 
 def spread(index: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For lists picked by index, one after another: (length of each, values of all)."""
-    starts = np.cumsum(lengths) - lengths
     per = lengths[index]
     ends = np.cumsum(per)
     total = int(ends[-1]) if len(ends) else 0
-    return per, values[np.repeat(starts[index] - (ends - per), per) + np.arange(total)]
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    shift = ((np.cumsum(lengths) - lengths)[index] - (ends - per)).astype(kind)
+    at = np.repeat(shift, per)
+    at += np.arange(total, dtype=kind)
+    return per, values[at]
 
 
 def per_document(per_word: np.ndarray, bounds: np.ndarray) -> np.ndarray:

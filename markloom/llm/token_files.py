@@ -15,8 +15,8 @@ escape: the next word holds one id of up to 64 bits as it is. Words never cross
 all lanes are packed side by side and any word is decoded without those before it.
 
 Encoding uses the tokenizers library. A chunk of text from one single blank to the next
-is always a whole number of pre-tokens, so each distinct chunk is encoded once a batch;
-texts with other white space or runs of blanks are handed over whole.
+is always a whole number of pre-tokens, so each distinct chunk is encoded once a group of
+texts; texts with other white space or runs of blanks are handed over whole.
 
 Defined results for odd input
     null text        empty: only the end id
@@ -46,9 +46,11 @@ LANE = 256
 PER_WORD = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
 BLOCK_IDS = 1 << 18
-#: Distinct chunks whose ids a Python worker keeps between batches.
-CACHE = 200_000
-ODD_SPACE = r"  |[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Bytes of text whose distinct chunks are encoded together, and chunks in one call's string.
+GROUP_BYTES = 16 << 20
+JOINED = 200
+#: White space that a cut before every blank would tear apart.
+ODD_SPACE = r"  |\n \n|\n \z|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 BLOCKS = "part int, block int, before long, doc_ids array<long>, counts array<int>, n long, offsets binary, words binary"
 
@@ -75,11 +77,12 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     done = 1
     for n in reversed(PER_WORD[:-1]):
         rest = n - done
-        wide = widest[done].copy()
-        np.maximum(wide[:-done], widest[rest][done:], out=wide[:-done])
+        wide = np.full(len(flat), 0, np.uint8)
+        np.maximum(widest[done][:-done], widest[rest][done:], out=wide[:-done])
+        wide[-done:] = widest[done][-done:]
         widest[n] = wide
         done = n
-        count[wide <= 60 // n] = n
+        np.putmask(count, wide <= 60 // n, np.uint8(n))
     count[bits > 60] = 0
     ends = np.arange(lanes) * width + np.minimum(LANE, len(ids) - np.arange(lanes) * LANE)
     at = np.arange(lanes) * width
@@ -143,7 +146,7 @@ def unpack(n: int, offsets: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizers model; one for each Python worker."""
+    """Ids of whole texts by a tokenizers model of the byte-level kind; one for each Python worker."""
 
     made: dict[str, Encoder] = {}
 
@@ -152,7 +155,10 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        self.known: dict[str, list[int]] = {}
+        vocabulary = self.model.get_vocab()
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.token_bytes[k] = len(token)  # a byte is one character there
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -160,14 +166,32 @@ class Encoder:
             cls.made[path] = cls(path)
         return cls.made[path]
 
-    def lists(self, chunks: list[str]) -> list[list[int]]:
-        out = [self.known.get(c) for c in chunks]
-        new = [k for k, x in enumerate(out) if x is None]
-        for k, e in zip(new, self.model.encode_batch_fast([chunks[k] for k in new], add_special_tokens=False), strict=True):
-            out[k] = e.ids
-            if len(self.known) < CACHE:
-                self.known[chunks[k]] = out[k]
-        return out
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids, ids) of texts one by one."""
+        lengths, ids = flatten([e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+        return lengths, ids.astype(np.int32)
+
+    def chunks(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids, ids) of each word with a blank before it.
+
+        Words are encoded many at a time: a cut before a blank is always between
+        pre-tokens, if the words neither are empty nor begin or end in a line feed. Ids
+        are dealt back to words by their bytes.
+        """
+        alone = np.array([not w or w[0] == "\n" or w[-1] == "\n" for w in words], bool)
+        joint = [w for w, x in zip(words, alone.tolist(), strict=True) if not x]
+        text = [" " + " ".join(joint[k : k + JOINED]) for k in range(0, len(joint), JOINED)]
+        _, ids = self.whole(text)
+        ends = np.cumsum(pc.binary_length(pa.array(joint, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        until = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends, side="right")
+        lengths = np.zeros(len(words), np.int64)
+        lengths[~alone] = np.diff(until, prepend=0)
+        if alone.any():
+            single, extra = self.whole([" " + w for w, x in zip(words, alone.tolist(), strict=True) if x])
+            at = (np.cumsum(lengths) - lengths)[alone]
+            ids = np.insert(ids, np.repeat(at, single), extra)
+            lengths[alone] = single
+        return lengths, ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each); no end ids."""
@@ -180,15 +204,15 @@ class Encoder:
         head = np.zeros(len(index), bool)
         head[bounds[:-1][np.diff(bounds) > 0]] = True  # a text's first chunk has no blank before it
         bare, place = np.unique(index[head], return_inverse=True)
-        lists = self.lists([" " + w for w in names]) + self.lists([names[k] for k in bare])
-        index = index.astype(np.int64)
+        lengths, values = self.chunks(names)
+        bare_lengths, bare_values = self.whole([names[k] for k in bare])
+        index = index.copy()
         index[head] = len(names) + place
-        per, ids = spread(index, *flatten(lists))
+        per, ids = spread(index, np.concatenate([lengths, bare_lengths]), np.concatenate([values, bare_values]))
         counts = per_document(per, bounds)
         if odd.any():
             at = np.cumsum(counts) - counts
-            whole = self.model.encode_batch_fast(texts.filter(pa.array(odd)).to_pylist(), add_special_tokens=False)
-            extra, values = flatten([e.ids for e in whole])
+            extra, values = self.whole(texts.filter(pa.array(odd)).to_pylist())
             ids = np.insert(ids, np.repeat(at[odd], extra), values)
             counts[odd] = extra
         return ids, counts
@@ -201,24 +225,29 @@ def _write(path: str, end_id: int, block_ids: int):
         part, block, before = TaskContext.get().partitionId(), 0, 0
         encoder = Encoder.of(path)
         for batch in batches:
-            lengths = np.cumsum(pc.binary_length(batch.column(1).fill_null("")).to_numpy(zero_copy_only=False))
+            lengths = np.cumsum(pc.binary_length(batch.column(1).fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64))
             a = 0
             while a < len(batch):
-                reach = (lengths[a - 1] if a else 0) + 4 * block_ids
-                b = max(a + 1, int(np.searchsorted(lengths, reach, side="right")))
+                b = max(a + 1, int(np.searchsorted(lengths, (lengths[a - 1] if a else 0) + GROUP_BYTES, side="right")))
                 ids, counts = encoder.encode(batch.column(1).slice(a, b - a))
-                ids = np.insert(ids, np.cumsum(counts), end_id)
-                counts = counts + 1
-                offsets, words = pack(ids)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "before": pa.array([before], pa.int64()),
-                        "doc_ids": pa.array([batch.column(0).slice(a, b - a).to_pylist()], pa.list_(pa.int64())),
-                        "counts": pa.array([counts.tolist()], pa.list_(pa.int32())), "n": pa.array([len(ids)], pa.int64()),
-                        "offsets": pa.array([offsets.tobytes()]), "words": pa.array([words.tobytes()]),
-                    }
-                )
-                block, before, a = block + 1, before + len(ids), b
+                ends = np.cumsum(counts)
+                x = 0
+                while x < b - a:
+                    y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + block_ids, side="right")))
+                    mine = ids[(ends[x - 1] if x else 0) : ends[y - 1]]
+                    each = counts[x:y] + 1
+                    mine = np.insert(mine, np.cumsum(counts[x:y]), end_id)
+                    offsets, words = pack(mine)
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "before": pa.array([before], pa.int64()),
+                            "doc_ids": pa.array([batch.column(0).slice(a + x, y - x).to_pylist()], pa.list_(pa.int64())),
+                            "counts": pa.array([each.tolist()], pa.list_(pa.int32())), "n": pa.array([len(mine)], pa.int64()),
+                            "offsets": pa.array([offsets.tobytes()]), "words": pa.array([words.tobytes()]),
+                        }
+                    )
+                    block, before, x = block + 1, before + len(mine), y
+                a = b
 
     return run
 
