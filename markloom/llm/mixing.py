@@ -26,10 +26,10 @@ Defined results for odd input
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markloom.llm._io import materialise
+from markloom.llm._ranks import ranked
 
 BLOCK_ROWS = 16
 OTHER = "(other)"
@@ -89,14 +89,9 @@ def plan(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple]:
 def _ranked(docs: DataFrame, keep: list, doc_id: str, source: str, names: list[str]) -> DataFrame:
     """Rows with their source and 0-based rank in it, by md5 of the doc_id."""
     named = F.when(F.col(source).isin(*names), F.col(source)).otherwise(F.lit(OTHER))
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), named.alias("source"), F.md5(F.col(doc_id).cast("long").cast("string").cast("binary")).alias("_key"), *keep)
-    ordered = base.repartitionByRange("source", "_key", "doc_id").sortWithinPartitions("source", "_key", "doc_id")
-    at = F.monotonically_increasing_id()
-    placed = materialise(ordered.select("*", F.shiftright(at, 33).cast("int").alias("_part"), at.alias("_at")), "mix-ranked")
-    runs = placed.groupBy("source", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifted = runs.select("source", "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return placed.join(shifted, ["source", "_part"]).withColumn("rank", F.col("_at") - F.col("_first") + F.col("_before"))
+    ident = F.col(doc_id).cast("long")
+    base = docs.select(ident.alias("doc_id"), named.alias("source"), F.md5(ident.cast("string").cast("binary")).alias("_key"), *keep)
+    return ranked(base, "source", ["_key", "doc_id"], "mix-ranked")
 
 
 def _layout(spark: SparkSession, rows: list[tuple]) -> DataFrame:

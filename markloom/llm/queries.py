@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markloom.llm import exact, hyperminhash, mixing, quality, sharding, substring, token_files
+from markloom.llm import chat, exact, hyperminhash, licenses, mixing, pieces, quality, sharding, substring, token_files
 from markloom.llm._io import table
 
 
@@ -52,12 +52,33 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
+def op2_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(table(spark, sf_dir, "conversations"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("notices", lambda n: n["license"]))), ",")
+    lines = F.array_join(F.transform("notices", lambda n: n["line"].cast("string")), ",")
+    exact_ones = F.size(F.filter("notices", lambda n: (n["covered"] == 1.0) & (F.size(n["differences"]) == 0)))
+    return found.select(
+        "doc_id", F.size("notices").cast("long").alias("n_notices"), names.alias("licenses"), lines.alias("lines"), exact_ones.cast("long").alias("n_exact")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quotation_links": op2_quotation_links,
     "op3_substring_dedup": op3_substring_dedup,
-    "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_token_files": op5_token_files,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_sharding": op7_sharding,
     "op8_mix_sources": op8_mix_sources,
+    "op9_license_scan": op9_license_scan,
     "op10_exact_dedup": op10_exact_dedup,
 }
