@@ -91,7 +91,7 @@ def _ranked(docs: DataFrame, keep: list, doc_id: str, source: str, names: list[s
     named = F.when(F.col(source).isin(*names), F.col(source)).otherwise(F.lit(OTHER))
     ident = F.col(doc_id).cast("long")
     base = docs.select(ident.alias("doc_id"), named.alias("source"), F.md5(ident.cast("string").cast("binary")).alias("_key"), *keep)
-    return ranked(base, "source", ["_key", "doc_id"], "mix-ranked")
+    return ranked(base, "source", ["_key", "doc_id"], "mix-ranked", few_groups=True)
 
 
 def _layout(spark: SparkSession, rows: list[tuple]) -> DataFrame:

@@ -42,6 +42,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from markloom.llm._ragged import distinct, flatten, per_document, spread
 from markloom.llm._text import _INVERSE, _BASE, _power, mix
@@ -325,7 +326,7 @@ def frequent_words(docs: DataFrame, path: str, text: str = "text", share: int =
     return {r["word"]: list(r["ids"]) for r in word_ids_relational(words, path).collect()}
 
 
-def _encode(path: str, known, with_ids: bool):
+def _encode(path: str, known, with_ids: bool, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.of(path)
         for batch in batches:
@@ -345,6 +346,8 @@ def _encode(path: str, known, with_ids: bool):
                     "decoded_crc32": pa.array([zlib.crc32(x) for x in plain], pa.int64()),
                     "exact": pa.array(exact),
                 }
+                for c in keep:
+                    out[c] = batch.column(c).slice(a, b - a)
                 if with_ids:
                     bounds = np.concatenate([[0], ends]).astype(np.int32)
                     out["ids"] = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids, pa.int32()))
@@ -353,10 +356,14 @@ def _encode(path: str, known, with_ids: bool):
     return run
 
 
-def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, decoded_bytes, decoded_crc32, exact (and ids): a row for each input row."""
+def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32, decoded_bytes, decoded_crc32, exact (then ``keep``, and ids): a row for each input row."""
     spark: SparkSession = docs.sparkSession
     known = spark.sparkContext.broadcast(frequent_words(docs, path, text))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, n_pieces long, ids_crc32 long, decoded_bytes long, decoded_crc32 long, exact boolean"
-    return rows.mapInArrow(_encode(path, known, with_ids), schema + ", ids array<int>" * with_ids)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep)
+    schema = T.StructType.fromDDL("doc_id long, n_pieces long, ids_crc32 long, decoded_bytes long, decoded_crc32 long, exact boolean")
+    for c in keep:
+        schema.add(docs.schema[c])
+    if with_ids:
+        schema.add("ids", T.ArrayType(T.IntegerType()))
+    return rows.mapInArrow(_encode(path, known, with_ids, list(keep)), schema)
