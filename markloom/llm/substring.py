@@ -149,7 +149,7 @@ def _windows_to_owners(size: int, anchor: int, filter_words=None):
         first = np.ones(len(key), bool)
         first[1:] = key[1:] != key[:-1]
         yield from _rows(key[first], doc[first], start[first])
-        yield from _lists(doc[~first], start[~first])
+        yield from _own_rows(doc[~first], start[~first])
 
     return run
 
@@ -158,47 +158,75 @@ def _rows(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> Iterator[pa.Re
     for a in range(0, len(key), ROWS):
         n = min(ROWS, len(key) - a)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key[a : a + n].astype(np.int64)), pa.array(doc[a : a + n]), pa.array(start[a : a + n]), pa.nulls(n, pa.list_(pa.int32()))],
+            [pa.array(key[a : a + n].astype(np.int64)), pa.array(doc[a : a + n]), pa.array(start[a : a + n]), pa.nulls(n, pa.binary())],
             ["key", "doc_id", "start", "starts"],
         )
 
 
-def _lists(doc: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each document, with all its starts."""
-    if not len(doc):
-        return
+def _lists(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Documents, and all starts of each as int32 bytes."""
     order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(doc)), pa.int32()), pa.array(start))
-    names = doc[cuts]
+    doc, start = doc[order], start[order].astype("<i4")
+    cuts = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1)) if len(doc) else np.zeros(0, np.int64)
+    raw = start.tobytes()
+    return doc[cuts], [raw[4 * a : 4 * b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(doc)], strict=True)]
+
+
+def _own_rows(doc: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    names, lists = _lists(doc, start)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(mix(names.astype(np.uint64)).astype(np.int64)), pa.array(names), pa.nulls(len(cuts), pa.int32()), lists], ["key", "doc_id", "start", "starts"]
+        [pa.array(mix(names.astype(np.uint64)).astype(np.int64)), pa.array(names), pa.nulls(len(names), pa.int32()), pa.array(lists, pa.binary())],
+        ["key", "doc_id", "start", "starts"],
     )
 
 
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows of this task's keys: those that an earlier document has, a row a document."""
-    keys, docs, starts = [], [], []
+def _later(slots: int):
+    """All windows of this task's keys: those that an earlier document has, packed by slot of the document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, docs, starts, own_docs, own_starts = [], [], [], [], []
+        for batch in batches:
+            whole = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            if whole.any():
+                told = batch.filter(pa.array(whole))
+                lists = [np.frombuffer(x, "<i4") for x in told.column(3).to_pylist()]
+                own_docs.append(np.repeat(told.column(1).to_numpy(), [len(x) for x in lists]))
+                own_starts += lists
+                batch = batch.filter(pa.array(~whole))
+            keys.append(batch.column(0).to_numpy())
+            docs.append(batch.column(1).to_numpy())
+            starts.append(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int32))
+        if not keys:
+            return
+        key, doc, start = np.concatenate(keys), np.concatenate(docs), np.concatenate(starts)
+        order = np.lexsort((doc, key))
+        key, doc, start = key[order], doc[order], start[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        late = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else np.zeros(0, bool)
+        doc = np.concatenate([doc[late], *own_docs])
+        start = np.concatenate([start[late], *own_starts])
+        slot = (mix(doc.astype(np.uint64)) % U(slots)).astype(np.int32)
+        order = np.argsort(slot, kind="stable")
+        doc, start, slot = doc[order].astype("<i8"), start[order].astype("<i4"), slot[order]
+        cuts = np.append(np.flatnonzero(np.diff(slot, prepend=-1)), len(slot))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield pa.RecordBatch.from_pydict(
+                {"slot": pa.array([slot[a]], pa.int32()), "docs": pa.array([doc[a:b].tobytes()]), "starts": pa.array([start[a:b].tobytes()])}
+            )
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed windows of this task's slots: doc_id, starts."""
+    docs, starts = [], []
     for batch in batches:
-        lists = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
-        if lists.any():
-            told = batch.filter(pa.array(lists))
-            yield pa.RecordBatch.from_arrays([told.column(1), told.column(3)], ["doc_id", "starts"])
-            batch = batch.filter(pa.array(~lists))
-        keys.append(batch.column(0).to_numpy())
-        docs.append(batch.column(1).to_numpy())
-        starts.append(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int32))
-    if not keys:
-        return
-    key, doc, start = np.concatenate(keys), np.concatenate(docs), np.concatenate(starts)
-    order = np.lexsort((doc, key))
-    key, doc, start = key[order], doc[order], start[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-    source = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else doc
-    late = doc > source
-    for batch in _lists(doc[late], start[late]):
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(3)], ["doc_id", "starts"])
+        docs += [np.frombuffer(x, "<i8") for x in batch.column(1).to_pylist()]
+        starts += [np.frombuffer(x, "<i4") for x in batch.column(2).to_pylist()]
+    if docs:
+        names, lists = _lists(np.concatenate(docs), np.concatenate(starts))
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(lists, pa.binary())], ["doc_id", "starts"])
 
 
 def _cover(flags: np.ndarray, size: int) -> np.ndarray:
@@ -222,7 +250,7 @@ def _factors(size: int):
                 for i in range(a, b):
                     x, y = int(words.first[i - a]), int(words.first[i - a + 1])
                     own = np.zeros(y - x, bool)
-                    at = np.asarray(given[i].values.flatten())
+                    at = np.frombuffer(given[i].as_py(), "<i4")
                     own[at[at < y - x]] = True
                     gone = _cover(own, size)
                     removed.append(int(gone.sum()))
@@ -265,15 +293,16 @@ def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     repeated = materialise(repeated, "rlz-repeated")
     known = rows.filter("doc_id is not null")
-    schema = "key long, doc_id long, start int, starts array<int>"
+    schema = "key long, doc_id long, start int, starts binary"
     if repeated.count() <= FILTER_BITS // 8:
         bits = docs.sparkSession.sparkContext.broadcast(_filter(repeated))
         windows = known.select("doc_id", "text").mapInArrow(_windows_to_owners(min_words, anchor_words, bits), schema)
     else:
         hot = anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("hot"))
         windows = known.join(hot, "doc_id").select("doc_id", "text", "hot").mapInArrow(_windows_to_owners(min_words, anchor_words), schema)
-    later = windows.repartition("key").mapInArrow(_later, "doc_id long, starts array<int>")
-    given = materialise(later.groupBy("doc_id").agg(F.collect_list("starts").alias("starts")), "rlz-given")
+    slots = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    later = windows.repartition("key").mapInArrow(_later(slots), "slot int, docs binary, starts binary")
+    given = materialise(later.repartition("slot").mapInArrow(_gather, "doc_id long, starts binary"), "rlz-given")
     factored = (
         semi_by_id(known, given.select("doc_id"), "doc_id")
         .join(given, "doc_id")
