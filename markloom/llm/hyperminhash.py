@@ -6,7 +6,8 @@
    doc_id stands for it from here on; copies are never expanded into pairs.
 2. Banding: BANDS bands of 4 compressed registers each. At the smallest similarity asked
    for (0.85) two sets miss every band with a chance of 5e-11; at 0.8, of 5e-8.
-3. Each bucket of a band is first linked as a star: its smallest member against all others.
+3. Each bucket of a band is first linked as a star: the member that meets most others in all
+   its buckets, which is close to the middle of its family, against the rest of the bucket.
    Pairs pass if the collision-corrected Jaccard estimate of their registers is not more
    than SIGMAS standard errors under the threshold, and are then confirmed on full sets.
 4. Components of these links are formed. Members of band buckets that still hold several
@@ -274,9 +275,12 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
         full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("regs").alias("regs")), "near-reps"
     )
     bands = reps.select("rep", "regs").mapInArrow(_bands, "key long, rep long")
-    buckets = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("last > leader")
-    members = materialise(bands.join(buckets.drop("last"), "key"), "near-members")
-    stars = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = materialise(bands.join(buckets, "key"), "near-members")
+    central = members.groupBy("rep").agg(F.sum("size").alias("company"))
+    ranked = members.join(central, "rep").select("key", "rep", "company")
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("company", "rep")).alias("top")).select("key", F.col("top.rep").alias("leader"))
+    stars = members.join(leaders, "key").filter("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
     links = _links(stars, reps, rows, shingle, percent)
 
     labels = materialise(components(links), "near-labels")
