@@ -47,7 +47,7 @@ PER_WORD = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
 BLOCK_IDS = 1 << 18
 #: Bytes of text whose distinct chunks are encoded together, and chunks in one call's string.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 JOINED = 200
 #: White space that a cut before every blank would tear apart.
 ODD_SPACE = r"  |\n \n|\n \z|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
