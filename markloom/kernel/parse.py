@@ -77,7 +77,8 @@ class Parser:
         self.re = _patterns(id(config))
 
     def fill(self, start: int, end: int, char: str = FILL) -> None:
-        self.mask[start:end] = [c if c == "\n" and char == VOID else char for c in self.mask[start:end]] if char == VOID else [char] * (end - start)
+        keep = "\n" if char == VOID else ""
+        self.mask[start:end] = [c if c == keep else char for c in self.mask[start:end]]
 
     def view(self, start: int, end: int) -> str:
         return "".join(self.mask[start:end])
@@ -218,27 +219,6 @@ class Parser:
             if STAGES[k] not in skip:
                 steps[k](parent, start, end, depth, skip)
 
-    def _sub(self, node: Node, type_: str, start: int, end: int, stage: int, depth: int, skip: frozenset[str] = frozenset(), name: str | None = None) -> Node:
-        """A child over a region, with what lies in it; nodes found before move into it."""
-        child = Node(type_, start, end, name)
-        self._region(child, start, end, stage, depth + 1, skip)
-        node.add(child)
-        return child
-
-    @staticmethod
-    def _adopt(parent: Node, node: Node) -> None:
-        """Children of parent that lie within node's leaf regions move there."""
-        inside = [c for c in parent.children if c.start >= node.start and c.end <= node.end]
-        if inside:
-            gone = set(map(id, inside))
-            parent.children = [c for c in parent.children if id(c) not in gone]
-            for c in inside:
-                spot = node
-                while nxt := next((x for x in spot.children if x.start <= c.start and c.end <= x.end and (x.start, x.end) != (c.start, c.end) or x.type in CONTAINERS and x.start <= c.start and c.end <= x.end), None):
-                    spot = nxt
-                spot.children.append(c)
-        parent.children.append(node)
-
     # -- braces
 
     def _braces(self, parent: Node, start: int, end: int, depth: int, skip: frozenset[str]) -> None:
@@ -273,10 +253,18 @@ class Parser:
         if inside:
             gone = set(map(id, inside))
             parent.children = [c for c in parent.children if id(c) not in gone]
-            node.children += inside
+            for c in inside:
+                self._sink(node, c)
         parent.children.append(node)
         self.fill(node.start, node.end)
 
+    @staticmethod
+    def _sink(node: Node, child: Node) -> None:
+        """Hang a node found earlier under the deepest part that holds it, such as an attribute."""
+        while deeper := next((x for x in node.children if x.start <= child.start and child.end <= x.end), None):
+            node = deeper
+        node.children.append(child)
+
     def _brace_scan(self, parent: Node, start: int, end: int, view: str, depth: int) -> None:
         stack: list[list] = []  # [kind, position, braces open, bars, first '=' after the last bar]
         last_close = max(view.rfind("}}"), view.rfind("]]"))
@@ -287,8 +275,6 @@ class Parser:
             elif token == "[[":
                 stack.append(["[", at + 2, 2, [], []])
             elif token == "]]":
-                while stack and stack[-1][0] == "[" and False:
-                    stack.pop()
                 if stack and stack[-1][0] == "[":
                     stack.pop()
             elif token[0] == "}" and token != "}-":
@@ -444,8 +430,6 @@ class Parser:
                 table["closed"] = True
                 stack.pop()
                 self._make_table(parent, start, table, depth)
-                if stack:
-                    pass
                 continue
             if body.startswith("|-"):
                 self._close_cell(table, max(at - 1, 0))
@@ -557,8 +541,6 @@ class Parser:
         title = normalise(plain if FILL not in plain else raw, 0, self.config)
         if FILL not in plain and not title.valid:
             return False
-        if "[[" in inner and title.ns not in (6,) and False:
-            return False
         kind = "link" if forced or title.interwiki else {6: "file", 14: "category"}.get(title.ns, "link")
         node = Node(kind, a, b, title.title, (a + 2, b - 2))
         node.props["target"] = title.title
@@ -684,9 +666,6 @@ class Parser:
             self._take(parent, node, [], 12, depth)
 
 
-CONTAINERS = frozenset()
-
-
 def balanced_quotes(line: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Apostrophe runs of one line as (position, 2, 3 or 5): four give one back, more than five all over five.
 

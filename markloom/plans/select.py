@@ -188,8 +188,6 @@ def _attribute(a: Attribute) -> Column:
     return F.coalesce(tests[a.op], F.lit(False))
 
 
-SIBLINGS = Window.partitionBy("page_id", "parent_id")
-OF_TYPE = Window.partitionBy("page_id", "parent_id", "type")
 COUNTED = {
     "first-child", "last-child", "only-child", "first-of-type", "last-of-type", "only-of-type", "nth-child", "nth-of-type", "nth-last-child", "nth-last-of-type",
 }
@@ -264,8 +262,9 @@ class Selector:
     def _compound(self, nodes: DataFrame, elements: DataFrame, c: Compound, scope: DataFrame | None) -> DataFrame:
         out = elements
         if any(p.name in COUNTED for p in c.pseudos):
-            of_type = F.row_number().over(OF_TYPE.orderBy("elem_ordinal"))
-            out = out.withColumns({"_i": F.col("elem_ordinal") + 1, "_n": F.count(F.lit(1)).over(SIBLINGS), "_ti": of_type, "_tn": F.count(F.lit(1)).over(OF_TYPE)})
+            siblings, alike = Window.partitionBy("page_id", "parent_id"), Window.partitionBy("page_id", "parent_id", "type")
+            of_type = F.row_number().over(alike.orderBy("elem_ordinal"))
+            out = out.withColumns({"_i": F.col("elem_ordinal") + 1, "_n": F.count(F.lit(1)).over(siblings), "_ti": of_type, "_tn": F.count(F.lit(1)).over(alike)})
         out = out.filter(self._test(c))
         i, n, ti, tn = (F.col(x) for x in ("_i", "_n", "_ti", "_tn"))
         child = F.col("parent_id").isNotNull()

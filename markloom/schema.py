@@ -2,16 +2,25 @@
 
 from pyspark.sql import types as T
 
-PAGES = T.StructType.fromDDL("page_id long, title string, ns int, text string, include boolean")
+_KINDS = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType()}
+
+
+def _table(text: str, **more: T.DataType) -> T.StructType:
+    """Fields as ``name kind`` pairs; ``more`` holds the types of fields of kind ``nested``."""
+    pairs = (f.split() for f in text.split(","))
+    return T.StructType([T.StructField(n, more[n] if kind == "nested" else _KINDS[kind]) for n, kind in pairs])
 
-NODES = T.StructType.fromDDL(
-    "page_id long, node_id int, parent_id int, depth int, last_id int, ordinal int, elem_ordinal int, type string, name string, "
-    "start int, end int, inner_start int, inner_end int, anc array<struct<id: int, type: string>>, data string, text string, "
-    "attrs map<string, string>, props map<string, string>"
-)
 
-LINT = T.StructType.fromDDL(
-    "page_id long, rule string, key string, severity string, message string, start int, end int, fix struct<start: int, end: int, text: string>"
+_STRINGS = T.MapType(T.StringType(), T.StringType())
+
+PAGES = _table("page_id long, title string, ns int, text string, include boolean")
+
+NODES = _table(
+    "page_id long, node_id int, parent_id int, depth int, last_id int, ordinal int, elem_ordinal int, type string, name string, "
+    "start int, end int, inner_start int, inner_end int, anc nested, data string, text string, attrs nested, props nested",
+    anc=T.ArrayType(_table("id int, type string")),
+    attrs=_STRINGS,
+    props=_STRINGS,
 )
 
-BAD = T.StructType.fromDDL("page_id long, title string, error string, text string")
+BAD = _table("page_id long, title string, error string, text string")
