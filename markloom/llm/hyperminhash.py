@@ -49,6 +49,8 @@ MANTISSA = 10
 SIGMAS = 5.0
 #: Slots of the rarity count of shingles; one array of this length goes to every task.
 TALLY = 1 << 16
+#: Keys before a key that travel with it, by which a pair's later meetings are told from its first.
+EARLIER = 32
 #: Expected share of equal registers of disjoint sets, times 2**MANTISSA (Yu and Weber, HyperMinHash).
 COLLISION = 0.169919487159739
 
@@ -248,19 +250,24 @@ def _across(tokens: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a prefix shingle and can still be similar.
 
     With ``at`` the place of the first shingle that both prefixes hold, two sets have at
-    most 1 + min(what follows it in either) shingles in common.
+    most 1 + min(what follows it in either) shingles in common. A pair is made at its first
+    common shingle; at a later one only if the EARLIER shared keys before it hold none.
     """
     mixed = tokens.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    held = materialise(tokens.join(mixed, "key"), "near-held")
+    bags = tokens.join(mixed, "key").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_set(F.struct("at", "key"))).alias("ts"))
+    placed = bags.select("rep", "component", "n", "ts", F.posexplode("ts").alias("k", "t"))
+    before = F.slice("ts", F.greatest(F.col("k") - EARLIER, F.lit(0)) + 1, F.least(F.col("k"), F.lit(EARLIER)))
+    held = placed.select("rep", "component", "n", F.col("t.key").alias("key"), F.col("t.at").alias("at"), F.transform(before, lambda t: t["key"]).alias("earlier"))
+    held = materialise(held, "near-held")
     sizes = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
     most = sizes.groupBy("key").agg(F.max_by("component", "size").alias("largest"))
     held = held.join(most, "key")
-    outside = held.filter("component <> largest").select("key", *[F.col(c).alias(f"{c}1") for c in ("rep", "component", "n", "at")])
-    inside = held.select("key", "largest", *[F.col(c).alias(f"{c}2") for c in ("rep", "component", "n", "at")])
+    outside = held.filter("component <> largest").select("key", *[F.col(c).alias(f"{c}1") for c in ("rep", "component", "n", "at", "earlier")])
+    inside = held.select("key", "largest", *[F.col(c).alias(f"{c}2") for c in ("rep", "component", "n", "at", "earlier")])
     room = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
     fits = room * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent
     met = outside.join(inside, "key").filter((F.col("component1") != F.col("component2")) & fits)
-    met = met.filter("component2 = largest or rep1 < rep2")
+    met = met.filter("component2 = largest or rep1 < rep2").filter(~F.arrays_overlap("earlier1", "earlier2"))
     return met.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
 
 
