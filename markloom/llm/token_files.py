@@ -29,6 +29,7 @@ Defined results for odd input
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -151,6 +152,7 @@ class Encoder:
     made: dict[str, Encoder] = {}
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; a pool of threads only costs memory
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
