@@ -14,7 +14,9 @@ variant conversion.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from functools import lru_cache
+from operator import attrgetter
 
 from markloom.config import DEFAULT, SiteConfig
 from markloom.kernel.titles import normalise
@@ -23,8 +25,11 @@ FILL = ""  # a node
 VOID = ""  # a node that shows nothing, such as a comment
 PIPE = ""  # rest of a magic word that stands for a pipe
 WIKI_EXT = frozenset("indicator poem ref option tab tabs langconvert phonos".split())
+_START = attrgetter("start")
 STAGES = ("redirect", "ext", "brace", "html", "table", "rule", "link", "quote", "extlink", "url", "list", "convert")
+#: Regions and tables nest no deeper than this, open braces no deeper than MAX_NEST: more is text.
 MAX_DEPTH = 40
+MAX_NEST = 200
 
 
 class Node:
@@ -59,7 +64,7 @@ def _patterns(key: int) -> dict[str, re.Pattern]:
 
 
 _configs: dict[int, SiteConfig] = {}
-HTML = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>")
+HTML = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>")
 BRACE = re.compile(r"\{{2,}|\}{2,}|\[\[|\]\]|-\{(?!\{)|\}-|\||=|^(={1,6})(?=[^\n])", re.MULTILINE)
 HEADING = re.compile(rf"^(={{1,6}})(.+?)\1([ \t{VOID}]*)$", re.MULTILINE)
 ATTR = re.compile(rf"([^\s=<>\"'/{FILL}][^\s=<>/]*)(?:(\s*=\s*)(?:\"([^\"]*)(\"?)|'([^']*)('?)|([^\s\"'][^\s>]*)))?")
@@ -131,7 +136,7 @@ class Parser:
             else:
                 found.append(self._ext_tag(m, start, depth))
                 self.fill(a, b)
-        parent.children += found
+        parent.children = sorted(parent.children + found, key=_START)
 
     def _ext_tag(self, m: re.Match, start: int, depth: int) -> Node:
         a, b, name = start + m.start(), start + m.end(), m[4].lower()
@@ -242,22 +247,25 @@ class Parser:
         """Make children of node for these regions, run later stages in them, hang node under parent, fill its span."""
         for type_, a, b, name in parts:
             child = Node(type_, a, b, name)
-            inside = [c for c in parent.children if c.start >= a and c.end <= b]
-            if inside:
-                gone = set(map(id, inside))
-                parent.children = [c for c in parent.children if id(c) not in gone]
-                child.children = inside
+            child.children = self._pull(parent, a, b)
             self._region(child, a, b, stage, depth + 1, skip)
             node.add(child)
-        inside = [c for c in parent.children if c.start >= node.start and c.end <= node.end]
-        if inside:
-            gone = set(map(id, inside))
-            parent.children = [c for c in parent.children if id(c) not in gone]
-            for c in inside:
-                self._sink(node, c)
-        parent.children.append(node)
+        for c in self._pull(parent, node.start, node.end):
+            self._sink(node, c)
+        insort(parent.children, node, key=_START)
         self.fill(node.start, node.end)
 
+    @staticmethod
+    def _pull(parent: Node, start: int, end: int) -> list[Node]:
+        """Take the children of parent that lie in a region; children are kept in order of their starts."""
+        found = parent.children
+        lo = hi = bisect_left(found, start, key=_START)
+        while hi < len(found) and found[hi].start < end:
+            hi += 1
+        inside = [c for c in found[lo:hi] if c.end <= end]
+        found[lo:hi] = [c for c in found[lo:hi] if c.end > end]
+        return inside
+
     @staticmethod
     def _sink(node: Node, child: Node) -> None:
         """Hang a node found earlier under the deepest part that holds it, such as an attribute."""
@@ -270,7 +278,7 @@ class Parser:
         last_close = max(view.rfind("}}"), view.rfind("]]"))
         for m in BRACE.finditer(view):
             token, at = m[0], m.start()
-            if token[0] == "{" and at < last_close:
+            if token[0] == "{" and at < last_close and len(stack) < MAX_NEST:
                 stack.append(["{", at + len(token), len(token), [], []])
             elif token == "[[":
                 stack.append(["[", at + 2, 2, [], []])
@@ -353,12 +361,8 @@ class Parser:
     def _variable(self, name: str) -> bool:
         return name.lower() in self.config.variables and (name.isupper() or not name[:1].isalpha() or name.lower() == name and name in ("!", "="))
 
-    @staticmethod
-    def _take_inner(parent: Node, child: Node) -> None:
-        inside = [c for c in parent.children if c.start >= child.start and c.end <= child.end]
-        gone = set(map(id, inside))
-        parent.children = [c for c in parent.children if id(c) not in gone]
-        child.children += inside
+    def _take_inner(self, parent: Node, child: Node) -> None:
+        child.children += self._pull(parent, child.start, child.end)
 
     def _parameters(self, parent: Node, node: Node, base: int, spans: list[tuple[int, int, int | None]], depth: int, named_from: int) -> None:
         anon = 0
@@ -373,7 +377,7 @@ class Parser:
                 key = re.sub(r"<!--.*?(?:-->|\Z)", "", self.text[a:cut], flags=re.DOTALL).strip(" \t\n\x00\x0b")
                 regions = [("parameter-key", a, cut, None), ("parameter-value", cut + 1, b, None)]
             self._take(parent, p, regions, 3, depth)
-            parent.children.remove(p)
+            parent.children.pop(bisect_left(parent.children, p.start, key=_START) + next(k for k, c in enumerate(parent.children[bisect_left(parent.children, p.start, key=_START) :]) if c is p))
             node.add(p)
             p.name = key
             value = re.sub(r"(?m)^[ \t]*<!--.*?-->[ \t]*\n|<!--.*?(?:-->|\Z)", "", self.text[regions[1][1] : b], flags=re.DOTALL) if "<!--" in self.text[a:b] else self.text[regions[1][1] : b]
@@ -417,7 +421,7 @@ class Parser:
             body = line.lstrip(" \t" + VOID)
             lead = len(line) - len(body)
             indent = re.match(r"[:\s]*", body)[0] if body.startswith((":", "{|")) else ""
-            if body[len(indent) :].startswith("{|"):
+            if body[len(indent) :].startswith("{|") and len(stack) < MAX_DEPTH:
                 x = at + lead + len(indent)
                 stack.append({"start": x, "attrs": (x + 2, stop), "rows": [], "row": None, "parts": []})
                 continue
