@@ -8,7 +8,7 @@ Defined results for odd input
     very long text              one pass over an in-row array; sorting only if a window repeats
     repeated rows, null doc_id  each row is judged alone and returned
     empty table                 empty result
-    extra columns               ignored by ``measure``; ``filter_documents`` hands all through
+    extra columns               ignored by ``score``; ``filter_documents`` hands all through
 """
 
 from __future__ import annotations
@@ -101,13 +101,22 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(_let(hashes, repeated))
 
 
-def _ratio(part: str, whole: str) -> Column:
-    return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
+def _ratio(part: Column, whole: Column) -> Column:
+    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def measure(docs: DataFrame, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """One row per input row: the columns ``keep`` plus a struct ``m`` of raw counts."""
-    body = F.coalesce(F.col(text), F.lit(""))
+#: Ratios by name: (part, whole).
+RATIOS = {
+    "mean_word_chars": ("word_chars", "n_words"),
+    "symbol_ratio": ("n_symbols", "n_words"),
+    "stop_ratio": ("n_stop_words", "n_words"),
+    "dup_line_ratio": ("n_dup_lines", "n_lines"),
+}
+
+
+def _counts(text: Column) -> Column:
+    """The raw counts of a text as one struct expression, in which every part is evaluated once."""
+    body = F.coalesce(text, F.lit(""))
 
     def counts(w: Column) -> Column:
         lines = F.filter(F.split(body, "\n"), _has_word)
@@ -122,45 +131,58 @@ def measure(docs: DataFrame, keep: list[str] | None = None, text: str = "text")
             stops.cast("long").alias("n_stop_words"),
         )
 
-    return docs.select(*(keep or []), _let(_words(F.col(text)), counts).alias("m"))
+    def flat(m: Column) -> Column:
+        return F.struct(
+            *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_stop_words")],
+            m["lines"]["dup"].cast("long").alias("n_dup_lines"),
+            m["lines"]["n"].cast("long").alias("n_lines"),
+        )
+
+    return _let(_let(_words(text), counts), flat)
+
+
+def _rated(m: Column) -> Column:
+    """Counts with their ratios."""
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
+    return F.struct(*[m[c].alias(c) for c in names], *[_ratio(m[a], m[b]).alias(name) for name, (a, b) in RATIOS.items()])
+
+
+def _base_failed(m: Column) -> Column:
+    return (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
 
 
-def verdict(rules: tuple[Rule, ...] = THRESHOLDS) -> Column:
-    """The threshold table as one expression: names of the rules that a row breaks."""
+def verdict(m: Column, rules: tuple[Rule, ...] = THRESHOLDS) -> Column:
+    """The threshold table as one expression: names of the rules that these metrics break."""
     broken = []
     for r in rules:
         bad = F.lit(False)
         if r.low is not None:
-            bad = bad | (F.col(r.metric) < F.lit(r.low))
+            bad = bad | (m[r.metric] < F.lit(r.low))
         if r.high is not None:
-            bad = bad | (F.col(r.metric) > F.lit(r.high))
-        broken.append(F.when((F.col("n_words") >= r.min_words) & bad, F.lit(r.name)))
+            bad = bad | (m[r.metric] > F.lit(r.high))
+        broken.append(F.when((m["n_words"] >= r.min_words) & bad, F.lit(r.name)))
     return F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
 
 
+def judged(text: Column, rules: tuple[Rule, ...] = THRESHOLDS) -> Column:
+    """Metrics, ``base_failed`` and ``broken`` of a text, as one struct expression."""
+
+    def judge(m: Column) -> Column:
+        return F.struct(m.alias("m"), _base_failed(m).alias("base_failed"), verdict(m, rules).alias("broken"))
+
+    return _let(_let(_counts(text), _rated), judge)
+
+
 def score(docs: DataFrame, keep: list[str], text: str = "text", rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
     """Counts, ratios, ``base_failed``, ``broken`` (rule names) and ``kept`` for each row."""
-    flat = measure(docs, keep, text).select(
-        *keep,
-        *[F.col(f"m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols")],
-        F.col("m.lines.dup").cast("long").alias("n_dup_lines"),
-        F.col("m.n_repeat_words").alias("n_repeat_words"),
-        F.col("m.lines.n").cast("long").alias("n_lines"),
-        F.col("m.n_stop_words").alias("n_stop_words"),
-    )
-    rated = flat.withColumns(
-        {
-            "mean_word_chars": _ratio("word_chars", "n_words"),
-            "symbol_ratio": _ratio("n_symbols", "n_words"),
-            "stop_ratio": _ratio("n_stop_words", "n_words"),
-            "dup_line_ratio": _ratio("n_dup_lines", "n_lines"),
-            "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
-        }
-    )
-    return rated.withColumn("broken", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
+    rows = docs.select(*keep, judged(F.col(text), rules).alias("_j"))
+    return rows.select(*keep, "_j.m.*", "_j.base_failed", "_j.broken").withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
 
 
 def filter_documents(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
-    """The rows that every rule lets pass, with their own columns unchanged."""
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("_text"))
-    return score(boxed, ["row"], "_text", rules).filter("kept").select("row.*")
+    """The rows that every rule lets pass, with their own columns unchanged.
+
+    The condition is a single expression that binds each intermediate value once; a filter
+    on derived columns would be pushed below them and repeat the whole measurement.
+    """
+    return docs.filter(_let(judged(F.col(text), rules), lambda j: ~j["base_failed"] & (F.size(j["broken"]) == 0)))
