@@ -153,6 +153,18 @@ class Parser:
                 self._region(inner, x, y, 2, depth + 1)
             elif name == "gallery":
                 self._gallery(inner, x, y, depth)
+            elif name == "imagemap":
+                self._imagemap(inner, x, y, depth)
+            elif name == "charinsert":
+                for w in re.finditer(r"\S+", self.text[x:y]):
+                    inner.add(Node("charinsert-item", x + w.start(), x + w.end(), w[0]))
+            elif name == "categorytree":
+                title = normalise(self.text[x:y], 14, self.config)
+                if title.valid and title.main:
+                    inner.props["target"] = title.title
+            elif name == "poll":
+                for w in re.finditer(r"[^\n]+", self.text[x:y]):
+                    inner.add(Node("poll-line", x + w.start(), x + w.end()))
             elif name == "references" and depth < MAX_DEPTH:
                 self._ext(inner, x, y, depth + 1)
             elif name in ("inputbox", "dynamicpagelist"):
@@ -168,6 +180,31 @@ class Parser:
                 line.props["value"] = value.strip()
                 parent.attrs[key.strip().lower()] = value.strip()
 
+    def _imagemap(self, parent: Node, start: int, end: int, depth: int) -> None:
+        """First line the image; then ``shape coordinates [[link]]``, ``desc`` and ``#`` lines."""
+        first = True
+        for m in re.finditer(r"[^\n]+", self.text[start:end]):
+            line, a, b = m[0], start + m.start(), start + m.end()
+            if not line.strip() or line.lstrip().startswith("#"):
+                continue
+            if first:
+                first = False
+                head = line.partition("|")[0]
+                title = normalise(head, 6, self.config)
+                good = title.valid and title.ns == 6 and bool(title.main)
+                image = parent.add(Node("imagemap-image", a, b, title.title, invalid=str(not good).lower()))
+                image.add(Node("link-target", a, a + len(head)))
+                continue
+            shape = re.match(r"\s*(\w+)\s*([-\d.\s]*)", line)
+            kind = shape[1].lower() if shape else ""
+            numbers = len(shape[2].split()) if shape else 0
+            wanted = {"rect": numbers == 4, "circle": numbers == 3, "poly": numbers >= 6 and numbers % 2 == 0, "default": True, "desc": True}
+            link = re.search(r"\[\[[^\[\]]+\]\]|\[[^\[\]\s]+[^\[\]]*\]", line)
+            fault = "shape" if kind not in wanted else "coord" if not wanted[kind] else "link" if kind != "desc" and not link else ""
+            row = parent.add(Node("imagemap-link", a, b, kind, fault=fault))
+            if link:
+                self._region(row, a + link.start(), a + link.end(), 6, depth + 1)
+
     def _gallery(self, parent: Node, start: int, end: int, depth: int) -> None:
         for m in re.finditer(r"[^\n]+", self.text[start:end]):
             if not m[0].strip():

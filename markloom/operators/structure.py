@@ -95,6 +95,71 @@ def anchors(found: DataFrame) -> DataFrame:
     return found.withColumn("anchor", F.when(k == 1, base).otherwise(F.concat_ws("_", base, k.cast("string"))))
 
 
+def contents(found: DataFrame) -> DataFrame:
+    """Numbers of a table of contents, 1, 1.1, 1.2, ...: the place among siblings, below the parent's number.
+
+    Six heading levels make the path at most six steps, so it is five joins with the parents.
+    """
+    place = F.row_number().over(Window.partitionBy("page_id", F.coalesce("parent_section", F.lit(-1))).orderBy("start")).cast("string")
+    rows = found.select("page_id", "node_id", "parent_section", "heading", "start", place.alias("number"), F.col("parent_section").alias("up"))
+    tops = rows.select("page_id", F.col("node_id").alias("up"), F.col("number").alias("above"), F.col("parent_section").alias("further"))
+    for _ in range(5):
+        rows = rows.join(tops, ["page_id", "up"], "left").select(
+            "page_id", "node_id", "parent_section", "heading", "start", F.when(F.col("above").isNull(), F.col("number")).otherwise(F.concat_ws(".", "above", "number")).alias("number"), F.col("further").alias("up"),
+        )
+    return rows.select("page_id", "node_id", "heading", "start", "number")
+
+
+def tables_as_rows(nodes: DataFrame) -> DataFrame:
+    """page_id, table_id, row, cells (trimmed texts in order): the starting point of table edits."""
+    cells = table_cells(nodes).filter("is_start")
+    inner = nodes.filter(F.col("type") == "td-inner").select("page_id", F.col("parent_id").alias("cell_node_id"), F.btrim("text", F.lit(" \n")).alias("value"))
+    met = cells.join(inner, ["page_id", "cell_node_id"])
+    return met.groupBy("page_id", "table_id", F.col("row")).agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "subtype", "value"))), lambda c: F.struct(c["subtype"].alias("subtype"), c["value"].alias("value"))).alias("cells"))
+
+
+def write_tables(rows: DataFrame) -> DataFrame:
+    """page_id, table_id, text: wikitext of tables given as rows of cells."""
+    mark = lambda c: F.concat(F.when(c["subtype"] == "th", "! ").otherwise("| "), c["value"])
+    line = F.array_join(F.transform("cells", mark), "\n")
+    text = F.concat(F.lit("{|\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", line.alias("t")))), lambda r: F.concat(F.lit("|-\n"), r["t"])), "\n"), F.lit("\n|}"))
+    return rows.groupBy("page_id", "table_id").agg(text.alias("text"))
+
+
+def move_rows(rows: DataFrame, order) -> DataFrame:
+    """Rows of every table in a new order, by a column expression over ``row`` and ``cells``."""
+    w = Window.partitionBy("page_id", "table_id").orderBy(order, "row")
+    return rows.withColumn("row", F.row_number().over(w) - 1)
+
+
+def move_column(rows: DataFrame, at: int, to: int) -> DataFrame:
+    cells = F.col("cells")
+    rest = F.filter(cells, lambda c, i: i != at)
+    moved = F.concat(F.slice(rest, 1, to), F.slice(cells, at + 1, 1), F.slice(rest, to + 1, 10_000))
+    return rows.withColumn("cells", F.when(F.size(cells) > max(at, to), moved).otherwise(cells))
+
+
+def insert_column(rows: DataFrame, at: int, value: str, head: str | None = None) -> DataFrame:
+    first = F.col("row") == 0
+    cell = F.struct(F.when(first & F.lit(head is not None), "th").otherwise("td").alias("subtype"), F.when(first & F.lit(head is not None), head or "").otherwise(value).alias("value"))
+    return rows.withColumn("cells", F.concat(F.slice("cells", 1, at), F.array(cell), F.slice("cells", at + 1, 10_000)))
+
+
+def remove_column(rows: DataFrame, at: int) -> DataFrame:
+    return rows.withColumn("cells", F.filter("cells", lambda c, i: i != at))
+
+
+def insert_row(rows: DataFrame, at: int, values: list[str]) -> DataFrame:
+    """A row of these cells in every table, before row ``at``."""
+    cells = F.array(*[F.struct(F.lit("td").alias("subtype"), F.lit(v).alias("value")) for v in values])
+    new = rows.select("page_id", "table_id").distinct().select("page_id", "table_id", F.lit(at).alias("row"), cells.alias("cells"))
+    return rows.withColumn("row", F.when(F.col("row") >= at, F.col("row") + 1).otherwise(F.col("row"))).unionByName(new)
+
+
+def remove_row(rows: DataFrame, at: int) -> DataFrame:
+    return rows.filter(F.col("row") != at).withColumn("row", F.when(F.col("row") > at, F.col("row") - 1).otherwise(F.col("row")))
+
+
 def references(nodes: DataFrame) -> DataFrame:
     """Reference uses with group, name, number by first use, and running use number."""
     refs = nodes.filter((F.col("type") == "ext") & (F.col("name") == "ref") & ~has_ancestor("ext-inner")).select(

@@ -270,6 +270,56 @@ def folding_ranges(spark, d):
     return editor.folding_ranges(parse(pages, types=["table", "heading", "heading-title"]), pages).select("page_id", "start_line", "end_line")
 
 
+@query("SELECT c_custkey AS page_id, unnest(['1', '1.1', '2', '2.1']) AS number, unnest(['Account', 'Details', c_mktsegment, 'Details']) AS heading FROM customer")
+def toc(spark, d):
+    pages = fx.customers(spark, d)
+    found = structure.sections(parse(pages, types=["heading", "heading-title"]), pages)
+    return structure.contents(found).select("page_id", "number", "heading")
+
+
+@query("SELECT l_orderkey AS page_id, (2 * count(*) + 5)::BIGINT AS n_lines FROM lineitem GROUP BY 1")
+def text_lines(spark, d):
+    return structure.lines(fx.orders(spark, d)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query(f"""
+SELECT page_id, '{{|' || chr(10) || '|-' || chr(10) || '! part and flag' || chr(10) || '! line' || chr(10) || string_agg('|-' || chr(10) || '| ' || l_partkey || chr(10) || '| ' || l_linenumber || chr(10) || '| ' || l_returnflag, chr(10) ORDER BY k) || chr(10) || '|}}' AS text
+FROM ({_LINES}) GROUP BY 1
+""")
+def table_edit(spark, d):
+    rows = structure.tables_as_rows(parse(fx.orders(spark, d), types=["td", "td-inner"]))
+    return structure.write_tables(structure.move_column(rows, 1, 0)).select("page_id", "text")
+
+
+@query("SELECT p_name AS name, p_partkey AS page_id, 'link-target' AS type FROM part")
+def node_at_offset(spark, d):
+    pages = fx.parts(spark, d)
+    points = pages.select("page_id", F.lit(5).alias("at"))
+    at = editor.node_at(parse(pages), points)
+    return at.join(pages.select("page_id", F.col("title").alias("name")), "page_id").select("name", "page_id", "type")
+
+
+@query("SELECT 'Template:Segment' AS name, count(*)::BIGINT AS n FROM customer")
+def name_completions(spark, d):
+    return editor.completions(parse(fx.customers(spark, d), types=["template"], last="brace"), "template", "template:se")
+
+
+@query("SELECT n_nationkey::BIGINT AS page_id, n_nationkey || '/b/c' AS parts, n_nationkey || '/x' AS path, 'Some_' || n_nationkey AS anchor, 'a_b%26' || n_nationkey AS wiki, n_nationkey % 2 = 0 AS isbn FROM nation")
+def magic_paths(spark, d):
+    key = fx.c("n_nationkey")
+    isbn = F.when(F.col("n_nationkey") % 2 == 0, "9780306406157").otherwise("9780306406158")
+    return fx.read(spark, d, "nation").select(
+        F.col("n_nationkey").cast("long").alias("page_id"), magic.titleparts(F.concat(key, F.lit("/b/c/d")), F.lit(3), F.lit(0)).alias("parts"), magic.rel2abs(F.lit("../x"), F.concat(key, F.lit("/y"))).alias("path"),
+        magic.anchorencode(F.concat(F.lit("''Some'' "), key)).alias("anchor"), magic.urlencode(F.concat(F.lit("a b&"), key), "WIKI").alias("wiki"), magic.isbn_valid(isbn).alias("isbn"),
+    )
+
+
+@query("SELECT page_id, length(html)::BIGINT AS n FROM pages")
+def json_trees(spark, d):
+    out = pages_text.to_json(html_pages(spark, d))
+    return out.select("page_id", F.get_json_object("json", "$.range[1]").cast("long").alias("n"))
+
+
 # -- lint
 
 

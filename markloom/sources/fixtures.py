@@ -76,6 +76,9 @@ FAULTS: list[tuple[str, str, str, int]] = [
     ("illegal-attr", "tabindex", "<p tabindex=\"1\">x</p>", 1),
     ("insecure-style", "", "<p style=\"width: expression(1)\">x</p>", 1),
     ("invalid-gallery", "extension", "<gallery>\nFile:Abc\n</gallery>", 1),
+    ("invalid-imagemap", "shape", "<imagemap>\nFile:A.png\nblob 1 2 [[a]]\n</imagemap>", 1),
+    ("invalid-imagemap", "coord", "<imagemap>\nFile:A.png\nrect 1 2 [[a]]\n</imagemap>", 1),
+    ("invalid-imagemap", "image", "<imagemap></imagemap>", 1),
     ("invalid-invoke", "function", "{{#invoke:M}}", 1),
     ("invalid-isbn", "", "ISBN 1234567890", 1),
     ("invalid-json", "", "<templatedata>{\"a\": }</templatedata>", 1),
