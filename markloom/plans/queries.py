@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from markloom.config import DEFAULT
 from markloom.functions import magic, titles
+from markloom.functions import text as small
 from markloom.operators import editor, lint, structure
 from markloom.plans import text as pages_text
 from markloom.plans.parse import parse
@@ -314,6 +317,38 @@ def magic_paths(spark, d):
     )
 
 
+@query("""
+SELECT n_nationkey::BIGINT AS page_id, '&lt;b&gt; &amp; ' || n_name AS escaped, 'a{{!}}b{{=}}' || n_nationkey AS wiki, 'A' || n_nationkey || 'é' AS decoded, n_nationkey || 'px' AS width, 'width: 1px; color: red' AS styled,
+       n_nationkey % 2 = 0 AS classed, 'Hello ' || n_name || '!' AS message, 3 AS offset16 FROM nation
+""")
+def text_functions(spark, d):
+    key, name = fx.c("n_nationkey"), fx.c("n_name")
+    return fx.read(spark, d, "nation").select(
+        F.col("n_nationkey").cast("long").alias("page_id"), small.escape_html(F.concat(F.lit("<b> & "), name)).alias("escaped"), small.escape_wikitext(F.concat(F.lit("a|b="), key)).alias("wiki"),
+        small.decode_numeric(F.concat(F.lit("&#65;"), key, F.lit("&#xE9;"))).alias("decoded"), small.css(F.concat(F.lit("color: red; WIDTH : 1px; width:"), key, F.lit("px;")), "width").alias("width"),
+        small.set_css(F.lit("color: blue; width: 1px;"), "color", "red").alias("styled"), small.has_class(F.when(F.col("n_nationkey") % 2 == 0, " a b ").otherwise("ab"), "b").alias("classed"),
+        small.message(F.lit("Hello $1!"), name).alias("message"), small.utf16_offset(F.lit("𝒳yz"), F.lit(2)).alias("offset16"),
+    )
+
+
+@query("SELECT n_nationkey::BIGINT AS page_id, CASE n_nationkey % 4 WHEN 0 THEN 'R' WHEN 1 THEN 'zh-cn' WHEN 2 THEN 'A,H' ELSE 'S' END AS flags FROM nation")
+def converter_flags(spark, d):
+    k = F.col("n_nationkey")
+    body = F.when(k % 4 == 0, "-{R|x}-").when(k % 4 == 1, "-{zh-cn;A|x}-").when(k % 4 == 2, "-{A;H|zh-cn:a;zh-tw:b}-").otherwise("-{x}-")
+    pages = fx.read(spark, d, "nation").select(k.cast("long").alias("page_id"), body.alias("text"))
+    codes = ["zh-cn", "zh-tw"]
+    nodes = parse(pages, replace(DEFAULT, variants=tuple(codes)), types=["converter"], columns=["type", "props"])
+    flags = F.coalesce(F.split(structure.prop("flags"), ";"), F.array().cast("array<string>"))
+    return nodes.select("page_id", F.array_join(F.array_sort(small.effective_flags(flags, codes)), ",").alias("flags"))
+
+
+@query("SELECT n_nationkey::BIGINT AS page_id, 1::BIGINT AS n FROM nation WHERE n_nationkey % 3 = 0")
+def selector_local_link(spark, d):
+    k = F.col("n_nationkey")
+    pages = fx.read(spark, d, "nation").select(k.cast("long").alias("page_id"), F.when(k % 3 == 0, "[[#Top]] [[A#Top]]").otherwise("[[A]]").alias("text"))
+    return select(parse(pages), ":local-link").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT page_id, length(html)::BIGINT AS n FROM pages")
 def json_trees(spark, d):
     out = pages_text.to_json(html_pages(spark, d))

@@ -288,7 +288,7 @@ class Selector:
             elif p.name == "lang":
                 out = self._lang(elements, out, p.arg)
             elif p.name == "local-link":
-                out = out.filter(F.col("type").isin("link", "file", "gallery-image") & F.startswith(F.coalesce(F.try_element_at("props", F.lit("target")), F.lit("x")), F.lit("")) & (F.try_element_at("props", F.lit("target")) == ""))
+                out = out.filter(F.col("type").isin("link", "file", "gallery-image") & (F.try_element_at("props", F.lit("target")) == ""))
             elif p.name == "scope":
                 if scope is None:
                     raise SelectorError(":scope needs a scope")
