@@ -43,7 +43,7 @@ from markloom.llm._io import new_path
 from markloom.llm._ragged import distinct, flatten, per_document, spread
 
 END_ID = 2
-LANE = 256
+LANE = 512
 PER_WORD = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
 BLOCK_IDS = 1 << 18
@@ -58,54 +58,52 @@ BLOCKS = "part int, block int, before long, doc_ids array<long>, counts array<in
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """ids -> (offsets uint32, words uint64)."""
-    ids = ids.astype(np.uint64)
-    lanes = -(-len(ids) // LANE)
-    width = LANE + PER_WORD[0]
-    grid = np.zeros((lanes, width), np.uint64)
-    padded = np.zeros(lanes * LANE, np.uint64)
-    padded[: len(ids)] = ids
-    grid[:, :LANE] = padded.reshape(lanes, LANE)
-    flat = np.concatenate([grid.ravel(), np.zeros(PER_WORD[0], np.uint64)])
-    if not len(ids) or ids.max() < 1 << 24:
+    flat = ids.astype(np.uint64)
+    total = len(flat)
+    lanes = -(-total // LANE)
+    if not total or flat.max() < 1 << 24:
         bits = ((flat.astype(np.float32).view(np.uint32) >> 23) - 126).astype(np.uint8)
         bits[flat == 0] = 0
     else:
         low = np.frexp((flat & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
         high = np.frexp((flat >> np.uint64(32)).astype(np.float64))[1]
         bits = np.where(high > 0, high + 32, low).astype(np.uint8)
+    # How many ids from each place on fit one word. If n fit, so does any smaller number.
     widest = {1: bits}
-    count = np.ones(len(flat), np.uint8)
+    count = np.ones(total, np.uint8)
     done = 1
     for n in reversed(PER_WORD[:-1]):
-        rest = n - done
-        wide = np.full(len(flat), 0, np.uint8)
-        np.maximum(widest[done][:-done], widest[rest][done:], out=wide[:-done])
-        wide[-done:] = widest[done][-done:]
-        widest[n] = wide
-        done = n
-        np.putmask(count, wide <= 60 // n, np.uint8(n))
+        if n > total:
+            break
+        wide = np.maximum(widest[done][: total - n + 1], widest[n - done][done : total - n + 1 + done])
+        fits = wide <= 60 // n
+        if not fits.any():
+            break
+        np.putmask(count[: total - n + 1], fits, np.uint8(n))
+        widest[n], done = wide, n
     count[bits > 60] = 0
-    ends = np.arange(lanes) * width + np.minimum(LANE, len(ids) - np.arange(lanes) * LANE)
-    at = np.arange(lanes) * width
-    steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    at = np.arange(lanes) * LANE
+    ends = np.minimum(at + LANE, total)
+    steps: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     lane = np.arange(lanes)
     used = np.zeros(lanes, np.int64)
     while len(lane):
-        c = count[at]
-        steps.append((lane, at, used[lane].copy()))
+        c = _FLOOR[np.minimum(count[at], ends[lane] - at)]
+        steps.append((lane, at, used[lane], c))
         used[lane] += 1 + (c == 0)
         at = at + np.maximum(c, 1)
         more = at < ends[lane]
-        lane, at = lane[more], at[more]
+        if not more.all():
+            lane, at = lane[more], at[more]
     offsets = np.concatenate([[0], np.cumsum(used)])
     words = np.zeros(int(offsets[-1]), np.uint64)
     if steps:
         start = np.concatenate([s[1] for s in steps])
         place = np.concatenate([offsets[s[0]] + s[2] for s in steps])
-        c = count[start]
+        c = np.concatenate([s[3] for s in steps])
         for k, n in enumerate(PER_WORD):
-            mine = c == n
-            if mine.any():
+            mine = np.flatnonzero(c == n)
+            if len(mine):
                 first, b = start[mine], 60 // n
                 word = np.full(len(first), k << 60, np.uint64)
                 for j in range(n):
@@ -117,10 +115,12 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return offsets.astype("<u4"), words.astype("<u8")
 
 
-def unpack(n: int, offsets: np.ndarray, words: np.ndarray) -> np.ndarray:
-    lanes = len(offsets) - 1
-    width = LANE + PER_WORD[0]
-    out = np.zeros((lanes + 1) * width, np.uint64)
+#: The largest number of ids in a word that is not above an index; 0 stays the escape.
+_FLOOR = np.array([max((n for n in PER_WORD if n <= k), default=0) for k in range(PER_WORD[0] + 1)], np.int64)
+
+
+def unpack(n: int, words: np.ndarray) -> np.ndarray:
+    out = np.zeros(n, np.uint64)
     selector = (words >> np.uint64(60)).astype(np.int64)
     #: A literal is known from the escape before it; a literal may itself look like an escape.
     literal = np.zeros(len(words), bool)
@@ -129,21 +129,16 @@ def unpack(n: int, offsets: np.ndarray, words: np.ndarray) -> np.ndarray:
             literal[k + 1] = True
     per = np.array([*PER_WORD, 0, 0], np.int64)[selector]
     per[literal] = 1
-    lane = np.repeat(np.arange(lanes), np.diff(offsets.astype(np.int64)))
-    before = np.cumsum(per) - per
-    first = np.zeros(lanes, np.int64)
-    starts = offsets[:-1].astype(np.int64)
-    first[:] = before[starts] if len(words) else 0
-    place = lane * width + before - first[lane]
+    place = np.cumsum(per) - per
     for k, count in enumerate(PER_WORD):
-        mine = (selector == k) & ~literal
-        if mine.any():
+        mine = np.flatnonzero((selector == k) & ~literal)
+        if len(mine):
             at, body, b = place[mine], words[mine], 60 // count
             keep = np.uint64((1 << b) - 1)
             for j in range(count):
                 out[at + j] = (body >> np.uint64(j * b)) & keep
     out[place[literal]] = words[literal]
-    return out.reshape(lanes + 1, width)[:lanes, :LANE].ravel()[:n]
+    return out
 
 
 class Encoder:
@@ -161,6 +156,7 @@ class Encoder:
         self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, k in vocabulary.items():
             self.token_bytes[k] = len(token)  # a byte is one character there
+        self.stop, self.comma = vocabulary["."], vocabulary[","]
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -173,7 +169,27 @@ class Encoder:
         lengths, ids = flatten([e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
         return lengths, ids.astype(np.int32)
 
-    def chunks(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def chunks(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids, ids) of each distinct word with a blank before it.
+
+        A full stop or comma that ends a word after a letter is a pre-token of its own, so
+        words are encoded without it.
+        """
+        tail = pc.match_substring_regex(words, "[A-Za-z][.,]$")
+        index, bare = distinct(pc.if_else(tail, pc.utf8_slice_codeunits(words, 0, -1), words))
+        per, values = spread(index, *self.joined(bare))
+        tail = tail.to_numpy(zero_copy_only=False).astype(bool)
+        lengths = per + tail
+        at = np.cumsum(lengths)[tail] - 1
+        ids = np.empty(int(lengths.sum()), np.int32)
+        own = np.ones(len(ids), bool)
+        own[at] = False
+        ids[own] = values
+        stops = pc.ends_with(words, ".").to_numpy(zero_copy_only=False).astype(bool)[tail]
+        ids[at] = np.where(stops, self.stop, self.comma)
+        return lengths, ids
+
+    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids, ids) of each word with a blank before it.
 
         Words are encoded many at a time: a cut before a blank is always between
@@ -202,12 +218,13 @@ class Encoder:
         parts = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         words = parts.flatten()
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        index, names = distinct(words)
+        coded = words.dictionary_encode()
+        index, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
         head = np.zeros(len(index), bool)
         head[bounds[:-1][np.diff(bounds) > 0]] = True  # a text's first chunk has no blank before it
         bare, place = np.unique(index[head], return_inverse=True)
         lengths, values = self.chunks(names)
-        bare_lengths, bare_values = self.whole([names[k] for k in bare])
+        bare_lengths, bare_values = self.whole(names.take(pa.array(bare)).to_pylist())
         index = index.copy()
         index[head] = len(names) + place
         per, ids = spread(index, np.concatenate([lengths, bare_lengths]), np.concatenate([values, bare_values]))
@@ -264,7 +281,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
-            ids = unpack(r["n"], np.frombuffer(r["offsets"], "<u4"), np.frombuffer(r["words"], "<u8")).astype("<u4")
+            ids = unpack(r["n"], np.frombuffer(r["words"], "<u8")).astype("<u4")
             counts = np.array(r["counts"], np.int64)
             ends = np.cumsum(counts)
             raw = memoryview(ids.tobytes())
