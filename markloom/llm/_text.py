@@ -12,8 +12,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Bytes handled at once: numpy temporaries are about 60 times this.
-CHUNK_BYTES = 1 << 20
+#: Bytes and documents handled at once: numpy temporaries are about 60 times the bytes.
+CHUNK_BYTES = 1 << 18
+CHUNK_ROWS = 2048
 
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
@@ -105,7 +106,7 @@ def chunks(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Wo
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     a = 0
     while a < len(column):
-        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + CHUNK_BYTES, side="right")) - 1)
+        b = max(a + 1, min(a + CHUNK_ROWS, int(np.searchsorted(bounds, bounds[a] + CHUNK_BYTES, side="right")) - 1))
         part = data[bounds[a] : bounds[b]]
         yield a, b, words_of(_LOWER[part] if lower else part, bounds[a : b + 1] - bounds[a])
         a = b

@@ -118,15 +118,13 @@ def _fingerprints(bits: int, owners: int):
     return run
 
 
-def _answer(pdf):
+def _answer(packets: pa.Table) -> pa.Table:
     """All packets of one owner: a bitmap for each, set where another partition has the value."""
-    import pandas as pd
-
-    sent = [golomb_decode(int(r.n), int(r.rice), r.high, r.low) for r in pdf.itertuples()]
+    sent = [golomb_decode(r["n"], r["rice"], r["high"], r["low"]) for r in packets.select(["n", "rice", "high", "low"]).to_pylist()]
     values, counts = np.unique(np.concatenate(sent), return_counts=True)
     shared = values[counts > 1]
     maps = [np.packbits(np.isin(v, shared, assume_unique=True)).tobytes() for v in sent]
-    return pd.DataFrame({"part": pdf["part"], "owner": pdf["owner"], "bitmap": maps})
+    return packets.select(["part", "owner"]).append_column("bitmap", pa.array(maps, pa.binary()))
 
 
 def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +160,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fingerp
     answers = (
         packets.select("part", "owner", "n", "rice", "high", "low")
         .groupBy("owner")
-        .applyInPandas(_answer, "part int, owner int, bitmap binary")
+        .applyInArrow(_answer, "part int, owner int, bitmap binary")
     )
     told = packets.select("part", "owner", "n", "doc_ids", "shas", "slots").join(answers, ["part", "owner"])
     flagged = materialise(told.mapInArrow(_flags, "doc_id long, text_sha256 string, suspect boolean"), "exact-flags")

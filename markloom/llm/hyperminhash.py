@@ -158,11 +158,9 @@ def _tally(k: int):
     return run
 
 
-def _add(pdf):
-    import pandas as pd
-
-    total = np.sum([np.frombuffer(r, np.int64) for r in pdf["counts"]], axis=0)
-    return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [total.tobytes()]})
+def _add(parts: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(r, np.int64) for r in parts["counts"].to_pylist()], axis=0)
+    return pa.table({"block": parts["block"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def _prefixes(k: int, percent: int, tally):
@@ -296,7 +294,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     unsettled = materialise(placed.join(mixed, "key").select(F.col("rep").alias("doc_id")).distinct(), "near-open")
     texts = semi_by_id(rows.filter("doc_id is not null"), unsettled, "doc_id")
-    blocks = texts.mapInArrow(_tally(shingle), "block int, counts binary").groupBy("block").applyInPandas(_add, "block int, counts binary")
+    blocks = texts.mapInArrow(_tally(shingle), "block int, counts binary").groupBy("block").applyInArrow(_add, "block int, counts binary")
     tally = np.zeros((TALLY // 256, 256), np.int64)
     for r in blocks.collect():  # always TALLY numbers in all
         tally[r["block"]] = np.frombuffer(r["counts"], np.int64)

@@ -51,7 +51,9 @@ MARK = "▁"
 BYTE_SCORE = -14.0
 FREQUENT = 200_000
 #: Bytes of text encoded at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 20
+#: Characters of words folded side by side.
+FOLD_CHARS = 1 << 18
 U = np.uint64
 
 
@@ -153,12 +155,12 @@ def encode_words(words: list[str], model: Model) -> list[list[int]]:
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(lengths, kind="stable")
     out: list[list[int]] = [[]] * len(words)
-    # Words of like length together, and no more than about a million characters at once.
+    # Words of like length together, and no more than FOLD_CHARS characters at once.
     a = 0
     while a < len(order):
         top = lengths[order[a]]
         b = int(np.searchsorted(lengths[order], max(top + 2, top * 5 // 4), side="right"))
-        b = max(a + 1, min(b, a + (1 << 20) // max(1, int(lengths[order[b - 1]]))))
+        b = max(a + 1, min(b, a + FOLD_CHARS // max(1, int(lengths[order[b - 1]]))))
         part = order[a:b].tolist()
         for k, got in zip(part, _fold([words[k] for k in part], model, keys, ids, scores, seen), strict=True):
             out[k] = got
