@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm._io import BROADCAST_ROWS, materialise, semi_by_id
+from markloom.llm._io import BROADCAST_ROWS, materialise, semi_by_id, trimmed
 from markloom.llm._text import U, Words, chunks, grams, mix
 from markloom.llm.components import components
 
@@ -234,14 +234,14 @@ def _links(pairs: DataFrame, reps: DataFrame, rows: DataFrame, k: int, percent:
         .join(sketch.toDF("b", "nb", "rb"), "b")
         .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
         .select("a", "b", "na", "nb", "ra", "rb")
-        .mapInArrow(_likely(percent), "a long, b long")
+        .mapInArrow(trimmed(_likely(percent)), "a long, b long")
     )
     likely = materialise(likely, "near-likely")
     ids = materialise(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-    sets = semi_by_id(rows.filter("doc_id is not null"), ids, "doc_id").mapInArrow(_sets(k), "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    sets = semi_by_id(rows.filter("doc_id is not null"), ids, "doc_id").mapInArrow(trimmed(_sets(k)), "doc_id long, shingles binary").dropDuplicates(["doc_id"])
     sets = materialise(sets, "near-sets")
     full = likely.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
-    return materialise(full.mapInArrow(_confirm(percent), "a long, b long"), "near-links")
+    return materialise(full.mapInArrow(trimmed(_confirm(percent)), "a long, b long"), "near-links")
 
 
 def _across(tokens: DataFrame, percent: int) -> DataFrame:
@@ -273,13 +273,13 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     """doc_id, n_shingles, component_id, kept: one row for each input row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketches = materialise(
-        rows.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, f1 long, f2 long, regs binary"), "near-sketches"
+        rows.mapInArrow(trimmed(_sketch(shingle)), "doc_id long, n_shingles long, f1 long, f2 long, regs binary"), "near-sketches"
     )
     full = sketches.filter("doc_id is not null and n_shingles > 0")
     reps = materialise(
         full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("regs").alias("regs")), "near-reps"
     )
-    bands = reps.select("rep", "regs").mapInArrow(_bands, "key long, rep long")
+    bands = reps.select("rep", "regs").mapInArrow(trimmed(_bands), "key long, rep long")
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = materialise(bands.join(buckets, "key"), "near-members")
     central = members.groupBy("rep").agg(F.sum("size").alias("company"))
@@ -294,12 +294,12 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     unsettled = materialise(placed.join(mixed, "key").select(F.col("rep").alias("doc_id")).distinct(), "near-open")
     texts = semi_by_id(rows.filter("doc_id is not null"), unsettled, "doc_id")
-    blocks = texts.mapInArrow(_tally(shingle), "block int, counts binary").groupBy("block").applyInArrow(_add, "block int, counts binary")
+    blocks = texts.mapInArrow(trimmed(_tally(shingle)), "block int, counts binary").groupBy("block").applyInArrow(_add, "block int, counts binary")
     tally = np.zeros((TALLY // 256, 256), np.int64)
     for r in blocks.collect():  # always TALLY numbers in all
         tally[r["block"]] = np.frombuffer(r["counts"], np.int64)
     sent = docs.sparkSession.sparkContext.broadcast(tally.ravel())
-    tokens = texts.mapInArrow(_prefixes(shingle, percent, sent), "key long, rep long, n long, at long")
+    tokens = texts.mapInArrow(trimmed(_prefixes(shingle, percent, sent)), "key long, rep long, n long, at long")
     named = tokens.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     more = _links(_across(materialise(named, "near-tokens"), percent), reps, rows, shingle, percent)
     final = components(links.unionAll(more))

@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from markloom.llm._io import materialise, trimmed
 from markloom.llm._ragged import distinct, flatten, per_document, spread
 from markloom.llm._text import _INVERSE, _BASE, _power, mix
 
@@ -319,9 +320,7 @@ def _count_words(share: int):
 
 def frequent_words(docs: DataFrame, path: str, text: str = "text", share: int = FREQUENT) -> dict[str, list[int]]:
     """Ids of words that make up 1/share of all words, at most ``share`` of them, by the relational form."""
-    from markloom.llm._io import materialise
-
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(_count_words(share), "word string, n long, total long")
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(trimmed(_count_words(share)), "word string, n long, total long")
     counted = materialise(counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "piece-words")
     total = counted.agg(F.sum("total")).first()[0] or 0
     words = counted.filter(F.col("n") * share >= total).select("word")
@@ -368,4 +367,4 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         schema.add(docs.schema[c])
     if with_ids:
         schema.add("ids", T.ArrayType(T.IntegerType()))
-    return rows.mapInArrow(_encode(path, known, with_ids, list(keep)), schema)
+    return rows.mapInArrow(trimmed(_encode(path, known, with_ids, list(keep))), schema)
