@@ -53,7 +53,8 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(table(spark, sf_dir, "conversations"))
+    linked = chat.link(table(spark, sf_dir, "conversations"))
+    return linked.withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1)))  # -1: answers no message
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

