@@ -6,8 +6,9 @@ read again as the docs of the next one:
 1. quality        rows that break a threshold go
 2. exact          of texts equal but for A-Z case, the largest doc_id stays
 3. near           five-word shingles, similarity 0.8: one document of each component stays
-4. mix            rows in the order that interleaves sources by their target weights
-5. encode         SentencePiece ids of every whole text, which decode to it exactly
+4. mix            slot and position of each row in the order that interleaves sources by their
+                  target weights; columns, since Parquet doesn't keep the order of rows
+5. encode         SentencePiece ids of every whole text, which decode to it exactly, beside slot and position
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    return mixing.mix(docs, placed=True)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), with_ids=True, keep=("lang", "source"))
+    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), with_ids=True, keep=("lang", "source", "slot", "position"))
 
 
 STAGES = [("quality", quality_stage), ("exact", exact_stage), ("near", near_stage), ("mix", mix_stage), ("encode", encode_stage)]

@@ -21,7 +21,7 @@ Defined results for odd input
     repeated rows            each is placed; equal ids are next to each other
     null or long texts       not looked at
     empty table              empty result
-    extra columns            ``schedule`` ignores them, ``mix`` hands all through
+    extra columns            ``schedule`` ignores them, ``mix`` hands all through (but ``placed`` replaces slot and position)
 """
 
 from __future__ import annotations
@@ -142,8 +142,21 @@ def schedule(
     return out.select("doc_id", "source", "block", "slot", "position")
 
 
-def mix(docs: DataFrame, weights: dict[str, int] | None = None, other: int = 1, block_rows: int = BLOCK_ROWS, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """All rows and columns of ``docs``, in the order of the schedule (a range sort)."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+def mix(
+    docs: DataFrame,
+    weights: dict[str, int] | None = None,
+    other: int = 1,
+    block_rows: int = BLOCK_ROWS,
+    doc_id: str = "doc_id",
+    source: str = "source",
+    placed: bool = False,
+) -> DataFrame:
+    """All rows and columns of ``docs``, in the order of the schedule (a range sort).
+
+    Files don't keep that order; ``placed`` adds slot and position, in place of columns of these names.
+    """
+    own = [c for c in docs.columns if not placed or c.lower() not in ("slot", "position")]
+    row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row")
     out = _schedule(docs, [row], weights or TARGETS, other, block_rows, doc_id, source)
-    return out.select("position", "_row").sort("position").select("_row.*")
+    added = ["slot", "position"] if placed else []
+    return out.select("slot", "position", "_row").sort("position").select("_row.*", *added)

@@ -400,3 +400,23 @@ def test_pipeline(docs, rows, spark, tmp_path):
     near = brute_links(left, 5, 80)
     left = [r for r in left if near[r[0]][1] == r[0]]
     assert {r.doc_id for r in got} == {r[0] for r in left} and all(r.exact for r in got)
+
+
+def test_pipeline_shows_the_mix(docs, rows, spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    own = {r[0]: r[3] for r in rows}
+
+    def order():
+        got = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: r.position)
+        assert [r.position for r in got] == list(range(len(got)))
+        left = spark.createDataFrame([(r.doc_id, own[r.doc_id]) for r in got], "doc_id long, source string")
+        want = sorted(mixing.schedule(left).collect(), key=lambda r: r.position)
+        assert [(r.doc_id, r.slot, r.position) for r in got] == [(r.doc_id, r.slot, r.position) for r in want]
+        return [r.doc_id for r in got]
+
+    first = order()
+    monkeypatch.setattr(mixing, "TARGETS", {"src0": 1, "src5": 9})
+    second = order()
+    assert sorted(first) == sorted(second) and first != second
