@@ -1,27 +1,30 @@
 """License scans by conditional compression against notice templates.
 
-A document's lines with a licence cue, and the paragraphs around them, are candidate
-blocks. Each is compressed by zstandard alone and once more with each template as raw
-dictionary; the relative size reduction ranks the templates. The best few are confirmed
-by an exact comparison of words: the template's words must be there, but for blanks such
-as years and holders, and the differences are reported.
+A paragraph with a licence cue is read as words. Around each cue, a window of each template's
+reach is compared with the template word by word, whatever the length of the line: the
+template's words must be there in order, but for blanks such as years and holders; a few may
+be lost and some added, and the differences are reported. Of the confirmed spans that
+overlap, the one with most words of its template stays, then that with the greater relative
+reduction of its size by zstandard when the template is its raw dictionary. Only the words of
+a span are used up; the rest of the paragraph is scanned for more.
 
-Work is per row, with no shuffle, so skewed keys don't matter. A block longer than a
-template's reach is cut at sentence ends first; whole texts are read.
+Work is per row, with no shuffle, so skewed keys don't matter; whole texts are read.
 
 Defined results for odd input
     null or empty text   no notice found
     null doc_id          scanned like any other row
     repeated rows        each is returned
-    ties of reductions   the template that comes first in TEMPLATES
+    ties of both         the template that comes first in TEMPLATES
     empty table          empty result
     extra columns        ignored
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -55,16 +58,77 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("All-Rights-Reserved", "Copyright <year> <holder>. All rights reserved."),
 )
 
-CUES = r"(?i)licen[sc]|copyright|©|\(c\)|spdx|public domain|free of charge|redistribut|unencumbered|all rights reserved|\bcc0\b|\bcc by"
+CUES = r"(?i)licen[sc]|copyright|©|\(c\)|spdx|public\s+domain|free\s+of\s+charge|redistribut|unencumbered|all\s+rights\s+reserved|\bcc0\b|\bcc\s+by"
 BLANK = 8
-#: The reduction of compressed size from which a template is compared word by word.
-LEAST_REDUCTION = 0.15
-BEST = 4
 #: Share of a template's words that must be in the block, in order.
 LEAST_COVERED = 0.9
 #: Words that name the licence: if one of these differs, the template is not confirmed.
 NAMING = re.compile(r"\d|^(nc|nd|sa|by|cc|cc0|mit|bsd|isc|apache|gnu|lesser|affero|mozilla|gpl|lgpl|agpl|mpl|attribution)$")
 WORD = re.compile(r"<\w+>|[\w.]*\w", re.UNICODE)
+PARAGRAPH = re.compile(r"\n\s*\n")
+
+
+class Template:
+    """The words of a notice, and where a text holds them."""
+
+    def __init__(self, text: str) -> None:
+        self.words = WORD.findall(text.lower())
+        self.fixed = Counter(w for w in self.words if w[0] != "<")
+        self.size = self.fixed.total()
+        self.names = {w for w in self.fixed if NAMING.search(w)}
+        self.may_lose = max(k for k in range(self.size + 1) if (self.size - k) / self.size >= LEAST_COVERED)
+        # Short notices that name no licence, such as "All rights reserved.", are only their wording.
+        self.may_add = len(self.words) + BLANK if self.names or self.size >= 10 else 1
+        self.reach = len(self.words) + self.may_add + BLANK * (len(self.words) - self.size)
+
+    def likely(self, have: Counter) -> bool:
+        """Could this many of its words be there? Loses no span."""
+        return all(w in have for w in self.names) and (self.fixed & have).total() >= self.size - self.may_lose
+
+    def spans(self, have: list[str], naming: list[bool]) -> list[tuple[int, int, int, int]]:
+        """(words lost, words added, first word, word after the end) of the best span for each end."""
+        # Best (lost, added, -first) with the template's words so far up to each word of the text.
+        row = {j: (0, 0, -j) for j in range(len(have) + 1)}
+        places: dict[str, list[int]] = {}
+        for j, w in enumerate(have):
+            places.setdefault(w, []).append(j)
+        for i, w in enumerate(self.words):
+            after: dict[int, tuple[int, int, int]] = {}
+            if w[0] == "<":
+                for j, state in row.items():
+                    for k in range(j, min(j + BLANK, len(have)) + 1):
+                        if k not in after or state < after[k]:
+                            after[k] = state
+            else:
+                for j in places.get(w, ()):
+                    if j in row:
+                        after[j + 1] = row[j]
+                if w not in self.names:
+                    for j, (lost, added, first) in row.items():
+                        state = (lost + 1, added, first)
+                        if lost < self.may_lose and (j not in after or state < after[j]):
+                            after[j] = state
+            row = after
+            if i + 1 < len(self.words):
+                for start in sorted(row):  # added words
+                    j = start
+                    while j < len(have) and not naming[j] and row[j][1] < self.may_add:
+                        lost, added, first = row[j]
+                        state = (lost, added + 1, first)
+                        j += 1
+                        if j in row and row[j] <= state:
+                            break
+                        row[j] = state
+        return [(lost, added, -first, j) for j, (lost, added, first) in row.items() if -first < j]
+
+    def differences(self, have: list[str]) -> list[str]:
+        out = []
+        for op, a, b, c, d in difflib.SequenceMatcher(None, self.words, have, autojunk=False).get_opcodes():
+            lost, got = self.words[a:b], have[c:d]
+            blanks = sum(w[0] == "<" for w in lost)
+            if op != "equal" and not (blanks and blanks == len(lost) and len(got) <= BLANK * blanks):
+                out.append(f"-{' '.join(lost)} +{' '.join(got)}")
+        return out
 
 
 @dataclass
@@ -79,67 +143,81 @@ class Scanner:
         self.zstd = zstandard
         self.alone = zstandard.ZstdCompressor(level=self.level, write_content_size=False, write_checksum=False)
         for name, text in self.templates:
-            words = WORD.findall(text.lower())
             # A raw dictionary has at least 8 bytes; short notices are repeated.
             raw = (text + "\n").encode()
             known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.ready.append((name, words, zstandard.ZstdCompressor(level=self.level, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)))
+            self.ready.append((name, Template(text), zstandard.ZstdCompressor(level=self.level, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)))
 
-    def rank(self, block: str) -> list[tuple[float, int]]:
-        """(reduction, template number), best first."""
+    def reduction(self, block: str, k: int) -> float:
+        """By how much the template as dictionary reduces the compressed size."""
         raw = block.encode("utf-8", "surrogatepass")
-        plain = len(self.alone.compress(raw))
-        found = [(1 - len(z.compress(raw)) / plain, k) for k, (_, _, z) in enumerate(self.ready)]
-        return sorted((x for x in found if x[0] >= LEAST_REDUCTION), key=lambda x: (-x[0], x[1]))
-
-    def confirm(self, block: str, k: int) -> tuple[float, list[str]] | None:
-        """(share of the template's words found, differences), or None."""
-        want, have = self.ready[k][1], WORD.findall(block.lower())
-        fixed = [w for w in want if w[0] != "<"]
-        same, changes = 0, []
-        for op, a, b, c, d in difflib.SequenceMatcher(None, want, have, autojunk=False).get_opcodes():
-            if op == "equal":
-                same += b - a
-                continue
-            lost, got = want[a:b], have[c:d]
-            blanks = [w for w in lost if w[0] == "<"]
-            if blanks and len(blanks) == len(lost) and len(got) <= BLANK * len(blanks):
-                continue
-            inside = c > 0 and d < len(have)
-            if any(NAMING.search(w) for w in lost) or inside and any(NAMING.search(w) for w in got):
-                return None
-            if lost or inside:
-                changes.append(f"-{' '.join(lost)} +{' '.join(got)}")
-        share = same / max(1, len(fixed))
-        return (share, changes) if share >= LEAST_COVERED else None
-
-    def best(self, block: str) -> tuple[str, float, float, list[str]] | None:
-        tried = [(self.confirm(block, k), r, k) for r, k in self.rank(block)[:BEST]]
-        good = [(c[0], r, -len(c[1]), -k, c[1]) for c, r, k in tried if c]
-        if not good:
-            return None
-        share, reduction, _, k, changes = max(good, key=lambda g: (len(self.ready[-g[3]][1]) * g[0], g[1], g[2], g[3]))
-        return self.ready[-k][0], reduction, share, changes
+        return 1 - len(self.ready[k][2].compress(raw)) / len(self.alone.compress(raw))
+
+    def windows(self, reach: int, cues: list[int], gaps: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """Runs of words within reach of a cue, merged, and cut to the gaps between used words."""
+        merged: list[list[int]] = []
+        for c in cues:
+            if merged and c - reach <= merged[-1][1]:
+                merged[-1][1] = c + reach + 1
+            else:
+                merged.append([c - reach, c + reach + 1])
+        g = 0
+        for a, b in merged:
+            while g < len(gaps) and gaps[g][1] <= a:
+                g += 1
+            k = g
+            while k < len(gaps) and gaps[k][0] < b:
+                yield max(a, gaps[k][0]), min(b, gaps[k][1])
+                k += 1
+
+    def notices(self, text: str, cue: re.Pattern) -> list[tuple[int, str, float, float, list[str]]]:
+        """(place in the text, name, reduction, share of words found, differences) of a paragraph's notices."""
+        at = [(m.start(), m.end()) for m in WORD.finditer(text)]
+        have = [text[a:b].lower() for a, b in at]
+        naming = [bool(NAMING.search(w)) for w in have]
+        ends = [b for _, b in at]
+        cues = [bisect.bisect_right(ends, m.start()) for m in cue.finditer(text)]
+        counted = Counter(have)
+        left = [k for k, (_, t, _) in enumerate(self.ready) if t.likely(counted)]
+        out, gaps = [], [(0, len(have))]
+        while left and gaps:
+            tried = []
+            for k in left:
+                t = self.ready[k][1]
+                for a, b in self.windows(t.reach, cues, gaps):
+                    if t.likely(Counter(have[a:b])):
+                        for lost, added, first, end in t.spans(have[a:b], naming[a:b]):
+                            block = text[at[a + first][0] : at[a + end - 1][1]]
+                            tried.append((lost - t.size, lost, added, -self.reduction(block, k), k, a + first, a + end))
+            taken: list[tuple[int, int]] = []  # sorted, apart
+            for _, lost, _, reduced, k, first, end in sorted(tried):
+                p = bisect.bisect_left(taken, (first, end))
+                if p < len(taken) and taken[p][0] < end or p and taken[p - 1][1] > first:
+                    continue
+                taken.insert(p, (first, end))
+                name, t, _ = self.ready[k]
+                out.append((at[first][0], name, -reduced, 1 - lost / t.size, t.differences(have[first:end])))
+            if len(taken) == len(tried):
+                break
+            rest = []
+            for a, b in gaps:
+                for first, end in taken[bisect.bisect_left(taken, (a, a)) : bisect.bisect_left(taken, (b, b))]:
+                    rest.append((a, first))
+                    a = end
+                rest.append((a, b))
+            gaps = [(a, b) for a, b in rest if a < b]
+        return sorted(out, key=lambda x: x[0])
 
     def scan(self, text: str) -> list[dict]:
         """Confirmed notices of a whole text, by line."""
         found, cue = [], re.compile(CUES)
-        lines = text.split("\n")
-        done = -1
-        for i, line in enumerate(lines):
-            if i <= done or not cue.search(line):
-                continue
-            last = i
-            while last + 1 < len(lines) and last - i < 40 and lines[last + 1].strip():
-                last += 1
-            blocks = [(i, line)] if last == i else [(last, " ".join(lines[i : last + 1])), (i, line)]
-            if len(line) > 4000:
-                blocks = [(i, s) for s in re.split(r"(?<=[.:;])\s+", line) if cue.search(s)]
-            for end, block in blocks:
-                if got := self.best(block[:]):
-                    found.append({"line": i, "license": got[0], "reduction": round(got[1], 4), "covered": round(got[2], 4), "differences": got[3]})
-                    done = end if got[2] == 1.0 and end > i and len(block) < 3 * len(line) else i
-                    break
+        breaks = [m.start() for m in re.finditer("\n", text)]
+        starts = [0, *(m.end() for m in PARAGRAPH.finditer(text)), len(text)]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            if cue.search(text, a, b):
+                for place, name, reduced, share, changes in self.notices(text[a:b], cue):
+                    line = bisect.bisect_left(breaks, a + place)
+                    found.append({"line": line, "license": name, "reduction": round(reduced, 4), "covered": round(share, 4), "differences": changes})
         return found
 
 

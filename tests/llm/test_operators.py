@@ -420,3 +420,19 @@ def test_pipeline_shows_the_mix(docs, rows, spark, tmp_path, monkeypatch):
     monkeypatch.setattr(mixing, "TARGETS", {"src0": 1, "src5": 9})
     second = order()
     assert sorted(first) == sorted(second) and first != second
+
+
+def prose(chars, seed=3):
+    rng = random.Random(seed)
+    vocab = "the of and river stone market said went over under while permission license work house software any all rights".split()
+    return " ".join(rng.choices(vocab, k=chars))[:chars]
+
+
+@pytest.mark.parametrize("chars", [300, 1000, 3000, 9000])
+def test_license_inside_a_long_line(chars):
+    scanner = licenses.Scanner()
+    for k, (name, text) in enumerate(licenses.TEMPLATES):
+        text = text.replace("<year>", "2019").replace("<holder>", "Jane Doe")
+        line = f"Title\n{prose(chars // 2, k)}. {text} {prose(chars // 2, k + 50)}"
+        got = [(n["line"], n["license"], n["covered"], n["differences"]) for n in scanner.scan(line)]
+        assert got == [(1, name, 1.0, [])], (name, got)
