@@ -436,3 +436,19 @@ def test_license_inside_a_long_line(chars):
         line = f"Title\n{prose(chars // 2, k)}. {text} {prose(chars // 2, k + 50)}"
         got = [(n["line"], n["license"], n["covered"], n["differences"]) for n in scanner.scan(line)]
         assert got == [(1, name, 1.0, [])], (name, got)
+
+
+def test_every_notice_of_a_block():
+    scanner = licenses.Scanner()
+
+    def got(text):
+        return [(n["line"], n["license"]) for n in scanner.scan(text)]
+
+    assert got("Copyright 2019 Jane Doe. All rights reserved.\nLicensed under the Apache License, Version 2.0.") == [(0, "All-Rights-Reserved"), (1, "Apache-2.0")]
+    assert got("Licensed under CC BY 4.0. Released under the MIT License. Released under the MIT License.") == [(0, "CC-BY-4.0"), (0, "MIT"), (0, "MIT")]
+    assert got("The copyright law is old. Copyright 2019 Jane Doe. All rights reserved.") == [(0, "All-Rights-Reserved")]
+    names = [(0, name) for name, _ in licenses.TEMPLATES]
+    texts = [t.replace("<year>", "2019").replace("<holder>", "Jane Doe") for _, t in licenses.TEMPLATES]
+    for line in (" ".join(texts), f" {prose(300)} ".join(texts)):  # over 4000 characters: GPL-3.0-or-later and the long Apache text are whole
+        assert got(line) == names
+    assert got(texts[3].replace(" ", "\n")) == [(0, "MIT")]
