@@ -56,6 +56,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("All-Rights-Reserved", "Copyright <year> <holder>. All rights reserved."),
+    ("All-Rights-Reserved", "All rights reserved."),
 )
 
 CUES = r"(?i)licen[sc]|copyright|©|\(c\)|spdx|public\s+domain|free\s+of\s+charge|redistribut|unencumbered|all\s+rights\s+reserved|\bcc0\b|\bcc\s+by"

@@ -452,3 +452,24 @@ def test_every_notice_of_a_block():
     for line in (" ".join(texts), f" {prose(300)} ".join(texts)):  # over 4000 characters: GPL-3.0-or-later and the long Apache text are whole
         assert got(line) == names
     assert got(texts[3].replace(" ", "\n")) == [(0, "MIT")]
+
+
+def test_license_scan_finds_every_literal_notice(spark):
+    from markloom.llm.queries import op9_license_scan
+
+    rows = [(i, f"Some prose.\n{t}\nMore prose.") for i, (_, t) in enumerate(licenses.TEMPLATES) if "<" not in t]
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    rows += [(1000 + r.doc_id, r.text) for r in given]
+    want = {}
+    for i, text in rows:
+        found = []
+        for k, line in enumerate((text or "").split("\n")):
+            held = [(len(t), name) for name, t in licenses.TEMPLATES if t in line]  # a line of the tables has one at most
+            found += [(k, max(held)[1])] if held else []
+        want[i] = (len(found), ",".join(sorted({n for _, n in found})), ",".join(str(k) for k, _ in found), len(found))
+    assert sum(w[1] == "All-Rights-Reserved" for i, w in want.items() if i >= 1000) > 0
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("markloom.llm.queries.table", lambda *_: table)
+        got = {r.doc_id: (r.n_notices, r.licenses, r.lines, r.n_exact) for r in op9_license_scan(spark, "").collect()}
+    assert got == want
