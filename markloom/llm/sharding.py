@@ -5,12 +5,12 @@ the bin with the tightest remaining room that still holds it, found in a balance
 remaining capacities; only if none fits is a bin opened. With a given shard count, the
 capacity is the smallest in a short ladder above the mean for which that many bins do.
 
-A group is all rows with equal text; it stays in one shard. The packing itself is
+A group is all rows with equal text; it stays in one shard if it fits. The packing itself is
 sequential, so its number of items is bounded whatever the table's size:
   * groups of at least 1/GRAIN of a shard are items of their own (at most GRAIN * shards),
   * smaller groups are dealt whole, by hash, to bundles of about 1/GRAIN of a shard,
-  * a group larger than half a shard cannot be packed evenly and is cut, by hash of the
-    doc_id, into pieces of about 1/GRAIN of a shard.
+  * a group larger than a shard (the mean of their sizes) is cut, by hash of the doc_id,
+    into pieces of about 1/GRAIN of a shard; all others stay whole, at any cost to balance.
 Only these sums reach the driver. Rows meet their shard by two joins with those bounded
 tables. Slots come from counts for each (input partition, shard), never from one task a shard.
 
@@ -162,7 +162,7 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
     large = groups.filter(F.col("bytes") >= grain).collect()  # at most GRAIN * shards + shards rows, as each has that share of the total
     bundle = F.pmod(F.xxhash64("group"), F.lit(bundles)).cast("int")
     small = groups.filter(F.col("bytes") < grain).groupBy(bundle.alias("bundle")).agg(F.sum("bytes").alias("bytes")).collect()
-    cut = {r["group"]: -(-r["bytes"] // grain) for r in large if 2 * r["bytes"] > total / shards}
+    cut = {r["group"]: -(-r["bytes"] // grain) for r in large if r["bytes"] * shards > total}
     items: list[tuple[int, tuple]] = [(r["bytes"], ("b", "", r["bundle"])) for r in small]
     items += [(r["bytes"], ("g", r["group"], 0)) for r in large if r["group"] not in cut]
     known = _lookup(spark, [(r["group"], cut.get(r["group"], 1)) for r in large], "group string, pieces long")

@@ -473,3 +473,24 @@ def test_license_scan_finds_every_literal_notice(spark):
         patch.setattr("markloom.llm.queries.table", lambda *_: table)
         got = {r.doc_id: (r.n_notices, r.licenses, r.lines, r.n_exact) for r in op9_license_scan(spark, "").collect()}
     assert got == want
+
+
+def test_sharding_keeps_groups_under_a_shard_whole(spark):
+    def placed(copies, others):
+        rows = [(i, f"group {g} text " * 12) for g, n in enumerate(copies) for i in range(1000 * g, 1000 * g + n)]
+        groups = {i: t for i, t in rows}
+        rows += [(10**6 + i, f"t{i:05d} " * 20) for i in range(others)]
+        got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 10).toPandas()
+        assert len(got) == len(rows)
+        mean = got["size"].sum() / 10
+        at = defaultdict(set)
+        for r in got.itertuples():
+            if r.doc_id in groups:
+                at[groups[r.doc_id]].add(r.shard)
+        share = [n * (len(f"group {g} text " * 12) + 16) / mean for g, n in enumerate(copies)]
+        return share, [len(v) for v in at.values()], got.groupby("shard")["size"].sum() / mean
+
+    share, shards, sizes = placed([400], 4800)
+    assert 0.75 < share[0] < 0.85 and shards == [1] and sizes.max() < 1.03 and sizes.min() > 0.9
+    share, shards, sizes = placed([300] * 11, 2200)  # two of them must share a shard
+    assert all(0.5 < s < 1 for s in share) and shards == [1] * 11 and sizes.max() < 2.05 * max(share)
