@@ -2,9 +2,10 @@
 
 1. A message's lines carry a quote level: the number of ``>`` that they start with. Runs of
    lines of one level are passages; level 0 is the author's own text, which is what stays.
-2. Quoted passages, whole and line by line, are normalised (lower case, white space
-   collapsed) and hashed. They are joined to the own text of messages of the same
-   conversation, likewise whole, by paragraph and by line. Of equal originals the earliest
+2. Quoted passages, whole and by paragraph, line and sentence, are normalised (lower case,
+   white space collapsed) and hashed. They are joined to the own text of messages of the
+   same conversation, likewise whole, by paragraph, line and sentence. A whole passage may
+   have any length, its parts at least LEAST_CHARS. Of equal originals the earliest
    counts, found by a pre-aggregated minimum, so a sentence that a conversation repeats a
    thousand times is one row of the join.
 3. A message answers the latest original among its shallowest linked quotes. The first
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 from markloom.llm._io import materialise
 from markloom.llm._ranks import ranked
 
-#: Quoted lines shorter than this say too little to be linked on their own.
+#: Parts of a quoted passage shorter than this say too little to be linked on their own.
 LEAST_CHARS = 12
+#: Sentence ends in normalised text: a mark, maybe a closing one, and a space; none after full-width marks.
+SENTENCE = r"""(?<=[.!?…]["')\]”’]?) +|(?<=[。！？])(?![。！？」』”’])|(?<=[。！？][」』”’])"""
 
 
 def _let(value: Column, body) -> Column:
@@ -74,11 +77,13 @@ def passages(text: Column) -> Column:
     return F.when(text.rlike(r"(?m)^[ \t]*>"), quoted).otherwise(whole)
 
 
-def _units(text: Column, breaks: list[str]) -> Column:
-    """Distinct hashes of a text whole and of its parts at each kind of break."""
-    parts = F.flatten(F.array(F.array(text), *[F.split(text, b) for b in breaks]))
-    long_enough = F.filter(F.transform(parts, normal), lambda x: F.length(x) >= LEAST_CHARS)
-    return F.array_distinct(F.transform(long_enough, lambda x: F.md5(F.encode(x, "UTF-8"))))
+def _units(text: Column, least: int) -> Column:
+    """Distinct hashes of a text whole, and of its paragraphs, lines and their sentences of at least so many characters."""
+    blocks = F.transform(F.concat(F.split(text, r"\n\s*\n"), F.split(text, r"\n")), normal)
+    sentences = F.flatten(F.transform(blocks, lambda x: F.transform(F.split(x, SENTENCE), F.trim)))
+    parts = F.filter(F.concat(blocks, sentences), lambda x: F.length(x) >= least)
+    whole = F.filter(F.array(normal(text)), lambda x: F.length(x) > 0)
+    return F.transform(F.array_distinct(F.concat(whole, parts)), lambda x: F.md5(F.encode(x, "UTF-8")))
 
 
 def link(messages: DataFrame) -> DataFrame:
@@ -92,12 +97,12 @@ def link(messages: DataFrame) -> DataFrame:
     own = F.array_join(F.transform(F.filter("parts", lambda p: p["level"] == 0), lambda p: p["text"]), "\n")
     base = materialise(base.select("conv_id", "turn", "role", F.btrim(own, F.lit(" \t\n\r")).alias("own_text"), F.filter("parts", lambda p: p["level"] > 0).alias("quotes")), "chat-base")
     quotes = base.filter(F.size("quotes") > 0).select("conv_id", "turn", F.posexplode("quotes").alias("no", "quote"))
-    keys = quotes.select("conv_id", "turn", "no", "quote.level", F.explode(_units(F.col("quote.text"), [r"\n"])).alias("key"))
+    keys = quotes.select("conv_id", "turn", "no", "quote.level", F.explode(_units(F.col("quote.text"), LEAST_CHARS)).alias("key"))
     keys = materialise(keys, "chat-keys")
     links = None
     if keys.head(1):
         wanted = keys.select("conv_id").distinct()
-        originals = base.join(wanted, "conv_id", "left_semi").select("conv_id", "turn", F.explode(_units(F.col("own_text"), [r"\n\s*\n", r"\n"])).alias("key"))
+        originals = base.join(wanted, "conv_id", "left_semi").select("conv_id", "turn", F.explode(_units(F.col("own_text"), 1)).alias("key"))
         first = originals.groupBy("conv_id", "key").agg(F.min("turn").alias("origin"))
         met = keys.join(first, ["conv_id", "key"]).filter("origin < turn")
         links = met.groupBy("conv_id", "turn").agg(

@@ -494,3 +494,22 @@ def test_sharding_keeps_groups_under_a_shard_whole(spark):
     assert 0.75 < share[0] < 0.85 and shards == [1] and sizes.max() < 1.03 and sizes.min() > 0.9
     share, shards, sizes = placed([300] * 11, 2200)  # two of them must share a shard
     assert all(0.5 < s < 1 for s in share) and shards == [1] * 11 and sizes.max() < 2.05 * max(share)
+
+
+def test_short_and_one_sentence_quotes(spark):
+    rows = [
+        (1, 0, "a", "Why not?"),
+        (1, 1, "b", "It is late. The shop on the corner has closed already. We stay."),
+        (1, 2, "a", "> Why not?\nBecause."),
+        (1, 3, "a", "> The shop on the corner\n> has closed already.\nPity."),
+        (1, 4, "b", "> we stay.\nGood."),
+        (1, 5, "a", "你好吗？我很好。"),
+        (1, 6, "b", "> 我很好。\n好"),
+        (1, 7, "a", "> Nobody said so. The shop on the corner has closed already.\nYes."),
+        (1, 8, "b", "> Never said. We stay.\nToo short a part of a passage."),
+        (1, 9, "b", "> \n>\nEmpty quote."),
+        (2, 1, "a", "> Why not?\nOther conversation."),
+    ]
+    got = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    parents = {(r.conv_id, r.turn): r.parent_turn for r in got}
+    assert parents == {(1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 1, (1, 4): 1, (1, 5): None, (1, 6): 5, (1, 7): 1, (1, 8): None, (1, 9): None, (2, 1): None}
