@@ -1,25 +1,24 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an indexed corpus.
-
-The reference that documents are parsed against is all earlier text, held as index
-blocks. A block is one hash range of *anchors*: in every window of MIN_WORDS words the
-smallest hash of ANCHOR_WORDS consecutive words. Equal windows have equal anchors, so a
-window can only match text that shares its anchor; about one word in eight is an anchor.
-
-1. Index: every document's anchors go to the block that owns them. Anchors that occur
-   once can't be part of a repeated window; their text is literal.
-2. Parse: at each word of the remaining documents, greedily, the window that starts there
-   is looked up by hash among the windows of its anchor. The earliest occurrence is the
-   reference source; a factor runs on as long as the next window has an earlier source
-   too. A factor therefore has at least MIN_WORDS words, and windows that straddle the
-   boundary of two factors are checked for themselves, so none is lost between them.
-3. Words covered by a factor are removed, whatever earlier removals did to the source.
+"""Substring dedup by hashes of word windows, found through an index of anchors.
+
+This is not a relative Lempel-Ziv parse: there are no factors with a source and a length,
+and texts are not compared word by word. What has to go is every word under a window of
+MIN_WORDS words that occurs earlier, and window hashes tell that without any source.
+
+1. Index: in every window the smallest hash of ANCHOR_WORDS consecutive words is its
+   *anchor*. Equal windows have equal anchors, so a window can only match text that shares
+   its anchor; about one word in eight is an anchor. Anchors that occur once can't be part
+   of a repeated window; their text stays.
+2. Windows: those with a repeated anchor are grouped by a 64-bit hash of their words. All
+   but the earliest of a group are marked.
+3. Words under marked windows are removed, whatever earlier removals did to the earliest;
+   ``spans`` are the runs of removed words.
 
 Only the anchor hashes (8 bytes for 8 words), the windows with a repeated anchor and the
 texts of documents that lose words are shuffled. Each task sends the first of its equal
 windows only, so a passage that a third of all documents share is a row a task.
 
-Windows are compared by a 64-bit hash; a clash would need two of them under anchors that
-are repeated, and a first occurrence in an earlier document.
+Words go on a hash match alone; a clash would need two windows of equal hash under anchors
+that are repeated, and a first occurrence in an earlier document.
 
 Defined results for odd input
     null text            no words
@@ -239,7 +238,7 @@ def _cover(flags: np.ndarray, size: int) -> np.ndarray:
 
 
 def _factors(size: int):
-    """Per document: the factor spans (start word, word after the end) and what is left."""
+    """Per document: the removed runs (start word, word after the end) and what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,7 +283,7 @@ def _filter(repeated: DataFrame) -> np.ndarray:
 
 
 def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, spans (factor bounds in words): a row for each input row."""
+    """doc_id, n_words, n_removed, kept_sha256, spans (bounds of removed runs, in words): a row for each input row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     index = materialise(
         rows.mapInArrow(_index(min_words, anchor_words), "doc_id long, n_words long, whole_sha256 string, anchors array<long>"), "rlz-index"
