@@ -23,7 +23,7 @@ that are repeated, and a first occurrence in an earlier document.
 Defined results for odd input
     null text            no words
     null doc_id          the row is returned whole; it is neither a source nor parsed
-    repeated doc_id      rows with the same id are one place: they don't remove each other
+    repeated doc_id      rows with the same id don't remove each other, whether their texts are equal or not
     under MIN_WORDS      nothing removed
     very long texts      whole texts; memory follows the longest single document
     empty table          empty result
@@ -111,18 +111,19 @@ def _bit(anchors: np.ndarray) -> np.ndarray:
 
 
 def _windows_to_owners(size: int, anchor: int, filter_words=None):
-    """Windows whose anchor is repeated: key, doc_id, start, starts.
+    """Windows whose anchor is repeated: key, doc_id, text_id, start, starts.
 
-    Of equal windows in this task only the first goes to the owner of its key, so no key
-    has more rows than there are tasks. The later ones are known to be repeats and travel
-    as ``starts``, one row a document, under a key of their own.
+    Of equal windows in this task only the first goes to the owner of its key (if the least
+    doc_id has several texts, the first in each), so no key has more rows than there are
+    tasks. The later ones are known to be repeats and travel as ``starts``, one row a
+    text, under a key of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, starts = [], [], []
+        keys, ids, texts, starts = [], [], [], []
         bits = None if filter_words is None else np.unpackbits(filter_words.value.view(np.uint8), bitorder="little").view(bool)
         for batch in batches:
-            hot = batch.column(2) if bits is None else None
+            hot = batch.column(3) if bits is None else None
             for a, b, words in chunks(batch.column(1)):
                 h = words.hashes()
                 fits, least, _ = _windows(words, h, size, anchor)
@@ -138,44 +139,53 @@ def _windows_to_owners(size: int, anchor: int, filter_words=None):
                 doc = np.searchsorted(words.first, at, side="right") - 1
                 keys.append(grams(h, size)[at])
                 ids.append(batch.column(0).to_numpy()[a:b][doc])
+                texts.append(batch.column(2).to_numpy()[a:b][doc])
                 starts.append((at - words.first[doc]).astype(np.int32))
         if not keys:
             return
-        key, doc, start = np.concatenate(keys), np.concatenate(ids), np.concatenate(starts)
-        del keys, ids, starts
-        order = np.lexsort((start, doc, key))
-        key, doc, start = key[order], doc[order], start[order]
-        first = np.ones(len(key), bool)
-        first[1:] = key[1:] != key[:-1]
-        yield from _rows(key[first], doc[first], start[first])
-        yield from _own_rows(doc[~first], start[~first])
+        key, doc, text, start = np.concatenate(keys), np.concatenate(ids), np.concatenate(texts), np.concatenate(starts)
+        del keys, ids, texts, starts
+        order = np.lexsort((start, text, doc, key))
+        key, doc, text, start = key[order], doc[order], text[order], start[order]
+        other_key, other_text = np.ones(len(key), bool), np.ones(len(key), bool)
+        other_key[1:] = key[1:] != key[:-1]
+        other_text[1:] = other_key[1:] | (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+        again = ~other_text  # a repeated row: the same place
+        again[1:] &= start[1:] == start[:-1]
+        least = doc[np.flatnonzero(other_key)][np.cumsum(other_key) - 1] if len(key) else doc
+        first = other_text & (doc == least)
+        late = ~first & ~again
+        yield from _rows(key[first], doc[first], text[first], start[first])
+        yield from _own_rows(doc[late], text[late], start[late])
 
     return run
 
 
-def _rows(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _rows(key: np.ndarray, doc: np.ndarray, text: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
     for a in range(0, len(key), ROWS):
         n = min(ROWS, len(key) - a)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key[a : a + n].astype(np.int64)), pa.array(doc[a : a + n]), pa.array(start[a : a + n]), pa.nulls(n, pa.binary())],
-            ["key", "doc_id", "start", "starts"],
+            [pa.array(key[a : a + n].astype(np.int64)), pa.array(doc[a : a + n]), pa.array(text[a : a + n]), pa.array(start[a : a + n]), pa.nulls(n, pa.binary())],
+            ["key", "doc_id", "text_id", "start", "starts"],
         )
 
 
-def _lists(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Documents, and all starts of each as int32 bytes."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order].astype("<i4")
-    cuts = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1)) if len(doc) else np.zeros(0, np.int64)
+def _lists(doc: np.ndarray, text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Documents and their texts, and all starts of each as int32 bytes."""
+    order = np.lexsort((start, text, doc))
+    doc, text, start = doc[order], text[order], start[order].astype("<i4")
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+    cuts = np.flatnonzero(new)
     raw = start.tobytes()
-    return doc[cuts], [raw[4 * a : 4 * b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(doc)], strict=True)]
+    return doc[cuts], text[cuts], [raw[4 * a : 4 * b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(doc)], strict=len(cuts) > 0)]
 
 
-def _own_rows(doc: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
-    names, lists = _lists(doc, start)
+def _own_rows(doc: np.ndarray, text: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    names, texts, lists = _lists(doc, text, start)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(mix(names.astype(np.uint64)).astype(np.int64)), pa.array(names), pa.nulls(len(names), pa.int32()), pa.array(lists, pa.binary())],
-        ["key", "doc_id", "start", "starts"],
+        [pa.array(mix(names.astype(np.uint64)).astype(np.int64)), pa.array(names), pa.array(texts), pa.nulls(len(names), pa.int32()), pa.array(lists, pa.binary())],
+        ["key", "doc_id", "text_id", "start", "starts"],
     )
 
 
@@ -183,49 +193,53 @@ def _later(slots: int):
     """All windows of this task's keys: those that an earlier document has, packed by slot of the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, starts, own_docs, own_starts = [], [], [], [], []
+        keys, docs, texts, starts, own_docs, own_texts, own_starts = [], [], [], [], [], [], []
         for batch in batches:
-            whole = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            whole = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
             if whole.any():
                 told = batch.filter(pa.array(whole))
-                lists = [np.frombuffer(x, "<i4") for x in told.column(3).to_pylist()]
-                own_docs.append(np.repeat(told.column(1).to_numpy(), [len(x) for x in lists]))
+                lists = [np.frombuffer(x, "<i4") for x in told.column(4).to_pylist()]
+                sizes = [len(x) for x in lists]
+                own_docs.append(np.repeat(told.column(1).to_numpy(), sizes))
+                own_texts.append(np.repeat(told.column(2).to_numpy(), sizes))
                 own_starts += lists
                 batch = batch.filter(pa.array(~whole))
             keys.append(batch.column(0).to_numpy())
             docs.append(batch.column(1).to_numpy())
-            starts.append(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int32))
+            texts.append(batch.column(2).to_numpy())
+            starts.append(batch.column(3).to_numpy(zero_copy_only=False).astype(np.int32))
         if not keys:
             return
-        key, doc, start = np.concatenate(keys), np.concatenate(docs), np.concatenate(starts)
+        key, doc, text, start = np.concatenate(keys), np.concatenate(docs), np.concatenate(texts), np.concatenate(starts)
         order = np.lexsort((doc, key))
-        key, doc, start = key[order], doc[order], start[order]
+        key, doc, text, start = key[order], doc[order], text[order], start[order]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         late = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else np.zeros(0, bool)
         doc = np.concatenate([doc[late], *own_docs])
+        text = np.concatenate([text[late], *own_texts])
         start = np.concatenate([start[late], *own_starts])
         slot = (mix(doc.astype(np.uint64)) % U(slots)).astype(np.int32)
         order = np.argsort(slot, kind="stable")
-        doc, start, slot = doc[order].astype("<i8"), start[order].astype("<i4"), slot[order]
+        doc, text, start, slot = doc[order].astype("<i8"), text[order].astype("<i8"), start[order].astype("<i4"), slot[order]
         cuts = np.append(np.flatnonzero(np.diff(slot, prepend=-1)), len(slot))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            yield pa.RecordBatch.from_pydict(
-                {"slot": pa.array([slot[a]], pa.int32()), "docs": pa.array([doc[a:b].tobytes()]), "starts": pa.array([start[a:b].tobytes()])}
-            )
+            packed = {"docs": doc, "texts": text, "starts": start}
+            yield pa.RecordBatch.from_pydict({"slot": pa.array([slot[a]], pa.int32()), **{k: pa.array([v[a:b].tobytes()]) for k, v in packed.items()}})
 
     return run
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The packed windows of this task's slots: doc_id, starts."""
-    docs, starts = [], []
+    """The packed windows of this task's slots: doc_id, text_id, starts."""
+    docs, texts, starts = [], [], []
     for batch in batches:
         docs += [np.frombuffer(x, "<i8") for x in batch.column(1).to_pylist()]
-        starts += [np.frombuffer(x, "<i4") for x in batch.column(2).to_pylist()]
+        texts += [np.frombuffer(x, "<i8") for x in batch.column(2).to_pylist()]
+        starts += [np.frombuffer(x, "<i4") for x in batch.column(3).to_pylist()]
     if docs:
-        names, lists = _lists(np.concatenate(docs), np.concatenate(starts))
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(lists, pa.binary())], ["doc_id", "starts"])
+        names, text, lists = _lists(np.concatenate(docs), np.concatenate(texts), np.concatenate(starts))
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(text), pa.array(lists, pa.binary())], ["doc_id", "text_id", "starts"])
 
 
 def _cover(flags: np.ndarray, size: int) -> np.ndarray:
@@ -291,20 +305,20 @@ def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     anchors = index.filter("doc_id is not null").select("doc_id", F.explode("anchors").alias("anchor"))
     repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     repeated = materialise(repeated, "rlz-repeated")
-    known = rows.filter("doc_id is not null")
-    schema = "key long, doc_id long, start int, starts binary"
+    known = rows.filter("doc_id is not null").withColumn("text_id", F.xxhash64("text"))
+    schema = "key long, doc_id long, text_id long, start int, starts binary"
     if repeated.count() <= FILTER_BITS // 8:
         bits = docs.sparkSession.sparkContext.broadcast(_filter(repeated))
-        windows = known.select("doc_id", "text").mapInArrow(_windows_to_owners(min_words, anchor_words, bits), schema)
+        windows = known.select("doc_id", "text", "text_id").mapInArrow(_windows_to_owners(min_words, anchor_words, bits), schema)
     else:
         hot = anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("hot"))
-        windows = known.join(hot, "doc_id").select("doc_id", "text", "hot").mapInArrow(_windows_to_owners(min_words, anchor_words), schema)
+        windows = known.join(hot, "doc_id").select("doc_id", "text", "text_id", "hot").mapInArrow(_windows_to_owners(min_words, anchor_words), schema)
     slots = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    later = windows.repartition("key").mapInArrow(_later(slots), "slot int, docs binary, starts binary")
-    given = materialise(later.repartition("slot").mapInArrow(_gather, "doc_id long, starts binary"), "rlz-given")
+    later = windows.repartition("key").mapInArrow(_later(slots), "slot int, docs binary, texts binary, starts binary")
+    given = materialise(later.repartition("slot").mapInArrow(_gather, "doc_id long, text_id long, starts binary"), "rlz-given")
     factored = (
-        semi_by_id(known, given.select("doc_id"), "doc_id")
-        .join(given, "doc_id")
+        semi_by_id(known, given.select("doc_id").distinct(), "doc_id")
+        .join(given, ["doc_id", "text_id"])
         .select("doc_id", "text", "starts")
         .mapInArrow(_factors(min_words), "doc_id long, whole_sha256 string, n_removed long, kept_sha256 string, spans array<array<int>>")
         .dropDuplicates(["doc_id", "whole_sha256"])

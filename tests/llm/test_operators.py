@@ -513,3 +513,26 @@ def test_short_and_one_sentence_quotes(spark):
     got = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     parents = {(r.conv_id, r.turn): r.parent_turn for r in got}
     assert parents == {(1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 1, (1, 4): 1, (1, 5): None, (1, 6): 5, (1, 7): 1, (1, 8): None, (1, 9): None, (2, 1): None}
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 8])
+@pytest.mark.parametrize("parts", [1, 2])
+def test_substring_repeated_rows(spark, monkeypatch, parts, bits):
+    monkeypatch.setattr(substring, "FILTER_BITS", bits)
+    one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    texts = [(1, one), (2, f"{two} x {two}"), (3, f"{one} {three}"), (5, f"{three} y"), (5, f"z {three} {three}"), (6, f"q {two} {three}")]
+    rows = [r for r in texts for _ in range(2)]  # one of each in each of two partitions
+    got = Counter()
+    table = spark.createDataFrame(spark.sparkContext.parallelize(rows[::2] + rows[1::2], parts), "doc_id long, text string")
+    for r in substring.parse(table).collect():
+        got[r.doc_id, r.n_words, r.n_removed, r.kept_sha256] += 1
+    want = Counter()
+    for i, text in rows:
+        before = {tuple(words(t)[k : k + 20]) for j, t in rows if j < i for k in range(len(words(t)) - 19)}
+        w, gone = words(text), set()
+        for k in range(len(w) - 19):
+            if tuple(w[k : k + 20]) in before:
+                gone.update(range(k, k + 20))
+            before.add(tuple(w[k : k + 20]))
+        want[i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()] += 1
+    assert got == want
