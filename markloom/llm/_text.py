@@ -55,10 +55,12 @@ class Words:
     ends: np.ndarray
     first: np.ndarray
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, salt: int = 0) -> np.ndarray:
+        """Hashes of all words; another salt means other byte weights."""
         n = len(self.data)
+        weights = mix(_WEIGHTS + U(salt)) | U(1) if salt else _WEIGHTS
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_WEIGHTS[self.data] * _power(_BASE, n), out=sums[1:], dtype=np.uint64)
+        np.cumsum(weights[self.data] * _power(_BASE, n), out=sums[1:], dtype=np.uint64)
         h = (sums[self.ends] - sums[self.starts]) * _power(_INVERSE, n + 1)[self.starts]
         return mix(h + (self.ends - self.starts).astype(np.uint64) * U(0xC2B2AE3D27D4EB4F))
 
