@@ -51,9 +51,9 @@ from markloom.llm._text import U, Words, chunks, grams, mix
 MIN_WORDS = 20
 ANCHOR_WORDS = 6
 #: Windows of a group of texts that are sorted together before the shuffle.
-GROUP_WINDOWS = 1 << 21
+GROUP_WINDOWS = 1 << 20
 #: Bytes of text for each owner of anchors.
-OWNER_BYTES = 12 << 20
+OWNER_BYTES = 8 << 20
 
 #: Blocks of the index (local false: runs of windows) and of found windows (local true).
 BLOCKS = "slot int, local boolean, docs binary, texts binary, starts binary, sizes binary, a binary, b binary, c binary"
@@ -397,8 +397,8 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cuts(known: DataFrame, slots: int, size: int, anchor: int, salt: int) -> DataFrame | None:
     """CUT rows of all documents that hold or are a source; None if hashes clashed."""
     blocks = known.mapInArrow(trimmed(_index(size, anchor, slots, salt)), BLOCKS)
-    found = blocks.repartition(slots, "slot").mapInArrow(trimmed(_owners(slots)), FOUND)
-    factors = materialise(found.repartition(slots, "slot").mapInArrow(trimmed(_parse(size)), FACTORS), "rlz-factors")
+    found = blocks.repartitionById(slots, "slot").mapInArrow(trimmed(_owners(slots)), FOUND)
+    factors = materialise(found.repartitionById(slots, "slot").mapInArrow(trimmed(_parse(size)), FACTORS), "rlz-factors")
     schema = "doc_id long, text_id int, asked_starts binary, asked_lengths binary"
     asked = factors.mapInArrow(_asked, schema).repartition("doc_id", "text_id").mapInArrow(_asked_together, schema)
     needs = materialise(factors.join(asked, ["doc_id", "text_id"], "full"), "rlz-needs")
