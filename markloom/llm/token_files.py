@@ -16,7 +16,8 @@ all lanes are packed side by side and any word is decoded without those before i
 
 Encoding uses the tokenizers library. A chunk of text from one single blank to the next
 is always a whole number of pre-tokens, so each distinct chunk is encoded once a group of
-texts; texts with other white space or runs of blanks are handed over whole.
+texts; texts with other white space or runs of blanks, or with the string of an added
+token, are handed over whole. Such strings become the token, which is the library's default.
 
 Defined results for odd input
     null text        empty: only the end id
@@ -30,6 +31,7 @@ Defined results for odd input
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -119,7 +121,11 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _FLOOR = np.array([max((n for n in PER_WORD if n <= k), default=0) for k in range(PER_WORD[0] + 1)], np.int64)
 
 
-def unpack(n: int, words: np.ndarray) -> np.ndarray:
+def unpack(n: int, words: np.ndarray, offsets: np.ndarray | None = None) -> np.ndarray:
+    """n ids from their words; with offsets, each lane's ids are placed from the lane's own first word.
+
+    ``words[offsets[k]:offsets[k + 1]]`` alone are the words of lane k, so any run of lanes may be given.
+    """
     out = np.zeros(n, np.uint64)
     selector = (words >> np.uint64(60)).astype(np.int64)
     #: A literal is known from the escape before it; a literal may itself look like an escape.
@@ -130,6 +136,9 @@ def unpack(n: int, words: np.ndarray) -> np.ndarray:
     per = np.array([*PER_WORD, 0, 0], np.int64)[selector]
     per[literal] = 1
     place = np.cumsum(per) - per
+    if offsets is not None and len(offsets) > 1:
+        lane = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets.astype(np.int64)))
+        place += (np.arange(len(offsets) - 1) * LANE - place[offsets[:-1].astype(np.int64) - int(offsets[0])])[lane]
     for k, count in enumerate(PER_WORD):
         mine = np.flatnonzero((selector == k) & ~literal)
         if len(mine):
@@ -151,7 +160,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        #: Texts that may hold an added token's string are encoded whole, as the library does by default.
+        added = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
+        self.whole_only = "|".join([ODD_SPACE, *added])
         vocabulary = self.model.get_vocab()
         self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, k in vocabulary.items():
@@ -214,7 +225,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each); no end ids."""
         texts = texts.fill_null("")
-        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False).astype(bool)
+        odd = pc.match_substring_regex(texts, self.whole_only).to_numpy(zero_copy_only=False).astype(bool)
         parts = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         words = parts.flatten()
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))]).astype(np.int64)
@@ -281,7 +292,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
-            ids = unpack(r["n"], np.frombuffer(r["words"], "<u8")).astype("<u4")
+            ids = unpack(r["n"], np.frombuffer(r["words"], "<u8"), np.frombuffer(r["offsets"], "<u4")).astype("<u4")
             counts = np.array(r["counts"], np.int64)
             ends = np.cumsum(counts)
             raw = memoryview(ids.tobytes())

@@ -254,6 +254,10 @@ def test_simple8b():
         ids = np.asarray(ids).astype(np.uint64)
         offsets, packed = token_files.pack(ids)
         assert (token_files.unpack(len(ids), packed) == ids).all()
+        assert (token_files.unpack(len(ids), packed, offsets) == ids).all()
+        if len(offsets) > 3:
+            part = ids[token_files.LANE : 3 * token_files.LANE]
+            assert (token_files.unpack(len(part), packed[offsets[1] : offsets[3]], offsets[1:4]) == part).all()
         # any lane is decoded from its offset alone
         for k in range(len(offsets) - 1):
             part = ids[k * token_files.LANE : (k + 1) * token_files.LANE]
@@ -265,8 +269,8 @@ def test_token_files(docs, rows, none, spark):
 
     path = tokenizer_path("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    more = [(900, "a\n \nb  c\n d"), (901, "x\n "), (902, "end\n"), (903, "\nstart\n\n mid <|endoftext|> z"), (904, " lead trail "), (905, "word. word, word.. é. 5. it's. a.\nb. X, don't, .. , ."), (906, "end."), (907, "a.b. c.,")]
+    assert model.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    more = [(900, "a\n \nb  c\n d"), (901, "x\n "), (902, "end\n"), (903, "\nstart\n\n mid <|endoftext|> z"), (904, " lead trail "), (905, "word. word, word.. é. 5. it's. a.\nb. X, don't, .. , ."), (906, "end."), (907, "a.b. c.,"), (908, "a <|endoftext|> b"), (909, "<|endoftext|><|endoftext|>x <|endoftext|>")]
     table = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
     got = {r.doc_id: tuple(r) for r in token_files.roundtrip(table, path).collect()}
     at = 0
