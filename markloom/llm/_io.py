@@ -15,17 +15,27 @@ BROADCAST_ROWS = 2_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is set.
+    Only where that is unset on one machine, as in tests, a temporary folder is set; on a
+    cluster that is an error, as executors would write to their own disks.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="markloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables that operators wrote to the shared folder; results not yet written elsewhere are lost."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/markloom")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/markloom/{tag}-{uuid.uuid4().hex}"
 
@@ -81,3 +91,11 @@ def semi_by_id(big: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """
     n = ids.count()
     return big.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, key, "left_semi")
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is not in the one column of ``gone`` (distinct, materialised); columns unchanged, whatever their names."""
+    name = f"_gone_{uuid.uuid4().hex}"
+    gone = gone.toDF(name)
+    ids = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(ids, docs[key] == ids[name], "left_anti")

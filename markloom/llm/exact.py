@@ -33,10 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from markloom.llm._io import materialise, semi_by_id
+from markloom.llm._io import materialise, semi_by_id, without
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: An owner has about 100,000 fingerprints until there are so many owners. Beyond that owners grow, not packets
+#: shrink: 50 billion rows are 12 million fingerprints an owner (100 MB), and packets of a 60,000-row partition still hold 15.
+MOST_OWNERS = 4096
+
 PACKETS = T.StructType(
     [
         T.StructField("part", T.IntegerType()),
@@ -120,10 +124,12 @@ def _fingerprints(bits: int, owners: int):
 
 def _answer(packets: pa.Table) -> pa.Table:
     """All packets of one owner: a bitmap for each, set where another partition has the value."""
-    sent = [golomb_decode(r["n"], r["rice"], r["high"], r["low"]) for r in packets.select(["n", "rice", "high", "low"]).to_pylist()]
-    values, counts = np.unique(np.concatenate(sent), return_counts=True)
-    shared = values[counts > 1]
-    maps = [np.packbits(np.isin(v, shared, assume_unique=True)).tobytes() for v in sent]
+    columns = [packets[name] for name in ("n", "rice", "high", "low")]
+    sent = [golomb_decode(n.as_py(), rice.as_py(), high.as_py(), low.as_py()) for n, rice, high, low in zip(*columns, strict=True)]
+    _, place, counts = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
+    shared = (counts > 1)[place]
+    ends = np.cumsum([len(v) for v in sent]).tolist()
+    maps = [np.packbits(shared[b - len(v) : b]).tobytes() for v, b in zip(sent, ends, strict=True)]
     return packets.select(["part", "owner"]).append_column("bitmap", pa.array(maps, pa.binary()))
 
 
@@ -154,8 +160,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fingerp
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = max(rows.count(), 1)
     bits = fingerprint_bits or min(60, max(16, total.bit_length() + 12))
-    # An owner handles about 100,000 fingerprints, so its task stays small at any size.
-    owners = owners or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 100_000))
+    owners = owners or min(MOST_OWNERS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 100_000)))
     packets = materialise(rows.mapInArrow(_fingerprints(bits, owners), PACKETS), "exact-packets")
     answers = (
         packets.select("part", "owner", "n", "rice", "high", "low")
@@ -182,8 +187,5 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fingerp
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with their own columns unchanged."""
-    gone = materialise(classes(docs, doc_id, text).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "exact-gone")
-    from markloom.llm._io import BROADCAST_ROWS
-
-    small = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    gone = classes(docs, doc_id, text).filter("not kept").select("doc_id").distinct()
+    return without(docs, materialise(gone, "exact-gone"), doc_id)

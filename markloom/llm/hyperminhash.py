@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm._io import BROADCAST_ROWS, materialise, semi_by_id, trimmed
+from markloom.llm._io import materialise, semi_by_id, trimmed, without
 from markloom.llm._text import U, Words, chunks, grams, mix
 from markloom.llm.components import components
 
@@ -313,7 +313,5 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component stays (the smallest doc_id); columns unchanged."""
-    gone = link(docs, doc_id, text, shingle, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = materialise(gone, "near-gone")
-    small = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    gone = link(docs, doc_id, text, shingle, percent).filter("not kept").select("doc_id").distinct()
+    return without(docs, materialise(gone, "near-gone"), doc_id)
