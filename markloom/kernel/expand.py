@@ -13,7 +13,6 @@ from markloom.config import DEFAULT, SiteConfig
 from markloom.kernel.parse import Node, clean, parse
 from markloom.kernel.titles import normalise
 
-MAX_DEPTH = 40
 HOOKS: dict[str, Callable[..., str]] = {}
 #: Always zero or empty without a database.
 ZERO = frozenset("revisionsize numberofarticles numberoffiles numberofusers numberofactiveusers numberofpages numberofadmins numberofedits numberingroup pagesincategory pagesize pageid".split())
@@ -145,7 +144,7 @@ class Expander:
         return self.expand(clean(text), {}, (), include=False, root=True)
 
     def expand(self, text: str, args: dict[str, str], stack: tuple[str, ...], include: bool = True, root: bool = False) -> str:
-        if len(stack) > MAX_DEPTH or "{{" not in text and "<" not in text:
+        if "{{" not in text and "<" not in text:
             return text
         tree = parse(text, self.config, include, last="brace")
         return self.render(tree, text, args if not root else None, stack)
@@ -165,8 +164,10 @@ class Expander:
 
     def one(self, c: Node, text: str, args: dict[str, str] | None, stack: tuple[str, ...]) -> str:
         raw = text[c.start : c.end]
-        if c.type in ("comment", "include", "noinclude"):
+        if c.type in ("comment", "include", "noinclude", "tvar"):
             return ""
+        if c.type in ("onlyinclude", "translate"):
+            return self.render(c, text, args, stack, c.inner)
         if c.type == "ext":
             return raw
         if c.type == "arg":

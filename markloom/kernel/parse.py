@@ -14,6 +14,7 @@ variant conversion.
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_left, insort
 from functools import lru_cache
 from operator import attrgetter
@@ -24,12 +25,19 @@ from markloom.kernel.titles import normalise
 FILL = ""  # a node
 VOID = ""  # a node that shows nothing, such as a comment
 PIPE = ""  # rest of a magic word that stands for a pipe
-WIKI_EXT = frozenset("indicator poem ref option tab tabs langconvert phonos".split())
+WIKI_EXT = frozenset("indicator poem ref option combooption tab tabs langconvert phonos".split())
+#: Stages that the inner text of a tag is not taken through.
+SKIPPED = {"poem": frozenset({"heading"}), "langconvert": frozenset({"list"}), "pre": frozenset({"list"})}
+#: Tags whose inner text is only these tags; what else is there shows nothing.
+NESTED = {"references": ("ref",), "choose": ("option", "choicetemplate"), "combobox": ("combooption",)}
 _START = attrgetter("start")
 STAGES = ("redirect", "ext", "brace", "html", "table", "rule", "link", "quote", "extlink", "url", "list", "convert")
-#: Regions and tables nest no deeper than this, open braces no deeper than MAX_NEST: more is text.
-MAX_DEPTH = 40
-MAX_NEST = 200
+#: Markup nests as deep as the page says; Python frames are on the heap, so this only has to be out of reach.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
+
+
+#: Without one of these a text holds no markup (digits are for RFC 1 and the like).
+_MARKS = frozenset("{}[]=<>'-_:;*#|0123456789")
 
 
 class Node:
@@ -50,7 +58,7 @@ class Node:
 @lru_cache(maxsize=8)
 def _patterns(key: int) -> dict[str, re.Pattern]:
     config = _configs[key]
-    ext = "|".join(sorted(config.ext, key=len, reverse=True)) or "(?!)"
+    ext = "|".join(sorted(config.ext - {"translate", "tvar"}, key=len, reverse=True)) or "(?!)"
     protocols = "|".join(map(re.escape, sorted(config.protocols, key=len, reverse=True))) or "(?!)"
     url = r"[^\s<>\"\[\]\x00-\x20|]"
     return {
@@ -70,6 +78,7 @@ HEADING = re.compile(rf"^(={{1,6}})(.+?)\1([ \t{VOID}]*)$", re.MULTILINE)
 ATTR = re.compile(rf"([^\s=<>\"'/{FILL}][^\s=<>/]*)(?:(\s*=\s*)(?:\"([^\"]*)(\"?)|'([^']*)('?)|([^\s\"'][^\s>]*)))?")
 RULE = re.compile(rf"^(-{{4,}})|__([A-Za-z]+)__", re.MULTILINE)
 LIST = re.compile(rf"^{VOID}*([;:*#]+)", re.MULTILINE)
+TVAR = re.compile(r"(<tvar\|[^>]+>).*?(</>)|(?i:(<tvar\s+name\s*=(?:\s*(?:\"[^\"]*\"|'[^']*'|[^\"'\s>]+))?\s*>).*?(</tvar\s*>))", re.DOTALL)
 QUOTE = re.compile(r"'{2,}")
 
 
@@ -82,8 +91,10 @@ class Parser:
         self.re = _patterns(id(config))
 
     def fill(self, start: int, end: int, char: str = FILL) -> None:
-        keep = "\n" if char == VOID else ""
-        self.mask[start:end] = [c if c == keep else char for c in self.mask[start:end]]
+        if char == VOID:
+            self.mask[start:end] = [c if c == "\n" else char for c in self.mask[start:end]]
+        else:
+            self.mask[start:end] = [char] * (end - start)
 
     def view(self, start: int, end: int) -> str:
         return "".join(self.mask[start:end])
@@ -102,15 +113,53 @@ class Parser:
                 node.props["target"] = target.title
                 self.fill(m.start(), m.end())
                 start = m.end()
+        if self.include and self._only(root):
+            return root
         self._ext(root, start, len(self.text), 0)
         self._region(root, 0, len(self.text), 2, 0)
         return root
 
+    def _only(self, root: Node) -> bool:
+        """A transcluded page with ``<onlyinclude>`` parts is only these; the rest of it shows nothing."""
+        found = list(re.finditer(r"<onlyinclude>(.*?)</onlyinclude>", self.text, re.DOTALL))
+        at = 0
+        for m in found:
+            if m.start() > at:
+                root.add(Node("noinclude", at, m.start()))
+            node = root.add(Node("onlyinclude", m.start(), m.end(), "onlyinclude", m.span(1)))
+            self._ext(node, *m.span(1), 1)
+            self._region(node, *m.span(1), 2, 1)
+            at = m.end()
+        if found and at < len(self.text):
+            root.add(Node("noinclude", at, len(self.text)))
+        return bool(found)
+
+    def _translate(self, parent: Node, start: int, end: int, depth: int) -> None:
+        """``<translate>`` with its ``<tvar>`` marks, where the wiki has them; nowiki comes first."""
+        view = self.view(start, end)
+        plain = re.sub(r"<nowiki>.*?</nowiki>", lambda m: FILL * len(m[0]), view, flags=re.DOTALL | re.IGNORECASE)
+        for m in re.finditer(r"<translate( nowrap)?>(.*?)</translate>", plain, re.DOTALL):
+            node = parent.add(Node("translate", start + m.start(), start + m.end(), "translate", (start + m.start(2), start + m.end(2))))
+            if m[1]:
+                node.add(Node("translate-attr", start + m.start(1), start + m.end(1)))
+            inner = node.add(Node("translate-inner", start + m.start(2), start + m.end(2)))
+            for t in TVAR.finditer(m[2]):
+                for k in range(1, 5):
+                    if t[k] is not None:
+                        a, b = inner.start + t.start(k), inner.start + t.end(k)
+                        inner.add(Node("tvar", a, b, "tvar", closing=str(k % 2 == 0).lower()))
+                        self.fill(a, b, VOID)
+            self._ext(inner, inner.start, inner.end, depth + 1)
+            self._region(inner, inner.start, inner.end, 2, depth + 1)
+            self.fill(node.start, node.end)
+
     # -- comments, inclusion tags, extension tags
 
     def _ext(self, parent: Node, start: int, end: int, depth: int) -> None:
         if self.last < 1:
             return
+        if "translate" in self.config.ext and depth == 0:
+            self._translate(parent, start, end, depth)
         found: list[Node] = []
         pos, view = 0, self.view(start, end)
         if "<" not in view:
@@ -148,16 +197,24 @@ class Parser:
             x, y = start + m.start(6), start + m.end(6)
             node.inner = (x, y)
             inner = node.add(Node("ext-inner", x, y, name))
-            if name in WIKI_EXT and depth < MAX_DEPTH:
+            if name in WIKI_EXT or name == "pre" and node.attrs.get("format") == "wikitext":
                 self._ext(inner, x, y, depth + 1)
-                self._region(inner, x, y, 2, depth + 1)
+                self._region(inner, x, y, 2, depth + 1, SKIPPED.get(name, frozenset()))
+            elif name == "pre":
+                for m in re.finditer(r"(<nowiki>).*?(</nowiki>)", self.text[x:y], re.DOTALL | re.IGNORECASE):
+                    inner.add(Node("noinclude", x + m.start(1), x + m.end(1), "nowiki"))
+                    inner.add(Node("noinclude", x + m.start(2), x + m.end(2), "nowiki"))
+            elif name in NESTED:
+                self._nested(inner, x, y, name, depth)
+            elif name == "hiero":
+                for m in re.finditer(r"<!--(.*?)-->", self.text[x:y], re.DOTALL):
+                    inner.add(Node("comment", x + m.start(), x + m.end(), inner=(x + m.start(1), x + m.end(1)), closed="true"))
             elif name == "gallery":
                 self._gallery(inner, x, y, depth)
             elif name == "imagemap":
                 self._imagemap(inner, x, y, depth)
             elif name == "charinsert":
-                for w in re.finditer(r"\S+", self.text[x:y]):
-                    inner.add(Node("charinsert-item", x + w.start(), x + w.end(), w[0]))
+                self._charinsert(inner, x, y)
             elif name == "categorytree":
                 title = normalise(self.text[x:y], 14, self.config)
                 if title.valid and title.main:
@@ -165,14 +222,43 @@ class Parser:
             elif name == "poll":
                 for w in re.finditer(r"[^\n]+", self.text[x:y]):
                     inner.add(Node("poll-line", x + w.start(), x + w.end()))
-            elif name == "references" and depth < MAX_DEPTH:
-                self._ext(inner, x, y, depth + 1)
-            elif name in ("inputbox", "dynamicpagelist"):
-                self._param_lines(inner, x, y)
+            elif name in ("inputbox", "dynamicpagelist", "seo"):
+                self._param_lines(inner, x, y, "|" if name == "seo" else "\n")
         return node
 
-    def _param_lines(self, parent: Node, start: int, end: int) -> None:
+    def _nested(self, parent: Node, start: int, end: int, name: str, depth: int) -> None:
+        """Only the allowed child tags are kept; for references, comments and calls as well."""
+        if name == "references":
+            self._ext(parent, start, end, depth + 1)
+            self._braces(parent, start, end, depth + 1, frozenset({"heading"}))
+            parent.children = [c if c.type != "ext" or c.name in NESTED[name] else Node("noinclude", c.start, c.end) for c in parent.children]
+        else:
+            flags = re.DOTALL | (re.IGNORECASE if name == "combobox" else re.NOFLAG)
+            tag = re.compile(rf"<()()()({'|'.join(NESTED[name])})(\s[^>]*?)?(?:/>|>(.*?)</\4\s*>)", flags)
+            for m in tag.finditer(self.text[start:end]):
+                parent.add(self._ext_tag(m, start, depth + 1))
+        at = start
+        for c in [*parent.children, None]:
+            stop = c.start if c else end
+            if self.text[at:stop].strip():
+                parent.add(Node("noinclude", at, stop, name))
+            at = c.end if c else end
+        parent.children.sort(key=_START)
+
+    def _charinsert(self, parent: Node, start: int, end: int) -> None:
+        """Lines of items; ``a+b`` goes around the cursor, a nowiki part is one item's text."""
         for m in re.finditer(r"[^\n]+", self.text[start:end]):
+            line = parent.add(Node("charinsert-line", start + m.start(), start + m.end()))
+            for w in re.finditer(r"(?:<nowiki>.*?</nowiki>|\S)+", m[0], re.IGNORECASE):
+                text = re.sub(r"(?i)<nowiki>(.*?)</nowiki>", r"\1", w[0])
+                before, plus, after = text.partition("+")
+                if not before:
+                    before, plus, after = text, "", ""
+                item = line.add(Node("charinsert-item", line.start + w.start(), line.start + w.end(), text))
+                item.props |= {"before": before, "after": after, "pair": str(bool(plus)).lower()}
+
+    def _param_lines(self, parent: Node, start: int, end: int, separator: str = "\n") -> None:
+        for m in re.finditer(rf"[^{re.escape(separator)}]+", self.text[start:end]):
             key, sep, value = m[0].partition("=")
             if sep:
                 a = start + m.start()
@@ -254,7 +340,9 @@ class Parser:
     # -- a region through the later stages
 
     def _region(self, parent: Node, start: int, end: int, stage: int, depth: int, skip: frozenset[str] = frozenset()) -> None:
-        if depth > MAX_DEPTH or start >= end:
+        if start >= end:
+            return
+        if _MARKS.isdisjoint(self.mask[start:end]):
             return
         steps = (None, None, self._braces, self._html, self._tables, self._rules, self._links, self._quotes, self._extlinks, self._urls, self._lists, self._converters)
         for k in range(stage, min(self.last, 11) + 1):
@@ -315,7 +403,7 @@ class Parser:
         last_close = max(view.rfind("}}"), view.rfind("]]"))
         for m in BRACE.finditer(view):
             token, at = m[0], m.start()
-            if token[0] == "{" and at < last_close and len(stack) < MAX_NEST:
+            if token[0] == "{" and at < last_close:
                 stack.append(["{", at + len(token), len(token), [], []])
             elif token == "[[":
                 stack.append(["[", at + 2, 2, [], []])
@@ -458,7 +546,7 @@ class Parser:
             body = line.lstrip(" \t" + VOID)
             lead = len(line) - len(body)
             indent = re.match(r"[:\s]*", body)[0] if body.startswith((":", "{|")) else ""
-            if body[len(indent) :].startswith("{|") and len(stack) < MAX_DEPTH:
+            if body[len(indent) :].startswith("{|"):
                 x = at + lead + len(indent)
                 stack.append({"start": x, "attrs": (x + 2, stop), "rows": [], "row": None, "parts": []})
                 continue
@@ -669,42 +757,99 @@ class Parser:
 
     def _lists(self, parent: Node, start: int, end: int, depth: int, skip: frozenset[str]) -> None:
         view = self.view(start, end)
+        last, after = "", -1  # the prefix of the line before, and where the next line begins
         for m in LIST.finditer(view):
+            stop = view.find("\n", m.end())
+            stop = len(view) if stop < 0 else stop
+            prefix = m[1]
+            levels = prefix.replace(";", ":")
+            common = 0
+            if m.start() == after:
+                while common < min(len(levels), len(last)) and levels[common] == last[common]:
+                    common += 1
+            last, after = levels, stop + 1
             a = start + m.start(1)
-            node = Node("list", a, a + len(m[1]), m[1], prefix=m[1])
-            self._take(parent, node, [], 12, depth)
-            if ";" in m[1]:
-                line = view[m.end() : (view.find("\n", m.end()) + 1 or len(view) + 1) - 1]
-                colon = line.find(":")
-                if colon >= 0:
-                    x = start + m.end() + colon
-                    self._take(parent, Node("dd", x, x + 1, ":"), [], 12, depth)
+            self._take(parent, Node("list", a, a + len(prefix), prefix, prefix=prefix, common=str(common)), [], 12, depth)
+            terms = self._terms(prefix, common)
+            if terms:
+                self._definitions(parent, start + m.end(), start + stop, terms, depth)
+
+    @staticmethod
+    def _terms(prefix: str, common: int) -> int:
+        """How many terms a line opens; levels that it shares with the line before are open already."""
+        new = prefix[common - 1 :] if common > 1 else prefix
+        terms = new.count(";")
+        if common > 1 and new.startswith(";"):
+            shared = prefix[: common - 1]
+            terms += shared.count(";") + (shared[0] != ";") if ";" in shared else 0
+        return terms
+
+    def _definitions(self, parent: Node, start: int, end: int, terms: int, depth: int) -> None:
+        """Colons that end the terms of a line: outside of tags, of bold and italic text and of conversions."""
+        lo, hi = bisect_left(parent.children, start, key=_START), bisect_left(parent.children, end, key=_START)
+        marks: list[tuple[int, str, Node | None]] = [(c.start, c.type, c) for c in parent.children[lo:hi] if c.type in ("html", "quote")]
+        marks += [(start + m.start(), m[0], None) for m in re.finditer(r":+|-\{|\}-", self.view(start, end))]
+        tags = conversions = 0
+        bold = italic = False
+        for at, kind, node in sorted(marks, key=lambda x: x[0]):
+            if kind in ("-{", "}-"):
+                conversions = max(0, conversions + (1 if kind == "-{" else -1))
+            elif conversions:
+                continue
+            elif kind == "html":
+                closing, alone = node.props["closing"] == "true", node.props["selfClosing"] == "true"
+                if node.name in self.config.html_paired or not alone and node.name not in self.config.html_void:
+                    tags = max(0, tags - 1) if closing else tags + 1
+            elif kind == "quote":
+                if node.props["bold"] == "true":
+                    tags, bold = (max(0, tags - 1) if bold else tags + 1), not bold
+                if node.props["italic"] == "true":
+                    tags, italic = (max(0, tags - 1) if italic else tags + 1), not italic
+            elif not tags:
+                n = min(len(kind), terms)
+                self._take(parent, Node("dd", at, at + n, kind[:n]), [], 12, depth)
+                terms -= n
+                if not terms:
+                    return
 
     # -- variant conversion
 
     def _converters(self, parent: Node, start: int, end: int, depth: int, skip: frozenset[str]) -> None:
+        """``-{flags|rules}-``, inner ones first."""
         if not self.config.variants:
             return
         view = self.view(start, end)
-        for m in re.finditer(r"-\{([^{}]*)\}-", view):
-            a, b = start + m.start(), start + m.end()
-            node = Node("converter", a, b)
-            flags, bar, rest = m[1].partition("|")
-            x = a + 2
-            if bar:
-                box = Node("converter-flags", x, x + len(flags))
-                at = x
-                for f in flags.split(";"):
-                    box.add(Node("converter-flag", at, at + len(f), f.strip()))
-                    at += len(f) + 1
-                node.add(box)
-                node.props["flags"] = ";".join(f.strip() for f in flags.split(";"))
-                x += len(flags) + 1
-            else:
-                rest = flags
-            for r in re.finditer(r"[^;]+", rest):
-                node.add(Node("converter-rule", x + r.start(), x + r.end(), r[0].partition(":")[0].strip()))
-            self._take(parent, node, [], 12, depth)
+        opened: list[int] = []
+        for m in re.finditer(r"-\{(?!\{)|\}-", view):
+            if m[0] == "-{":
+                opened.append(m.start())
+            elif opened:
+                self._converter(parent, start + opened.pop(), start + m.end(), depth)
+
+    def _converter(self, parent: Node, a: int, b: int, depth: int) -> None:
+        body = self.view(a + 2, b - 2)
+        node = Node("converter", a, b, inner=(a + 2, b - 2))
+        flags, bar, rest = body.partition("|")
+        x = a + 2
+        if bar:
+            box = Node("converter-flags", x, x + len(flags))
+            at = x
+            for f in flags.split(";"):
+                box.add(Node("converter-flag", at, at + len(f), f.strip()))
+                at += len(f) + 1
+            node.add(box)
+            node.props["flags"] = ";".join(f.strip() for f in flags.split(";"))
+            x += len(flags) + 1
+        else:
+            rest = flags
+        for r in re.finditer(r"[^;]+", rest):
+            lang, colon, text = r[0].partition(":")
+            origin, arrow, target = lang.partition("=>")
+            variant = (target if arrow else origin).strip().lower()
+            rule = node.add(Node("converter-rule", x + r.start(), x + r.end(), variant if colon else ""))
+            if colon and variant in self.config.variants:
+                rule.props |= {"variant": variant, "from": origin.strip() if arrow else "", "to": self.text[x + r.end() - len(text) : x + r.end()].strip()}
+        self._take(parent, node, [], 12, depth)
 
 
 def balanced_quotes(line: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -749,44 +894,83 @@ def parse(text: str | None, config: SiteConfig = DEFAULT, include: bool = False,
     return Parser(clean(text), config, include, last, page).run()
 
 
-HIDDEN = frozenset("comment include noinclude double-underscore hidden category".split())
+HIDDEN = frozenset("comment include noinclude tvar double-underscore hidden category".split())
 
+#: Columns of a node row, in the order in which ``table`` makes them.
+FIELDS = (
+    "node_id parent_id depth last_id ordinal elem_ordinal type name start end inner_start inner_end data attrs props text anc line col end_line end_col"
+).split()
 
-def rows(root: Node, text: str):
-    """Pre-order rows of the tree with text leaves: the node table of one page."""
-    out: list[dict] = []
 
-    def visit(node: Node, parent: int | None, depth: int, ordinal: int, elem: int, anc: list[dict]) -> str:
-        me = len(out)
-        row = {
-            "node_id": me, "parent_id": parent, "depth": depth, "last_id": me, "ordinal": ordinal, "elem_ordinal": elem, "type": node.type,
-            "name": node.name, "start": node.start, "end": node.end, "inner_start": node.inner[0], "inner_end": node.inner[1],
-            "anc": anc, "data": None, "text": "", "attrs": node.attrs, "props": node.props,
-        }
-        out.append(row)
-        below = [*anc, {"id": me, "type": node.type}]
-        at, k, e, shown = node.start, 0, 0, []
+def table(root: Node, text: str, want: frozenset[str] = frozenset(FIELDS), types: frozenset[str] | None = None) -> list[list]:
+    """Pre-order rows of the tree with text leaves, as lists in the order of FIELDS.
 
-        def leaf(a: int, b: int) -> None:
-            nonlocal k
-            if b > a:
-                i = len(out)
-                out.append({"node_id": i, "parent_id": me, "depth": depth + 1, "last_id": i, "ordinal": k, "elem_ordinal": None, "type": "text", "name": None, "start": a, "end": b, "inner_start": a, "inner_end": b, "anc": below, "data": text[a:b], "text": text[a:b], "attrs": {}, "props": {}})
-                shown.append(text[a:b])
-                k += 1
-
-        for child in sorted(node.children, key=lambda c: (c.start, c.end)):
+    Only wanted columns are worked out (others are None) and only rows of wanted types are
+    made; node numbers are those of the whole tree.
+    """
+    out: list[list] = []
+    shows, chains, placed = "text" in want or "props" in want, "anc" in want, bool(want & {"line", "col", "end_line", "end_col"})
+    breaks = [-1, *(m.start() for m in re.finditer("\n", text))] if placed else []
+    count = 0
+
+    def row(values: list, a: int, b: int) -> list:
+        if placed:
+            x, y = bisect_left(breaks, a) - 1, bisect_left(breaks, b) - 1
+            values += [x, a - breaks[x] - 1, y, b - breaks[y] - 1]
+        else:
+            values += [None, None, None, None]
+        out.append(values)
+        return values
+
+    leaves = types is None or "text" in types
+
+    def visit(node: Node, parent: int | None, depth: int, ordinal: int, elem: int, anc: tuple) -> str:
+        nonlocal count
+        me, mine = count, None
+        count += 1
+        if types is None or node.type in types:
+            mine = row([me, parent, depth, me, ordinal, elem, node.type, node.name, node.start, node.end, *node.inner, None, node.attrs, node.props, "", anc], node.start, node.end)
+        below = (*anc, (me, node.type)) if chains else ()
+        at, k, e = node.start, 0, 0
+        shown: list[str] = []
+        for child in sorted(node.children, key=_SPAN) if len(node.children) > 1 else node.children:
             if child.start < at and child.start != child.end:
                 continue  # overlapping leftovers of malformed markup stay text
-            leaf(at, child.start)
+            if child.start > at:
+                if leaves:
+                    row([count, me, depth + 1, count, k, None, "text", None, at, child.start, at, child.start, text[at : child.start], {}, {}, text[at : child.start] if shows else "", below], at, child.start)
+                if shows:
+                    shown.append(text[at : child.start])
+                count, k = count + 1, k + 1
             shown.append(visit(child, me, depth + 1, k, e, below))
+            if child.type == "heading-title":
+                node.props["source"] = text[child.start : child.end]
+                if shows:
+                    node.props["title"] = shown[-1].strip()
             k, e = k + 1, e + 1
             at = max(at, child.end)
-        if node.children or node.type in ("root",) or node.end > node.start:
-            leaf(at, node.end)
-        row["last_id"] = len(out) - 1
-        row["text"] = "" if node.type in HIDDEN else "".join(shown)
-        return row["text"]
+        if node.end > at:
+            if leaves:
+                row([count, me, depth + 1, count, k, None, "text", None, at, node.end, at, node.end, text[at : node.end], {}, {}, text[at : node.end] if shows else "", below], at, node.end)
+            if shows:
+                shown.append(text[at : node.end])
+            count += 1
+        made = "".join(shown) if shows and node.type not in HIDDEN else ""
+        if mine is not None:
+            mine[3] = count - 1
+            mine[15] = made
+        return made
+
+    visit(root, None, 0, 0, 0, ())
+    return out
+
+
+_SPAN = attrgetter("start", "end")
+
 
-    visit(root, None, 0, 0, 0, [])
+def rows(root: Node, text: str) -> list[dict]:
+    """The node table of one page as dictionaries."""
+    out = [dict(zip(FIELDS, r, strict=True)) for r in table(root, text)]
+    for r in out:
+        r["anc"] = [{"id": i, "type": t} for i, t in r["anc"]]
     return out

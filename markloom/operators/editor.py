@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from markloom.operators.structure import positions, prop, references, sections
+from markloom.operators.structure import prop, references, sections
 
 
-def folding_ranges(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    """page_id, kind, start_line, end_line of sections, tables and multi-line templates."""
-    found = sections(nodes, pages).select("page_id", F.lit("section").alias("kind"), "start", (F.col("end") - 1).alias("end"))
-    more = nodes.filter(F.col("type").isin("table", "template", "magic-word")).select("page_id", F.col("type").alias("kind"), "start", "end")
-    both = found.unionByName(more)
-    a = positions(both, pages, "start").withColumnRenamed("line", "start_line").drop("col")
-    b = positions(a, pages, "end").withColumnRenamed("line", "end_line").drop("col")
-    return b.filter("end_line > start_line").select("page_id", "kind", "start_line", "end_line")
+def folding_ranges(nodes: DataFrame) -> DataFrame:
+    """page_id, kind, start_line, end_line of sections, tables and multi-line templates, from positions of the parse.
 
+    A section ends on the line before the heading that ends it, or on the page's last line.
+    """
+    heads = nodes.filter(F.col("type").isin("heading", "root"))
+    level, is_root = prop("level").cast("int"), F.col("type") == "root"
+    last = F.max(F.when(is_root, F.col("end_line"))).over(Window.partitionBy("page_id"))
+    after = Window.partitionBy("page_id").orderBy("start").rowsBetween(1, Window.unboundedFollowing)
+    stop = None
+    for k in range(1, 7):
+        nxt = F.min(F.when(level <= k, F.col("line"))).over(after)
+        stop = F.when(level == k, nxt) if stop is None else stop.when(level == k, nxt)
+    folded = heads.select("page_id", F.lit("section").alias("kind"), F.col("line").alias("start_line"), F.coalesce(stop - 1, last).alias("end_line"), is_root.alias("_root")).filter("not _root").drop("_root")
+    more = nodes.filter(F.col("type").isin("table", "template", "magic-word")).select("page_id", F.col("type").alias("kind"), F.col("line").alias("start_line"), F.col("end_line"))
+    return folded.unionByName(more).filter("end_line > start_line")
 
-def document_symbols(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+
+def document_symbols(nodes: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """The heading outline: each section with its parent section's node."""
     return sections(nodes, pages).select("page_id", "node_id", "level", "heading", "parent_section", "start", "end")
 

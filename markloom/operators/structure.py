@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -69,45 +70,86 @@ def resolve_redirects(found: DataFrame, redirects: DataFrame, small: bool = Fals
     return found.join(F.broadcast(r) if small else r, "target", "left").withColumn("resolved", F.coalesce("resolved", "target"))
 
 
-def sections(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    """Lead and heading sections; a section ends where a heading of its level or above begins."""
-    heads = nodes.filter(F.col("type") == "heading").select("page_id", "node_id", prop("level").cast("int").alias("level"), "start", "end", "inner_start", "inner_end")
-    titles = nodes.filter(F.col("type") == "heading-title").select("page_id", F.col("parent_id").alias("node_id"), F.trim("text").alias("heading"))
-    size = pages.select("page_id", F.length(F.regexp_replace("text", r"[\x00\x7F]|\r(?=\n|\z)", "")).alias("size"))
-    here = heads.join(titles, ["page_id", "node_id"]).join(size, "page_id")
+def sections(nodes: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Heading sections; a section ends where a heading of its level or above begins, the last ones with the page.
+
+    ``nodes`` has the ``heading`` rows, with props, and the ``root`` rows, which tell the lengths of
+    the pages; without those, ``pages`` gives the lengths.
+    """
+    heads = nodes.filter(F.col("type").isin("heading", "root")).select(
+        "page_id", "node_id", prop("level").cast("int").alias("level"), prop("title").alias("heading"), "start", "end", F.lit(None).cast("int").alias("size")
+    )
+    if pages is not None:
+        from markloom.plans.parse import cleaned
+
+        none = F.lit(None)
+        sizes = pages.select("page_id", F.lit(-1).alias("node_id"), none.cast("int").alias("level"), none.cast("string").alias("heading"), F.lit(0).alias("start"), F.length(cleaned(F.col("text"))).alias("end"), F.length(cleaned(F.col("text"))).alias("size"))
+        heads = heads.filter("level is not null").unionByName(sizes)
+    size = F.max(F.when(F.col("level").isNull(), F.col("end"))).over(Window.partitionBy("page_id"))
+    here = heads.withColumn("size", size)
     after = Window.partitionBy("page_id").orderBy("start").rowsBetween(1, Window.unboundedFollowing)
     before = Window.partitionBy("page_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    stop, above = None, None
+    stop, above, name = None, None, None
     for k in range(1, 7):
         nxt = F.min(F.when(F.col("level") <= k, F.col("start"))).over(after)
-        up = F.max(F.when(F.col("level") < k, F.col("node_id"))).over(before)
+        up = F.max(F.when(F.col("level") < k, F.struct("node_id", "heading"))).over(before)
         stop = F.when(F.col("level") == k, nxt) if stop is None else stop.when(F.col("level") == k, nxt)
         above = F.when(F.col("level") == k, up) if above is None else above.when(F.col("level") == k, up)
-    number = F.row_number().over(Window.partitionBy("page_id").orderBy("start"))
-    body = here.select("page_id", "node_id", number.alias("section_no"), "level", "heading", "start", F.coalesce(stop, "size").alias("end"), above.alias("parent_id"))
-    return body.withColumn("parent_section", F.col("parent_id")).drop("parent_id")
+    number = F.count("level").over(Window.partitionBy("page_id").orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
+    body = here.select("page_id", "node_id", number.cast("int").alias("section_no"), "level", "heading", "start", F.coalesce(stop, "size").alias("end"), above.alias("_up"))
+    return body.filter("level is not null").select("page_id", "node_id", "section_no", "level", "heading", "start", "end", F.col("_up.node_id").alias("parent_section"), F.col("_up.heading").alias("parent_heading"))
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a page in, its headings in order; one row a heading out, with its anchor."""
+    for batch in batches:
+        ids, nodes, found = [], [], []
+        for page_id, heads in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            used: set[str] = set()
+            for h in heads:
+                base = re.sub(r"[ \t_]+", "_", h["heading"] or "")
+                name, k = base, 1
+                while name.lower() in used:
+                    k += 1
+                    name = f"{base}_{k}"
+                used.add(name.lower())
+                ids.append(page_id)
+                nodes.append(h["node_id"])
+                found.append(name)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int32()), pa.array(found, pa.string())], ["page_id", "node_id", "anchor"])
 
 
 def anchors(found: DataFrame) -> DataFrame:
-    """Section anchors, made unique by _2, _3, ... (case-insensitively)."""
-    base = F.regexp_replace("heading", r"[ \t_]+", "_")
-    k = F.row_number().over(Window.partitionBy("page_id", F.lower(base)).orderBy("start"))
-    return found.withColumn("anchor", F.when(k == 1, base).otherwise(F.concat_ws("_", base, k.cast("string"))))
+    """Section anchors: page_id, node_id, anchor, made unique by _2, _3, ... (case-insensitively).
+
+    Which number is free depends on all names before it, so a page's headings are named in order.
+    """
+    heads = F.transform(F.array_sort(F.collect_list(F.struct("start", "node_id", "heading"))), lambda h: F.struct(h["node_id"].alias("node_id"), h["heading"].alias("heading")))
+    return found.groupBy("page_id").agg(heads.alias("heads")).mapInArrow(_anchor_rows, "page_id long, node_id int, anchor string")
 
 
 def contents(found: DataFrame) -> DataFrame:
     """Numbers of a table of contents, 1, 1.1, 1.2, ...: the place among siblings, below the parent's number.
 
-    Six heading levels make the path at most six steps, so it is five joins with the parents.
+    A page's headings are folded in order over a stack of the open ones, which has at most six and
+    a bottom: (level, children so far, number).
     """
-    place = F.row_number().over(Window.partitionBy("page_id", F.coalesce("parent_section", F.lit(-1))).orderBy("start")).cast("string")
-    rows = found.select("page_id", "node_id", "parent_section", "heading", "start", place.alias("number"), F.col("parent_section").alias("up"))
-    tops = rows.select("page_id", F.col("node_id").alias("up"), F.col("number").alias("above"), F.col("parent_section").alias("further"))
-    for _ in range(5):
-        rows = rows.join(tops, ["page_id", "up"], "left").select(
-            "page_id", "node_id", "parent_section", "heading", "start", F.when(F.col("above").isNull(), F.col("number")).otherwise(F.concat_ws(".", "above", "number")).alias("number"), F.col("further").alias("up"),
-        )
-    return rows.select("page_id", "node_id", "heading", "start", "number")
+    entry = "struct<level: int, children: int, number: string>"
+    line = F.struct(F.col("start"), F.col("node_id"), F.col("level"), F.col("heading"))
+    start = F.struct(F.array(F.struct(F.lit(0).alias("level"), F.lit(0).alias("children"), F.lit("").alias("number"))).cast(f"array<{entry}>").alias("open"), F.array().cast("array<string>").alias("numbers"))
+
+    def step(state: Column, h: Column) -> Column:
+        left = F.filter(state["open"], lambda e: e["level"] < h["level"])
+        parent = F.element_at(left, -1)
+        place = parent["children"] + 1
+        number = F.concat(F.when(parent["number"] == "", F.lit("")).otherwise(F.concat(parent["number"], F.lit("."))), place.cast("string"))
+        counted = F.struct(parent["level"].alias("level"), place.alias("children"), parent["number"].alias("number"))
+        mine = F.struct(h["level"].alias("level"), F.lit(0).alias("children"), number.alias("number"))
+        return F.struct(F.concat(F.slice(left, 1, F.size(left) - 1), F.array(counted, mine)).cast(f"array<{entry}>").alias("open"), F.concat(state["numbers"], F.array(number)).alias("numbers"))
+
+    pages = found.groupBy("page_id").agg(F.array_sort(F.collect_list(line)).alias("heads"))
+    told = pages.select("page_id", F.arrays_zip("heads", F.aggregate("heads", start, step, lambda s: s["numbers"]).alias("number")).alias("z"))
+    return told.select("page_id", F.explode("z").alias("z")).select("page_id", F.col("z.heads.node_id").alias("node_id"), F.col("z.heads.heading").alias("heading"), F.col("z.heads.start").alias("start"), F.col("z.number").alias("number"))
 
 
 def tables_as_rows(nodes: DataFrame) -> DataFrame:
@@ -135,14 +177,14 @@ def move_rows(rows: DataFrame, order) -> DataFrame:
 def move_column(rows: DataFrame, at: int, to: int) -> DataFrame:
     cells = F.col("cells")
     rest = F.filter(cells, lambda c, i: i != at)
-    moved = F.concat(F.slice(rest, 1, to), F.slice(cells, at + 1, 1), F.slice(rest, to + 1, 10_000))
+    moved = F.concat(F.slice(rest, 1, to), F.slice(cells, at + 1, 1), F.slice(rest, F.lit(to + 1), F.size(rest) + 1))
     return rows.withColumn("cells", F.when(F.size(cells) > max(at, to), moved).otherwise(cells))
 
 
 def insert_column(rows: DataFrame, at: int, value: str, head: str | None = None) -> DataFrame:
     first = F.col("row") == 0
     cell = F.struct(F.when(first & F.lit(head is not None), "th").otherwise("td").alias("subtype"), F.when(first & F.lit(head is not None), head or "").otherwise(value).alias("value"))
-    return rows.withColumn("cells", F.concat(F.slice("cells", 1, at), F.array(cell), F.slice("cells", at + 1, 10_000)))
+    return rows.withColumn("cells", F.concat(F.slice("cells", 1, at), F.array(cell), F.slice("cells", F.lit(at + 1), F.size("cells") + 1)))
 
 
 def remove_column(rows: DataFrame, at: int) -> DataFrame:
@@ -243,31 +285,49 @@ def table_cells(nodes: DataFrame) -> DataFrame:
 
 def lines(pages: DataFrame) -> DataFrame:
     """page_id, line (0-based), start, text."""
-    cut = F.split("text", "\n")
-    rows = pages.select("page_id", F.posexplode(cut).alias("line", "text"))
+    from markloom.plans.parse import cleaned
+
+    rows = pages.select("page_id", F.posexplode(F.split(cleaned(F.col("text")), "\n")).alias("line", "text"))
     w = Window.partitionBy("page_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     return rows.select("page_id", "line", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)).cast("int").alias("start"), "text")
 
 
 def positions(found: DataFrame, pages: DataFrame, at: str = "start") -> DataFrame:
-    """Add ``line`` and ``col`` of an offset, from the text before it."""
-    text = pages.select("page_id", F.col("text").alias("_text"))
-    head = F.left("_text", F.col(at))
-    line = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
-    col = F.length(F.substring_index(head, "\n", -1))
-    return found.join(text, "page_id").withColumns({"line": line, "col": col}).drop("_text")
+    """Add ``line`` and ``col`` of any offset: the nearest line start at or before it, page by page.
+
+    Nodes have their own positions already, as columns of the parse.
+    """
+    starts = lines(pages).select("page_id", F.col("start").alias("_at"), F.lit(0).alias("_k"), "line", F.lit(None).cast(found.schema).alias("_row"))
+    asked = found.select("page_id", F.col(at).cast("int").alias("_at"), F.lit(1).alias("_k"), F.lit(None).cast("int").alias("line"), F.struct("*").alias("_row"))
+    before = Window.partitionBy("page_id").orderBy("_at", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    line = F.last(F.when(F.col("_k") == 0, F.struct("line", "_at")), ignorenulls=True).over(before)
+    met = starts.unionByName(asked).withColumn("_line", line).filter("_k = 1")
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in found.columns if c not in ("line", "col")]
+    return met.select(*kept, F.col("_line.line").alias("line"), (F.col("_at") - F.col("_line._at")).alias("col"))
 
 
-def template_closure(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """edges(source, target) -> transitive (source, target), by semi-naive rounds with a visited set."""
+def offsets(points: DataFrame, pages: DataFrame) -> DataFrame:
+    """points(page_id, line, col) with ``at``: null beyond the page's lines or the line's end."""
+    known = lines(pages).select("page_id", "line", F.col("start").alias("_a"), F.length("text").alias("_n"))
+    inside = (F.col("col") >= 0) & (F.col("col") <= F.col("_n"))
+    return points.join(known, ["page_id", "line"], "left").withColumn("at", F.when(inside, F.col("_a") + F.col("col"))).drop("_a", "_n")
+
+
+def template_closure(edges: DataFrame) -> DataFrame:
+    """edges(source, target) -> transitive (source, target), until a round finds nothing new.
+
+    Known paths are joined with known paths, so a chain of n links takes log2 n rounds.
+    """
     from markloom.sources.shared import materialise
 
     known = materialise(edges.select("source", "target").distinct(), "closure")
     fresh = known
-    for _ in range(rounds):
-        step = fresh.join(edges.select(F.col("source").alias("target"), F.col("target").alias("next")), "target").select("source", F.col("next").alias("target")).distinct()
+    while True:
+        on = known.select(F.col("source").alias("target"), F.col("target").alias("next"))
+        longer = fresh.join(on, "target").select("source", F.col("next").alias("target"))
+        back = known.join(fresh.select(F.col("source").alias("target"), F.col("target").alias("next")), "target").select("source", F.col("next").alias("target"))
+        step = longer.unionAll(back).distinct()
         fresh = materialise(step.join(known, ["source", "target"], "left_anti"), "closure")
         if not fresh.head(1):
             return known
         known = materialise(known.unionAll(fresh), "closure")
-    return known

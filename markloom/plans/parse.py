@@ -1,69 +1,101 @@
 """Pages to the node table: one kernel pass per page inside mapInArrow.
 
 ``columns`` and ``types`` are pushed into the kernel by hand, since Catalyst does not prune
-through mapInArrow. A page that can't be parsed never fails the task: it is left out of the
-nodes and appears in ``bad_records``.
+through mapInArrow: what is not asked for is not worked out. A page on which the kernel
+fails stops the query with its page_id; with ``errors="mark"`` it becomes one row of type
+``error`` instead, and ``bad_records`` lists such pages with their texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from markloom.config import DEFAULT, SiteConfig
 from markloom.schema import BAD, NODES
 
-#: Longer pages go to the bad records; a page of this length parses in seconds.
-MAX_CHARS = 8_000_000
 ROWS = 20_000
+#: Inputs of up to this many bytes a core, by the optimizer's estimate, are dealt out over all cores before the kernel.
+SMALL_BYTES = 32 << 20
 
-_ARROW = {
-    "page_id": pa.int64(), "anc": pa.list_(pa.struct([("id", pa.int32()), ("type", pa.string())])), "type": pa.string(), "name": pa.string(),
-    "data": pa.string(), "text": pa.string(), "attrs": pa.map_(pa.string(), pa.string()), "props": pa.map_(pa.string(), pa.string()),
-}
 
+class PageError(RuntimeError):
+    """The kernel failed on a page."""
 
-def _batch(rows: list[dict], columns: list[str]) -> pa.RecordBatch:
-    arrays = []
-    for c in columns:
-        values = [r[c] for r in rows]
-        if c in ("attrs", "props"):
-            values = [list(v.items()) for v in values]
-        arrays.append(pa.array(values, _ARROW.get(c, pa.int32())))
-    return pa.RecordBatch.from_arrays(arrays, columns)
 
+def cleaned(text: Column) -> Column:
+    """The text that offsets refer to."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00\x7F]|\r(?=\n|\z)", "")
 
-def _pages(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
-        yield from batch.to_pylist()
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small batch input over all cores; large ones keep the partitions of their files, so nothing big is shuffled.
+
+    Kernels need about a millisecond of Python for 3 kB of text, so a file of a few megabytes in
+    one task would leave the other cores idle.
+    """
+    if df.isStreaming or not hasattr(df, "_jdf"):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= cores * SMALL_BYTES else df
+
+
+def _lists(values: list, of) -> tuple[pa.Array, list]:
+    """(offsets, all items) of a column of sized values."""
+    offsets = pa.array([0, *accumulate(map(len, values))], pa.int32())
+    return offsets, list(chain.from_iterable(map(of, values)))
+
+
+def _column(name: str, values: list) -> pa.Array:
+    if name in ("attrs", "props"):
+        offsets, items = _lists(values, dict.items)
+        keys, cells = zip(*items, strict=True) if items else ((), ())
+        return pa.MapArray.from_arrays(offsets, pa.array(keys, pa.string()), pa.array(cells, pa.string()))
+    if name == "anc":
+        offsets, items = _lists(values, iter)
+        ids, types = zip(*items, strict=True) if items else ((), ())
+        pairs = pa.StructArray.from_arrays([pa.array(ids, pa.int32()), pa.array(types, pa.string())], ["id", "type"])
+        return pa.ListArray.from_arrays(offsets, pairs)
+    kind = pa.int64() if name == "page_id" else pa.string() if name in ("type", "name", "data", "text") else pa.int32()
+    return pa.array(values, kind)
+
+
+def _batch(ids: list, found: list[list], columns: list[str], fields: list[str]) -> pa.RecordBatch:
+    made = dict(zip(fields, zip(*found, strict=True), strict=True)) if found else {f: () for f in fields}
+    made["page_id"] = ids
+    return pa.RecordBatch.from_arrays([_column(c, list(made[c])) for c in columns], columns)
+
+
+def _kernel(config: SiteConfig, columns: list[str], types: frozenset[str] | None, last: str, errors: str):
+    want = frozenset(columns)
 
-def _kernel(config: SiteConfig, columns: list[str], types: frozenset[str] | None, last: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from markloom.kernel.parse import clean, parse, rows
-
-        out: list[dict] = []
-        for page in _pages(batches):
-            text = clean(page["text"])
-            if len(text) > MAX_CHARS:
-                continue
-            try:
-                found = rows(parse(text, config, bool(page["include"]), last, page["title"] or ""), text)
-            except Exception:  # noqa: BLE001, S112 - shown by bad_records
-                continue
-            for r in found:
-                if types is None or r["type"] in types:
-                    r["page_id"] = page["page_id"]
-                    out.append(r)
-            if len(out) >= ROWS:
-                yield _batch(out, columns)
-                out = []
-        if out:
-            yield _batch(out, columns)
+        from markloom.kernel.parse import FIELDS, clean, parse, table
+
+        ids: list = []
+        found: list[list] = []
+        for batch in batches:
+            for page_id, title, body, include in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                text = clean(body)
+                try:
+                    rows = table(parse(text, config, bool(include), last, title or ""), text, want, types)
+                except Exception as e:
+                    if errors == "raise":
+                        raise PageError(f"page_id {page_id}: {type(e).__name__}: {e}") from e
+                    rows = [[0, None, 0, 0, 0, 0, "error", type(e).__name__, 0, len(text), 0, len(text), str(e), {}, {}, "", (), 0, 0, 0, 0]]
+                found += rows
+                ids += [page_id] * len(rows)
+                if len(ids) >= ROWS:
+                    yield _batch(ids, found, columns, FIELDS)
+                    ids, found = [], []
+        if ids:
+            yield _batch(ids, found, columns, FIELDS)
 
     return run
 
@@ -73,45 +105,41 @@ def _input(pages: DataFrame) -> DataFrame:
     title = F.col("title") if "title" in have else F.lit("")
     ns = F.col("ns") if "ns" in have else F.lit(0)
     include = F.col("include") if "include" in have else (ns == 10) | title.endswith("/doc")
-    return pages.select("page_id", title.alias("title"), "text", include.cast("boolean").alias("include"))
+    return spread(pages.select("page_id", title.alias("title"), "text", include.cast("boolean").alias("include")))
 
 
 def parse(
-    pages: DataFrame, config: SiteConfig = DEFAULT, columns: list[str] | None = None, types: list[str] | None = None, last: str = "convert"
+    pages: DataFrame, config: SiteConfig = DEFAULT, columns: list[str] | None = None, types: list[str] | None = None, last: str = "convert", errors: str = "raise"
 ) -> DataFrame:
     """pages(page_id, text[, title, ns, include]) -> nodes. Works on batch and streaming frames."""
     columns = ["page_id", *[c for c in (columns or NODES.fieldNames()) if c != "page_id"]]
     schema = T.StructType([NODES[c] for c in columns])
     keep = frozenset(types) if types else None
-    return _input(pages).mapInArrow(_kernel(config, columns, keep, last), schema)
+    return _input(pages).mapInArrow(_kernel(config, columns, keep, last, errors), schema)
 
 
 def bad_records(pages: DataFrame, config: SiteConfig = DEFAULT) -> DataFrame:
-    """Pages that the kernel refuses, with the reason; run it again after a fix to replay them."""
+    """Pages on which the kernel fails, with the reason; run it again after a fix to replay them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from markloom.kernel.parse import clean, rows
+        from markloom.kernel.parse import clean, table
         from markloom.kernel.parse import parse as tree
 
-        for page in _pages(batches):
-            error, text = None, clean(page["text"])
-            if len(text) > MAX_CHARS:
-                error = f"longer than {MAX_CHARS} characters"
-            else:
+        for batch in batches:
+            for page in batch.to_pylist():
+                text = clean(page["text"])
                 try:
-                    rows(tree(text, config, bool(page["include"])), text)
+                    table(tree(text, config, bool(page["include"])), text)
                 except Exception as e:  # noqa: BLE001
-                    error = f"{type(e).__name__}: {e}"
-            if error:
-                yield pa.RecordBatch.from_pylist(
-                    [{"page_id": page["page_id"], "title": page["title"], "error": error, "text": page["text"]}],
-                    pa.schema([("page_id", pa.int64()), ("title", pa.string()), ("error", pa.string()), ("text", pa.string())]),
-                )
+                    yield pa.RecordBatch.from_pylist(
+                        [{"page_id": page["page_id"], "title": page["title"], "error": f"{type(e).__name__}: {e}", "text": page["text"]}],
+                        pa.schema([("page_id", pa.int64()), ("title", pa.string()), ("error", pa.string()), ("text", pa.string())]),
+                    )
 
     return _input(pages).mapInArrow(run, BAD)
 
 
 def wikitext(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """The source of every node: a slice of its page by offsets."""
-    text = pages.select("page_id", F.regexp_replace("text", r"[\x00\x7F]|\r(?=\n|\z)", "").alias("_page"))
+    text = pages.select("page_id", cleaned(F.col("text")).alias("_page"))
     return nodes.join(text, "page_id").withColumn("source", F.substring("_page", F.col("start") + 1, F.col("end") - F.col("start"))).drop("_page")

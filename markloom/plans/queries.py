@@ -32,6 +32,10 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+#: What sections are made from.
+HEADINGS = ["node_id", "type", "start", "end", "props"]
+
+
 def html_pages(spark: SparkSession, d: str) -> DataFrame:
     return fx.read(spark, d, "pages").select("page_id", F.col("url").alias("title"), F.col("html").alias("text"))
 
@@ -185,15 +189,14 @@ SELECT c_custkey AS page_id, k AS section_no, level, heading, parent, n_chars FR
 """)
 def sections_outline(spark, d):
     pages = fx.customers(spark, d)
-    found = structure.sections(parse(pages, types=["heading", "heading-title"]), pages)
-    names = found.select("page_id", F.col("node_id").alias("parent_section"), F.col("heading").alias("parent"))
-    return found.join(names, ["page_id", "parent_section"], "left").select("page_id", "section_no", "level", "heading", "parent", (F.col("end") - F.col("start")).alias("n_chars"))
+    found = structure.sections(parse(pages, types=["heading", "root"], last="brace", columns=HEADINGS))
+    return found.select("page_id", "section_no", "level", "heading", F.col("parent_heading").alias("parent"), (F.col("end") - F.col("start")).alias("n_chars"))
 
 
 @query("SELECT c_custkey AS page_id, unnest(['Account', 'Details', c_mktsegment, 'Details_2']) AS anchor FROM customer")
 def section_anchors(spark, d):
     pages = fx.customers(spark, d)
-    return structure.anchors(structure.sections(parse(pages, types=["heading", "heading-title"]), pages)).select("page_id", "anchor")
+    return structure.anchors(structure.sections(parse(pages, types=["heading", "root"], last="brace", columns=HEADINGS))).select("page_id", "anchor")
 
 
 @query("""
@@ -247,12 +250,29 @@ def matched_tags(spark, d):
 @query("SELECT c_custkey AS page_id, unnest([1, 2, 3, 4, 6]) AS line, unnest([0, 0, 0, 0, 4]) AS col FROM customer")
 def line_col(spark, d):
     pages = fx.customers(spark, d)
-    nodes = parse(pages, types=["heading", "list", "ext"])
+    nodes = parse(pages, types=["heading", "list", "ext"], columns=["type", "start", "line", "col"])
+    first = nodes.groupBy("page_id", "type").agg(F.array_sort(F.collect_list(F.struct("start", "line", "col"))).alias("s"))
+    some = first.select("page_id", F.explode(F.when(F.col("type") == "list", F.col("s")).otherwise(F.slice("s", 1, 1))).alias("s"))
+    return some.select("page_id", "s.line", "s.col")
+
+
+@query(SQL["line_col"])
+def offset_to_position(spark, d):
+    """The same positions from offsets alone."""
+    pages = fx.customers(spark, d)
+    nodes = parse(pages, types=["heading", "list", "ext"], columns=["type", "start"])
     first = nodes.groupBy("page_id", "type").agg(F.array_sort(F.collect_list("start")).alias("s"))
     some = first.select("page_id", F.explode(F.when(F.col("type") == "list", F.col("s")).otherwise(F.slice("s", 1, 1))).alias("start"))
     return structure.positions(some, pages).select("page_id", "line", "col")
 
 
+@query("SELECT c_custkey AS page_id, line, col, CASE WHEN col > len(l[line + 1]) OR line >= len(l) THEN NULL ELSE coalesce(list_sum([len(x) + 1 FOR x IN l[1:line]]), 0) + col END::INTEGER AS at FROM (SELECT c_custkey, ['{{Segment|' || c_mktsegment || '}}', '== Account ==', '* nation ' || c_nationkey] AS l, unnest([1, 2, 2, 0]) AS line, unnest([0, 3, 90, 2]) AS col FROM customer)")
+def position_to_offset(spark, d):
+    pages = fx.customers(spark, d)
+    asked = F.explode(F.array(*[F.struct(F.lit(a).alias("line"), F.lit(b).alias("col")) for a, b in ((1, 0), (2, 3), (2, 90), (0, 2))])).alias("p")
+    return structure.offsets(pages.select("page_id", asked).select("page_id", "p.line", "p.col"), pages)
+
+
 @query(f"SELECT page_id, '#aabb0' || (l_linenumber % 10) AS colour, 170 AS red, 187 AS green, (l_linenumber % 10)::INTEGER AS blue FROM ({_LINES})")
 def style_colours(spark, d):
     found = editor.colours(parse(fx.orders(spark, d), types=["table-attr"]))
@@ -270,13 +290,13 @@ def inlay_hints(spark, d):
 @query("SELECT l_orderkey AS page_id, 0 AS start_line, (3 + 2 * count(*))::INTEGER AS end_line FROM lineitem GROUP BY 1")
 def folding_ranges(spark, d):
     pages = fx.orders(spark, d)
-    return editor.folding_ranges(parse(pages, types=["table", "heading", "heading-title"]), pages).select("page_id", "start_line", "end_line")
+    return editor.folding_ranges(parse(pages, types=["table", "heading", "root"])).select("page_id", "start_line", "end_line")
 
 
 @query("SELECT c_custkey AS page_id, unnest(['1', '1.1', '2', '2.1']) AS number, unnest(['Account', 'Details', c_mktsegment, 'Details']) AS heading FROM customer")
 def toc(spark, d):
     pages = fx.customers(spark, d)
-    found = structure.sections(parse(pages, types=["heading", "heading-title"]), pages)
+    found = structure.sections(parse(pages, types=["heading", "root"], last="brace", columns=HEADINGS))
     return structure.contents(found).select("page_id", "number", "heading")
 
 

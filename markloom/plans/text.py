@@ -12,14 +12,16 @@ from markloom.config import DEFAULT, SiteConfig
 from markloom.functions.titles import normalise
 from markloom.operators.lint import apply_fixes
 from markloom.operators.structure import template_closure
-from markloom.plans.parse import parse
+from markloom.plans.parse import PageError, parse, spread
 from markloom.sources.shared import materialise
 
 #: Template stores of up to this many characters travel as one broadcast map.
 BROADCAST_CHARS = 32_000_000
 
 
-def _map_text(pages: DataFrame, fn: Callable[[dict], str], column: str, extra: tuple[str, ...] = ()) -> DataFrame:
+def _map_text(pages: DataFrame, fn: Callable[[dict], str], column: str, extra: tuple[str, ...] = (), errors: str = "raise") -> DataFrame:
+    """fn over whole pages. A page on which it fails stops the query; with ``errors="null"`` its text is null."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
@@ -27,28 +29,40 @@ def _map_text(pages: DataFrame, fn: Callable[[dict], str], column: str, extra: t
             for r in rows:
                 try:
                     out.append(fn(r))
-                except Exception:  # noqa: BLE001 - null text marks a page that failed
+                except Exception as e:
+                    if errors == "raise":
+                        raise PageError(f"page_id {r['page_id']}: {type(e).__name__}: {e}") from e
                     out.append(None)
             yield pa.RecordBatch.from_arrays([pa.array([r["page_id"] for r in rows], pa.int64()), pa.array(out, pa.string())], ["page_id", column])
 
     title = F.col("title") if "title" in pages.columns else F.lit("").alias("title")
-    return pages.select("page_id", title, F.coalesce("text", F.lit("")).alias("text"), *extra).mapInArrow(run, f"page_id long, {column} string")
+    return spread(pages.select("page_id", title, F.coalesce("text", F.lit("")).alias("text"), *extra)).mapInArrow(run, f"page_id long, {column} string")
+
 
+def _store(templates: DataFrame, redirects: DataFrame | None, config: SiteConfig) -> DataFrame:
+    """title, text of templates, and of redirects to them under their own titles: one hop, as on a wiki."""
+    named = templates.select(normalise(F.col("title"), 10, config)["title"].alias("title"), "text")
+    if redirects is None:
+        return named
+    moved = redirects.select(normalise(F.col("from_title"), 10, config)["title"].alias("_from"), normalise(F.col("to_title"), 10, config)["title"].alias("title"))
+    aliases = moved.join(named, "title").select(F.col("_from").alias("title"), "text")
+    return named.join(aliases.select("title"), "title", "left_anti").unionByName(aliases)
 
-def expand(pages: DataFrame, templates: DataFrame, redirects: DataFrame | None = None, config: SiteConfig = DEFAULT, constant: bool = False) -> DataFrame:
+
+def expand(pages: DataFrame, templates: DataFrame, redirects: DataFrame | None = None, config: SiteConfig = DEFAULT, constant: bool = False, errors: str = "raise") -> DataFrame:
     """page_id, text with templates and parser functions expanded.
 
     A small template store is broadcast; beyond BROADCAST_CHARS every page gets only the
-    closure of the templates it calls, by joins.
+    closure of the templates it calls, by joins. Names that templates compute while they
+    expand, such as ``{{T{{{1}}}}}``, are only found in a store that is broadcast.
     """
     from markloom.kernel.expand import Expander
 
-    named = templates.select(normalise(F.col("title"), 10, config)["title"].alias("title"), "text")
-    moved = {r[0]: r[1] for r in redirects.collect()} if redirects is not None else {}
-    size = named.agg(F.sum(F.length("text"))).first()[0] or 0
+    named = _store(templates, redirects, config)
+    size = named.agg(F.sum(F.length("text") + F.length("title"))).first()[0] or 0
     if size <= BROADCAST_CHARS:
         store = pages.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in named.collect()})
-        return _map_text(pages, lambda r: Expander(store.value, moved, r["title"] or "", config, constant=constant).page_text(r["text"]), "text")
+        return _map_text(pages, lambda r: Expander(store.value, None, r["title"] or "", config, constant=constant).page_text(r["text"]), "text", errors=errors)
     ids = named.select(F.xxhash64("title").alias("page_id"), "title", "text", F.lit(True).alias("include"))
     called = parse(ids, config, ["name"], ["template"], "brace").select("page_id", F.col("name").alias("target"))
     edges = called.join(ids.select("page_id", F.col("title").alias("source")), "page_id").select("source", "target").distinct()
@@ -57,7 +71,7 @@ def expand(pages: DataFrame, templates: DataFrame, redirects: DataFrame | None =
     needed = first.unionAll(first.join(closure, "source").select("page_id", F.col("target").alias("source"))).distinct()
     bundle = needed.join(named.withColumnRenamed("title", "source"), "source").groupBy("page_id").agg(F.collect_list(F.struct("source", F.col("text").alias("body"))).alias("store"))
     met = pages.join(bundle, "page_id", "left").withColumn("store", F.coalesce("store", F.array().cast("array<struct<source:string,body:string>>")))
-    return _map_text(met, lambda r: Expander({t["source"]: t["body"] for t in r["store"]}, moved, r["title"] or "", config, constant=constant).page_text(r["text"]), "text", ("store",))
+    return _map_text(met, lambda r: Expander({t["source"]: t["body"] for t in r["store"]}, None, r["title"] or "", config, constant=constant).page_text(r["text"]), "text", ("store",), errors)
 
 
 def to_html(pages: DataFrame, templates: DataFrame | None = None, config: SiteConfig = DEFAULT) -> DataFrame:
@@ -208,7 +222,7 @@ def first_difference(before: DataFrame, after: DataFrame) -> DataFrame:
     n = F.least(F.length("a"), F.length("b"))
     # Binary search by equality of prefixes: log2 of the length steps of native code.
     bounds = F.aggregate(
-        F.sequence(F.lit(1), F.lit(24)),
+        F.sequence(F.lit(1), F.lit(32)),
         F.struct(F.lit(0).alias("lo"), n.alias("hi")),
         lambda s, _: F.when(s["lo"] >= s["hi"], s).when(
             F.left(F.col("a"), F.ceil((s["lo"] + s["hi"]) / 2).cast("int")) == F.left(F.col("b"), F.ceil((s["lo"] + s["hi"]) / 2).cast("int")),

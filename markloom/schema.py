@@ -17,7 +17,8 @@ PAGES = _table("page_id long, title string, ns int, text string, include boolean
 
 NODES = _table(
     "page_id long, node_id int, parent_id int, depth int, last_id int, ordinal int, elem_ordinal int, type string, name string, "
-    "start int, end int, inner_start int, inner_end int, anc nested, data string, text string, attrs nested, props nested",
+    "start int, end int, inner_start int, inner_end int, anc nested, data string, text string, attrs nested, props nested, "
+    "line int, col int, end_line int, end_col int",
     anc=T.ArrayType(_table("id int, type string")),
     attrs=_STRINGS,
     props=_STRINGS,

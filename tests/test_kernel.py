@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import random
 import time
+from dataclasses import replace
 
 import pytest
 
+from markloom.config import DEFAULT
 from markloom.kernel.expand import Expander, call, evaluate, register_function
-from markloom.kernel.parse import clean, parse, rows
+from markloom.kernel.parse import FIELDS, clean, parse, rows, table
 from markloom.kernel.render import highlight, register_tag, render
 from markloom.kernel.titles import normalise
 
@@ -94,6 +96,69 @@ def test_expansion(text, want):
     assert Expander(TEMPLATES, page="User:A/b").page_text(text) == want
 
 
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("a<onlyinclude>b</onlyinclude>c", "b"), ("a<onlyinclude>b{{{1}}}</onlyinclude>c<onlyinclude>{{T}}</onlyinclude>", "bx[none/]"), ("a<onlyinclude>b", "ab"),
+        ("<onlyinclude>a<noinclude>n</noinclude><includeonly>i</includeonly></onlyinclude>z", "ai"), ("<includeonly>i</includeonly><noinclude>n</noinclude>", "i"),
+    ],
+)
+def test_inclusion_tags(body, want):
+    assert Expander({**TEMPLATES, "Template:P": body}).page_text("{{P|x}}") == want
+
+
+def test_pages_show_their_onlyinclude_parts_and_the_rest():
+    assert types("a<onlyinclude>{{b}}</onlyinclude>c") == ["noinclude", "template", "template-name", "noinclude"]
+    assert types("a<onlyinclude>{{b}}</onlyinclude>c", include=True) == ["noinclude", "onlyinclude", "template", "template-name", "noinclude"]
+
+
+def test_translate():
+    config = replace(DEFAULT, ext=DEFAULT.ext | {"translate", "tvar"})
+    text = "<translate nowrap>a <tvar name=x>[[b]]</tvar> <tvar|y>c</> <nowiki></translate></nowiki></translate> d"
+    found = [r for r in rows(parse(text, config), text) if r["type"] != "text"]
+    assert [r["type"] for r in found] == ["root", "translate", "translate-attr", "translate-inner", "tvar", "link", "link-target", "tvar", "tvar", "tvar", "ext", "ext-inner"]
+    assert Expander({"Template:P": "<translate>{{{1}}}</translate>!"}, config=config).page_text("{{P|x}}") == "x!"
+    assert "".join(r["data"] for r in rows(parse(text, config), text) if r["type"] == "text") == text
+
+
+@pytest.mark.parametrize(
+    ("text", "colons"),
+    [
+        ("; a : b", [4]), ("; a <b>x:y</b> : d", [15]), ("; a ''x:y'' : d", [12]), ("; [[x:y]] : d", [10]), (";; a : b : c", [5, 9]), ("; a : b : c", [4]), ("* a : b", []), ("; a -{x:y}- : b", [12]),
+        (";; a :: b", [5]), ("; a <br> : b", [9]), ("; a </b> : b", [9]), ("; '''a : b", []), (";\n; t : d", [6]), ("*; a\n*; b : c", [10]),
+    ],
+)
+def test_terms_end_at_colons(text, colons):
+    assert [r["start"] for r in rows(parse(text), text) if r["type"] == "dd"] == colons
+
+
+def test_inner_models_of_tags():
+    config = replace(DEFAULT, ext=DEFAULT.ext | set("poll choose option choicetemplate combobox combooption seo tab tabs dynamicpagelist".split()))
+
+    def inner(text):
+        found = rows(parse(text, config), text)
+        assert "".join(r["data"] for r in found if r["type"] == "text") == text
+        return [(r["type"], text[r["start"] : r["end"]]) for r in found if r["type"] not in ("text", "root", "ext", "ext-inner") and "attr" not in r["type"]]
+
+    assert inner("<pre>[[a]] <nowiki>b</nowiki></pre>") == [("noinclude", "<nowiki>"), ("noinclude", "</nowiki>")]
+    assert inner("<pre format=wikitext>[[a]]</pre>") == [("link", "[[a]]"), ("link-target", "a")]
+    assert inner("<seo>title=a|b = c</seo>") == [("param-line", "title=a"), ("param-line", "b = c")]
+    assert inner("<hiero>A1<!-- x -->B</hiero>") == [("comment", "<!-- x -->")]
+    assert inner("<choose>x<option>[[a]]</option></choose>") == [("noinclude", "x"), ("link", "[[a]]"), ("link-target", "a")]
+    assert inner("<combobox><combooption>[[a]]</combooption> <b></combobox>") == [("link", "[[a]]"), ("link-target", "a"), ("noinclude", " <b>")]
+    assert inner("<references>x<ref>[[a]]</ref></references>") == [("noinclude", "x"), ("link", "[[a]]"), ("link-target", "a")]
+    assert inner("<charinsert>a+b c\n<nowiki>d e</nowiki></charinsert>") == [("charinsert-line", "a+b c"), ("charinsert-item", "a+b"), ("charinsert-item", "c"), ("charinsert-line", "<nowiki>d e</nowiki>"), ("charinsert-item", "<nowiki>d e</nowiki>")]
+    assert inner("<poem>== a ==\n[[b]]</poem>") == [("link", "[[b]]"), ("link-target", "b")]
+
+
+def test_nested_converters():
+    config = replace(DEFAULT, variants=("zh-cn", "zh-tw"))
+    text = "-{zh-cn:a; x=>zh-tw:-{R|b}-}-"
+    found = [r for r in rows(parse(text, config), text) if r["type"] in ("converter", "converter-rule")]
+    assert [(r["type"], r["start"]) for r in found] == [("converter", 0), ("converter-rule", 2), ("converter-rule", 10), ("converter", 20), ("converter-rule", 24)]
+    assert found[2]["props"] == {"variant": "zh-tw", "from": "x", "to": "-{R|b}-"}
+
+
 def test_constant_solving_leaves_templates():
     assert Expander(TEMPLATES, constant=True).page_text("{{#if:x|{{T}}|n}}") == "{{T}}"
 
@@ -145,6 +210,8 @@ def test_titles(raw, title, ns, valid):
     assert (t.main, t.ns, t.valid) == (title, ns, valid)
 
 
+#: Without the ancestors of every node, whose number is nodes times depth.
+PLAIN = frozenset(FIELDS) - {"anc"}
 REPEATS = ["{{a|b}}", "[[a|b]]", "'''a''' ", "<b>x</b>", "* a\n", "== h ==\n", "<ref>x</ref>", "<!-- c -->", "{|\n| a\n|}\n", "[http://x.y z] ", "http://x.y ", "{{{a|b}}}", "__TOC__", "----\n", "{{", "[[", "{|\n", "'''", "<b", "-{a}-"]
 
 
@@ -152,5 +219,22 @@ REPEATS = ["{{a|b}}", "[[a|b]]", "'''a''' ", "<b>x</b>", "* a\n", "== h ==\n", "
 def test_time_is_near_linear(piece):
     text = piece * 10_000
     began = time.time()
-    n = len(rows(parse(text), text))
+    n = len(table(parse(text), text, PLAIN))
     assert n >= 2 and time.time() - began < 12
+
+
+@pytest.mark.parametrize(("opens", "closes", "kind"), [("{{a|", "}}", "template"), ("{|\n|\n", "\n|}", "table"), ("<ref><poem>", "</poem></ref>", "ext"), ("{{{a|", "}}}", "arg"), ("[[File:A.png|", "]]", "file")])
+def test_deep_nesting_is_parsed(opens, closes, kind):
+    depth = 300 if kind != "ext" else 1  # an extension tag holds none of its own name
+    text = opens * depth + "x" + closes * depth
+    found = rows(parse(text), text)
+    assert sum(r["type"] == kind for r in found) == depth * (2 if kind == "ext" else 1)
+    assert "".join(r["data"] for r in found if r["type"] == "text") == text
+
+
+def test_positions_of_nodes():
+    text = "ab\n== h ==\n{{x}} y"
+    found = {r["type"]: r for r in rows(parse(text), text) if r["type"] != "text"}
+    assert [found["template"][k] for k in ("line", "col", "end_line", "end_col")] == [2, 0, 2, 5]
+    assert [found["heading"][k] for k in ("line", "col", "end_line", "end_col")] == [1, 0, 1, 7]
+    assert found["heading"]["props"]["title"] == "h" and found["heading"]["props"]["source"] == " h "

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from markloom.operators import editor, lint, structure
 from markloom.plans import queries, select
 from markloom.plans import text as texts
-from markloom.plans.parse import MAX_CHARS, bad_records, parse, wikitext
+from markloom.plans.parse import bad_records, parse, wikitext
 from markloom.sources.shared import site_of, template_directory
 from markloom.streaming import revisions
 
@@ -65,14 +65,36 @@ def test_selectors(spark, page, selector, n):
     assert got == n if n is not None else got > 20
 
 
-def test_null_empty_and_refused_pages(spark, page):
+def test_null_and_empty_pages(spark, page):
     counts = {r.page_id: r["count"] for r in parse(page).groupBy("page_id").count().collect()}
     assert counts[2] == counts[3] == 1
-    long_page = spark.createDataFrame([(9, "x" * 10)], "page_id long, text string").select("page_id", F.repeat("text", MAX_CHARS // 10 + 1).alias("text"))
-    assert [r.page_id for r in bad_records(long_page).collect()] == [9] and bad_records(page).count() == 0
     assert parse(page.limit(0)).count() == 0
 
 
+def test_long_pages_are_parsed_whole(spark):
+    pages = spark.createDataFrame([(9, "ab [[c]] ")], "page_id long, text string").select("page_id", F.repeat("text", 1_000_000).alias("text"))
+    row = parse(pages, types=["root"], last="ext", columns=["type", "start", "end"]).first()
+    assert (row.start, row.end) == (0, 9_000_000) and bad_records(pages.select("page_id", F.left("text", F.lit(90)).alias("text"))).count() == 0
+
+
+def test_failing_pages_are_told(spark, page, monkeypatch):
+    import markloom.kernel.parse as kernel
+
+    def failing(root, text, *more):
+        raise ValueError("odd page")
+
+    monkeypatch.setattr(kernel, "table", failing)
+    from markloom.plans import parse as plan
+
+    run = plan._kernel(plan.DEFAULT, ["page_id", "type", "data"], frozenset(["link"]), "convert", "mark")
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([{"page_id": 7, "title": "P", "text": "x", "include": False}])
+    assert [b.to_pylist() for b in run(iter([batch]))] == [[{"page_id": 7, "type": "error", "data": "odd page"}]]
+    with pytest.raises(plan.PageError, match="page_id 7"):
+        list(plan._kernel(plan.DEFAULT, ["page_id"], None, "convert", "raise")(iter([batch])))
+
+
 def test_source_of_nodes(spark, page):
     got = {r.type: r.source for r in wikitext(parse(page).filter("page_id = 1 and type in ('template', 'heading')"), page).collect()}
     assert got == {"template": "{{A|x=1|y}}", "heading": "== H =="}
