@@ -75,11 +75,16 @@ _configs: dict[int, SiteConfig] = {}
 HTML = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>")
 BRACE = re.compile(r"\{{2,}|\}{2,}|\[\[|\]\]|-\{(?!\{)|\}-|\||=|^(={1,6})(?=[^\n])", re.MULTILINE)
 HEADING = re.compile(rf"^(={{1,6}})(.+?)\1([ \t{VOID}]*)$", re.MULTILINE)
-ATTR = re.compile(rf"([^\s=<>\"'/{FILL}][^\s=<>/]*)(?:(\s*=\s*)(?:\"([^\"]*)(\"?)|'([^']*)('?)|([^\s\"'][^\s>]*)))?")
+ATTR = re.compile(r"([^\s/][^\s/=]*)(?:(\s*=\s*)(?:\"([^\"]*)(\"|\Z)|'([^']*)('|\Z)|(\S*)))?")
+ATTR_NAME = re.compile(rf"[\w:{FILL}][\w:.\-{FILL}]*")
 RULE = re.compile(rf"^(-{{4,}})|__([A-Za-z]+)__", re.MULTILINE)
 LIST = re.compile(rf"^{VOID}*([;:*#]+)", re.MULTILINE)
 TVAR = re.compile(r"(<tvar\|[^>]+>).*?(</>)|(?i:(<tvar\s+name\s*=(?:\s*(?:\"[^\"]*\"|'[^']*'|[^\"'\s>]+))?\s*>).*?(</tvar\s*>))", re.DOTALL)
 QUOTE = re.compile(r"'{2,}")
+CONDITIONALS = frozenset("if ifeq ifexpr ifexist iferror switch".split())
+#: Letters that may stand before the bar of a conversion.
+FLAGS = frozenset("ASTRDNH-")
+BRACKETS = re.compile(r"[\[\]{}]+")
 
 
 class Parser:
@@ -87,6 +92,7 @@ class Parser:
         self.text, self.config, self.include, self.page = text, config, include, page
         self.mask = list(text)
         self.last = STAGES.index(last)
+        self.inside: list[str] = []  # references around what is parsed
         _configs[id(config)] = config
         self.re = _patterns(id(config))
 
@@ -101,6 +107,8 @@ class Parser:
 
     def run(self) -> Node:
         root = Node("root", 0, len(self.text))
+        if self.config.variants:
+            root.props["variants"] = "true"
         start = 0
         if m := self.re["redirect"].match(self.text):
             target = normalise(m[2], 0, self.config)
@@ -110,6 +118,8 @@ class Parser:
                 node.add(Node("redirect-syntax", m.start(), m.start() + len(m[1])))
                 link = node.add(Node("redirect-target", m.start() + len(m[1]), m.end(), target.title))
                 link.add(Node("link-target", m.start(2), m.end(2)))
+                if m[3]:
+                    link.add(Node("noinclude", m.start(3) + 1, m.end(3), ignored="redirect"))
                 node.props["target"] = target.title
                 self.fill(m.start(), m.end())
                 start = m.end()
@@ -176,7 +186,7 @@ class Parser:
                 closing = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(view, m.end()) if name == hide and not m[1] else None
                 if name == hide and not m[1]:
                     stop = start + closing.end() if closing else end
-                    found.append(Node("include", a, stop, name, (b, start + closing.start() if closing else end), closed=str(bool(closing)).lower()))
+                    found.append(Node("include", a, stop, name, (b, start + closing.start() if closing else end), closed=str(bool(closing)).lower(), attr=(m[3] or "").strip()))
                     self.fill(a, stop, VOID)
                     pos = stop - start
                 else:
@@ -193,9 +203,12 @@ class Parser:
         node = Node("ext", a, b, name, selfClosing=str(not closed).lower())
         head = a + 1 + len(m[4])
         node.attrs = self._attributes(node, "ext", head, head + len(m[5] or ""))
+        if self.inside:
+            node.props["in"] = self.inside[-1]
         if closed:
             x, y = start + m.start(6), start + m.end(6)
             node.inner = (x, y)
+            node.props["blank"] = str(not self.text[x:y].strip()).lower()
             inner = node.add(Node("ext-inner", x, y, name))
             if name in WIKI_EXT or name == "pre" and node.attrs.get("format") == "wikitext":
                 self._ext(inner, x, y, depth + 1)
@@ -229,7 +242,9 @@ class Parser:
     def _nested(self, parent: Node, start: int, end: int, name: str, depth: int) -> None:
         """Only the allowed child tags are kept; for references, comments and calls as well."""
         if name == "references":
+            self.inside.append(name)
             self._ext(parent, start, end, depth + 1)
+            self.inside.pop()
             self._braces(parent, start, end, depth + 1, frozenset({"heading"}))
             parent.children = [c if c.type != "ext" or c.name in NESTED[name] else Node("noinclude", c.start, c.end) for c in parent.children]
         else:
@@ -241,7 +256,8 @@ class Parser:
         for c in [*parent.children, None]:
             stop = c.start if c else end
             if self.text[at:stop].strip():
-                parent.add(Node("noinclude", at, stop, name))
+                comment = re.fullmatch(r"\s*<!--.*-->\s*", self.text[at:stop], re.DOTALL)
+                parent.add(Node("noinclude", at, stop, name, ignored="comment" if comment else name))
             at = c.end if c else end
         parent.children.sort(key=_START)
 
@@ -260,10 +276,12 @@ class Parser:
     def _param_lines(self, parent: Node, start: int, end: int, separator: str = "\n") -> None:
         for m in re.finditer(rf"[^{re.escape(separator)}]+", self.text[start:end]):
             key, sep, value = m[0].partition("=")
+            a = start + m.start()
+            if not sep and key.strip() and not re.fullmatch(r"\s*<!--.*-->\s*", key, re.DOTALL):
+                parent.add(Node("param-line", a, start + m.end(), "", tag=parent.name or ""))
             if sep:
-                a = start + m.start()
                 line = parent.add(Node("param-line", a, start + m.end(), key.strip().lower()))
-                line.props["value"] = value.strip()
+                line.props |= {"value": value.strip(), "tag": parent.name or ""}
                 parent.attrs[key.strip().lower()] = value.strip()
 
     def _imagemap(self, parent: Node, start: int, end: int, depth: int) -> None:
@@ -299,7 +317,11 @@ class Parser:
             head, bar, _ = m[0].partition("|")
             title = normalise(head, 6, self.config)
             if not title.valid or not title.main:
-                parent.add(Node("noinclude", a, b, props="galleryComment"))
+                line = m[0].strip()
+                kind = "galleryNoImage" if line.startswith("|") else "galleryComment" if line.startswith("<!--") or line.endswith("-->") else "galleryImage"
+                if re.fullmatch(r"<!--.*-->", line):
+                    kind = "comment"
+                parent.add(Node("noinclude", a, b, ignored=kind))
                 continue
             image = parent.add(Node("gallery-image", a, b, title.title))
             image.add(Node("link-target", a, a + len(head)))
@@ -312,16 +334,19 @@ class Parser:
 
     def _attributes(self, owner: Node, kind: str, start: int, end: int) -> dict[str, str]:
         box = Node(f"{kind}-attrs", start, end, owner.name)
+        tag = owner.name if kind != "table" else {"holder": "table", "tr": "tr"}.get(owner.type, owner.name)
         if end > start:
             owner.add(box)
         attrs: dict[str, str] = {}
         last = start
-        for m in ATTR.finditer(self.text[start:end]):
+        for m in ATTR.finditer(self.view(start, end)):
             a, b = start + m.start(), start + m.end()
+            if not ATTR_NAME.fullmatch(m[1].replace(VOID, "")):
+                continue  # not an attribute: it stays between the others
             if self.text[last:a].strip():
                 box.add(Node(f"{kind}-attr-dirty", last, a))
-            key = m[1].lower()
-            value, quote = next(((m[k], q) for k, q in ((3, 4), (5, 6), (7, None)) if m[k] is not None), ("", None))
+            key = self.text[a : a + len(m[1])].lower()
+            value, quote = next(((self.text[start + m.start(k) : start + m.end(k)], q) for k, q in ((3, 4), (5, 6), (7, None)) if m[k] is not None), ("", None))
             attr = box.add(Node(f"{kind}-attr", a, b, key))
             attr.add(Node("attr-key", a, a + len(m[1])))
             k = next((k for k in (3, 5, 7) if m[k] is not None), None)
@@ -330,11 +355,16 @@ class Parser:
             attr.props["balanced"] = str(quote is None or bool(m[quote])).lower()
             attr.props["value"] = re.sub(r"[\t\r\n ]+", " ", value).strip()
             attr.props["has_value"] = str(k is not None).lower()
+            attr.props["tag"] = tag or ""
+            attr.props["plain"] = str(k is None or FILL not in self.mask[start + m.start(k) : start + m.end(k)]).lower()
             attrs[key] = attr.props["value"]
             last = b
         if self.text[last:end].strip():
             box.add(Node(f"{kind}-attr-dirty", last, end))
         box.attrs = attrs
+        if "itemscope" in attrs:
+            for child in box.children:
+                child.props["itemscope"] = "true"
         return attrs
 
     # -- a region through the later stages
@@ -466,6 +496,14 @@ class Parser:
             spans += [(base + cuts[k], base + ends[k], eq[k - 1]) for k in range(1, len(cuts))]
             named = {"switch": 1, "tag": 2, "invoke": 2}.get(canonical, 1 << 30)
             self._parameters(parent, node, base, spans, depth, named)
+            if canonical in CONDITIONALS:
+                left = list(node.children)
+                while left:
+                    child = left.pop()
+                    if child.type == "html":
+                        child.props["conditional"] = "true"
+                    if child.type != "magic-word":
+                        left += child.children
             if canonical == "!":
                 self.mask[a:b] = ["|"] + [PIPE] * (b - a - 1)
             return
@@ -713,9 +751,17 @@ class Parser:
         for line in view.split("\n"):
             runs = [(m.start(), len(m[0])) for m in QUOTE.finditer(line)]
             if runs:
+                open_bold = open_italic = False
                 for at, n in balanced_quotes(line, runs):
                     a = start + pos + at
-                    node = Node("quote", a, a + n, bold=str(n in (3, 5)).lower(), italic=str(n in (2, 5)).lower())
+                    bold, italic = n in (3, 5), n in (2, 5)
+                    node = Node("quote", a, a + n, bold=str(bold).lower(), italic=str(italic).lower())
+                    node.props["closes"] = str(bold and open_bold or italic and open_italic).lower()
+                    open_bold, open_italic = open_bold ^ bold, open_italic ^ italic
+                    if line[at - 1 : at] == "'":
+                        lead = line[:at].rstrip("'")
+                        node.props["apostrophes"] = str(at - len(lead))
+                        node.props["word"] = str(at - len(lead) == 1 and re.search(r"(?i)[a-z\d]$", lead) is not None).lower()
                     self._take(parent, node, [], 12, depth)
             pos += len(line) + 1
 
@@ -826,6 +872,17 @@ class Parser:
             elif opened:
                 self._converter(parent, start + opened.pop(), start + m.end(), depth)
 
+    def _ignored_flags(self, flags: str) -> set[str]:
+        """Flags of a block that have no effect beside its others: variants and letters don't go together."""
+        found = [f.strip() for f in flags.split(";")]
+        unknown = {f for f in found if "{{{" in f or FILL in f}
+        variants = {f for f in found if f.lower() in self.config.variants}
+        letters = [f for f in found if f in FLAGS]
+        known = sum(1 for f in found if f) - len(unknown)
+        if len({f.lower() for f in variants}) == known or len(letters) == known:
+            return set()
+        return {f for f in found if f and f not in variants and f not in unknown and (variants or f not in FLAGS)}
+
     def _converter(self, parent: Node, a: int, b: int, depth: int) -> None:
         body = self.view(a + 2, b - 2)
         node = Node("converter", a, b, inner=(a + 2, b - 2))
@@ -835,7 +892,7 @@ class Parser:
             box = Node("converter-flags", x, x + len(flags))
             at = x
             for f in flags.split(";"):
-                box.add(Node("converter-flag", at, at + len(f), f.strip()))
+                box.add(Node("converter-flag", at, at + len(f), f.strip(), ignored=str(f.strip() in self._ignored_flags(flags)).lower()))
                 at += len(f) + 1
             node.add(box)
             node.props["flags"] = ";".join(f.strip() for f in flags.split(";"))
@@ -902,6 +959,10 @@ FIELDS = (
 ).split()
 
 
+def leaves_wanted(types: frozenset[str] | None) -> bool:
+    return types is None or "text" in types
+
+
 def table(root: Node, text: str, want: frozenset[str] = frozenset(FIELDS), types: frozenset[str] | None = None) -> list[list]:
     """Pre-order rows of the tree with text leaves, as lists in the order of FIELDS.
 
@@ -911,6 +972,7 @@ def table(root: Node, text: str, want: frozenset[str] = frozenset(FIELDS), types
     out: list[list] = []
     shows, chains, placed = "text" in want or "props" in want, "anc" in want, bool(want & {"line", "col", "end_line", "end_col"})
     breaks = [-1, *(m.start() for m in re.finditer("\n", text))] if placed else []
+    marks, variants = "props" in want and leaves_wanted(types), bool(root.props.get("variants"))
     count = 0
 
     def row(values: list, a: int, b: int) -> list:
@@ -922,7 +984,7 @@ def table(root: Node, text: str, want: frozenset[str] = frozenset(FIELDS), types
         out.append(values)
         return values
 
-    leaves = types is None or "text" in types
+    leaves = leaves_wanted(types)
 
     def visit(node: Node, parent: int | None, depth: int, ordinal: int, elem: int, anc: tuple) -> str:
         nonlocal count
@@ -933,12 +995,16 @@ def table(root: Node, text: str, want: frozenset[str] = frozenset(FIELDS), types
         below = (*anc, (me, node.type)) if chains else ()
         at, k, e = node.start, 0, 0
         shown: list[str] = []
+        bare: list[tuple[list, str, str]] = []  # text rows with brackets, and the types around each
+        last = ""
         for child in sorted(node.children, key=_SPAN) if len(node.children) > 1 else node.children:
             if child.start < at and child.start != child.end:
                 continue  # overlapping leftovers of malformed markup stay text
             if child.start > at:
                 if leaves:
-                    row([count, me, depth + 1, count, k, None, "text", None, at, child.start, at, child.start, text[at : child.start], {}, {}, text[at : child.start] if shows else "", below], at, child.start)
+                    made = row([count, me, depth + 1, count, k, None, "text", None, at, child.start, at, child.start, text[at : child.start], {}, {}, text[at : child.start] if shows else "", below], at, child.start)
+                    if marks and BRACKETS.search(made[12]):
+                        bare.append((made, last, child.type))
                 if shows:
                     shown.append(text[at : child.start])
                 count, k = count + 1, k + 1
@@ -947,14 +1013,20 @@ def table(root: Node, text: str, want: frozenset[str] = frozenset(FIELDS), types
                 node.props["source"] = text[child.start : child.end]
                 if shows:
                     node.props["title"] = shown[-1].strip()
-            k, e = k + 1, e + 1
+            k, e, last = k + 1, e + 1, child.type
             at = max(at, child.end)
         if node.end > at:
             if leaves:
-                row([count, me, depth + 1, count, k, None, "text", None, at, node.end, at, node.end, text[at : node.end], {}, {}, text[at : node.end] if shows else "", below], at, node.end)
+                made = row([count, me, depth + 1, count, k, None, "text", None, at, node.end, at, node.end, text[at : node.end], {}, {}, text[at : node.end] if shows else "", below], at, node.end)
+                if marks and BRACKETS.search(made[12]):
+                    bare.append((made, last, ""))
             if shows:
                 shown.append(text[at : node.end])
             count += 1
+        if bare:
+            for (made, _, _), found in zip(bare, lonely_brackets([(r[12], a, b) for r, a, b in bare], variants), strict=True):
+                if found:
+                    made[14] = {"lonely": found}
         made = "".join(shown) if shows and node.type not in HIDDEN else ""
         if mine is not None:
             mine[3] = count - 1
@@ -968,6 +1040,45 @@ def table(root: Node, text: str, want: frozenset[str] = frozenset(FIELDS), types
 _SPAN = attrgetter("start", "end")
 
 
+def lonely_brackets(texts: list[tuple[str, str, str]], variants: bool) -> list[str]:
+    """For the texts between a node's children, each with the types around it: their brackets without a partner.
+
+    Marks are ``offset:length:kind``. Two or more brackets in a row are ``double``; one alone is
+    ``single`` unless a partner is in this or another text of the node; next to a bare URL at
+    the text's edge it is ``extLink``, next to the hyphen of a conversion ``converter``.
+    """
+    partners, opened = {"]": "[", "}": "{"}, {"[": [], "{": []}
+    found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    for k, (data, before, after) in enumerate(texts):
+        for m in BRACKETS.finditer(data):
+            for run in re.finditer(r"\[+|\]+|\{+|\}+", m[0]):
+                at, token = m.start() + run.start(), run[0]
+                if len(token) > 1:
+                    found[k].append((at, len(token), "double"))
+                    continue
+                kind = "single"
+                if token == "[" and after == "free-ext-link" and not data[at + 1 :].strip() or token == "]" and before == "free-ext-link" and at == 0:
+                    kind = "extLink"
+                elif variants and (token == "{" and data[at - 1 : at] == "-" or token == "}" and data[at + 1 : at + 2] == "-"):
+                    kind = "converter"
+                if kind == "extLink":
+                    found[k].append((at, 1, kind))
+                    if token == "[":
+                        opened[token].append(None)
+                    continue
+                mark = (at - 1, 2, kind) if kind == "converter" and token == "{" else (at, 2 if kind == "converter" else 1, kind)
+                if token in opened:
+                    opened[token].append((k, mark))
+                elif opened[partners[token]] and kind == "single":
+                    opened[partners[token]].pop()
+                else:
+                    found[k].append(mark)
+    for rest in opened.values():
+        for k, mark in filter(None, rest):
+            found[k].append(mark)
+    return [" ".join(f"{a}:{n}:{kind}" for a, n, kind in sorted(marks)) for marks in found]
+
+
 def rows(root: Node, text: str) -> list[dict]:
     """The node table of one page as dictionaries."""
     out = [dict(zip(FIELDS, r, strict=True)) for r in table(root, text)]

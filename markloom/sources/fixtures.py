@@ -61,69 +61,150 @@ def redirects(spark: SparkSession, d: str) -> DataFrame:
     return brands.select(F.xxhash64("p_brand").alias("page_id"), text("Alias ", c("p_brand")).alias("title"), body.alias("text"))
 
 
-#: (rule, key, wikitext, reports of that rule and key), one fault to a page.
-FAULTS: list[tuple[str, str, str, int]] = [
-    ("arg-in-ext", "", "<poem>{{{x}}}</poem>", 1),
-    ("blank-alt", "", "[[File:A.png|alt=]]", 1),
-    ("bold-header", "", "== a '''b''' ==", 2),
-    ("bold-header", "strong", "== a <strong>b</strong> ==", 1),
-    ("format-leakage", "apostrophe", "== a ''b ==", 1),
-    ("format-leakage", "tag", "== a <i>b ==", 1),
-    ("fostered-content", "", "{|\nstray\n|-\n| a\n|}", 1),
-    ("h1", "", "= top =", 1),
-    ("h1", "html", "<h1>top</h1>", 1),
-    ("illegal-attr", "unknown", "<p foo=\"1\">x</p>", 1),
-    ("illegal-attr", "tabindex", "<p tabindex=\"1\">x</p>", 1),
-    ("insecure-style", "", "<p style=\"width: expression(1)\">x</p>", 1),
-    ("invalid-gallery", "extension", "<gallery>\nFile:Abc\n</gallery>", 1),
-    ("invalid-imagemap", "shape", "<imagemap>\nFile:A.png\nblob 1 2 [[a]]\n</imagemap>", 1),
-    ("invalid-imagemap", "coord", "<imagemap>\nFile:A.png\nrect 1 2 [[a]]\n</imagemap>", 1),
-    ("invalid-imagemap", "image", "<imagemap></imagemap>", 1),
-    ("invalid-invoke", "function", "{{#invoke:M}}", 1),
-    ("invalid-isbn", "", "ISBN 1234567890", 1),
-    ("invalid-json", "", "<templatedata>{\"a\": }</templatedata>", 1),
-    ("invalid-ref", "", "<ref name=\"1\">x</ref>", 1),
-    ("invalid-url", "", "[http://%zz text]", 1),
-    ("lonely-apos", "", "it''''s'''", 1),
-    ("lonely-bracket", "double", "a ]] b", 1),
-    ("lonely-http", "", "see http:/example", 1),
-    ("nested-link", "", "[http://example.org a [[b]] c]", 1),
-    ("no-arg", "", "{{{name|x}}}", 1),
-    ("no-duplicate", "category", "[[Category:A]] [[Category:A]]", 2),
-    ("no-duplicate", "id", "<p id=\"q\">x</p><p id=\"q\">y</p>", 2),
-    ("no-duplicate", "parameter", "{{T|a=1|a=2}}", 2),
-    ("no-duplicate", "attribute", "<p class=\"a\" class=\"b\">x</p>", 2),
-    ("no-duplicate", "imageParameter", "[[File:A.png|10px|20px]]", 2),
-    ("no-ignored", "arg", "{{{a|b|c}}}", 1),
-    ("no-ignored", "closingTag", "<p>x</p class=\"a\">", 1),
-    ("no-ignored", "fragment", "[[Category:A#b]]", 1),
-    ("obsolete-attr", "", "<p align=\"left\">x</p>", 1),
-    ("obsolete-tag", "", "<center>x</center>", 2),
-    ("parsing-order", "ext", "<p class=\"<nowiki/>\">x</p>", 1),
-    ("pipe-like", "link", "[[a|b|c]]", 1),
-    ("required-attr", "", "<templatestyles/>", 1),
-    ("syntax-like", "redirect", "x #REDIRECT y", 1),
-    ("table-layout", "", "{|\n| a || b\n|-\n| c\n|}", 1),
-    ("tag-like", "", "<p x", 1),
-    ("tag-like", "disallowed", "<img>", 1),
-    ("unbalanced-header", "", "=== a ==", 1),
-    ("unclosed-comment", "", "<!-- open", 1),
-    ("unclosed-quote", "", "<p class=\"a>x</p>", 1),
-    ("unclosed-table", "", "{|\n| a", 1),
-    ("unescaped", "", "{{T|http://example.org/?a=b}}", 1),
-    ("unknown-page", "", "[[a{{T}}]]", 1),
-    ("unmatched-tag", "opening", "<b>x", 1),
-    ("unmatched-tag", "closing", "x</b>", 1),
-    ("unmatched-tag", "selfClosing", "<b/>", 1),
-    ("unterminated-url", "punctuation", "http://example.org/a，b", 1),
-    ("url-encoding", "", "[[a%20b]]", 1),
-    ("var-anchor", "ref", "== a<ref>b</ref> ==", 1),
-    ("void-ext", "", "<gallery/>", 1),
+#: Wikitext and the reports that it makes: (rule, key, number). Those without reports are near misses.
+FAULTS: list[tuple[str, tuple[tuple[str, str, int], ...]]] = [
+    ("<poem>{{{x}}}</poem>", (("arg-in-ext", "", 1), ("no-arg", "", 1))),
+    ("<poem>x</poem>", ()),
+    ("[[File:A.png|alt=]]", (("blank-alt", "", 1),)),
+    ("[[File:A.png|alt=b]]", ()),
+    ("== a '''b''' ==", (("bold-header", "", 2),)),
+    ("== a <strong>b</strong> ==", (("bold-header", "strong", 2),)),
+    ("== a <b>b</b> <ref>'''c'''</ref> ==", (("bold-header", "b", 2), ("var-anchor", "ref", 1))),
+    ("== a ''b ==", (("format-leakage", "apostrophe", 1),)),
+    ("== a ''b'' ==", ()),
+    ("== a <i>b ==", (("format-leakage", "i", 1),)),
+    ("{|\nstray\n|-\n| a\n|}", (("fostered-content", "", 1),)),
+    ("{|\n{{T}}\n|-\n| a\n|}", (("fostered-content", "transclusion", 1),)),
+    ("{|\n|-\n| a\n|}", ()),
+    ("= top =", (("h1", "", 1),)),
+    ("<h1>top</h1>", (("h1", "html", 1),)),
+    ("<p foo=\"1\">x</p>", (("illegal-attr", "unknown", 1),)),
+    ("<p data-foo=\"1\" title=\"t\">x</p>", ()),
+    ("<td colspan=\"2\">x</td>", ()),
+    ("<p colspan=\"2\">x</p>", (("illegal-attr", "unknown", 1),)),
+    ("<p itemid=\"2\">x</p>", (("illegal-attr", "unknown", 1),)),
+    ("<p itemscope itemid=\"2\">x</p>", ()),
+    ("<p tabindex=\"1\">x</p>", (("illegal-attr", "tabindex", 1),)),
+    ("<p tabindex=\"0\">x</p>", ()),
+    ("<p dir=\"up\">x</p>", (("illegal-attr", "value", 1),)),
+    ("<p dir=\"rtl\">x</p>", ()),
+    ("<p style=\"width: expression(1)\">x</p>", (("insecure-style", "", 1),)),
+    ("<p style=\"background: src(x)\">x</p>", (("insecure-style", "", 1),)),
+    ("<p style=\"color: red\">x</p>", ()),
+    ("<gallery>\nFile:Abc\n</gallery>", (("invalid-gallery", "extension", 1),)),
+    ("<gallery>\nTemplate:A.png\n</gallery>", (("invalid-gallery", "image", 1),)),
+    ("[[File:A.png|10pxpx]]", ()),
+    ("[[File:A.png|thumb=a.txt]]", (("invalid-gallery", "thumb", 1),)),
+    ("[[File:A.png|link=a{b]]", (("invalid-gallery", "link", 1), ("lonely-bracket", "single", 1))),
+    ("<imagemap>\nFile:A.png\nblob 1 2 [[a]]\n</imagemap>", (("invalid-imagemap", "shape", 1),)),
+    ("<imagemap>\nFile:A.png\nrect 1 2 [[a]]\n</imagemap>", (("invalid-imagemap", "coord", 1),)),
+    ("<imagemap>\nFile:A.png\nrect 1 2 3 4 a\n</imagemap>", (("invalid-imagemap", "link", 1),)),
+    ("<imagemap></imagemap>", (("invalid-imagemap", "image", 1),)),
+    ("<imagemap>\nFile:A.png\nrect 1 2 3 4 [[a]]\n</imagemap>", ()),
+    ("{{#invoke:M}}", (("invalid-invoke", "function", 1),)),
+    ("{{#invoke:a<b|f}}", (("invalid-invoke", "name", 1), ("tag-like", "invalid", 1))),
+    ("{{#invoke:M|f}}", ()),
+    ("ISBN 1234567890", (("invalid-isbn", "", 1),)),
+    ("ISBN 9780306406157", ()),
+    ("<templatedata>{\"a\": }</templatedata>", (("invalid-json", "", 1),)),
+    ("<templatedata>{\"a\": 1, \"a\": 2}</templatedata>", (("invalid-json", "duplicate", 1),)),
+    ("<templatedata>{\"a\": {\"b\": 1}, \"b\": [2, 3]}</templatedata>", ()),
+    ("<ref follow=\"1\">x</ref>", (("invalid-ref", "", 1),)),
+    ("<ref follow=\"a\" name=\"b\">x</ref>", (("invalid-ref", "", 1),)),
+    ("<ref> </ref>", (("invalid-ref", "", 1),)),
+    ("<references><ref>x</ref></references>", (("invalid-ref", "", 1),)),
+    ("<references><ref name=\"a\">x</ref></references><ref name=\"a\"/>", ()),
+    ("[http://%zz text]", (("invalid-url", "", 1),)),
+    ("it''''s'''", (("lonely-apos", "", 1),)),
+    ("'''it''''", (("lonely-apos", "word", 1),)),
+    ("a ]] b", (("lonely-bracket", "double", 1),)),
+    ("a [ b", (("lonely-bracket", "single", 1),)),
+    ("a [b] c {d}", ()),
+    ("a [ ''b'' ] c", ()),
+    ("[ http://example.org ]", (("lonely-bracket", "extLink", 1),)),
+    ("a http://example.org] b", (("lonely-bracket", "extLink", 1),)),
+    ("see http:/example", (("lonely-http", "", 1),)),
+    ("PMID:12", (("lonely-http", "PMID", 1),)),
+    ("see RFC-12", (("lonely-http", "RFC", 1),)),
+    ("see ISBN 12345678", (("lonely-http", "ISBN", 1),)),
+    ("see RFC twelve", ()),
+    ("[http://example.org a [[b]] c]", (("nested-link", "", 1),)),
+    ("[http://example.org a [[File:B.png]] c]", (("nested-link", "file", 1),)),
+    ("[http://example.org a [[File:B.png|link=]] c]", ()),
+    ("[[a|b<ref>c</ref>]]", (("nested-link", "ref", 1),)),
+    ("{{{name|x}}}", (("no-arg", "", 1),)),
+    ("[[Category:A]] [[Category:A]]", (("no-duplicate", "category", 2),)),
+    ("[[Category:A]] [[Category:B]]", ()),
+    ("<p id=\"q\">x</p><p id=\"q\">y</p>", (("no-duplicate", "id", 2),)),
+    ("{{T|a=1|a=2}}", (("no-duplicate", "parameter", 2),)),
+    ("{{T|a|b|1=c}}", (("no-duplicate", "parameter", 2),)),
+    ("<p class=\"a\" class=\"b\">x</p>", (("no-duplicate", "attribute", 2),)),
+    ("[[File:A.png|10px|20px]]", (("no-duplicate", "imageParameter", 2),)),
+    ("[[File:A.png|left|right|center]]", (("no-duplicate", "imageParameter", 3),)),
+    ("[[File:A.png|left|top|a]]", ()),
+    ("<inputbox>\ntype=a\ntype=b\n</inputbox>", (("no-duplicate", "inputbox", 2),)),
+    ("{{{a|b|c}}}", (("no-arg", "", 1), ("no-ignored", "arg", 1))),
+    ("<p>x</p class=\"a\">", (("no-ignored", "closingTag", 1),)),
+    ("[[Category:A#b]]", (("no-ignored", "fragment", 1),)),
+    ("<p \"x\">y</p>", (("no-ignored", "invalidAttributes", 1),)),
+    ("<p />>y", (("unmatched-tag", "selfClosing", 1),)),
+    ("<gallery>\n<!-- a\n|b\n</gallery>", (("no-ignored", "galleryComment", 1), ("no-ignored", "galleryNoImage", 1))),
+    ("<gallery>\n<b>\n</gallery>", (("no-ignored", "galleryImage", 1),)),
+    ("<includeonly x>a</includeonly>", (("no-ignored", "include", 1),)),
+    ("<references>x</references>", (("no-ignored", "references", 1),)),
+    ("<inputbox>\nnope=a\n</inputbox>", (("no-ignored", "inputbox", 1),)),
+    ("<charinsert>a+b+c</charinsert>", (("no-ignored", "charinsert", 1),)),
+    ("<categorytree><x></categorytree>", (("no-ignored", "categorytree", 1),)),
+    ("<p align=\"left\">x</p>", (("obsolete-attr", "", 1),)),
+    ("<img alt=\"left\">", (("tag-like", "disallowed", 1),)),
+    ("<li value=\"2\">x</li>", ()),
+    ("<center>x</center>", (("obsolete-tag", "", 2),)),
+    ("<p class=\"<ref>a</ref>\">x</p>", (("parsing-order", "ext", 1),)),
+    ("<p class=\"<nowiki/>\">x</p>", ()),
+    ("[[a|b|c]]", (("pipe-like", "link", 1),)),
+    ("{|\n! a || b\n|-\n| [[c]] d || e\n|}", ()),
+    ("<templatestyles/>", (("required-attr", "templatestyles", 1),)),
+    ("<section/>", (("required-attr", "section", 1),)),
+    ("<section end=\"a\"/>", ()),
+    ("<mapframe>{}</mapframe>", (("required-attr", "mapframe", 2),)),
+    ("x #REDIRECT y", (("syntax-like", "redirect", 1),)),
+    ("== a", (("syntax-like", "heading", 1),)),
+    ("{|\n| a || b\n|-\n| c\n|}", (("table-layout", "", 1),)),
+    ("{|\n| a || b\n|-\n| colspan=2 | c\n|}", ()),
+    ("<p x", (("tag-like", "", 1),)),
+    ("<img>", (("tag-like", "disallowed", 1),)),
+    ("a <br", (("tag-like", "invalid", 1),)),
+    ("a < b <c", ()),
+    ("=== a ==", (("unbalanced-header", "", 1),)),
+    ("<p class=\"a>x</p>", (("unclosed-quote", "", 1),)),
+    ("{{T|http://example.org/?a=b}}", (("unescaped", "", 1),)),
+    ("[[a{{T}}]]", (("unknown-page", "", 1),)),
+    ("<b>x", (("unmatched-tag", "opening", 1),)),
+    ("x</b>", (("unmatched-tag", "closing", 1),)),
+    ("x</b/>", (("unmatched-tag", "both", 1),)),
+    ("<b/>", (("unmatched-tag", "selfClosing", 1),)),
+    ("{{#if:a|<b>|c}}", (("unmatched-tag", "conditional", 1),)),
+    ("<b><i>x</i></b>", ()),
+    ("http://example.org/a，b", (("unterminated-url", "punctuation", 1),)),
+    ("[http://example.org/a|b c]", ()),
+    ("[[a%20b]]", (("url-encoding", "", 1),)),
+    ("[[File:A.png|link=a%20b]]", (("url-encoding", "file", 1),)),
+    ("== a<ref>b</ref> ==", (("var-anchor", "ref", 1),)),
+    ("== a [http://example.org] ==", (("var-anchor", "extLink", 1),)),
+    ("<section begin=\"a\">x</section>", (("void-ext", "section", 1),)),
+    ("<templatedata/>", (("void-ext", "templatedata", 1),)),
+    ("<gallery/>", ()),
+    ("<includeonly>open", (("unclosed-comment", "include", 1),)),
+    ("<!-- open", (("unclosed-comment", "", 1),)),
+    ("{|\n| a", (("unclosed-table", "", 1),)),
 ]
+#: A fault that comes as often as the key says, before the other one: (wikitext, rule, key).
+COUNTED = ("RFC-1 ''x''\n", "lonely-http", "RFC")
 
 
 def faults(spark: SparkSession, d: str) -> DataFrame:
-    """One page per customer with the fault number custkey mod len(FAULTS)."""
+    """One page per customer: COUNTED custkey mod 4 times, then the fault number custkey mod len(FAULTS)."""
     k = F.col("c_custkey")
-    fault = F.element_at(F.array(*[F.lit(f[2]) for f in FAULTS]), F.pmod(k, F.lit(len(FAULTS))).cast("int") + 1)
-    return read(spark, d, "customer").select(k.alias("page_id"), F.col("c_name").alias("title"), F.lit(0).alias("ns"), text("Plain text of a page.\n", fault).alias("text"), F.lit(False).alias("include"))
+    fault = F.element_at(F.array(*[F.lit(f[0]) for f in FAULTS]), F.pmod(k, F.lit(len(FAULTS))).cast("int") + 1)
+    counted = F.repeat(F.lit(COUNTED[0]), F.pmod(k, F.lit(4)).cast("int"))
+    return read(spark, d, "customer").select(k.alias("page_id"), F.col("c_name").alias("title"), F.lit(0).alias("ns"), text("Plain text of a page.\n", counted, fault).alias("text"), F.lit(False).alias("include"))
