@@ -92,6 +92,7 @@ class Parser:
         self.text, self.config, self.include, self.page = text, config, include, page
         self.mask = list(text)
         self.last = STAGES.index(last)
+        self.transcluded = include
         self.inside: list[str] = []  # references around what is parsed
         _configs[id(config)] = config
         self.re = _patterns(id(config))
@@ -107,8 +108,6 @@ class Parser:
 
     def run(self) -> Node:
         root = Node("root", 0, len(self.text))
-        if self.config.variants:
-            root.props["variants"] = "true"
         start = 0
         if m := self.re["redirect"].match(self.text):
             target = normalise(m[2], 0, self.config)
@@ -287,12 +286,14 @@ class Parser:
     def _imagemap(self, parent: Node, start: int, end: int, depth: int) -> None:
         """First line the image; then ``shape coordinates [[link]]``, ``desc`` and ``#`` lines."""
         first = True
+        parent.props["image"] = "false"
         for m in re.finditer(r"[^\n]+", self.text[start:end]):
             line, a, b = m[0], start + m.start(), start + m.end()
             if not line.strip() or line.lstrip().startswith("#"):
                 continue
             if first:
                 first = False
+                parent.props["image"] = "true"
                 head = line.partition("|")[0]
                 title = normalise(head, 6, self.config)
                 good = title.valid and title.ns == 6 and bool(title.main)
@@ -477,7 +478,7 @@ class Parser:
         head = self.view(base + cuts[0], base + ends[0])
         raw = self.text[base + cuts[0] : base + ends[0]]
         if braces == 3:
-            node = Node("arg", a, b, raw.strip(), (base + x, base + y))
+            node = Node("arg", a, b, raw.strip(), (base + x, base + y), include=str(self.transcluded).lower())
             parts = [("arg-name", base + cuts[0], base + ends[0], None)]
             parts += [("arg-default" if k == 1 else "hidden", base + cuts[k], base + ends[k], None) for k in range(1, len(cuts))]
             self._take(parent, node, parts, 3, depth)
@@ -963,7 +964,24 @@ def leaves_wanted(types: frozenset[str] | None) -> bool:
     return types is None or "text" in types
 
 
-def table(root: Node, text: str, want: frozenset[str] = frozenset(FIELDS), types: frozenset[str] | None = None) -> list[list]:
+def note_siblings(node: Node, config: SiteConfig) -> None:
+    """Props that depend on a node's children together: tags without a partner, odd apostrophes of a heading, image maps without an image."""
+    opened: dict[str, list[Node]] = {}
+    bold = italic = False
+    for c in node.children:
+        if c.type == "html" and c.name not in config.html_void and not (c.props["selfClosing"] == "true" and c.name in config.html_flexible):
+            c.props["matched"] = "false"
+            if c.props["closing"] == "false":
+                opened.setdefault(c.name, []).append(c)
+            elif opened.get(c.name):
+                c.props["matched"] = opened[c.name].pop().props["matched"] = "true"
+        elif c.type == "quote":
+            bold, italic = bold ^ (c.props["bold"] == "true"), italic ^ (c.props["italic"] == "true")
+    if node.type == "heading-title":
+        node.props["odd"] = str(bold or italic).lower()
+
+
+def table(root: Node, text: str, want: frozenset[str] = frozenset(FIELDS), types: frozenset[str] | None = None, config: SiteConfig = DEFAULT) -> list[list]:
     """Pre-order rows of the tree with text leaves, as lists in the order of FIELDS.
 
     Only wanted columns are worked out (others are None) and only rows of wanted types are
@@ -972,7 +990,7 @@ def table(root: Node, text: str, want: frozenset[str] = frozenset(FIELDS), types
     out: list[list] = []
     shows, chains, placed = "text" in want or "props" in want, "anc" in want, bool(want & {"line", "col", "end_line", "end_col"})
     breaks = [-1, *(m.start() for m in re.finditer("\n", text))] if placed else []
-    marks, variants = "props" in want and leaves_wanted(types), bool(root.props.get("variants"))
+    marks, variants = "props" in want, bool(config.variants)
     count = 0
 
     def row(values: list, a: int, b: int) -> list:
@@ -1027,6 +1045,8 @@ def table(root: Node, text: str, want: frozenset[str] = frozenset(FIELDS), types
             for (made, _, _), found in zip(bare, lonely_brackets([(r[12], a, b) for r, a, b in bare], variants), strict=True):
                 if found:
                     made[14] = {"lonely": found}
+        if marks and node.children:
+            note_siblings(node, config)
         made = "".join(shown) if shows and node.type not in HIDDEN else ""
         if mine is not None:
             mine[3] = count - 1
@@ -1079,9 +1099,9 @@ def lonely_brackets(texts: list[tuple[str, str, str]], variants: bool) -> list[s
     return [" ".join(f"{a}:{n}:{kind}" for a, n, kind in sorted(marks)) for marks in found]
 
 
-def rows(root: Node, text: str) -> list[dict]:
+def rows(root: Node, text: str, config: SiteConfig = DEFAULT) -> list[dict]:
     """The node table of one page as dictionaries."""
-    out = [dict(zip(FIELDS, r, strict=True)) for r in table(root, text)]
+    out = [dict(zip(FIELDS, r, strict=True)) for r in table(root, text, config=config)]
     for r in out:
         r["anc"] = [{"id": i, "type": t} for i, t in r["anc"]]
     return out

@@ -84,7 +84,7 @@ def _kernel(config: SiteConfig, columns: list[str], types: frozenset[str] | None
             for page_id, title, body, include in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 text = clean(body)
                 try:
-                    rows = table(parse(text, config, bool(include), last, title or ""), text, want, types)
+                    rows = table(parse(text, config, bool(include), last, title or ""), text, want, types, config)
                 except Exception as e:
                     if errors == "raise":
                         raise PageError(f"page_id {page_id}: {type(e).__name__}: {e}") from e
@@ -104,7 +104,8 @@ def _input(pages: DataFrame) -> DataFrame:
     have = pages.columns
     title = F.col("title") if "title" in have else F.lit("")
     ns = F.col("ns") if "ns" in have else F.lit(0)
-    include = F.col("include") if "include" in have else (ns == 10) | title.endswith("/doc")
+    told = F.coalesce(F.col("include"), F.lit(False)) if "include" in have else F.coalesce(title.endswith("/doc"), F.lit(False))
+    include = told | (F.coalesce(ns, F.lit(0)) == 10)
     return spread(pages.select("page_id", title.alias("title"), "text", include.cast("boolean").alias("include")))
 
 
@@ -129,7 +130,7 @@ def bad_records(pages: DataFrame, config: SiteConfig = DEFAULT) -> DataFrame:
             for page in batch.to_pylist():
                 text = clean(page["text"])
                 try:
-                    table(tree(text, config, bool(page["include"])), text)
+                    table(tree(text, config, bool(page["include"])), text, config=config)
                 except Exception as e:  # noqa: BLE001
                     yield pa.RecordBatch.from_pylist(
                         [{"page_id": page["page_id"], "title": page["title"], "error": f"{type(e).__name__}: {e}", "text": page["text"]}],

@@ -290,7 +290,7 @@ def inlay_hints(spark, d):
 @query("SELECT l_orderkey AS page_id, 0 AS start_line, (3 + 2 * count(*))::INTEGER AS end_line FROM lineitem GROUP BY 1")
 def folding_ranges(spark, d):
     pages = fx.orders(spark, d)
-    return editor.folding_ranges(parse(pages, types=["table", "heading", "root"])).select("page_id", "start_line", "end_line")
+    return editor.folding_ranges(parse(pages, types=["table", "heading", "root"], last="table", columns=[*HEADINGS, "line", "end_line"])).select("page_id", "start_line", "end_line")
 
 
 @query("SELECT c_custkey AS page_id, unnest(['1', '1.1', '2', '2.1']) AS number, unnest(['Account', 'Details', c_mktsegment, 'Details']) AS heading FROM customer")

@@ -106,7 +106,7 @@ def to_json(pages: DataFrame, config: SiteConfig = DEFAULT) -> DataFrame:
 
         text = clean(r["text"])
         made: dict[int, dict] = {}
-        for n in rows(tree(text, config), text):
+        for n in rows(tree(text, config), text, config):
             obj = {"type": n["type"], "range": [n["start"], n["end"]]}
             if n["type"] == "text":
                 obj["data"] = n["data"]
