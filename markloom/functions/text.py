@@ -64,3 +64,97 @@ def utf16_offset(text: Column, at: Column) -> Column:
     """Editor offset (UTF-16 units) of a code-point offset."""
     head = F.left(text, at)
     return F.length(head) + F.length(head) - F.length(F.regexp_replace(head, r"[\x{10000}-\x{10FFFF}]", ""))
+
+
+def escape_newline(s: Column) -> Column:
+    return F.replace(s, F.lit("\n"), F.lit("&#10;"))
+
+
+def no_wrap(s: Column) -> Column:
+    """Line feeds as a backslash and an n."""
+    return F.replace(s, F.lit("\n"), F.lit("\\n"))
+
+
+def remove_comments(s: Column, closed_only: bool = False) -> Column:
+    return F.regexp_replace(s, r"(?s)<!--.*?-->" if closed_only else r"(?s)<!--.*?(?:-->|\z)", "")
+
+
+def remove_comment_lines(s: Column) -> Column:
+    """Lines inside the text that hold comments and blanks only go; other comments are cut out."""
+    return remove_comments(F.regexp_replace(s, r"(?<=\n)[ \t]*(?:<!--(?:(?!-->)[\s\S])*-->[ \t]*)+\n", ""))
+
+
+def escape_regex(s: Column) -> Column:
+    return F.regexp_replace(s, r"([\\{}()|.?*+^$\[\]])", r"\\$1")
+
+
+def encode_fragment(s: Column) -> Column:
+    """Marks that a link fragment can't hold, percent-encoded."""
+    out = s
+    for mark in "<>[]#|=":
+        out = F.replace(out, F.lit(mark), F.lit(f"%{ord(mark):02X}"))
+    return out
+
+
+def attribute_value(s: Column) -> Column:
+    """Runs of white space as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(s, r"[\t\r\n ]+", " "))
+
+
+def sanitise_attribute(s: Column, is_id: bool = False) -> Column:
+    out = F.regexp_replace(s, r"\s+|&#10;", "_" if is_id else " ")
+    return F.replace(F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+
+
+def sanitise_alt(s: Column) -> Column:
+    bare = F.trim(F.regexp_replace(s, r"(?s)</?[a-z].*?>", ""))
+    return F.replace(F.regexp_replace(bare, r"\s+", " "), F.lit('"'), F.lit("&quot;"))
+
+
+def charinsert_items(inner: Column) -> Column:
+    """array<array<string>> of lines of a charinsert tag: each item as its one or two parts."""
+    plain = F.regexp_replace(inner, r"(?i)</?nowiki>", "")
+    items = F.filter(F.split(plain, r"\s+"), lambda x: x != "")
+    return F.transform(items, lambda x: F.when(F.instr(x, "+") > 1, F.split(x, r"\+", 2)).otherwise(F.array(x)))
+
+
+# -- edits of one text
+
+
+def append_text(s: Column, more: Column | str) -> Column:
+    return F.concat(s, F.lit(more) if isinstance(more, str) else more)
+
+
+def insert_text(s: Column, at: Column, more: Column | str) -> Column:
+    return F.concat(F.left(s, at), F.lit(more) if isinstance(more, str) else more, F.substring(s, at + 1, F.length(s)))
+
+
+def delete_text(s: Column, at: Column, n: Column) -> Column:
+    return F.concat(F.left(s, at), F.substring(s, at + n + 1, F.length(s)))
+
+
+def split_text(s: Column, at: Column) -> Column:
+    """array of the two parts; from the end if the place is negative."""
+    place = F.when(at < 0, F.length(s) + at).otherwise(at)
+    return F.array(F.left(s, place), F.substring(s, place + 1, F.length(s)))
+
+
+# -- new wikitext
+
+
+def make_comment(s: Column) -> Column:
+    """A comment; a mark that would end it early is escaped."""
+    return F.concat(F.lit("<!--"), F.replace(s, F.lit("-->"), F.lit("--&gt;")), F.lit("-->"))
+
+
+def make_element(tag: str, attrs: dict[str, Column | str] | None = None, inner: Column | str | None = None) -> Column:
+    """``<tag a="b">inner</tag>``, or a self-closed tag without inner text."""
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    parts = [c for k, v in (attrs or {}).items() for c in (F.lit(f' {k}="'), sanitise_attribute(lit(v)), F.lit('"'))]
+    tail = [F.lit("/>")] if inner is None else [F.lit(">"), lit(inner), F.lit(f"</{tag}>")]
+    return F.concat(F.lit(f"<{tag}"), *parts, *tail)
+
+
+def make_text(s: Column) -> Column:
+    """Text that reads as itself: everything that would start markup is escaped."""
+    return F.regexp_replace(escape_html(s), r"([\[\]{}|'*]|(?m:^[#:;= ])|(?<=~~)~|(?<=_)_)", "<nowiki>$1</nowiki>")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from markloom.config import DEFAULT, SiteConfig
+from markloom.functions import titles
 from markloom.operators.structure import prop, references, sections
 
 
@@ -96,3 +98,90 @@ def node_at(nodes: DataFrame, points: DataFrame) -> DataFrame:
     n = nodes.filter("type <> 'text'").select(F.col("page_id").alias("_p"), "node_id", "type", "depth", "start", "end")
     met = points.join(n, (F.col("page_id") == F.col("_p")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")))
     return met.groupBy("page_id", "at").agg(F.max_by("node_id", "depth").alias("node_id"), F.max_by("type", "depth").alias("type"))
+
+
+#: Where the numbers of magic links lead.
+RFC, PUBMED = "https://datatracker.ietf.org/doc/html/rfc", "https://www.ncbi.nlm.nih.gov/pubmed/"
+
+
+def document_links(nodes: DataFrame, config: SiteConfig = DEFAULT) -> DataFrame:
+    """page_id, node_id, kind, url of everything that leads somewhere: internal links too, by the wiki's article path."""
+    kinds = nodes.filter(F.col("type").isin("link", "redirect-target", "category", "file", "template", "ext-link", "free-ext-link", "magic-link"))
+    outside = F.when(F.startswith(prop("url"), F.lit("//")), F.concat(F.lit("https:"), prop("url"))).otherwise(prop("url"))
+    number = prop("number")
+    magic = F.when(F.col("name") == "RFC", F.concat(F.lit(RFC), number)).when(F.col("name") == "PMID", F.concat(F.lit(PUBMED), number, F.lit("?dopt=Abstract"))).otherwise(titles.url(F.concat(F.lit("Special:BookSources/"), number), None, config))
+    inside = titles.url(F.coalesce(prop("target"), F.col("name")), prop("fragment"), config)
+    url = F.when(F.col("type") == "magic-link", magic).when(F.col("type").isin("ext-link", "free-ext-link"), outside).otherwise(inside)
+    return kinds.select("page_id", "node_id", F.col("type").alias("kind"), url.alias("url"), "start", "end")
+
+
+def code_actions(reports: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ranges(page_id, start, end) -> fixes of the reports that touch them."""
+    from markloom.operators.lint import quick_fixes
+
+    asked = ranges.select(F.col("page_id").alias("_p"), F.col("start").alias("_a"), F.col("end").alias("_b"))
+    touched = reports.join(asked, (F.col("page_id") == F.col("_p")) & (F.col("start") <= F.col("_b")) & (F.col("end") >= F.col("_a")), "left_semi")
+    return quick_fixes(touched)
+
+
+def escape_range(ranges: DataFrame, pages: DataFrame) -> DataFrame:
+    """Edits that write the bars and equals signs of ranges as the magic words that stand for them."""
+    from markloom.functions.text import escape_wikitext
+    from markloom.plans.parse import wikitext
+
+    told = wikitext(ranges.select("page_id", "start", "end"), pages)
+    return told.select("page_id", F.struct("start", "end", escape_wikitext(F.col("source")).alias("text")).alias("edit"))
+
+
+def style_attributes(nodes: DataFrame) -> DataFrame:
+    """Style attributes whose value is plain text, with the span of the value."""
+    plain = nodes.filter(F.col("type").isin("html-attr", "table-attr", "ext-attr") & (F.col("name") == "style") & (prop("plain") == "true"))
+    values = nodes.filter(F.col("type") == "attr-value").select("page_id", F.col("parent_id").alias("node_id"), F.col("start").alias("value_start"), F.col("end").alias("value_end"))
+    return plain.select("page_id", "node_id", prop("value").alias("style"), prop("tag").alias("tag")).join(values, ["page_id", "node_id"])
+
+
+def suggestions(*lists: DataFrame) -> DataFrame:
+    """Names of several completion lists, each once."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [x.select("name") for x in lists]).dropDuplicates(["name"])
+
+
+def possible_values(nodes: DataFrame) -> DataFrame:
+    """page_id, node_id, value: what a conditional may come out as, with those inside its branches resolved.
+
+    A branch that is only another conditional is replaced by that one's values, as deep as they nest.
+    """
+    calls = nodes.filter((F.col("type") == "magic-word") & F.col("name").isin("if", "ifeq", "ifexpr", "ifexist", "iferror", "switch"))
+    args = nodes.filter(F.col("type") == "parameter").select("page_id", F.col("parent_id").alias("call_id"), F.col("node_id").alias("param_id"), prop("pos").cast("int").alias("pos"), prop("anon").alias("anon"), F.max(prop("pos").cast("int")).over(Window.partitionBy("page_id", "parent_id")).alias("n"))
+    met = calls.select("page_id", F.col("node_id").alias("call_id"), "name").join(args, ["page_id", "call_id"])
+    first = F.when(F.col("name").isin("if", "ifexist", "ifexpr"), 2).when(F.col("name") == "ifeq", 3).when((F.col("name") == "iferror") & (F.col("n") > 2), 2).otherwise(1)
+    branch = F.when(F.col("name") == "switch", (F.col("pos") > 1) & ((F.col("anon") == "false") | (F.col("pos") == F.col("n")))).otherwise((F.col("pos") >= first) & (F.col("pos") < first + 2))
+    values = nodes.filter(F.col("type") == "parameter-value").select("page_id", F.col("parent_id").alias("param_id"), F.col("node_id").alias("value_id"), F.trim("text").alias("value"))
+    told = met.filter(branch).join(values, ["page_id", "param_id"]).filter("value <> ''").select("page_id", "call_id", "value_id", "value")
+    kids = nodes.filter(F.col("type").isNotNull()).select("page_id", F.col("parent_id").alias("value_id"), F.col("node_id").alias("kid"), "type", "name", "text").filter(F.trim("text") != "")
+    only = kids.groupBy("page_id", "value_id").agg(F.count(F.lit(1)).alias("k"), F.first("kid").alias("inner"), F.first("type").alias("t"), F.first("name").alias("f"))
+    only = only.filter((F.col("k") == 1) & (F.col("t") == "magic-word") & F.col("f").isin("if", "ifeq", "ifexpr", "ifexist", "iferror", "switch")).select("page_id", "value_id", "inner")
+    steps = told.join(only, ["page_id", "value_id"], "left")
+    done = steps.filter("inner is null").select("page_id", F.col("call_id").alias("node_id"), "value")
+    links = steps.filter("inner is not null").select("page_id", F.col("call_id").alias("outer"), "inner")
+    # Conditionals nest as deep as the page says, but each round handles all pages at once.
+    from markloom.sources.shared import materialise
+
+    out, links = materialise(done, "values"), materialise(links, "values-links")
+    fresh = out
+    while links.head(1):
+        fresh = materialise(fresh.withColumnRenamed("node_id", "inner").join(links, ["page_id", "inner"]).select("page_id", F.col("outer").alias("node_id"), "value"), "values")
+        if not fresh.head(1):
+            break
+        out = out.unionByName(fresh)
+    return out
+
+
+def modules(nodes: DataFrame) -> DataFrame:
+    """page_id, node_id, module, function, args of each ``#invoke``: the arguments after the function, renumbered."""
+    calls = nodes.filter((F.col("type") == "magic-word") & (F.col("name") == "invoke"))
+    number = lambda k: k.try_cast("int")
+    rest = F.map_filter("attrs", lambda k, _: ~k.isin("1", "2"))
+    args = F.transform_keys(rest, lambda k, _: F.when(number(k).isNotNull(), (number(k) - 2).cast("string")).otherwise(k))
+    return calls.select("page_id", "node_id", F.concat(F.lit("Module:"), F.trim(F.try_element_at("attrs", F.lit("1")))).alias("module"), F.trim(F.try_element_at("attrs", F.lit("2"))).alias("function"), args.alias("args"))

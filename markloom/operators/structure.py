@@ -13,22 +13,24 @@ from markloom.config import DEFAULT, SiteConfig
 
 
 def prop(name: str) -> Column:
-    return F.try_element_at("props", F.lit(name))
+    return F.expr(f"try_element_at(props, '{name}')")
 
 
 def attr(name: str) -> Column:
-    return F.try_element_at("attrs", F.lit(name))
+    return F.expr(f"try_element_at(attrs, '{name}')")
+
+
+def among(column: str, words) -> Column:
+    """``column in (...)`` for many plain words, as one piece of SQL."""
+    return F.expr(f"{column} in ({', '.join(f"'{w}'" for w in words)})")
 
 
 def has_ancestor(*types: str, barrier: str | None = None) -> Column:
     """Is there an ancestor of these types; with a barrier, not above the nearest one of that type."""
-    inside = F.exists("anc", lambda a: a["type"].isin(*types))
+    listed = ", ".join(f"'{t}'" for t in types)
     if barrier is None:
-        return inside
-    def step(acc: Column, a: Column) -> Column:
-        return F.when(a["type"] == barrier, F.lit(False)).when(a["type"].isin(*types), F.lit(True)).otherwise(acc)
-
-    return F.aggregate("anc", F.lit(False), step)
+        return F.expr(f"exists(anc, a -> a.type in ({listed}))")
+    return F.expr(f"aggregate(anc, false, (acc, a) -> case when a.type = '{barrier}' then false when a.type in ({listed}) then true else acc end)")
 
 
 def arguments(nodes: DataFrame) -> DataFrame:

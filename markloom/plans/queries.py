@@ -14,24 +14,11 @@ from markloom.functions import text as small
 from markloom.operators import editor, lint, structure
 from markloom.plans import text as pages_text
 from markloom.plans.parse import parse
+from markloom.plans.registry import QUERIES, SQL, query
 from markloom.plans.select import select
 from markloom.sources import fixtures as fx
 from markloom.streaming import revisions
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    def register(fn):
-        QUERIES[name or fn.__name__] = fn
-        if sql:
-            SQL[name or fn.__name__] = sql
-        return fn
-
-    return register
-
-
 #: What sections are made from.
 HEADINGS = ["node_id", "type", "start", "end", "props"]
 
@@ -570,3 +557,5 @@ def template_closure(spark, d):
     edges = fx.read(spark, d, "part").filter("p_partkey > 2").select(F.col("p_partkey").alias("source"), F.floor(F.col("p_partkey") / 3).cast("long").alias("target"))
     return structure.template_closure(edges)
 
+
+from markloom.plans import node_queries as _more  # noqa: E402, F401 - registers its queries

@@ -61,6 +61,16 @@ def redirects(spark: SparkSession, d: str) -> DataFrame:
     return brands.select(F.xxhash64("p_brand").alias("page_id"), text("Alias ", c("p_brand")).alias("title"), body.alias("text"))
 
 
+def varied(spark: SparkSession, d: str) -> DataFrame:
+    """One page per part: size mod 5 list lines, size mod 4 calls, size mod 3 nested tags, a file, and an end that is a link for even sizes."""
+    n = lambda m: F.pmod(F.col("p_size"), F.lit(m)).cast("int")
+    body = text(
+        F.repeat(text("* [[L", c("p_partkey"), "]] ''i''\n"), n(5)), F.repeat(F.lit("{{T|a|b=c}} "), n(4)), "<b>", F.repeat(F.lit("<i>x</i>"), n(3)), "</b>\n[[File:A.png|left|10px|20px|thumb=a.png|thumb=b.png|alt=",
+        c("p_partkey"), "]]\n", F.when(n(2) == 0, "[[End]]").otherwise(text("end ", c("p_partkey"))),
+    )
+    return read(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.col("p_name").alias("title"), body.alias("text"))
+
+
 #: Wikitext and the reports that it makes: (rule, key, number). Those without reports are near misses.
 FAULTS: list[tuple[str, tuple[tuple[str, str, int], ...]]] = [
     ("<poem>{{{x}}}</poem>", (("arg-in-ext", "", 1), ("no-arg", "", 1))),
