@@ -8,10 +8,14 @@
    have any length, its parts at least LEAST_CHARS. Of equal originals the earliest
    counts, found by a pre-aggregated minimum, so a sentence that a conversation repeats a
    thousand times is one row of the join.
-3. A message answers the latest original among its shallowest linked quotes. The first
-   message of each thread is found by pointer doubling. Conversations come out in reply
-   order: thread by thread, by the threads' first turns, each message after the one that it
-   answers. Messages without a linked quote begin a thread of their own.
+3. A message answers the latest original among its shallowest linked quotes. Messages
+   without a linked quote begin a thread of their own. The first message of each thread is
+   found by pointer doubling.
+4. Conversations come out in reply order: thread by thread, by the threads' first turns; in
+   a thread each message is followed by its answers, the earliest first, each with its own
+   answers. These places come from a tour down and up the reply trees, a linked list whose
+   members are counted by pointer doubling: rows of fixed size however deep or wide a thread.
+5. ``conversations`` joins the messages, without their quotes, to texts.
 
 Places in a conversation are ranks from a range sort, so one conversation may hold any
 share of all messages.
@@ -110,11 +114,12 @@ def link(messages: DataFrame) -> DataFrame:
         )
         links = materialise(links.select("conv_id", "turn", F.col("best.origin").alias("parent_turn"), "n_linked"), "chat-links")
         roots = _roots(links.select("conv_id", "turn", F.col("parent_turn").alias("up")))
-        links = links.join(roots, ["conv_id", "turn"])
-        told = base.join(links, ["conv_id", "turn"], "left")
+        links = materialise(links.join(roots, ["conv_id", "turn"]), "chat-rooted")
+        tour = _tour(links.select("conv_id", "turn", "parent_turn", "root_turn"))
+        told = base.join(links.drop("root_turn"), ["conv_id", "turn"], "left").join(tour, ["conv_id", "turn"], "left")
     else:
         none = F.lit(None).cast("long")
-        told = base.withColumns({"parent_turn": none, "n_linked": none, "root_turn": none})
+        told = base.withColumns({"parent_turn": none, "n_linked": none, "root_turn": none, "place": none})
     rows = told.select(
         "conv_id",
         "turn",
@@ -124,8 +129,9 @@ def link(messages: DataFrame) -> DataFrame:
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         "parent_turn",
         F.coalesce("root_turn", "turn").alias("root_turn"),
+        F.coalesce("place", F.lit(0)).alias("place"),
     )
-    placed = ranked(rows, "conv_id", ["root_turn", "turn", "role", "own_text"], "chat-ranked")
+    placed = ranked(rows, "conv_id", ["root_turn", "place", "role", "own_text"], "chat-ranked")
     return placed.select(
         "conv_id", F.col("rank").cast("long").alias("position"), "turn", "role", "own_text", "n_quotes", "n_linked", "parent_turn", "root_turn",
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), "own_text", F.lit("\n<|end|>")).alias("formatted"),
@@ -140,3 +146,43 @@ def _roots(up: DataFrame) -> DataFrame:
         if not up.filter("moved").head(1):
             return up.select("conv_id", "turn", F.col("up").alias("root_turn"))
         up = up.drop("moved")
+
+
+def _tour(links: DataFrame) -> DataFrame:
+    """(conv_id, turn, parent_turn, root_turn) of answers -> conv_id, turn, root_turn, place: everyone's place in the thread's reply order.
+
+    Each message is entered and left once: after entering comes its first answer, after
+    leaving the next answer to the same message. Counting the entries from each step to the
+    end of the thread gives the places.
+    """
+    tops = links.select("conv_id", F.col("root_turn").alias("turn"), F.lit(None).cast("long").alias("parent_turn"), "root_turn").distinct()
+    everyone = materialise(tops.unionByName(links), "chat-everyone")
+    first = links.groupBy("conv_id", "parent_turn").agg(F.min("turn").alias("child")).select("conv_id", F.col("parent_turn").alias("turn"), "child")
+    siblings = links.select("conv_id", "parent_turn", "turn", F.concat_ws(":", "conv_id", "parent_turn").alias("_set"))
+    numbered = materialise(ranked(siblings, "_set", ["turn"], "chat-siblings").select("conv_id", "parent_turn", "turn", "rank"), "chat-numbered")
+    later = numbered.select("conv_id", "parent_turn", F.col("turn").alias("sibling"), (F.col("rank") - 1).alias("rank"))
+    after = numbered.join(later, ["conv_id", "parent_turn", "rank"]).select("conv_id", "turn", "sibling")
+    # A step is named by its turn and whether it enters (1) or leaves (0).
+    met = everyone.join(first, ["conv_id", "turn"], "left").join(after, ["conv_id", "turn"], "left")
+    entering = met.select("conv_id", "turn", F.lit(1).alias("enters"), F.coalesce("child", "turn").alias("to"), F.when(F.col("child").isNotNull(), 1).otherwise(0).alias("to_enters"))
+    leaving = met.select("conv_id", "turn", F.lit(0).alias("enters"), F.coalesce("sibling", "parent_turn").alias("to"), F.when(F.col("sibling").isNotNull(), 1).otherwise(0).alias("to_enters"))
+    steps = materialise(entering.unionByName(leaving).withColumn("n", F.col("enters").cast("long")), "chat-tour")
+    while steps.filter("to is not null").head(1):
+        ahead = steps.select("conv_id", F.col("turn").alias("to"), F.col("enters").alias("to_enters"), F.col("to").alias("to2"), F.col("to_enters").alias("to_enters2"), F.col("n").alias("n2"))
+        moved = steps.join(ahead, ["conv_id", "to", "to_enters"], "left")
+        steps = materialise(moved.select("conv_id", "turn", "enters", F.col("to2").alias("to"), F.coalesce("to_enters2", F.lit(0)).alias("to_enters"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")), "chat-tour")
+    left = everyone.join(steps.filter("enters = 1").select("conv_id", "turn", "n"), ["conv_id", "turn"])
+    size = left.filter("turn = root_turn").select("conv_id", "root_turn", F.col("n").alias("size"))
+    return left.join(size, ["conv_id", "root_turn"]).select("conv_id", "turn", "root_turn", (F.col("size") - F.col("n")).alias("place"))
+
+
+#: Messages in one text: longer conversations come as several parts, so no row grows without bound.
+PART_MESSAGES = 1_000
+
+
+def conversations(linked: DataFrame) -> DataFrame:
+    """conv_id, part, n_messages, text: formatted messages without quotes, in reply order."""
+    part = F.floor(F.col("position") / PART_MESSAGES).cast("long")
+    ordered = F.array_sort(F.collect_list(F.struct("position", "formatted")))
+    texts = linked.groupBy("conv_id", part.alias("part")).agg(F.count(F.lit(1)).alias("n_messages"), ordered.alias("m"))
+    return texts.select("conv_id", "part", "n_messages", F.array_join(F.transform("m", lambda x: x["formatted"]), "\n").alias("text"))

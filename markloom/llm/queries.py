@@ -52,8 +52,30 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
+def quoted_conversations(conversations: DataFrame) -> DataFrame:
+    """``conversations`` as mail: the synthetic table holds no quotation, so earlier turns are quoted by rule.
+
+    Turns 1, 5, ... quote the turn before; turns 2, 6, ... the one before that on level 1 and
+    the last on level 2; turns 3, 7, ... the second last on level 3; the others quote nothing.
+    """
+    own = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    kind = F.pmod("turn", F.lit(4))
+    asks = {1: ((1, 1), (2, 2)), 2: ((2, 1), (3, 3))}  # distance: (kind of turn, level)
+    out = own
+    for distance, cases in asks.items():
+        earlier = own.select("conv_id", (F.col("turn") + distance).alias("turn"), F.col("text").alias("_said"))
+        level = F.lit(None).cast("int")
+        for k, n in cases:
+            level = F.when(kind == k, n).otherwise(level)
+        met = out.join(earlier, ["conv_id", "turn"], "left")
+        mark = F.repeat(F.lit(">"), level)
+        lines = F.array_join(F.transform(F.split("_said", "\n"), lambda x: F.concat(mark, F.lit(" "), x)), "\n")
+        out = met.withColumn("text", F.when(level.isNotNull() & F.col("_said").isNotNull(), F.concat(lines, F.lit("\n"), "text")).otherwise(F.col("text"))).drop("_said")
+    return out
+
+
 def op2_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = chat.link(table(spark, sf_dir, "conversations"))
+    linked = chat.link(quoted_conversations(table(spark, sf_dir, "conversations")))
     return linked.withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1)))  # -1: answers no message
 
 

@@ -103,14 +103,41 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d
 FROM d JOIN least ON least.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-#: For conversations without quoted lines, which is what the synthetic tables hold: every message begins its own thread.
-OP2 = r"""
-WITH m AS (
-  SELECT conv_id, turn, role, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS own_text FROM conversations
+#: The quotations that the query writes by rule, the hash-free join of their units to those of earlier messages, and the reply order by paths.
+_UNITS = r"""
+SELECT conv_id, turn, no, level, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS unit, true AS whole FROM {0}
+UNION SELECT conv_id, turn, no, level, unit, false FROM (
+  WITH b AS (SELECT conv_id, turn, no, level, trim(regexp_replace(lower(unnest(list_concat(string_split_regex(text, '\n\s*\n'), string_split(text, chr(10))))), '\s+', ' ', 'g')) AS block FROM {0})
+  SELECT conv_id, turn, no, level, block AS unit FROM b
+  UNION SELECT conv_id, turn, no, level, trim(unnest(string_split(regexp_replace(block, '([.!?…]["'')\]”’]?) +', '\1' || chr(1), 'g'), chr(1)))) FROM b)
+"""
+
+OP2 = rf"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS own_text, coalesce(text, '') AS text FROM conversations
+), q AS (
+  SELECT m.conv_id, m.turn, m.turn - p.turn AS no, CASE m.turn % 4 WHEN 1 THEN 1 WHEN 2 THEN 3 - (m.turn - p.turn) ELSE 3 END AS level, p.text
+  FROM m JOIN m p ON p.conv_id = m.conv_id AND ((m.turn % 4 = 1 AND p.turn = m.turn - 1) OR (m.turn % 4 = 2 AND p.turn IN (m.turn - 1, m.turn - 2)) OR (m.turn % 4 = 3 AND p.turn = m.turn - 2))
+), o AS (
+  SELECT conv_id, turn, 0 AS no, 0 AS level, own_text AS text FROM m
+), keys AS (
+  SELECT conv_id, turn, no, level, unit FROM ({_UNITS.format("q")}) WHERE length(unit) >= CASE WHEN whole THEN 1 ELSE 12 END
+), origins AS (
+  SELECT conv_id, unit, min(turn) AS origin FROM ({_UNITS.format("o")}) WHERE length(unit) > 0 GROUP BY conv_id, unit
+), met AS (
+  SELECT keys.*, origin FROM keys JOIN origins USING (conv_id, unit) WHERE origin < turn
+), links AS (
+  SELECT conv_id, turn, arg_max(origin, -level * 1000000 + origin) AS parent_turn, count(DISTINCT no) AS n_linked FROM met GROUP BY conv_id, turn
+), tree(conv_id, turn, parent_turn, n_linked, root_turn, path) AS (
+  SELECT m.conv_id, m.turn, -1::BIGINT, 0::BIGINT, m.turn, [m.turn] FROM (SELECT DISTINCT conv_id, turn FROM m) m ANTI JOIN links USING (conv_id, turn)
+  UNION ALL SELECT links.conv_id, links.turn, links.parent_turn, links.n_linked, tree.root_turn, list_append(tree.path, links.turn)
+  FROM links JOIN tree ON tree.conv_id = links.conv_id AND tree.turn = links.parent_turn
+), n AS (
+  SELECT conv_id, turn, count(*) AS n_quotes FROM q GROUP BY conv_id, turn
 )
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, own_text) - 1 AS position, turn, role, own_text, CAST(0 AS BIGINT) AS n_quotes, CAST(0 AS BIGINT) AS n_linked,
-       CAST(-1 AS BIGINT) AS parent_turn, turn AS root_turn, '<|' || role || '|>' || chr(10) || own_text || chr(10) || '<|end|>' AS formatted
-FROM m
+SELECT m.conv_id, row_number() OVER (PARTITION BY m.conv_id ORDER BY root_turn, path, role, own_text) - 1 AS position, m.turn, role, own_text, coalesce(n_quotes, 0)::BIGINT AS n_quotes, n_linked::BIGINT AS n_linked,
+       parent_turn::BIGINT AS parent_turn, root_turn, '<|' || role || '|>' || chr(10) || own_text || chr(10) || '<|end|>' AS formatted
+FROM m JOIN tree USING (conv_id, turn) LEFT JOIN n USING (conv_id, turn)
 """
 
 #: The wording differences of a notice that is there word by word are none, so lines can be found by their text.

@@ -592,3 +592,112 @@ def test_substring_repeated_rows(spark, monkeypatch, parts, group):
             before.add(tuple(w[k : k + 20]))
         want[i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()] += 1
     assert got == want
+
+
+def brute_threads(rows):
+    """(conv_id, turn) -> (parent, root), and each conversation's turns in reply order."""
+
+    def norm(t):
+        return re.sub(r"\s+", " ", t.lower()).strip()
+
+    def units(t, least):
+        blocks = [norm(b) for b in re.split(r"\n\s*\n", t) + t.split("\n")]
+        parts = blocks + [x.strip() for b in blocks for x in re.split(r"(?<=[.!?]) +", b)]
+        return {x for x in [norm(t)] if x} | {x for x in parts if len(x) >= least}
+
+    def read(text):
+        runs = []
+        for line in (text or "").split("\n"):
+            m = re.match(r"(?:[ \t]*>)+", line)
+            level, body = (m[0].count(">"), re.sub(r"^[ \t]", "", line[m.end() :])) if m else (0, line)
+            if runs and runs[-1][0] == level:
+                runs[-1][1].append(body)
+            else:
+                runs.append((level, [body]))
+        own = "\n".join("\n".join(b) for level, b in runs if not level).strip(" \t\n\r")
+        return own, [(level, "\n".join(b)) for level, b in runs if level]
+
+    parents, order = {}, {}
+    for conv in {r[0] for r in rows}:
+        mine = sorted((r[1], *read(r[3])) for r in rows if r[0] == conv)
+        first = {}
+        for turn, own, _ in mine:
+            for u in units(own, 1):
+                first.setdefault(u, turn)
+        kids = defaultdict(list)
+        for turn, _, quotes in mine:
+            met = [(-level, first[u]) for level, q in quotes for u in units(q, chat.LEAST_CHARS) if first.get(u, turn) < turn]
+            parents[conv, turn] = max(met)[1] if met else None
+            kids[parents[conv, turn]].append(turn)
+        out, left = [], list(reversed(kids[None]))
+        while left:
+            turn = left.pop()
+            out.append(turn)
+            left += reversed(kids[turn])
+        order[conv] = out
+    return parents, order
+
+
+def test_threads_against_brute_force(spark):
+    rng = random.Random(17)
+    rows = []
+    for conv in range(6):
+        said = []
+        for turn in range(60 if conv else 200):
+            own = " ".join(rng.choices("alpha beta gamma delta river stone market".split(), k=rng.randint(1, 9))) + rng.choice([".", "?", "", ".\nSecond line of it here."])
+            text = own
+            if said and rng.random() < 0.85:
+                # conversation 0 is a chain, 1 a star, the others anything
+                k = len(said) - 1 if conv == 0 else 0 if conv == 1 else rng.randrange(len(said))
+                text = "\n".join("> " + x for x in said[k].split("\n")) + "\n" + own
+                if rng.random() < 0.3:
+                    text = ">> " + said[rng.randrange(len(said))].split("\n")[0] + "\n" + text
+            said.append(own)
+            rows.append((conv, turn, "ab"[turn % 2], text))
+    parents, order = brute_threads(rows)
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    linked = chat.link(table)
+    got = linked.collect()
+    assert {(r.conv_id, r.turn): r.parent_turn for r in got} == parents
+    places = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.conv_id, r.position)):
+        places[r.conv_id].append(r.turn)
+    assert places == order and any(o != sorted(o) for o in order.values())
+    texts = {(r.conv_id, r.part): (r.n_messages, r.text) for r in chat.conversations(linked).collect()}
+    own = {(r.conv_id, r.turn): r.formatted for r in got}
+    assert texts == {(c, 0): (len(o), "\n".join(own[c, t] for t in o)) for c, o in order.items()}
+
+
+def test_clashing_columns_of_pipeline_stages(spark, docs):
+    odd = docs.selectExpr("*", "'a' AS _gone", "1 AS rep", "2 AS component", "3 AS anchor", "'k' AS key").limit(60)
+    assert exact.drop_copies(odd).columns == odd.columns and hyperminhash.drop_near_copies(odd).columns == odd.columns
+    assert substring.parse(odd).count() == odd.count() and licenses.scan(odd).count() == odd.count()
+    assert token_files.roundtrip(odd, tokenizer_path("byte_bpe_50k.json")).count() == odd.count()
+    assert pieces.encode(odd, tokenizer_path("piece_bpe_32k.model")).count() == odd.count()
+
+
+def test_pipeline_of_an_empty_table(spark, none, tmp_path):
+    import corpus_pipeline
+
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert licenses.scan(none).count() == 0
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from markloom.llm import _io
+
+    class Context:
+        master = "spark://somewhere"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        _io.shared_dir(Session())
