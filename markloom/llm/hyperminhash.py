@@ -15,9 +15,11 @@
    so many that two similar ones must share one, are its keys; members outside a key's
    largest component meet all its other members, and of these pairs those stay whose places
    of the shared key leave room for enough common shingles. They are estimated and confirmed
-   in turn. Any fixed order of shingles is right for this; rarity, from counts in TALLY
-   slots, makes it short: heavily edited copies begin with shingles that nobody else has. No
-   pair inside a component is made, so a large group of near copies stays linear.
+   in turn. Any fixed order of shingles is right for this; rarity makes it short. It is
+   counted exactly, by a shuffle of the shingles of the documents that are still open:
+   those of one component only can't be shared and come first, and a document that has
+   enough of them is out. No pair inside a component is made, so a large group of near
+   copies stays linear.
 
 Defined results for odd input
     null, empty, blank text  empty set; linked with nothing; its own component
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm._io import materialise, semi_by_id, trimmed, without
+from markloom.llm._io import BROADCAST_ROWS, materialise, semi_by_id, trimmed, without
 from markloom.llm._text import U, Words, chunks, grams, mix
 from markloom.llm.components import components
 
@@ -47,8 +49,8 @@ BAND_ROWS = 4
 BANDS = BUCKETS // BAND_ROWS
 MANTISSA = 10
 SIGMAS = 5.0
-#: Slots of the rarity count of shingles; one array of this length goes to every task.
-TALLY = 1 << 16
+#: Into so many parts the pairs of one document are split when they are confirmed on full sets.
+SALTS = 32
 #: Keys before a key that travel with it, by which a pair's later meetings are told from its first.
 EARLIER = 32
 #: Expected share of equal registers of disjoint sets, times 2**MANTISSA (Yu and Weber, HyperMinHash).
@@ -142,45 +144,16 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _tally(k: int):
-    """How often shingles fall into each of TALLY slots, in blocks of 256 slots."""
+def _tokens(k: int):
+    """All shingles of each document: key, rep, component, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TALLY, np.int64)
-        for batch in batches:
-            for _, _, words in chunks(batch.column(1), lower=True):
-                total += np.bincount((_shingles(words, k)[1] & U(TALLY - 1)).astype(np.int64), minlength=TALLY)
-        parts = total.reshape(-1, 256)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([r.tobytes() for r in parts], pa.binary())], ["block", "counts"]
-        )
-
-    return run
-
-
-def _add(parts: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(r, np.int64) for r in parts["counts"].to_pylist()], axis=0)
-    return pa.table({"block": parts["block"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
-
-
-def _prefixes(k: int, percent: int, tally):
-    """The rarest shingles of each document, enough that similar documents share one: key, rep, n, at."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = tally.value
         for batch in batches:
             for a, b, words in chunks(batch.column(1), lower=True):
                 docs, values = _shingles(words, k)
-                order = np.lexsort((values, rarity[(values & U(TALLY - 1)).astype(np.int64)], docs))
-                docs, values = docs[order], values[order]
-                sizes = np.bincount(docs, minlength=b - a)
-                at = np.arange(len(docs)) - (np.cumsum(sizes) - sizes)[docs]
-                n = sizes[docs]
-                use = at < n + (-percent * n // 100) + 1
-                ids = batch.column(0).slice(a, b - a).take(pa.array(docs[use]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[use].astype(np.int64)), ids, pa.array(n[use]), pa.array(at[use])], ["key", "rep", "n", "at"]
-                )
+                n = np.bincount(docs, minlength=b - a)[docs]
+                at = pa.array(a + docs)
+                yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), batch.column(0).take(at), batch.column(2).take(at), pa.array(n, pa.int64())], ["key", "rep", "component", "n"])
 
     return run
 
@@ -214,14 +187,21 @@ def _sets(k: int):
 
 
 def _confirm(percent: int):
+    """Rows sorted by hub: its own set first (no leaf), then those of the leaves to compare with it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, None
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            found: list[tuple[int, int]] = []
+            for a, b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                x = np.frombuffer(raw.as_buffer(), np.uint64)
+                if b is None:
+                    hub, own = a, x.copy()
+                elif hub == a:
+                    both = len(np.intersect1d(own, x, assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(x) - both):
+                        found.append((min(a, b), max(a, b)))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -240,19 +220,34 @@ def _links(pairs: DataFrame, reps: DataFrame, rows: DataFrame, k: int, percent:
     ids = materialise(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
     sets = semi_by_id(rows.filter("doc_id is not null"), ids, "doc_id").mapInArrow(trimmed(_sets(k)), "doc_id long, shingles binary").dropDuplicates(["doc_id"])
     sets = materialise(sets, "near-sets")
-    full = likely.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
-    return materialise(full.mapInArrow(trimmed(_confirm(percent)), "a long, b long"), "near-links")
+    # The member of more pairs is the hub: its set travels once for each of its parts, not once for each pair.
+    degree = likely.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("d"))
+    sided = likely.join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b")
+    first = F.col("da") >= F.col("db")
+    pairs = sided.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("leaf"))
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("leaf"), F.lit(SALTS)))
+    hubs = pairs.select("hub", "part").distinct().join(sets.toDF("hub", "shingles"), "hub").select("hub", F.lit(None).cast("long").alias("leaf"), "shingles", "part")
+    leaves = pairs.join(sets.toDF("leaf", "shingles"), "leaf").select("hub", "leaf", "shingles", "part")
+    dealt = hubs.unionByName(leaves).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("leaf").asc_nulls_first())
+    return materialise(dealt.select("hub", "leaf", "shingles").mapInArrow(trimmed(_confirm(percent)), "a long, b long"), "near-links")
 
 
 def _across(tokens: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a prefix shingle and can still be similar.
 
-    With ``at`` the place of the first shingle that both prefixes hold, two sets have at
-    most 1 + min(what follows it in either) shingles in common. A pair is made at its first
-    common shingle; at a later one only if the EARLIER shared keys before it hold none.
+    tokens(key, rep, component, n). Shingles in the order of their counts, those of a single
+    component before all: with ``at`` the place of the first shingle that both prefixes
+    hold, two sets have at most 1 + min(what follows it in either) shingles in common. A
+    pair is made at its first common shingle; at a later one only if the EARLIER shared keys
+    before it hold none.
     """
-    mixed = tokens.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    bags = tokens.join(mixed, "key").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_set(F.struct("at", "key"))).alias("ts"))
+    counted = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    shared = materialise(counted.filter("lo <> hi").select("key", "c"), "near-shared")
+    mine = tokens.join(shared, "key").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("s"))
+    alone = F.col("n") - F.size("s")
+    prefix = F.expr(f"n - (n * {percent} + 99) div 100 + 1")  # whole numbers, as a rounded share could lose a pair
+    at = F.transform("s", lambda t, i: F.struct((alone + i).alias("at"), t["key"].alias("key")))
+    bags = mine.filter(prefix > alone).select("rep", "component", "n", F.slice(at, F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int")).alias("ts"))
     placed = bags.select("rep", "component", "n", "ts", F.posexplode("ts").alias("k", "t"))
     before = F.slice("ts", F.greatest(F.col("k") - EARLIER, F.lit(0)) + 1, F.least(F.col("k"), F.lit(EARLIER)))
     held = placed.select("rep", "component", "n", F.col("t.key").alias("key"), F.col("t.at").alias("at"), F.transform(before, lambda t: t["key"]).alias("earlier"))
@@ -292,16 +287,12 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     placed = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     placed = materialise(placed, "near-placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    unsettled = materialise(placed.join(mixed, "key").select(F.col("rep").alias("doc_id")).distinct(), "near-open")
-    texts = semi_by_id(rows.filter("doc_id is not null"), unsettled, "doc_id")
-    blocks = texts.mapInArrow(trimmed(_tally(shingle)), "block int, counts binary").groupBy("block").applyInArrow(_add, "block int, counts binary")
-    tally = np.zeros((TALLY // 256, 256), np.int64)
-    for r in blocks.collect():  # always TALLY numbers in all
-        tally[r["block"]] = np.frombuffer(r["counts"], np.int64)
-    sent = docs.sparkSession.sparkContext.broadcast(tally.ravel())
-    tokens = texts.mapInArrow(trimmed(_prefixes(shingle, percent, sent)), "key long, rep long, n long, at long")
-    named = tokens.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    more = _links(_across(materialise(named, "near-tokens"), percent), reps, rows, shingle, percent)
+    unsettled = materialise(placed.join(mixed, "key").select(F.col("rep").alias("doc_id"), "component").distinct(), "near-open")
+    ids = F.broadcast(unsettled) if unsettled.count() <= BROADCAST_ROWS else unsettled
+    texts = rows.filter("doc_id is not null").join(ids, "doc_id").select("doc_id", "text", "component")
+    # Rows that share a doc_id would count a shingle twice for one document.
+    tokens = texts.mapInArrow(trimmed(_tokens(shingle)), "key long, rep long, component long, n long")
+    more = _links(_across(tokens, percent), reps, rows, shingle, percent)
     final = components(links.unionAll(more))
 
     classes = reps.select("f1", "f2", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left")
