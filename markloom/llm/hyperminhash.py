@@ -145,15 +145,14 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tokens(k: int):
-    """All shingles of each document: key, rep, component, n."""
+    """All shingles of each document: key, rep, component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, words in chunks(batch.column(1), lower=True):
                 docs, values = _shingles(words, k)
-                n = np.bincount(docs, minlength=b - a)[docs]
                 at = pa.array(a + docs)
-                yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), batch.column(0).take(at), batch.column(2).take(at), pa.array(n, pa.int64())], ["key", "rep", "component", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), batch.column(0).take(at), batch.column(2).take(at)], ["key", "rep", "component"])
 
     return run
 
@@ -232,10 +231,10 @@ def _links(pairs: DataFrame, reps: DataFrame, rows: DataFrame, k: int, percent:
     return materialise(dealt.select("hub", "leaf", "shingles").mapInArrow(trimmed(_confirm(percent)), "a long, b long"), "near-links")
 
 
-def _across(tokens: DataFrame, percent: int) -> DataFrame:
+def _across(tokens: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a prefix shingle and can still be similar.
 
-    tokens(key, rep, component, n). Shingles in the order of their counts, those of a single
+    tokens(key, rep, component), members(rep, component, n). Shingles in the order of their counts, those of a single
     component before all: with ``at`` the place of the first shingle that both prefixes
     hold, two sets have at most 1 + min(what follows it in either) shingles in common. A
     pair is made at its first common shingle; at a later one only if the EARLIER shared keys
@@ -243,7 +242,7 @@ def _across(tokens: DataFrame, percent: int) -> DataFrame:
     """
     counted = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     shared = materialise(counted.filter("lo <> hi").select("key", "c"), "near-shared")
-    mine = tokens.join(shared, "key").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("s"))
+    mine = tokens.select("key", "rep").join(shared, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("s")).join(members, "rep")
     alone = F.col("n") - F.size("s")
     prefix = F.expr(f"n - (n * {percent} + 99) div 100 + 1")  # whole numbers, as a rounded share could lose a pair
     at = F.transform("s", lambda t, i: F.struct((alone + i).alias("at"), t["key"].alias("key")))
@@ -290,9 +289,9 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     unsettled = materialise(placed.join(mixed, "key").select(F.col("rep").alias("doc_id"), "component").distinct(), "near-open")
     ids = F.broadcast(unsettled) if unsettled.count() <= BROADCAST_ROWS else unsettled
     texts = rows.filter("doc_id is not null").join(ids, "doc_id").select("doc_id", "text", "component")
-    # Rows that share a doc_id would count a shingle twice for one document.
-    tokens = texts.mapInArrow(trimmed(_tokens(shingle)), "key long, rep long, component long, n long")
-    more = _links(_across(tokens, percent), reps, rows, shingle, percent)
+    tokens = texts.mapInArrow(trimmed(_tokens(shingle)), "key long, rep long, component long")
+    members = unsettled.toDF("rep", "component").join(reps.select("rep", "n"), "rep")
+    more = _links(_across(tokens, members, percent), reps, rows, shingle, percent)
     final = components(links.unionAll(more))
 
     classes = reps.select("f1", "f2", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left")
