@@ -22,7 +22,7 @@ ALIASES = {"image": 6, "image talk": 7, "wp": 4, "wikipedia": 4, "wikipedia talk
 FUNCTIONS = {
     **{n: n for n in "ns nse urlencode lcfirst ucfirst lc uc localurl localurle fullurl fullurle canonicalurl canonicalurle formatnum grammar gender plural bidi padleft padright anchorencode filepath pageid int pagename pagenamee fullpagename fullpagenamee subpagename subpagenamee rootpagename rootpagenamee basepagename basepagenamee talkpagename talkpagenamee subjectpagename subjectpagenamee namespace namespacee namespacenumber talkspace talkspacee subjectspace subjectspacee defaultsort displaytitle pagesincategory pagesize numberingroup protectionlevel".split()},
     **{f"#{n}": n for n in "if ifeq ifexpr ifexist iferror switch expr time timel rel2abs titleparts tag invoke len pos rpos sub count replace explode urldecode language special speciale formatdate dateformat lst lsth lstx".split()},
-    "defaultsortkey": "defaultsort", "defaultcategorysort": "defaultsort",
+    "contentmodel": "contentmodel", "defaultsortkey": "defaultsort", "defaultcategorysort": "defaultsort",
 }
 VARIABLES = "! = articlepath basepagename basepagenamee contentlanguage contentmodel currentday currentday2 currentdayname currentdow currenthour currentmonth currentmonth1 currentmonthname currentmonthnamegen currentmonthabbrev currenttime currenttimestamp currentversion currentweek currentyear directionmark fullpagename fullpagenamee localday localday2 localdayname localdow localhour localmonth localmonth1 localmonthabbrev localmonthname localmonthnamegen localtime localtimestamp localweek localyear namespace namespacee namespacenumber numberofactiveusers numberofadmins numberofarticles numberofedits numberoffiles numberofpages numberofusers pageid pagelanguage pagename pagenamee revisionday revisionday2 revisionid revisionmonth revisionmonth1 revisionsize revisiontimestamp revisionuser revisionyear rootpagename rootpagenamee scriptpath server servername sitename stylepath subjectpagename subjectpagenamee subjectspace subjectspacee subpagename subpagenamee talkpagename talkpagenamee talkspace talkspacee userlanguage"
 SWITCHES = "forcetoc nocontentconvert nocc noeditsection nogallery notitleconvert notc notoc toc archivedtalk notalk"
@@ -58,6 +58,7 @@ class SiteConfig:
     interwiki: tuple[str, ...] = ()
     article_path: str = "/wiki/$1"
     server: str = "//example.org"
+    timezone: str = "UTC"
 
     @cached_property
     def html(self) -> frozenset[str]:

@@ -16,15 +16,25 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-_ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&#160;": " ", "&ndash;": "–", "&mdash;": "—"}
+def _named_entities() -> str:
+    """All named references that end in a semicolon, as JSON: a literal that Spark parses once."""
+    import json
+    from html.entities import html5
+
+    return json.dumps({f"&{name}": char for name, char in html5.items() if name.endswith(";")})
 
 
 def decode_entities(text: Column) -> Column:
-    """The common named entities; the full table is in the kernel."""
-    out = text
-    for name, char in _ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    """Character references that end in a semicolon: numbers of the basic plane and all names, as in the kernel."""
+    from markloom.functions.text import decode_numeric
+
+    names = F.from_json(F.lit(_named_entities()), "map<string,string>")
+    found = F.regexp_extract_all(text, F.lit("(&[a-zA-Z][a-zA-Z0-9]*;)"), F.lit(1))
+    # the ampersand last, so that nothing is decoded twice
+    order = F.concat(F.filter(F.array_distinct(found), lambda e: e != "&amp;"), F.array(F.lit("&amp;")))
+    named = F.aggregate(order, text, lambda acc, e: F.replace(acc, e, F.coalesce(F.try_element_at(names, e), e)))
+    plain = F.replace(decode_numeric(F.replace(text, F.lit("&amp;"), F.lit("\x00"))), F.lit("\x00"), F.lit("&amp;"))
+    return F.when(~F.contains(text, F.lit("&")), text).when(~text.rlike("&#"), named).otherwise(F.aggregate(order, plain, lambda acc, e: F.replace(acc, e, F.coalesce(F.try_element_at(names, e), e))))
 
 
 def normalise(text: Column, default_ns: int = 0, config: SiteConfig = DEFAULT) -> Column:
@@ -123,3 +133,31 @@ def pipe_trick(target: Column) -> Column:
     body = F.regexp_replace(F.regexp_replace(target, r"^:", ""), r"^[^:]+:", "")
     bare = F.regexp_replace(body, r"\s*[（(].*?[）)]\s*$", "")
     return F.when(bare != body, bare).otherwise(F.regexp_replace(body, r"[,，、].*$", ""))
+
+
+def file_url(t: Column, width: Column | None = None, height: Column | None = None, config: SiteConfig = DEFAULT) -> Column:
+    """Where a file's bytes are, in a width, or in the largest size that fits width and height; null for other pages."""
+    size = F.lit("")
+    if height is not None:
+        size = F.concat((F.lit(10000) if width is None else width).cast("string"), F.lit("x"), height.cast("string"))
+    elif width is not None:
+        size = width.cast("string")
+    path = F.concat(F.lit(config.server), url(F.concat(F.lit("Special:Redirect/file/"), t["main"]), None, config), F.when(size != "", F.concat(F.lit("?width="), size)).otherwise(""))
+    return F.when(t["valid"] & (t["ns"] == 6) & (t["interwiki"] == ""), path)
+
+
+def convert(title: Column, pairs: dict[str, str]) -> Column:
+    """Title in another variant: at every place the longest key that fits is replaced, and nothing twice."""
+    if not pairs:
+        return title
+    keys = sorted(pairs, key=lambda k: (-len(k), k))
+    pattern = "|".join("".join(f"\\{c}" if c in r"\.[]{}()*+?^$|" else c for c in k) for k in keys)
+    hits, pieces = F.regexp_extract_all(title, F.lit(f"({pattern})"), F.lit(1)), F.split(title, pattern, -1)
+    changed = F.transform(hits, lambda h: F.try_element_at(_map(pairs), h))
+    return F.aggregate(F.arrays_zip(pieces.alias("p"), changed.alias("c")), F.lit(""), lambda acc, z: F.concat(acc, z["p"], F.coalesce(z["c"], F.lit(""))))
+
+
+def is_interwiki(text: Column, config: SiteConfig = DEFAULT) -> Column:
+    """The interwiki prefix of a link, empty without one."""
+    known = "|".join(sorted(config.interwiki, key=lambda w: (-len(w), w)))
+    return F.lower(F.regexp_extract(text, rf"(?i)^({known})\s*:", 1)) if known else F.lit("")

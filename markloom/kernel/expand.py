@@ -8,6 +8,7 @@ import re
 from collections.abc import Callable
 from datetime import datetime, timezone
 from urllib.parse import quote, unquote_plus
+from zoneinfo import ZoneInfo
 
 from markloom.config import DEFAULT, SiteConfig
 from markloom.kernel.parse import Node, clean, parse
@@ -236,8 +237,10 @@ def call(name: str, args: list[str], page: str = "", config: SiteConfig = DEFAUL
         return "0"
     if name in EMPTY:
         return ""
-    if name.startswith(("current", "local")) and name not in ("localurl", "localurle", "currentversion"):
-        return _clock(name.removeprefix("current").removeprefix("local"), now)
+    if name.startswith("current") and name != "currentversion":
+        return _clock(name.removeprefix("current"), now)
+    if name.startswith("local") and name not in ("localurl", "localurle"):
+        return _clock(name.removeprefix("local"), now.astimezone(ZoneInfo(config.timezone)))
     first = a[0].strip()
     simple: dict[str, Callable[[], str]] = {
         "!": lambda: "|", "=": lambda: "=", "lc": lambda: first.lower(), "uc": lambda: first.upper(), "lcfirst": lambda: first[:1].lower() + first[1:], "ucfirst": lambda: first[:1].upper() + first[1:],
@@ -250,13 +253,13 @@ def call(name: str, args: list[str], page: str = "", config: SiteConfig = DEFAUL
         "sub": lambda: _cut(first, _integer(a[1]), _integer(a[2]) if n > 2 else None), "count": lambda: str(first.count(a[1] or " ")),
         "replace": lambda: first.replace(a[1] or " ", a[2], _integer(a[3], -1) if n > 3 else -1), "explode": lambda: _explode(first, a[1] or " ", _integer(a[2])),
         "urlencode": lambda: wiki_url(first) if a[1].strip().upper() == "WIKI" else quote(first, safe="") if a[1].strip().upper() == "PATH" else quote(first, safe="").replace("%20", "+"),
-        "urldecode": lambda: unquote_plus(first), "anchorencode": lambda: re.sub(r"[ \t\n_]+", "_", re.sub("<[^>]*>|'{2,}", "", first)),
+        "urldecode": lambda: unquote_plus(first), "anchorencode": lambda: _anchor(first),
         "plural": lambda: (a[1] if first.lstrip("-") == "1" else a[2] or a[1]).strip(), "gender": lambda: (a[3] or a[1]).strip(), "formal": lambda: a[0], "formatnum": lambda: first, "bidi": lambda: first, "grammar": lambda: a[1],
         "ns": lambda: _ns(first, config), "nse": lambda: _ns(first, config).replace(" ", "_"), "titleparts": lambda: _titleparts(first, _integer(a[1]), _integer(a[2])),
         "rel2abs": lambda: _rel2abs(first, a[1].strip() or page), "int": lambda: f"⧼{first}⧽", "directionmark": lambda: "", "language": lambda: first, "sitename": lambda: "Wiki", "server": lambda: config.server,
         "servername": lambda: config.server.split("//")[-1], "articlepath": lambda: config.article_path, "scriptpath": lambda: "/w", "contentlanguage": lambda: "en", "pagelanguage": lambda: "en", "userlanguage": lambda: "en",
         "special": lambda: f"Special:{first or 'Badtitle'}", "speciale": lambda: wiki_url(f"Special:{first or 'Badtitle'}"), "filepath": lambda: f"/wiki/Special:Redirect/file/{wiki_url(first)}",
-        "contentmodel": lambda: "wikitext",
+        "contentmodel": lambda: _content_model(first, a[1].strip() or page, n, config),
     }
     if name in simple:
         return simple[name]()
@@ -334,6 +337,49 @@ def _clock(word: str, now: datetime) -> str:
     return words.get(word, "")
 
 
+def _anchor(text: str) -> str:
+    """Plain text of a heading as an id: no markup, blanks as underscores, marks of HTML as references, percent signs of codes kept apart."""
+    plain = re.sub(r"\[\[([^\[\]]+)\]\]", lambda m: m[1].partition("|")[2] or m[1], re.sub("<[^>]*>|'{2,}", "", text))
+    named = re.sub(r"[ \t\n_]+", "_", plain.strip())
+    for mark, reference in (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;")):
+        named = named.replace(mark, reference)
+    return re.sub(r"%(?=[0-9a-fA-F]{2})", "%25", named)
+
+
+# What kinds of text a page may hold, by the name that is the same on all wikis and the shown one.
+CONTENT_MODELS = {"css": "CSS", "javascript": "JavaScript", "js": "JavaScript", "json": "JSON", "sanitized-css": "Sanitized CSS", "Scribunto": "Scribunto module", "wikitext": "wikitext"}
+
+
+def _content_model(kind: str, page: str, n: int, config: SiteConfig) -> str:
+    if not n:
+        return "wikitext"
+    if kind not in ("local", "canonical"):
+        return ""
+    t = normalise(page, 0, config)
+    extension = t.main.rpartition(".")[2].lower() if "." in t.main else ""
+    below = "/" in t.main
+    if below and extension == "css" and t.ns in (10, 828):
+        model = "sanitized-css"
+    elif t.ns == 828:
+        model = "json" if extension == "json" else "wikitext" if t.main.endswith("/doc") else "Scribunto"
+    elif (t.ns == 8 or t.ns == 2 and below) and extension in ("css", "js", "json"):
+        model = "javascript" if extension == "js" else extension
+    else:
+        model = "wikitext"
+    return CONTENT_MODELS[model] if kind == "local" else model
+
+
+def escape_page_name(name: str, config: SiteConfig) -> str:
+    """A page name that stays text wherever it is put: marks that could start markup are written as references."""
+    reference = lambda c: f"&#{ord(c)};"
+    out = re.sub(r"[\"&'=;＿]", lambda m: reference(m[0]), name)
+    out = re.sub(r"!!|__|~{3}", lambda m: "".join(map(reference, m[0])) if m[0][0] != "~" else m[0][:2] + reference("~"), out)
+    out = re.sub(r"^[!#*:+_~-]|[_~]$", lambda m: reference(m[0]), out)
+    out = re.sub(r"(ISBN|PMID|RFC) ", r"\1&#32;", out)
+    schemes = "|".join(re.escape(p[:-1]) for p in config.protocols if p.endswith(":"))
+    return re.sub(rf"(?i)\b({schemes}):|(?<=:)//", lambda m: f"{m[1]}&#58;" if m[1] else "&#47;&#47;", out) if schemes else out
+
+
 def _page_word(name: str, page: str, config: SiteConfig) -> str | None:
     t = normalise(page, 0, config)
     talk = t.ns + 1 if t.ns >= 0 and t.ns % 2 == 0 else t.ns
@@ -345,5 +391,5 @@ def _page_word(name: str, page: str, config: SiteConfig) -> str | None:
         "talkpagename": full(talk), "subjectpagename": full(subject),
     }
     if name in words:
-        return words[name]
+        return escape_page_name(words[name], config) if "name" in name else words[name]
     return wiki_url(words[name[:-1]]) if name.endswith("e") and name[:-1] in words else None

@@ -26,8 +26,13 @@ class Title:
         return f"{self.prefix}{self.main}"
 
 
+def decode_entities(text: str) -> str:
+    """Character references that end in a semicolon; others are text."""
+    return re.sub(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);", lambda m: html.unescape(m[0]), text)
+
+
 def normalise(raw: str, default_ns: int = 0, config: SiteConfig = DEFAULT) -> Title:
-    text = html.unescape(raw) if "&" in raw else raw
+    text = decode_entities(raw) if "&" in raw else raw
     if "%" in text:
         text = unquote(text)
     text = re.sub(r"[_ \xa0]+", " ", text).strip()

@@ -558,4 +558,4 @@ def template_closure(spark, d):
     return structure.template_closure(edges)
 
 
-from markloom.plans import node_queries as _more  # noqa: E402, F401 - registers its queries
+from markloom.plans import edit_queries, node_queries  # noqa: E402, F401 - they register their queries

@@ -40,11 +40,17 @@ def _map_text(pages: DataFrame, fn: Callable[[dict], str], column: str, extra: t
 
 
 def _store(templates: DataFrame, redirects: DataFrame | None, config: SiteConfig) -> DataFrame:
-    """title, text of templates, and of redirects to them under their own titles: one hop, as on a wiki."""
+    """title, text of templates, and of redirects to them under their own titles: one hop, as on a wiki.
+
+    Redirects are given as a table, or are templates whose text is one.
+    """
     named = templates.select(normalise(F.col("title"), 10, config)["title"].alias("title"), "text")
-    if redirects is None:
-        return named
-    moved = redirects.select(normalise(F.col("from_title"), 10, config)["title"].alias("_from"), normalise(F.col("to_title"), 10, config)["title"].alias("title"))
+    words = "|".join(config.redirection)
+    goal = F.regexp_extract("text", rf"(?i)^\s*(?:{words})\s*:?\s*\[\[([^\n|\[\]#]+)", 1)
+    moved = named.filter(goal != "").select(F.col("title").alias("_from"), normalise(goal, 10, config)["title"].alias("title"))
+    if redirects is not None:
+        told = redirects.select(normalise(F.col("from_title"), 10, config)["title"].alias("_from"), normalise(F.col("to_title"), 10, config)["title"].alias("title"))
+        moved = moved.unionByName(told).dropDuplicates(["_from"])
     aliases = moved.join(named, "title").select(F.col("_from").alias("title"), "text")
     return named.join(aliases.select("title"), "title", "left_anti").unionByName(aliases)
 
@@ -235,3 +241,153 @@ def first_difference(before: DataFrame, after: DataFrame) -> DataFrame:
 def checkpoint_nodes(nodes: DataFrame) -> DataFrame:
     """Parse once, query often: the node table in the shared folder."""
     return materialise(nodes, "nodes")
+
+
+# -- more edits of calls, links, attributes and other nodes
+
+
+def _rows(found: DataFrame, start: Column, end: Column, text: Column | str) -> DataFrame:
+    return found.select("page_id", edit(start, end, text).alias("edit"))
+
+
+def add_anonymous_argument(nodes: DataFrame, name: str, value: str) -> DataFrame:
+    """One more argument without a name; a value with an equals sign gets the magic word for it."""
+    calls = nodes.filter((F.col("type") == "template") & (F.col("name") == name))
+    return _rows(calls, F.col("end") - 2, F.col("end") - 2, "|" + value.replace("|", "{{!}}").replace("=", "{{=}}"))
+
+
+def substitute(nodes: DataFrame, name: str, safe: bool = False) -> DataFrame:
+    """``subst:`` or ``safesubst:`` before the name of every call."""
+    calls = nodes.filter((F.col("type") == "template") & (F.col("name") == name) & F.try_element_at("props", F.lit("modifier")).isNull())
+    named = _part(nodes, calls, "template-name")
+    return _rows(named, F.col("start"), F.col("start"), "safesubst:" if safe else "subst:")
+
+
+def rename_argument(nodes: DataFrame, name: str, old: str, new: str) -> DataFrame:
+    """Another key for an argument; those without a name get one."""
+    calls = nodes.filter((F.col("type") == "template") & (F.col("name") == name)).select("page_id", F.col("node_id").alias("parent_id"))
+    have = nodes.filter((F.col("type") == "parameter") & (F.col("name") == old)).join(calls, ["page_id", "parent_id"], "left_semi")
+    anon = F.try_element_at("props", F.lit("anon")) == "true"
+    return _rows(have.filter(anon), F.col("start"), F.col("start"), f"{new}=").unionByName(replace_with(_part(nodes, have.filter(~anon), "parameter-key"), new))
+
+
+def replace_module(nodes: DataFrame, old: str, new: str, function: str | None = None) -> DataFrame:
+    """Another module, and maybe function, in ``#invoke``."""
+    calls = nodes.filter((F.col("type") == "magic-word") & (F.col("name") == "invoke") & (F.trim(F.try_element_at("attrs", F.lit("1"))) == old)).select("page_id", F.col("node_id").alias("parent_id"))
+    args = nodes.filter(F.col("type") == "parameter").join(calls, ["page_id", "parent_id"], "left_semi")
+    out = replace_with(_part(nodes, args.filter(F.col("name") == "1"), "parameter-value"), new)
+    return out if function is None else out.unionByName(replace_with(_part(nodes, args.filter(F.col("name") == "2"), "parameter-value"), function))
+
+
+def renumber_duplicates(nodes: DataFrame) -> DataFrame:
+    """Different values under one key ``x`` become ``x``, ``x2``, ``x3``, ...; equal and empty earlier ones go."""
+    from pyspark.sql import Window
+
+    args = nodes.filter((F.col("type") == "parameter") & (F.element_at("anc", -1)["type"] == "template") & (F.try_element_at("props", F.lit("anon")) == "false"))
+    value = F.trim(F.try_element_at("props", F.lit("value")))
+    w = Window.partitionBy("page_id", "parent_id", "name").orderBy("start")
+    later = F.collect_set("_v").over(w.rowsBetween(1, Window.unboundedFollowing))
+    rows = args.withColumn("_v", value)
+    rows = rows.withColumn("_gone", ((F.col("_v") == "") & (F.size(later) > 0)) | F.array_contains(later, F.col("_v")))
+    k = F.row_number().over(Window.partitionBy("page_id", "parent_id", "name").orderBy("start"))
+    kept = rows.filter("not _gone").withColumn("_k", k).filter("_k > 1")
+    keys = nodes.filter(F.col("type") == "parameter-key").select("page_id", F.col("parent_id").alias("node_id"), F.col("start").alias("_a"), F.col("end").alias("_b"))
+    named = kept.join(keys, ["page_id", "node_id"])
+    return _rows(rows.filter("_gone"), F.col("start") - 1, F.col("end"), "").unionByName(_rows(named, F.col("_a"), F.col("_b"), F.concat("name", F.col("_k").cast("string"))))
+
+
+def set_link_text(nodes: DataFrame, target: str, text: str) -> DataFrame:
+    """The text of links to a page; an empty one takes the text away."""
+    found = nodes.filter((F.col("type") == "link") & (F.try_element_at("props", F.lit("target")) == target))
+    texts = _part(nodes, found, "link-text")
+    bare = found.join(texts.select("page_id", F.col("parent_id").alias("node_id")), ["page_id", "node_id"], "left_anti")
+    if not text:
+        return _rows(texts, F.col("start") - 1, F.col("end"), "")
+    return replace_with(texts, text).unionByName(_rows(bare, F.col("end") - 2, F.col("end") - 2, f"|{text}"))
+
+
+def set_fragment(nodes: DataFrame, target: str, fragment: str | None) -> DataFrame:
+    """The section that links to a page lead to, or none."""
+    from markloom.functions.text import encode_fragment
+
+    found = nodes.filter((F.col("type") == "link") & (F.try_element_at("props", F.lit("target")) == target))
+    targets = _part(nodes, found, "link-target")
+    tail = F.lit("") if fragment is None else F.concat(F.lit("#"), encode_fragment(F.lit(fragment)))
+    return replace_with(targets, F.concat(F.split_part("text", F.lit("#"), F.lit(1)), tail))
+
+
+def self_links(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """Links of pages to their own sections, written without the title."""
+    own = pages.select("page_id", normalise(F.col("title"))["title"].alias("_title"))
+    found = nodes.filter((F.col("type") == "link") & F.try_element_at("props", F.lit("fragment")).isNotNull()).join(own, "page_id")
+    mine = found.filter(F.try_element_at("props", F.lit("target")) == F.col("_title"))
+    fragments = mine.select("page_id", F.col("node_id").alias("parent_id"), F.try_element_at("props", F.lit("fragment")).alias("_f"))
+    return replace_with(nodes.filter(F.col("type") == "link-target").join(fragments, ["page_id", "parent_id"]), F.concat(F.lit("#"), "_f"))
+
+
+def pipe_links(nodes: DataFrame) -> DataFrame:
+    """``[[a (b)|]]``, as it is after the pipe trick: links with an empty text get the short one."""
+    from markloom.functions.titles import pipe_trick
+
+    targets = nodes.filter(F.col("type") == "link-target").select("page_id", "parent_id", F.col("text").alias("_t"))
+    empty = nodes.filter((F.col("type") == "link-text") & (F.col("start") == F.col("end"))).join(targets, ["page_id", "parent_id"])
+    return replace_with(empty, pipe_trick(F.col("_t")))
+
+
+def set_sort_key(nodes: DataFrame, category: str, key: str) -> DataFrame:
+    found = nodes.filter((F.col("type") == "category") & (F.col("name") == category))
+    texts = _part(nodes, found, "link-text")
+    bare = found.join(texts.select("page_id", F.col("parent_id").alias("node_id")), ["page_id", "node_id"], "left_anti")
+    return replace_with(texts, key).unionByName(_rows(bare, F.col("end") - 2, F.col("end") - 2, f"|{key}"))
+
+
+def remove_attribute(nodes: DataFrame, tag: str, key: str) -> DataFrame:
+    """An attribute and the blank before it."""
+    found = nodes.filter((F.col("type") == "html-attr") & (F.col("name") == key) & (F.try_element_at("props", F.lit("tag")) == tag))
+    return _rows(found, F.col("start") - 1, F.col("end"), "")
+
+
+def rename_attribute(nodes: DataFrame, tag: str, old: str, new: str) -> DataFrame:
+    found = nodes.filter((F.col("type") == "html-attr") & (F.col("name") == old) & (F.try_element_at("props", F.lit("tag")) == tag))
+    return replace_with(_part(nodes, found, "attr-key"), new)
+
+
+def toggle_attribute(nodes: DataFrame, tag: str, key: str) -> DataFrame:
+    """Attributes without a value: taken away where they are, put in where not."""
+    tags = nodes.filter((F.col("type") == "html") & (F.col("name") == tag) & (F.try_element_at("props", F.lit("closing")) == "false"))
+    added = tags.filter(~F.map_contains_key("attrs", key))
+    return remove_attribute(nodes, tag, key).unionByName(_rows(added, F.col("start") + 1 + len(tag), F.col("start") + 1 + len(tag), f" {key}"))
+
+
+def replace_tag(nodes: DataFrame, matched: DataFrame, old: str, new: str) -> DataFrame:
+    """Another name for matched pairs of tags: ``matched`` is that of ``structure.matched_tags``."""
+    pairs = matched.filter(F.col("partner_id").isNotNull() & (F.col("name") == old)).select("page_id", "node_id")
+    tags = nodes.filter((F.col("type") == "html") & (F.col("name") == old)).join(pairs, ["page_id", "node_id"], "left_semi")
+    a = F.col("start") + F.when(F.try_element_at("props", F.lit("closing")) == "true", 2).otherwise(1)
+    return _rows(tags, a, a + len(old), new)
+
+
+def set_image_option(nodes: DataFrame, option: str, text: str) -> DataFrame:
+    """``text``, such as ``alt=a``, in place of a file's option, or added to it."""
+    files = nodes.filter(F.col("type") == "file")
+    keys = files.select("page_id", F.col("node_id").alias("parent_id"))
+    have = nodes.filter((F.col("type") == "image-parameter") & (F.col("name") == option)).join(keys, ["page_id", "parent_id"], "left_semi")
+    bare = files.join(have.select("page_id", F.col("parent_id").alias("node_id")), ["page_id", "node_id"], "left_anti")
+    return replace_with(have, text).unionByName(_rows(bare, F.col("end") - 2, F.col("end") - 2, f"|{text}"))
+
+
+def indent_lists(nodes: DataFrame, mark: str = ":") -> DataFrame:
+    """One level more for every list line."""
+    lists = nodes.filter(F.col("type") == "list")
+    return _rows(lists, F.col("start"), F.col("start"), mark)
+
+
+def wrap(found: DataFrame, before: str, after: str) -> DataFrame:
+    """Text around nodes."""
+    return insert_before(found, before).unionByName(insert_after(found, after))
+
+
+def unwrap(nodes: DataFrame, matched: DataFrame, tag: str) -> DataFrame:
+    """Matched pairs of a tag go, what they hold stays."""
+    pairs = matched.filter(F.col("partner_id").isNotNull() & (F.col("name") == tag)).select("page_id", "node_id")
+    return remove(nodes.filter(F.col("type") == "html").join(pairs, ["page_id", "node_id"], "left_semi"))

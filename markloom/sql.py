@@ -9,7 +9,8 @@ from markloom.kernel.expand import call
 
 
 def register(spark: SparkSession) -> None:
-    """wiki_nodes(text), wiki_lint_marks(text) for LATERAL joins; wiki_expand_function(name, arg)."""
+    """Table functions wiki_nodes(text) and wiki_types(text) for LATERAL joins; wiki_function(name, args) for any
+    parser function, in Arrow batches; and SQL functions of the commonest, which stay in the JVM."""
 
     @F.udtf(returnType="node_id int, parent_id int, depth int, type string, name string, start int, end int, text string")
     class WikiNodes:
@@ -32,4 +33,26 @@ def register(spark: SparkSession) -> None:
 
     spark.udtf.register("wiki_nodes", WikiNodes)
     spark.udtf.register("wiki_types", WikiTypes)
-    spark.udf.register("wiki_function", lambda name, args: call(name, list(args or [])), "string")
+    spark.udf.register("wiki_function", F.udf(lambda name, args: call(name, list(args or [])), "string", useArrow=True))
+    for signature, body in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS STRING RETURN {body}")
+
+
+#: SQL functions by signature.
+SQL_FUNCTIONS = {
+    "wiki_lc(s STRING)": "lower(trim(s))", "wiki_uc(s STRING)": "upper(trim(s))",
+    "wiki_lcfirst(s STRING)": "concat(lower(left(trim(s), 1)), substring(trim(s), 2))", "wiki_ucfirst(s STRING)": "concat(upper(left(trim(s), 1)), substring(trim(s), 2))",
+    "wiki_if(test STRING, yes STRING, no STRING)": "CASE WHEN trim(test) <> '' THEN trim(yes) ELSE trim(no) END",
+    "wiki_replace(s STRING, old STRING, new STRING)": "replace(s, CASE WHEN old = '' THEN ' ' ELSE old END, new)",
+    "wiki_padleft(s STRING, n INT, fill STRING)": "CASE WHEN length(s) < n THEN lpad(s, n, fill) ELSE s END",
+    "wiki_base_page(title STRING)": "regexp_replace(title, '/[^/]*$', '')", "wiki_root_page(title STRING)": "regexp_replace(title, '/.*$', '')",
+}
+
+
+def lint_view(spark: SparkSession, pages: str, name: str = "wiki_lint", rules: list[str] | None = None) -> None:
+    """The lint reports of a table or view of pages, as a view for SQL."""
+    from markloom.operators.lint import lint
+    from markloom.plans.parse import parse
+
+    found = spark.table(pages)
+    lint(parse(found), found, rules).createOrReplaceTempView(name)

@@ -201,3 +201,78 @@ def test_json_and_sites(spark, page):
     assert tree["type"] == "root" and tree["childNodes"][0]["name"] == "Template:A"
     got = spark.createDataFrame([("https://zh-yue.wikipedia.org/wiki/X",)], "u string").select(site_of(F.col("u")).alias("s")).first().s
     assert tuple(got) == ("zh_yuewiki", "zh-yue.wikipedia.org")
+
+
+def test_newest_revisions_of_a_stream(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "page_id long, rev_id long, ts timestamp, text string"
+    rows = lambda *r: spark.createDataFrame(r, "page_id long, rev_id long, t string, text string").selectExpr("page_id", "rev_id", "to_timestamp(t) AS ts", "text")
+    found = []
+    for batch in (
+        rows((1, 1, "2024-01-01 00:00:00", "a"), (1, 2, "2024-01-01 00:10:00", "b"), (2, 1, "2024-01-01 00:00:00", "c")),
+        rows((1, 3, "2024-01-01 00:05:00", "older"), (2, 2, "2024-01-01 00:20:00", "d")),
+        rows((1, 4, "2024-01-02 00:00:00", "e"), (1, 5, "2023-12-01 00:00:00", "late")),
+    ):
+        batch.coalesce(1).write.mode("append").parquet(source)
+        stream = revisions.newest_stream(spark.readStream.schema(schema).parquet(source))
+        seen = []
+        q = stream.writeStream.outputMode("update").option("checkpointLocation", out).trigger(availableNow=True).foreachBatch(lambda df, _, seen=seen: seen.extend(df.collect())).start()
+        q.awaitTermination(120)
+        found.append(sorted((r.page_id, r.rev_id, r.text) for r in seen))
+    assert found == [[(1, 2, "b"), (2, 1, "c")], [(2, 2, "d")], [(1, 4, "e")]]
+
+
+def test_late_rows_are_left_out_of_windows(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    counts = {}
+    for k, ts in enumerate(["2024-01-01 00:01:00", "2024-01-01 09:00:00", "2024-01-01 00:02:00", "2024-01-01 09:01:00"]):
+        spark.createDataFrame([(ts, "h1")], "t string, rule string").selectExpr("to_timestamp(t) AS ts", "rule").coalesce(1).write.mode("append").parquet(source)
+        stream = revisions.rule_counts(spark.readStream.schema("ts timestamp, rule string").parquet(source))
+        q = stream.writeStream.outputMode("update").option("checkpointLocation", out).trigger(availableNow=True).foreachBatch(lambda df, _: counts.update({str(r.window_start): r.n for r in df.collect()})).start()
+        q.awaitTermination(120)
+    assert counts == {"2024-01-01 00:00:00": 1, "2024-01-01 09:00:00": 2}
+
+
+def test_sql_views_and_functions(spark, page):
+    from markloom import sql
+
+    sql.register(spark)
+    spark.createDataFrame([(1, "= x =\n"), (2, "y")], "page_id long, text string").createOrReplaceTempView("some_pages")
+    sql.lint_view(spark, "some_pages")
+    assert [tuple(r) for r in spark.sql("SELECT page_id, rule FROM wiki_lint").collect()] == [(1, "h1")]
+    assert spark.sql("SELECT wiki_ucfirst(' ab'), wiki_if('', 'a', 'b'), wiki_padleft('7', 3, '0'), wiki_base_page('A/b/c')").first() == ("Ab", "b", "007", "A/b")
+
+
+def test_closure_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(100, 50)], "source long, target long")
+    got = {(r.source, r.target) for r in structure.template_closure(edges).collect()}
+    want = {(i, j) for i in range(101) for j in (range(i + 1, 101) if i < 50 else range(50, 101))}
+    assert got == want
+
+
+def test_anchors_with_literal_suffixes(spark):
+    pages = spark.createDataFrame([(1, "== x ==\n== x_2 ==\n== X ==\n== x ==\n")], "page_id long, text string")
+    found = structure.anchors(structure.sections(parse(pages, types=["heading", "root"])))
+    assert [r.anchor for r in found.orderBy("node_id").collect()] == ["x", "x_2", "X_3", "x_4"]
+
+
+def test_rows_beyond_ten_thousand_columns(spark):
+    cells = [("td", str(k)) for k in range(10_050)]
+    rows = spark.createDataFrame([(1, 1, 0, cells)], "page_id long, table_id int, row int, cells array<struct<subtype: string, value: string>>")
+    moved = structure.move_column(rows, 0, 10_049).first().cells
+    assert len(moved) == 10_050 and moved[-1].value == "0" and structure.insert_column(rows, 10_050, "z").first().cells[-1].value == "z"
+
+
+def test_entities_need_semicolons_in_both_forms(spark):
+    from markloom.functions import titles as columns
+    from markloom.kernel.titles import normalise as one
+
+    names = ["a&amp;b", "a&ampb", "x&eacute;&#233;&#xE9;", "&copy 1", "q&nbsp;&nbsp;r", "&lt;a"]
+    got = [r.t for r in spark.createDataFrame([(n,) for n in names], "n string").select(columns.normalise(F.col("n")).alias("t")).collect()]
+    assert [(t.title, t.valid) for t in got] == [(one(n).title, one(n).valid) for n in names]
+
+
+def test_difference_of_long_texts(spark):
+    pages = spark.range(1).select(F.lit(1).alias("page_id"), F.repeat(F.lit("abcdefgh"), 2_200_000).alias("text"))
+    other = pages.select("page_id", F.concat(F.left("text", F.lit(17_300_000)), F.lit("X")).alias("text"))
+    assert texts.first_difference(pages, other).first().at == 17_300_000
