@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markloom.llm._io import new_path
-from markloom.llm._ragged import distinct, flatten, per_document, spread
+from markloom.llm._ragged import flatten, per_document, spread
 
 END_ID = 2
 LANE = 512
@@ -168,6 +168,8 @@ class Encoder:
         for token, k in vocabulary.items():
             self.token_bytes[k] = len(token)  # a byte is one character there
         self.stop, self.comma = vocabulary["."], vocabulary[","]
+        #: Distinct words of the last group of texts, with their numbers of ids and ids.
+        self.last = (pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int32))
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -187,8 +189,8 @@ class Encoder:
         words are encoded without it.
         """
         tail = pc.match_substring_regex(words, "[A-Za-z][.,]$")
-        index, bare = distinct(pc.if_else(tail, pc.utf8_slice_codeunits(words, 0, -1), words))
-        per, values = spread(index, *self.joined(bare))
+        coded = pc.if_else(tail, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        per, values = spread(coded.indices.to_numpy(zero_copy_only=False), *self.remembered(coded.dictionary))
         tail = tail.to_numpy(zero_copy_only=False).astype(bool)
         lengths = per + tail
         at = np.cumsum(lengths)[tail] - 1
@@ -200,6 +202,17 @@ class Encoder:
         ids[at] = np.where(stops, self.stop, self.comma)
         return lengths, ids
 
+    def remembered(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids, ids) of distinct words; those of the group before are not encoded again."""
+        known, lengths, values = self.last
+        at = pc.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = at < 0
+        new_lengths, new_values = self.joined(words.filter(pa.array(new)).to_pylist())
+        at[new] = len(known) + np.arange(int(new.sum()))
+        found = spread(at, np.concatenate([lengths, new_lengths]), np.concatenate([values, new_values]))
+        self.last = (words, *found)
+        return found
+
     def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids, ids) of each word with a blank before it.
 
