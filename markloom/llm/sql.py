@@ -140,15 +140,22 @@ SELECT m.conv_id, row_number() OVER (PARTITION BY m.conv_id ORDER BY root_turn,
 FROM m JOIN tree USING (conv_id, turn) LEFT JOIN n USING (conv_id, turn)
 """
 
-#: The wording differences of a notice that is there word by word are none, so lines can be found by their text.
-OP9 = r"""
+def _notices() -> str:
+    from markloom.llm.licenses import TEMPLATES
+
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in TEMPLATES if "<" not in text)
+
+
+#: Notices that are there word by word have no differences, so they can be found by their text; of several in a line,
+#: as 'All rights reserved.' in a longer one, the longest counts. Changed notices are left to the tests.
+OP9 = rf"""
 WITH t(name, notice) AS (
-  VALUES ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'), ('MIT', 'Released under the MIT License.'),
-         ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'), ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.')
+  VALUES {_notices()}
 ), l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k FROM documents
 ), f AS (
-  SELECT doc_id, k, name FROM l JOIN t ON contains(line, notice)
+  SELECT doc_id, k, arg_max(name, length(notice)) AS name FROM l JOIN t ON contains(line, notice) GROUP BY doc_id, k
 ), g AS (
   SELECT doc_id, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, string_agg(k::VARCHAR, ',' ORDER BY k) AS lines FROM f GROUP BY doc_id
 )

@@ -701,3 +701,26 @@ def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         _io.shared_dir(Session())
+
+
+@pytest.mark.parametrize("width", [1, 2, 5, 9, 20, 80])
+def test_wrapped_notices_are_found_in_prose(width):
+    """Every template, wrapped at so many words, long ones with a word lost and one added, inside a paragraph of prose."""
+    scanner, missed = licenses.Scanner(), []
+    for k, (name, text) in enumerate(licenses.TEMPLATES):
+        said = text.replace("<year>", "2019").replace("<holder>", "Jane Doe").split()
+        if len(said) >= 30:
+            del said[len(said) // 2]
+            said.insert(len(said) // 3, "really")
+        body = prose(600, k).split() + said + prose(600, k + 99).split()
+        lines = "\n".join(" ".join(body[a : a + width]) for a in range(0, len(body), width))
+        got = scanner.scan(lines)
+        if [n["license"] for n in got] != [name]:
+            missed.append((name, text[:40], [(n["license"], n["covered"]) for n in got]))
+    assert len(missed) <= len(licenses.TEMPLATES) // 10, missed
+
+
+def test_whole_licence_texts():
+    paragraphs = [t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 60]
+    got = licenses.Scanner().scan("Copyright (c) 2020 Jane Doe\n\n" + "\n\n".join(paragraphs))
+    assert [n["license"] for n in got] == ["MIT"] * 3 and [n["line"] for n in got] == [2, 4, 6]
