@@ -29,22 +29,31 @@ def decode_entities(text: Column) -> Column:
     from markloom.functions.text import decode_numeric
 
     names = F.from_json(F.lit(_named_entities()), "map<string,string>")
-    found = F.regexp_extract_all(text, F.lit("(&[a-zA-Z][a-zA-Z0-9]*;)"), F.lit(1))
-    # the ampersand last, so that nothing is decoded twice
-    order = F.concat(F.filter(F.array_distinct(found), lambda e: e != "&amp;"), F.array(F.lit("&amp;")))
-    named = F.aggregate(order, text, lambda acc, e: F.replace(acc, e, F.coalesce(F.try_element_at(names, e), e)))
-    plain = F.replace(decode_numeric(F.replace(text, F.lit("&amp;"), F.lit("\x00"))), F.lit("\x00"), F.lit("&amp;"))
-    return F.when(~F.contains(text, F.lit("&")), text).when(~text.rlike("&#"), named).otherwise(F.aggregate(order, plain, lambda acc, e: F.replace(acc, e, F.coalesce(F.try_element_at(names, e), e))))
+
+    def named(t: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit("(&[a-zA-Z][a-zA-Z0-9]*;)"), F.lit(1)))
+        # the ampersand last, so that nothing is decoded twice
+        order = F.concat(F.filter(found, lambda e: e != "&amp;"), F.array(F.lit("&amp;")))
+        return F.aggregate(order, t, lambda acc, e: F.replace(acc, e, F.coalesce(F.try_element_at(names, e), e)))
+
+    def numbers(t: Column) -> Column:
+        hidden = F.replace(t, F.lit("&amp;"), F.lit("\x00"))
+        return F.when(F.contains(t, F.lit("&#")), F.replace(decode_numeric(hidden), F.lit("\x00"), F.lit("&amp;"))).otherwise(t)
+
+    return _let(text, lambda t: F.when(F.contains(t, F.lit("&")), _let(numbers(t), named)).otherwise(t))
 
 
 def normalise(text: Column, default_ns: int = 0, config: SiteConfig = DEFAULT) -> Column:
     """STRUCT<ns, main, prefix, title, fragment, interwiki, valid> of a page name."""
     spaced = F.trim(F.regexp_replace(decode_entities(text), r"[_  ]+", " "))
-    decoded = F.when(spaced.rlike("%[0-9a-fA-F]{2}"), F.try_url_decode(F.replace(spaced, F.lit("+"), F.lit("%2B")))).otherwise(spaced)
-    colon = F.startswith(decoded, F.lit(":"))
-    body = F.when(colon, F.trim(F.substring(decoded, 2, 1 << 30))).otherwise(decoded)
+    decoded = _let(spaced, lambda s: F.when(s.rlike("%[0-9a-fA-F]{2}"), F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B")))).otherwise(s))
+
+    def begin(d: Column) -> Column:
+        colon = F.startswith(d, F.lit(":"))
+        return F.struct(F.when(colon, F.trim(F.substring(d, 2, 1 << 30))).otherwise(d).alias("body"), colon.alias("colon"))
 
-    def parts(b: Column) -> Column:
+    def parts(start: Column) -> Column:
+        b, colon = start["body"], start["colon"]
         head = F.lower(F.trim(F.split_part(b, F.lit(":"), F.lit(1))))
         has = F.contains(b, F.lit(":"))
         rest = F.trim(F.substring(b, F.length(F.split_part(b, F.lit(":"), F.lit(1))) + 2, F.lit(1 << 30)))
@@ -67,7 +76,7 @@ def normalise(text: Column, default_ns: int = 0, config: SiteConfig = DEFAULT) -
             p["interwiki"].alias("interwiki"), (~bad & ((F.length(main) > 0) | sharp | (p["interwiki"] != ""))).alias("valid"),
         )
 
-    return _let(_let(body, parts), finish)
+    return _let(_let(_let(decoded, begin), parts), finish)
 
 
 def encode(title: Column) -> Column:

@@ -164,7 +164,7 @@ def lint_totals(spark, d):
 def lint_positions(spark, d):
     k = F.col("c_custkey")
     pages = fx.read(spark, d, "customer").select(k.alias("page_id"), fx.text("Text.\n", F.repeat(F.lit("RFC-1 a\n"), (k % 4).cast("int"))).alias("text"))
-    return lint.lint(parse(pages), pages, ["lonely-http"]).select("page_id", "rule", "key", "line")
+    return lint.lint(parse(pages), pages, ["lonely-http"]).select("page_id", "rule", "key", F.col("line").cast("long").alias("line"))
 
 
 # -- streams (the batch form of the same code)

@@ -177,7 +177,7 @@ SELECT c_custkey AS page_id, k AS section_no, level, heading, parent, n_chars FR
 def sections_outline(spark, d):
     pages = fx.customers(spark, d)
     found = structure.sections(parse(pages, types=["heading", "root"], last="brace", columns=HEADINGS))
-    return found.select("page_id", "section_no", "level", "heading", F.col("parent_heading").alias("parent"), (F.col("end") - F.col("start")).alias("n_chars"))
+    return found.select("page_id", "section_no", "level", "heading", F.col("parent_heading").alias("parent"), (F.col("end") - F.col("start")).cast("long").alias("n_chars"))
 
 
 @query("SELECT c_custkey AS page_id, unnest(['Account', 'Details', c_mktsegment, 'Details_2']) AS anchor FROM customer")
