@@ -74,6 +74,17 @@ class SiteConfig:
             out.append((re.compile(rf"\s*{body}\s*", re.DOTALL), key))
         return out
 
+    @classmethod
+    def find(cls, name: str, folders: list[str]) -> SiteConfig:
+        """The description of a wiki by name, or the path of one: the first ``name.json`` in the folders."""
+        from pathlib import Path
+
+        tried = [Path(name), *[Path(f) / f"{name}.json" for f in folders]]
+        found = next((p for p in tried if p.is_file()), None)
+        if found is None:
+            raise FileNotFoundError(f"no description of {name} in {', '.join(folders) or 'no folder'}")
+        return cls.from_json(found.read_text(encoding="utf-8"))
+
     @classmethod
     def from_json(cls, text: str) -> SiteConfig:
         """A site description: ext, html (three lists), namespaces, nsid, protocol, img, redirection, variants, ..."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -158,3 +158,15 @@ def make_element(tag: str, attrs: dict[str, Column | str] | None = None, inner:
 def make_text(s: Column) -> Column:
     """Text that reads as itself: everything that would start markup is escaped."""
     return F.regexp_replace(escape_html(s), r"([\[\]{}|'*]|(?m:^[#:;= ])|(?<=~~)~|(?<=_)_)", "<nowiki>$1</nowiki>")
+
+
+def catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """key, template of an interface language: JSON files of flat objects."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "template")).filter(~F.startswith("key", F.lit("@")))
+
+
+def messages(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """asked(key, args array<string>) with ``message``: its template filled in, or the key in brackets."""
+    filled = F.aggregate(F.reverse(F.sequence(F.lit(1), F.greatest(F.size("args"), F.lit(1)))), F.col("template"), lambda t, k: F.replace(t, F.concat(F.lit("$"), k.cast("string")), F.coalesce(F.try_element_at("args", k), F.lit(""))))
+    return asked.join(known, "key", "left").withColumn("message", F.coalesce(filled, F.concat(F.lit("⧼"), "key", F.lit("⧽")))).drop("template")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from markloom.config import DEFAULT, SiteConfig
@@ -66,14 +66,40 @@ def completions(nodes: DataFrame, kind: str, prefix: str, limit: int = 20) -> Da
     return named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(limit)
 
 
+def _channels(colour: Column) -> Column:
+    """array of red, green and blue of a #hex, rgb() or hsl() colour."""
+    full = F.when(F.length(colour) == 4, F.regexp_replace(colour, "([0-9a-fA-F])", "$1$1")).otherwise(colour)
+    of_hex = F.array(*[F.conv(F.substring(full, k, 2), 16, 10).cast("int") for k in (2, 4, 6)])
+    parts = F.regexp_extract_all(colour, F.lit(r"(-?\d+(?:\.\d+)?%?)"), F.lit(1))
+    number = lambda x: F.regexp_replace(x, "%", "").try_cast("double")
+    of_rgb = F.transform(F.slice(parts, 1, 3), lambda x: F.round(F.when(F.endswith(x, F.lit("%")), number(x) * 2.55).otherwise(number(x))).cast("int"))
+    hue, sat, light = (number(F.get(parts, F.lit(k))) for k in range(3))
+    sat, light = sat / 100, light / 100
+    reach = sat * F.least(light, 1 - light)
+
+    def channel(n: int) -> Column:
+        k = F.pmod(n + hue / 30, F.lit(12.0))
+        return F.round(255 * (light - reach * F.greatest(F.lit(-1.0), F.least(k - 3, 9 - k, F.lit(1.0))))).cast("int")
+
+    of_hsl = F.array(*[channel(n) for n in (0, 8, 4)])
+    return F.when(F.startswith(colour, F.lit("#")), of_hex).when(F.startswith(F.lower(colour), F.lit("rgb")), of_rgb).otherwise(of_hsl)
+
+
 def colours(nodes: DataFrame) -> DataFrame:
-    """#hex, rgb() and hsl() colours in style attributes, with rgb parts of the hex ones."""
+    """#hex, rgb() and hsl() colours in style attributes, with their red, green and blue parts."""
     styles = nodes.filter(F.col("type").isin("html-attr", "table-attr") & (F.col("name") == "style")).select("page_id", "node_id", prop("value").alias("style"))
-    hits = F.regexp_extract_all("style", F.lit(r"(#[0-9a-fA-F]{6}\b|#[0-9a-fA-F]{3}\b|(?:rgb|hsl)a?\([^)]*\))"), F.lit(1))
-    found = styles.select("page_id", "node_id", F.posexplode(hits).alias("k", "colour"))
-    full = F.when(F.length("colour") == 4, F.regexp_replace("colour", "([0-9a-fA-F])", "$1$1")).otherwise(F.col("colour"))
-    part = lambda i: F.when(F.startswith("colour", F.lit("#")), F.conv(F.substring(full, i, 2), 16, 10).cast("int"))
-    return found.select("page_id", "node_id", "k", "colour", part(2).alias("red"), part(4).alias("green"), part(6).alias("blue"))
+    hits = F.regexp_extract_all("style", F.lit(r"(#[0-9a-fA-F]{6}\b|#[0-9a-fA-F]{3}\b|(?i:rgb|hsl)a?\([^)]*\))"), F.lit(1))
+    found = styles.select("page_id", "node_id", F.posexplode(hits).alias("k", "colour")).withColumn("_c", _channels(F.col("colour")))
+    return found.select("page_id", "node_id", "k", "colour", *[F.get("_c", F.lit(k)).alias(name) for k, name in enumerate(("red", "green", "blue"))])
+
+
+def vocabulary(spark: SparkSession, config: SiteConfig = DEFAULT) -> DataFrame:
+    """kind, name of everything a wiki's dialect knows: tags, switches, protocols, functions, variables, image options."""
+    lists = {
+        "ext": config.ext, "html": config.html, "switch": config.switches | config.switches_exact, "protocol": config.protocols, "function": config.functions,
+        "variable": config.variables, "image": config.image, "namespace": [n for n in config.namespaces.values() if n],
+    }
+    return spark.createDataFrame([(kind, name) for kind, names in lists.items() for name in sorted(names)], "kind string, name string")
 
 
 def inlay_hints(nodes: DataFrame) -> DataFrame:

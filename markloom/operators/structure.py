@@ -66,10 +66,22 @@ def link_degree(found: DataFrame) -> DataFrame:
     return found.filter(F.col("kind") == "link").groupBy("target").agg(F.count(F.lit(1)).alias("n_links"), F.approx_count_distinct("page_id").alias("n_pages"))
 
 
-def resolve_redirects(found: DataFrame, redirects: DataFrame, small: bool = False) -> DataFrame:
-    """``target`` through one redirect. ``small``: the caller has checked that the map can be broadcast."""
-    r = redirects.select(F.col("from_title").alias("target"), F.col("to_title").alias("resolved"))
-    return found.join(F.broadcast(r) if small else r, "target", "left").withColumn("resolved", F.coalesce("resolved", "target"))
+def resolve_redirects(found: DataFrame, redirects: DataFrame, small: bool = False, variants: dict[str, str] | None = None) -> DataFrame:
+    """``target`` through one redirect; titles of the map are normalised as those of links are.
+
+    ``variants``: pairs that turn a title into its other form, tried where the title itself is no
+    redirect. ``small``: the caller has checked that the map can be broadcast.
+    """
+    from markloom.functions import titles
+
+    r = redirects.select(titles.normalise(F.col("from_title"))["title"].alias("_from"), titles.normalise(F.col("to_title"))["title"].alias("_to"))
+    r = r.groupBy("_from").agg(F.min("_to").alias("_to"))
+    r = F.broadcast(r) if small else r
+    met = found.join(r, F.col("target") == F.col("_from"), "left").drop("_from").withColumnRenamed("_to", "resolved")
+    if variants:
+        other = met.withColumn("_other", F.when(F.col("resolved").isNull(), titles.convert(F.col("target"), variants)))
+        met = other.join(r, F.col("_other") == F.col("_from"), "left").withColumn("resolved", F.coalesce("resolved", "_to")).drop("_from", "_to", "_other")
+    return met.withColumn("resolved", F.coalesce("resolved", "target"))
 
 
 def sections(nodes: DataFrame, pages: DataFrame | None = None) -> DataFrame:

@@ -174,3 +174,43 @@ def lint_positions(spark, d):
 def stream_sessions(spark, d):
     events = fx.read(spark, d, "events").select(F.col("user_id").alias("page_id"), "ts")
     return revisions.sessions(events).select("page_id", "start", "n")
+
+
+@query("SELECT n_nationkey::BIGINT AS page_id, unnest(['#f0a', 'rgb(' || n_nationkey || ', 10%, 0)', 'hsl(120, 100%, 50%)']) AS colour, unnest([255, n_nationkey, 0]) AS red, unnest([0, 26, 255]) AS green, unnest([170, 0, 0]) AS blue FROM nation")
+def colour_parts(spark, d):
+    pages = _nation(spark, d, '<p style="color:#f0a;background:rgb(', fx.c("n_nationkey"), ', 10%, 0);border-color:hsl(120, 100%, 50%)">x</p>')
+    return editor.colours(parse(pages, types=["html-attr"], last="html")).select("page_id", "colour", "red", "green", "blue")
+
+
+@query("SELECT n_nationkey::BIGINT AS page_id, unnest(['Goal ' || n_nationkey, 'Other', 'Plain']) AS resolved FROM nation")
+def redirect_variants(spark, d):
+    """Redirects with titles in any writing, and one that only the other variant of a link's title has."""
+    key = fx.c("n_nationkey")
+    pages = _nation(spark, d, "[[from ", key, "]] [[漢 x]] [[plain]]")
+    table = fx.read(spark, d, "nation").select(fx.text("from_", key).alias("from_title"), fx.text(" goal ", key).alias("to_title")).unionByName(spark.createDataFrame([("汉_x", "other")], "from_title string, to_title string"))
+    found = structure.links(parse(pages, types=["link"]))
+    return structure.resolve_redirects(found, table, variants={"漢": "汉"}).select("page_id", "resolved")
+
+
+@query("SELECT n_nationkey::BIGINT AS page_id, 'Hello ' || n_name || ' and ' || n_nationkey AS message FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey, '⧼none⧽' FROM nation WHERE n_nationkey % 2 = 1")
+def interface_messages(spark, d):
+    from markloom.functions import text as small
+
+    known = spark.createDataFrame([("greet", "Hello $1 and $2")], "key string, template string")
+    asked = fx.read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), F.when(F.col("n_nationkey") % 2 == 0, "greet").otherwise("none").alias("key"), F.array(fx.c("n_name"), fx.c("n_nationkey")).alias("args"))
+    return small.messages(asked, known).select("page_id", "message")
+
+
+@query("SELECT n_nationkey::BIGINT AS page_id, '== ' || n_name || ' ==' || chr(10) || '<h1>x</h1><p class=\"a\">y</p>' AS text, '<center>' AS kept FROM nation")
+def fix_one_rule(spark, d):
+    """Only the fixes of one rule."""
+    pages = _nation(spark, d, "= ", fx.c("n_name"), " =\n<h1>x</h1><p class=\"a\">y</p>")
+    found = lint.lint(parse(pages), pages, ["h1", "unclosed-quote", "illegal-attr"]).filter("key = ''")
+    return lint.fix_all(pages, found, "h1").select("page_id", "text", F.lit("<center>").alias("kept"))
+
+
+@query(f"SELECT page_id, n1::BIGINT AS n, greatest(n1 - 1, 0)::BIGINT AS n_common FROM {_V} WHERE n1 > 0")
+def list_prefixes(spark, d):
+    """Levels that list lines share with the line before."""
+    marks = parse(fx.varied(spark, d), types=["list"], columns=["type", "props"])
+    return marks.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum(structure.prop("common").cast("long")).alias("n_common"))

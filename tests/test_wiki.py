@@ -276,3 +276,18 @@ def test_difference_of_long_texts(spark):
     pages = spark.range(1).select(F.lit(1).alias("page_id"), F.repeat(F.lit("abcdefgh"), 2_200_000).alias("text"))
     other = pages.select("page_id", F.concat(F.left("text", F.lit(17_300_000)), F.lit("X")).alias("text"))
     assert texts.first_difference(pages, other).first().at == 17_300_000
+
+
+def test_catalogues_vocabulary_and_site_search(spark, tmp_path):
+    from markloom.config import SiteConfig
+    from markloom.functions import text as small
+
+    (tmp_path / "en.json").write_text('{"@metadata": "x", "greet": "Hi $1"}')
+    known = small.catalogue(spark, str(tmp_path / "en.json"))
+    asked = spark.createDataFrame([("greet", ["a"]), ("greet", []), ("no", ["a"])], "key string, args array<string>")
+    assert sorted(r.message for r in small.messages(asked, known).collect()) == ["Hi ", "Hi a", "⧼no⧽"]
+    (tmp_path / "tiny.json").write_text('{"ext": ["nowiki"], "html": [["b"], [], ["br"]], "namespaces": {"0": ""}, "protocol": "http://"}')
+    site = SiteConfig.find("tiny", [str(tmp_path / "none"), str(tmp_path)])
+    assert site.ext == {"nowiki"} and {r.name for r in editor.vocabulary(spark, site).filter("kind = 'html'").collect()} == {"b", "br"}
+    with pytest.raises(FileNotFoundError):
+        SiteConfig.find("absent", [str(tmp_path)])
