@@ -167,19 +167,92 @@ def contents(found: DataFrame) -> DataFrame:
 
 
 def tables_as_rows(nodes: DataFrame) -> DataFrame:
-    """page_id, table_id, row, cells (trimmed texts in order): the starting point of table edits."""
-    cells = table_cells(nodes).filter("is_start")
+    """The starting point of table edits: page_id, table_id, table_attrs, caption, row, row_attrs, cells in order.
+
+    A cell is (subtype, attrs, value): its attributes as written, spans among them, and its text.
+    ``nodes`` has the types td, td-inner and table-attrs.
+    """
+    owner = F.element_at("anc", -1)
+    boxes = nodes.filter(F.col("type") == "table-attrs").select("page_id", owner["type"].alias("_of"), F.col("parent_id").alias("_id"), F.trim("text").alias("_a"))
+
+    def of(kind: str, key: str, name: str) -> DataFrame:
+        return boxes.filter(F.col("_of") == kind).select("page_id", F.col("_id").alias(key), F.col("_a").alias(name))
+
     inner = nodes.filter(F.col("type") == "td-inner").select("page_id", F.col("parent_id").alias("cell_node_id"), F.btrim("text", F.lit(" \n")).alias("value"))
-    met = cells.join(inner, ["page_id", "cell_node_id"])
-    return met.groupBy("page_id", "table_id", F.col("row")).agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "subtype", "value"))), lambda c: F.struct(c["subtype"].alias("subtype"), c["value"].alias("value"))).alias("cells"))
+    home = nodes.filter(F.col("type") == "td").select("page_id", F.col("node_id").alias("cell_node_id"), owner["id"].alias("row_node"))
+    cells = table_cells(nodes).filter("is_start").join(inner, ["page_id", "cell_node_id"]).join(home, ["page_id", "cell_node_id"])
+    cells = cells.join(of("td", "cell_node_id", "attrs"), ["page_id", "cell_node_id"], "left").join(of("tr", "row_node", "row_attrs"), ["page_id", "row_node"], "left")
+    cell = F.struct("col", "subtype", F.coalesce("attrs", F.lit("")).alias("attrs"), "value")
+    named = F.transform(F.array_sort(F.collect_list(cell)), lambda c: F.struct(c["subtype"].alias("subtype"), c["attrs"].alias("attrs"), c["value"].alias("value")))
+    rows = cells.groupBy("page_id", "table_id", "row").agg(F.coalesce(F.max("row_attrs"), F.lit("")).alias("row_attrs"), named.alias("cells"))
+    captions = nodes.filter((F.col("type") == "td") & (prop("subtype") == "caption")).select("page_id", F.col("node_id").alias("cell_node_id"), owner["id"].alias("table_id"))
+    captions = captions.join(inner, ["page_id", "cell_node_id"]).groupBy("page_id", "table_id").agg(F.min_by("value", "cell_node_id").alias("caption"))
+    told = rows.join(of("table", "table_id", "table_attrs"), ["page_id", "table_id"], "left").join(captions, ["page_id", "table_id"], "left")
+    return told.select("page_id", "table_id", F.coalesce("table_attrs", F.lit("")).alias("table_attrs"), "caption", "row", "row_attrs", "cells")
 
 
 def write_tables(rows: DataFrame) -> DataFrame:
-    """page_id, table_id, text: wikitext of tables given as rows of cells."""
-    mark = lambda c: F.concat(F.when(c["subtype"] == "th", "! ").otherwise("| "), c["value"])
-    line = F.array_join(F.transform("cells", mark), "\n")
-    text = F.concat(F.lit("{|\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", line.alias("t")))), lambda r: F.concat(F.lit("|-\n"), r["t"])), "\n"), F.lit("\n|}"))
-    return rows.groupBy("page_id", "table_id").agg(text.alias("text"))
+    """page_id, table_id, text: wikitext of tables given as rows of cells, with what attributes and caption they have."""
+    spaced = lambda a: F.when(a == "", F.lit("")).otherwise(F.concat(F.lit(" "), a))
+
+    def mark(c: Column) -> Column:
+        attrs = F.when(c["attrs"] == "", F.lit("")).otherwise(F.concat(c["attrs"], F.lit(" | ")))
+        return F.concat(F.when(c["subtype"] == "th", "! ").otherwise("| "), attrs, c["value"])
+
+    line = F.concat(F.lit("|-"), spaced(F.col("row_attrs")), F.lit("\n"), F.array_join(F.transform("cells", mark), "\n"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", line.alias("t")))), lambda r: r["t"]), "\n")
+    made = rows.groupBy("page_id", "table_id").agg(F.max("table_attrs").alias("a"), F.max("caption").alias("c"), body.alias("b"))
+    head = F.concat(F.lit("{|"), spaced(F.col("a")), F.coalesce(F.concat(F.lit("\n|+ "), "c"), F.lit("")), F.lit("\n"))
+    return made.select("page_id", "table_id", F.concat(head, "b", F.lit("\n|}")).alias("text"))
+
+
+def replicate_row(rows: DataFrame, at: int, times: int = 1) -> DataFrame:
+    """Row ``at`` of every table again, so many times, after itself."""
+    again = rows.filter(F.col("row") == at).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("row", F.col("row") + F.col("_k")).drop("_k")
+    return rows.withColumn("row", F.when(F.col("row") > at, F.col("row") + times).otherwise(F.col("row"))).unionByName(again)
+
+
+def merge_cells(rows: DataFrame, row: int, first: int, n: int) -> DataFrame:
+    """Cells ``first`` to ``first + n - 1`` of a row as one that spans their columns; their texts are joined by blanks."""
+    cells = F.col("cells")
+    part = F.slice(cells, F.lit(first + 1), F.lit(n))
+    attrs = F.trim(F.concat(F.regexp_replace(F.get(part, F.lit(0))["attrs"], r"\s*colspan\s*=\s*(?:\"[^\"]*\"|\S+)", ""), F.lit(f" colspan={n}")))
+    one = F.struct(F.get(part, F.lit(0))["subtype"].alias("subtype"), attrs.alias("attrs"), F.array_join(F.transform(part, lambda c: c["value"]), " ").alias("value"))
+    merged = F.concat(F.slice(cells, 1, first), F.array(one), F.slice(cells, F.lit(first + n + 1), F.size(cells) + 1))
+    return rows.withColumn("cells", F.when((F.col("row") == row) & (F.size(cells) >= first + n), merged).otherwise(cells))
+
+
+def split_cell(rows: DataFrame, row: int, at: int, n: int) -> DataFrame:
+    """A cell that spans ``n`` columns as ``n`` cells; the first keeps the text."""
+    cells = F.col("cells")
+    old = F.get(cells, F.lit(at))
+    bare = F.trim(F.regexp_replace(old["attrs"], r"\s*colspan\s*=\s*(?:\"[^\"]*\"|\S+)", ""))
+    new = lambda value: F.struct(old["subtype"].alias("subtype"), bare.alias("attrs"), value.alias("value"))
+    parts = F.array(new(old["value"]), *[new(F.lit("")) for _ in range(n - 1)])
+    split = F.concat(F.slice(cells, 1, at), parts, F.slice(cells, F.lit(at + 2), F.size(cells) + 1))
+    return rows.withColumn("cells", F.when((F.col("row") == row) & (F.size(cells) > at), split).otherwise(cells))
+
+
+def format_cells(rows: DataFrame, attrs: str, row: int | None = None, column: int | None = None) -> DataFrame:
+    """Attributes for all cells of a row, a column, both or the table."""
+    chosen = F.lit(True) if row is None else F.col("row") == row
+
+    def one(c: Column, k: Column) -> Column:
+        here = chosen if column is None else chosen & (k == column)
+        return F.struct(c["subtype"].alias("subtype"), F.when(here, F.trim(F.concat(c["attrs"], F.lit(f" {attrs}")))).otherwise(c["attrs"]).alias("attrs"), c["value"].alias("value"))
+
+    return rows.withColumn("cells", F.transform("cells", one))
+
+
+def fill_cells(rows: DataFrame, value: str, row: int | None = None, column: int | None = None) -> DataFrame:
+    """A text for all cells of a row, a column, both or the table."""
+    chosen = F.lit(True) if row is None else F.col("row") == row
+
+    def one(c: Column, k: Column) -> Column:
+        here = chosen if column is None else chosen & (k == column)
+        return F.struct(c["subtype"].alias("subtype"), c["attrs"].alias("attrs"), F.when(here, value).otherwise(c["value"]).alias("value"))
+
+    return rows.withColumn("cells", F.transform("cells", one))
 
 
 def move_rows(rows: DataFrame, order) -> DataFrame:
@@ -197,7 +270,7 @@ def move_column(rows: DataFrame, at: int, to: int) -> DataFrame:
 
 def insert_column(rows: DataFrame, at: int, value: str, head: str | None = None) -> DataFrame:
     first = F.col("row") == 0
-    cell = F.struct(F.when(first & F.lit(head is not None), "th").otherwise("td").alias("subtype"), F.when(first & F.lit(head is not None), head or "").otherwise(value).alias("value"))
+    cell = F.struct(F.when(first & F.lit(head is not None), "th").otherwise("td").alias("subtype"), F.lit("").alias("attrs"), F.when(first & F.lit(head is not None), head or "").otherwise(value).alias("value"))
     return rows.withColumn("cells", F.concat(F.slice("cells", 1, at), F.array(cell), F.slice("cells", F.lit(at + 1), F.size("cells") + 1)))
 
 
@@ -207,8 +280,9 @@ def remove_column(rows: DataFrame, at: int) -> DataFrame:
 
 def insert_row(rows: DataFrame, at: int, values: list[str]) -> DataFrame:
     """A row of these cells in every table, before row ``at``."""
-    cells = F.array(*[F.struct(F.lit("td").alias("subtype"), F.lit(v).alias("value")) for v in values])
-    new = rows.select("page_id", "table_id").distinct().select("page_id", "table_id", F.lit(at).alias("row"), cells.alias("cells"))
+    cells = F.array(*[F.struct(F.lit("td").alias("subtype"), F.lit("").alias("attrs"), F.lit(v).alias("value")) for v in values])
+    tables = rows.groupBy("page_id", "table_id").agg(F.max("table_attrs").alias("table_attrs"), F.max("caption").alias("caption"))
+    new = tables.select("*", F.lit(at).alias("row"), F.lit("").alias("row_attrs"), cells.alias("cells"))
     return rows.withColumn("row", F.when(F.col("row") >= at, F.col("row") + 1).otherwise(F.col("row"))).unionByName(new)
 
 

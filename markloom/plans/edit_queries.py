@@ -201,12 +201,12 @@ def interface_messages(spark, d):
     return small.messages(asked, known).select("page_id", "message")
 
 
-@query("SELECT n_nationkey::BIGINT AS page_id, '== ' || n_name || ' ==' || chr(10) || '<h1>x</h1><p class=\"a\">y</p>' AS text, '<center>' AS kept FROM nation")
+@query("SELECT n_nationkey::BIGINT AS page_id, '== ' || n_name || ' ==' || chr(10) || '<h1>x</h1><p class=\"a\">y</p>' AS text FROM nation")
 def fix_one_rule(spark, d):
     """Only the fixes of one rule."""
     pages = _nation(spark, d, "= ", fx.c("n_name"), " =\n<h1>x</h1><p class=\"a\">y</p>")
     found = lint.lint(parse(pages), pages, ["h1", "unclosed-quote", "illegal-attr"]).filter("key = ''")
-    return lint.fix_all(pages, found, "h1").select("page_id", "text", F.lit("<center>").alias("kept"))
+    return lint.fix_all(pages, found, "h1").select("page_id", "text")
 
 
 @query(f"SELECT page_id, n1::BIGINT AS n, greatest(n1 - 1, 0)::BIGINT AS n_common FROM {_V} WHERE n1 > 0")
@@ -214,3 +214,20 @@ def list_prefixes(spark, d):
     """Levels that list lines share with the line before."""
     marks = parse(fx.varied(spark, d), types=["list"], columns=["type", "props"])
     return marks.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum(structure.prop("common").cast("long")).alias("n_common"))
+
+
+@query("""
+SELECT n_nationkey::BIGINT AS page_id, '{| class="a"' || chr(10) || '|-' || chr(10) || '! b=1 colspan=2 | h i' || chr(10) || '|- id="r' || n_nationkey || '"' || chr(10) || '| c=2 | ' || n_name || chr(10) || '| x'
+  || chr(10) || '|- id="r' || n_nationkey || '"' || chr(10) || '| c=2 | ' || n_name || chr(10) || '| x' || chr(10) || '|-' || chr(10) || '| c=2 | p' || chr(10) || '| x' || chr(10) || '|}' AS text FROM nation
+""")
+def table_cell_edits(spark, d):
+    """Merged heads, a row again, another row, a column's attributes and texts."""
+    key, name = fx.c("n_nationkey"), fx.c("n_name")
+    pages = _nation(spark, d, '{| class="a"\n! b=1 | h !! i\n|- id="r', key, '"\n| ', name, " || q\n|}")
+    rows = structure.tables_as_rows(parse(pages, types=["td", "td-inner", "table-attrs"], last="table"))
+    rows = structure.insert_row(structure.replicate_row(structure.merge_cells(rows, 0, 0, 2), 1), 3, ["p", "q"])
+    body, head = rows.filter("row > 0"), rows.filter("row = 0")
+    edited = structure.fill_cells(structure.format_cells(body, "c=2", column=0), "x", column=1).unionByName(head)
+    again = structure.merge_cells(structure.split_cell(edited, 0, 0, 2), 0, 0, 2)
+    trimmed = again.withColumn("cells", F.transform("cells", lambda c: c.withField("value", F.trim(c["value"]))))
+    return structure.write_tables(trimmed).select("page_id", "text")

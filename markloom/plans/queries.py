@@ -293,11 +293,11 @@ def text_lines(spark, d):
 
 
 @query(f"""
-SELECT page_id, '{{|' || chr(10) || '|-' || chr(10) || '! part and flag' || chr(10) || '! line' || chr(10) || string_agg('|-' || chr(10) || '| ' || l_partkey || chr(10) || '| ' || l_linenumber || chr(10) || '| ' || l_returnflag, chr(10) ORDER BY k) || chr(10) || '|}}' AS text
+SELECT page_id, '{{| class="wikitable"' || chr(10) || '|+ Order ' || page_id || chr(10) || '|-' || chr(10) || '! colspan=2 | part and flag' || chr(10) || '! line' || chr(10) || string_agg('|-' || chr(10) || '| ' || l_partkey || chr(10) || '| ' || l_linenumber || chr(10) || '| style="color:#aabb0' || (l_linenumber % 10) || '" | ' || l_returnflag, chr(10) ORDER BY k) || chr(10) || '|}}' AS text
 FROM ({_LINES}) GROUP BY 1
 """)
 def table_edit(spark, d):
-    rows = structure.tables_as_rows(parse(fx.orders(spark, d), types=["td", "td-inner"]))
+    rows = structure.tables_as_rows(parse(fx.orders(spark, d), types=["td", "td-inner", "table-attrs"]))
     return structure.write_tables(structure.move_column(rows, 1, 0)).select("page_id", "text")
 
 

@@ -257,8 +257,8 @@ def test_anchors_with_literal_suffixes(spark):
 
 
 def test_rows_beyond_ten_thousand_columns(spark):
-    cells = [("td", str(k)) for k in range(10_050)]
-    rows = spark.createDataFrame([(1, 1, 0, cells)], "page_id long, table_id int, row int, cells array<struct<subtype: string, value: string>>")
+    cells = [("td", "", str(k)) for k in range(10_050)]
+    rows = spark.createDataFrame([(1, 1, 0, cells)], "page_id long, table_id int, row int, cells array<struct<subtype: string, attrs: string, value: string>>")
     moved = structure.move_column(rows, 0, 10_049).first().cells
     assert len(moved) == 10_050 and moved[-1].value == "0" and structure.insert_column(rows, 10_050, "z").first().cells[-1].value == "z"
 
