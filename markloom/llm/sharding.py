@@ -97,14 +97,24 @@ def best_fit_decreasing(sizes: Iterable[tuple[int, object]], capacity: int, bins
 
 
 def pack(sizes: list[tuple[int, object]], shards: int) -> dict[object, int]:
-    """Best-fit-decreasing into exactly ``shards`` bins of the least capacity that does."""
-    total = sum(s for s, _ in sizes)
-    least = max(-(-total // shards), max((s for s, _ in sizes), default=0), 1)
+    """Best-fit-decreasing into exactly ``shards`` bins of the least capacity that does.
+
+    An item above the mean of what is left to pack has a bin of its own, so that it does not
+    raise the capacity of the others, which would leave the last bins empty.
+    """
+    rest = sorted(sizes, key=lambda x: (-x[0], str(x[1])))
+    total, alone = sum(s for s, _ in rest), 0
+    while alone < min(shards - 1, len(rest)) and rest[alone][0] * (shards - alone) > total:
+        total -= rest[alone][0]
+        alone += 1
+    placed = {item: k for k, (_, item) in enumerate(rest[:alone])}
+    rest, bins = rest[alone:], shards - alone
+    least = max(-(-total // bins), max((s for s, _ in rest), default=0), 1)
     slack = 0.0
     while True:
-        placed = best_fit_decreasing(sizes, int(least * (1 + slack)) + (slack > 0), shards)
-        if placed is not None:
-            return placed
+        found = best_fit_decreasing(rest, int(least * (1 + slack)) + (slack > 0), bins)
+        if found is not None:
+            return placed | {item: alone + k for item, k in found.items()}
         slack = slack * 1.5 if slack else 0.0005
 
 

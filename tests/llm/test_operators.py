@@ -724,3 +724,22 @@ def test_whole_licence_texts():
     paragraphs = [t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 60]
     got = licenses.Scanner().scan("Copyright (c) 2020 Jane Doe\n\n" + "\n\n".join(paragraphs))
     assert [n["license"] for n in got] == ["MIT"] * 3 and [n["line"] for n in got] == [2, 4, 6]
+
+
+@pytest.mark.parametrize("longest", [3_000, 200_000])
+def test_forty_shards_are_near_equal(spark, longest):
+    """Law ``bytes``: texts above a mean shard lie alone, all other shards are near the mean of the rest."""
+    rng = random.Random(23)
+    rows = [(i, ("w%d " % i * max(1, int(rng.paretovariate(1.2) * 8)))[:longest]) for i in range(12000)]
+    rows += [(20_000 + i, "same text " * 40) for i in range(100)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 40).toPandas()
+    size = got.groupby("shard")["size"].sum().sort_values(ascending=False).tolist()
+    sizes = sorted(got["size"], reverse=True)
+    assert len(got) == len(rows) and len(size) == 40 and (sizes[0] * 40 > sum(sizes)) == (longest > 3_000)
+    alone, left = 0, sum(sizes)
+    while sizes[alone] * (40 - alone) > left:
+        left -= sizes[alone]
+        alone += 1
+    mean = left / (40 - alone)
+    assert size[:alone] == sizes[:alone] and size[alone] <= 1.03 * mean and size[-1] >= 0.9 * mean
+    assert len(set(got[got.doc_id >= 20_000]["shard"])) == 1
