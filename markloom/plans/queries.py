@@ -297,7 +297,7 @@ SELECT page_id, '{{| class="wikitable"' || chr(10) || '|+ Order ' || page_id ||
 FROM ({_LINES}) GROUP BY 1
 """)
 def table_edit(spark, d):
-    rows = structure.tables_as_rows(parse(fx.orders(spark, d), types=["td", "td-inner", "table-attrs"]))
+    rows = structure.tables_as_rows(parse(fx.orders(spark, d), types=["td", "td-inner", "table-attrs"], columns=["node_id", "parent_id", "type", "text", "props", "anc"]))
     return structure.write_tables(structure.move_column(rows, 1, 0)).select("page_id", "text")
 
 

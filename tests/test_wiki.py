@@ -310,3 +310,14 @@ def parses(frame) -> int:
 def test_neighbours_in_one_pass(spark):
     frame = queries.QUERIES["node_neighbours"](spark, SF)
     assert parses(frame) == 1 and "Join" not in plan_of(frame)
+
+
+def test_table_rows_in_one_pass(spark):
+    frame = queries.QUERIES["table_edit"](spark, SF)
+    assert parses(frame) == 1 and "Join" not in plan_of(frame)
+    text = "{| id=t\n|+ Cap\n! a\n|-\n|- class=x\n| b || style=y | c\n|-\n|+ late\n| c\n|}"
+    rows = structure.tables_as_rows(parse(spark.createDataFrame([(1, text)], "page_id long, text string")))
+    got = sorted((r.table_attrs, r.caption, r.row, r.row_attrs, [(c.subtype, c.attrs, c.value) for c in r.cells]) for r in rows.collect())
+    assert got == [
+        ("id=t", "Cap", 0, "", [("th", "", "a")]), ("id=t", "Cap", 1, "class=x", [("td", "", "b"), ("td", "style=y", "c")]), ("id=t", "Cap", 2, "", [("td", "", "c")]),
+    ]
