@@ -210,9 +210,8 @@ SELECT page_id, y::INTEGER AS y, x, value FROM (
   UNION ALL SELECT DISTINCT l_orderkey, 0, 2, 'part and flag' FROM lineitem)
 """)
 def table_grid(spark, d):
-    nodes = parse(fx.orders(spark, d), types=["td", "td-inner"])
-    inner = nodes.filter(F.col("type") == "td-inner").select("page_id", F.col("parent_id").alias("cell_node_id"), F.btrim("text", F.lit(" \n")).alias("value"))
-    return structure.table_cells(nodes).join(inner, ["page_id", "cell_node_id"]).select("page_id", "y", "x", "value")
+    nodes = parse(fx.orders(spark, d), types=["td", "td-inner"], columns=["node_id", "parent_id", "type", "text", "attrs", "props", "anc"])
+    return structure.table_cells(nodes, values=True).select("page_id", "y", "x", "value")
 
 
 @query("SELECT c_custkey AS page_id, 'Category:Gold' AS category, 2::BIGINT AS n FROM customer WHERE c_custkey % 5 = 0")

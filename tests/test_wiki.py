@@ -321,3 +321,12 @@ def test_table_rows_in_one_pass(spark):
     assert got == [
         ("id=t", "Cap", 0, "", [("th", "", "a")]), ("id=t", "Cap", 1, "class=x", [("td", "", "b"), ("td", "style=y", "c")]), ("id=t", "Cap", 2, "", [("td", "", "c")]),
     ]
+
+
+def test_grid_in_one_pass(spark):
+    frame = queries.QUERIES["table_grid"](spark, SF)
+    assert parses(frame) == 2 and "Join" not in plan_of(frame)  # the parse and the grid
+    text = "{|\n|+ Cap\n| a\n|-\n| rowspan=2 | b ||\n|-\n| {{T}}\n|}"
+    nodes = parse(spark.createDataFrame([(1, text)], "page_id long, text string"))
+    assert sorted((r.y, r.x, r.value) for r in structure.table_cells(nodes, values=True).collect()) == [(0, 0, "a"), (1, 0, "b"), (1, 1, ""), (2, 0, "b"), (2, 1, "{{T}}")]
+    assert "value" not in structure.table_cells(nodes).columns
