@@ -137,6 +137,11 @@ def apply_edits(pages: DataFrame, edits: DataFrame) -> DataFrame:
     return apply_fixes(pages, edits.select("page_id", F.col("edit").alias("fix")))
 
 
+def edits_at(nodes: DataFrame, *found: Column) -> DataFrame:
+    """Edits of several kinds in one pass over the nodes: each column is an edit, or null where a node has none of that kind."""
+    return nodes.select("page_id", F.explode(F.array(*found)).alias("edit")).filter("edit is not null")
+
+
 def remove(found: DataFrame) -> DataFrame:
     return found.select("page_id", edit(F.col("start"), F.col("end"), "").alias("edit"))
 

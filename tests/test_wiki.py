@@ -330,3 +330,9 @@ def test_grid_in_one_pass(spark):
     nodes = parse(spark.createDataFrame([(1, text)], "page_id long, text string"))
     assert sorted((r.y, r.x, r.value) for r in structure.table_cells(nodes, values=True).collect()) == [(0, 0, "a"), (1, 0, "b"), (1, 1, ""), (2, 0, "b"), (2, 1, "{{T}}")]
     assert "value" not in structure.table_cells(nodes).columns
+
+
+@pytest.mark.parametrize("name", ["edit_nodes"])
+def test_edits_in_one_pass(spark, name):
+    frame = queries.QUERIES[name](spark, SF)
+    assert parses(frame) == 1 and "BroadcastHashJoin" not in plan_of(frame)
