@@ -82,8 +82,10 @@ def edit_attributes(spark, d):
 @query(f"SELECT page_id, (n1 * 2 + n2 * 2)::BIGINT AS n_added, '[[File:A.png|left|10px|20px|thumb=a.png|thumb=b.png|alt=new|x]]' AS file FROM {_V}")
 def edit_images(spark, d):
     pages = fx.varied(spark, d)
-    nodes = parse(pages)
-    edits = pages_text.set_image_option(nodes, "alt", "alt=new").unionByName(pages_text.set_image_option(nodes, "caption", "x")).unionByName(pages_text.wrap(nodes.filter("type = 'template' or (type = 'link' and name <> 'End')"), "~", "~"))
+    nodes = parse(pages, types=["file", "image-parameter", "template", "link"], columns=["type", "name", "start", "end", "attrs", "anc"])
+    wrapped, start, end, edit = F.expr("type = 'template' or (type = 'link' and name <> 'End')"), F.col("start"), F.col("end"), pages_text.edit
+    options = [*pages_text.image_option("alt", "alt=new"), *pages_text.image_option("caption", "x")]
+    edits = pages_text.edits_at(nodes, *options, F.when(wrapped, edit(start, start, "~")), F.when(wrapped, edit(end, end, "~")))
     out = pages_text.apply_edits(pages, edits)
     return out.select("page_id", (F.length("text") - F.length(F.replace("text", F.lit("~"), F.lit("")))).cast("long").alias("n_added"), F.regexp_extract("text", r"\[\[File.*?\]\]", 0).alias("file"))
 

@@ -374,11 +374,14 @@ def replace_tag(nodes: DataFrame, matched: DataFrame, old: str, new: str) -> Dat
 
 def set_image_option(nodes: DataFrame, option: str, text: str) -> DataFrame:
     """``text``, such as ``alt=a``, in place of a file's option, or added to it."""
-    files = nodes.filter(F.col("type") == "file")
-    keys = files.select("page_id", F.col("node_id").alias("parent_id"))
-    have = nodes.filter((F.col("type") == "image-parameter") & (F.col("name") == option)).join(keys, ["page_id", "parent_id"], "left_semi")
-    bare = files.join(have.select("page_id", F.col("parent_id").alias("node_id")), ["page_id", "node_id"], "left_anti")
-    return replace_with(have, text).unionByName(_rows(bare, F.col("end") - 2, F.col("end") - 2, f"|{text}"))
+    return edits_at(nodes, *image_option(option, text))
+
+
+def image_option(option: str, text: str) -> tuple[Column, Column]:
+    """The edits of ``set_image_option``, for ``edits_at``: a file has those options as attributes that are among its parts."""
+    have = (F.col("type") == "image-parameter") & (F.col("name") == option) & (F.element_at("anc", -1)["type"] == "file")
+    bare = (F.col("type") == "file") & ~F.map_contains_key("attrs", option)
+    return F.when(have, edit(F.col("start"), F.col("end"), text)), F.when(bare, edit(F.col("end") - 2, F.col("end") - 2, f"|{text}"))
 
 
 def indent_lists(nodes: DataFrame, mark: str = ":") -> DataFrame:

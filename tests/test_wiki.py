@@ -332,7 +332,7 @@ def test_grid_in_one_pass(spark):
     assert "value" not in structure.table_cells(nodes).columns
 
 
-@pytest.mark.parametrize("name", ["edit_nodes"])
+@pytest.mark.parametrize("name", ["edit_nodes", "edit_images"])
 def test_edits_in_one_pass(spark, name):
     frame = queries.QUERIES[name](spark, SF)
     assert parses(frame) == 1 and "BroadcastHashJoin" not in plan_of(frame)
