@@ -15,7 +15,7 @@ from markloom.operators import editor, lint, structure
 from markloom.plans import text as pages_text
 from markloom.plans.parse import parse
 from markloom.plans.registry import QUERIES, SQL, query
-from markloom.plans.select import select
+from markloom.plans.select import find, select
 from markloom.sources import fixtures as fx
 from markloom.streaming import revisions
 
@@ -131,7 +131,7 @@ def _selector(name: str, source: Callable, selector: str, sql: str) -> None:
     """Counts of matches per page."""
 
     def fn(spark, d):
-        return select(parse(source(spark, d)), selector).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+        return find(source(spark, d), selector, ["node_id"]).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
     QUERIES[name], SQL[name] = fn, sql
 
@@ -156,7 +156,7 @@ _selector("selector_root_empty", fx.customers, "root, ext[selfclosing=\"true\"]:
 
 @query("SELECT l_orderkey AS page_id, count(*)::BIGINT AS n FROM lineitem GROUP BY 1")
 def closest_row(spark, d):
-    nodes = parse(fx.orders(spark, d))
+    nodes = parse(fx.orders(spark, d), types=["table-attr", "tr"], columns=["node_id", "last_id", "depth", "type", "name", "anc"])
     start = nodes.filter((F.col("type") == "table-attr") & (F.col("name") == "style"))
     from markloom.plans.select import closest
 

@@ -379,7 +379,7 @@ def set_image_option(nodes: DataFrame, option: str, text: str) -> DataFrame:
 
 def image_option(option: str, text: str) -> tuple[Column, Column]:
     """The edits of ``set_image_option``, for ``edits_at``: a file has those options as attributes that are among its parts."""
-    have = (F.col("type") == "image-parameter") & (F.col("name") == option) & (F.element_at("anc", -1)["type"] == "file")
+    have = (F.col("type") == "image-parameter") & (F.col("name") == option) & (F.try_element_at("anc", F.lit(-1))["type"] == "file")
     bare = (F.col("type") == "file") & ~F.map_contains_key("attrs", option)
     return F.when(have, edit(F.col("start"), F.col("end"), text)), F.when(bare, edit(F.col("end") - 2, F.col("end") - 2, f"|{text}"))
 

@@ -336,3 +336,23 @@ def test_grid_in_one_pass(spark):
 def test_edits_in_one_pass(spark, name):
     frame = queries.QUERIES[name](spark, SF)
     assert parses(frame) == 1 and "BroadcastHashJoin" not in plan_of(frame)
+
+
+ONE_PASS = [
+    "selector_attr",
+]
+
+
+@pytest.mark.parametrize("name", ONE_PASS)
+def test_selectors_in_one_pass(spark, name):
+    frame = queries.QUERIES[name](spark, SF)
+    assert parses(frame) == 1 and "Join" not in plan_of(frame)
+
+
+def test_selectors_read_what_they_need(spark, page):
+    child = select.Selector("table > tr:not([id])")
+    assert child.types() == {"table", "tr"} and {"anc", "text"}.isdisjoint(child.columns())
+    assert select.Selector("tr:last-child").types() is None and select.Selector("td:is([a], th[b])").types() == {"td", "th"}
+    for selector in ("template:has(> parameter[anon=true])", "link, heading:parent", "*:has(+ html)", "template parameter:not(:first-of-type)"):
+        got = select.find(page, selector, ["node_id"])
+        assert got.columns == ["page_id", "node_id"] and sorted(got.collect()) == sorted(select.select(parse(page), selector).select("page_id", "node_id").collect())
