@@ -341,6 +341,7 @@ def test_edits_in_one_pass(spark, name):
 ONE_PASS = [
     "selector_attr",
     "selector_contains",
+    "selector_nth",
 ]
 
 
