@@ -342,6 +342,7 @@ ONE_PASS = [
     "selector_attr",
     "selector_contains",
     "selector_nth",
+    "selector_regex",
 ]
 
 
