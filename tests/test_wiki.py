@@ -343,6 +343,7 @@ ONE_PASS = [
     "selector_contains",
     "selector_nth",
     "selector_regex",
+    "selector_root_empty",
 ]
 
 
