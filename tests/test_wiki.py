@@ -344,6 +344,7 @@ ONE_PASS = [
     "selector_nth",
     "selector_regex",
     "selector_root_empty",
+    "closest_row",
 ]
 
 
