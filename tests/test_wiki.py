@@ -345,6 +345,7 @@ ONE_PASS = [
     "selector_regex",
     "selector_root_empty",
     "closest_row",
+    "selector_adjacent",
 ]
 
 
