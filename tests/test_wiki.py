@@ -346,6 +346,7 @@ ONE_PASS = [
     "selector_root_empty",
     "closest_row",
     "selector_adjacent",
+    "selector_descendant",
 ]
 
 
