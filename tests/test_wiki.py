@@ -347,6 +347,7 @@ ONE_PASS = [
     "closest_row",
     "selector_adjacent",
     "selector_descendant",
+    "selector_first_last",
 ]
 
 
