@@ -348,6 +348,7 @@ ONE_PASS = [
     "selector_adjacent",
     "selector_descendant",
     "selector_first_last",
+    "selector_child",
 ]
 
 
