@@ -349,6 +349,7 @@ ONE_PASS = [
     "selector_descendant",
     "selector_first_last",
     "selector_child",
+    "selector_has",
 ]
 
 
