@@ -350,6 +350,7 @@ ONE_PASS = [
     "selector_first_last",
     "selector_child",
     "selector_has",
+    "selector_is",
 ]
 
 
