@@ -351,6 +351,7 @@ ONE_PASS = [
     "selector_child",
     "selector_has",
     "selector_is",
+    "selector_not",
 ]
 
 
