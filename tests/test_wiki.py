@@ -352,6 +352,7 @@ ONE_PASS = [
     "selector_has",
     "selector_is",
     "selector_not",
+    "selector_sibling",
 ]
 
 
