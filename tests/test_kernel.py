@@ -238,3 +238,13 @@ def test_positions_of_nodes():
     assert [found["template"][k] for k in ("line", "col", "end_line", "end_col")] == [2, 0, 2, 5]
     assert [found["heading"][k] for k in ("line", "col", "end_line", "end_col")] == [1, 0, 1, 7]
     assert found["heading"]["props"]["title"] == "h" and found["heading"]["props"]["source"] == " h "
+
+
+def test_plain_numbers_are_not_taken_through_the_stages(monkeypatch):
+    from markloom.kernel import parse as kernel
+
+    seen = []
+    monkeypatch.setattr(kernel.Parser, "_urls", lambda self, parent, start, end, depth, skip, f=kernel.Parser._urls: (seen.append(self.text[start:end]), f(self, parent, start, end, depth, skip))[1])
+    text = "{|\n| 12 || rfc 13\n|}"
+    types = [r[6] for r in kernel.table(kernel.parse(text), text)]
+    assert " 12 " not in seen and " rfc 13\n" in seen and types.count("magic-link") == 1
