@@ -160,7 +160,8 @@ def closest_row(spark, d):
     start = nodes.filter((F.col("type") == "table-attr") & (F.col("name") == "style"))
     from markloom.plans.select import closest
 
-    return closest(nodes, start, "tr").groupBy("page_id").agg(F.count_distinct("closest_id").alias("n"))
+    # Dealt by page first, as rows dealt by page and node would be dealt again for the counts of pages.
+    return closest(nodes, start, "tr").select("page_id", "closest_id").repartition("page_id").groupBy("page_id").agg(F.count_distinct("closest_id").alias("n"))
 
 
 # -- structure

@@ -416,3 +416,10 @@ def test_places_among_siblings_need_no_shuffle(spark, selector, shuffled):
     slow = select.select(parse(pages), selector).select("page_id", "node_id")
     assert sorted(found.collect()) == sorted(slow.collect()) and slow.count()
     assert ("RepartitionByExpression" in found._jdf.queryExecution().analyzed().toString()) is shuffled
+
+
+def test_closest_rows_are_dealt_once(spark):
+    from markloom.plans.queries import QUERIES
+
+    plan = QUERIES["closest_row"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.index("MapInArrow")].count("Exchange") == 1
